@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text"]
+MODULES = ["text", "bytestats"]
 
 
 def _modules():

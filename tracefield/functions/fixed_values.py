@@ -167,3 +167,40 @@ TOOL_QUALITY_BONUS = {"untrunc": 0.1, "mp4recover": 0.05, "ffmpeg": 0.0}
 LEVEL_RANK = ["TRACE", "DEBUG", "INFO", "WARN", "ERROR", "CRITICAL", "AUDIT", "CUSTODY"]
 # retention in days by log class
 RETENTION_DAYS = {"error": 365, "audit": 1825, "structured": 90, "main": 30, "performance": 30}
+
+# --- video formats: extension, hex magic ('' = none), offset, professional ---
+VIDEO_FORMATS = [
+    (".mp4", b"ftyp".hex(), 4, True),
+    (".m4v", b"ftyp".hex(), 4, False),
+    (".3gp", b"ftyp3gp".hex(), 4, False),
+    (".3g2", b"ftyp3g2".hex(), 4, False),
+    (".mov", b"ftyp".hex(), 4, True),
+    (".qt", b"moov".hex(), 4, True),
+    (".avi", b"RIFF".hex(), 0, False),
+    (".wmv", "3026b2758e66cf11", 0, False),
+    (".asf", "3026b2758e66cf11", 0, False),
+    (".mkv", "1a45dfa3", 0, True),
+    (".webm", "1a45dfa3", 0, False),
+    (".flv", b"FLV".hex(), 0, False),
+    (".f4v", b"ftyp".hex(), 4, False),
+    (".mxf", "060e2b3402050101", 0, True),
+    (".gxf", "00000001bc", 0, True),
+    (".mpg", "000001b3", 0, True),
+    (".mpeg", "000001b3", 0, True),
+    (".m2v", "000001b3", 0, True),
+    (".ts", "47", 0, True),
+    (".m2ts", "47", 0, True),
+    (".mts", "47", 0, False),
+    (".dv", "1f07003f", 0, True),
+    (".hdv", "47", 0, True),
+    (".y4m", b"YUV4MPEG2".hex(), 0, True),
+    (".yuv", "", 0, True),
+    (".r3d", b"RED1".hex(), 0, True),
+    (".braw", b"BRAW".hex(), 0, True),
+    (".arw", b"II*\x00".hex(), 0, True),
+    (".vr", b"ftyp".hex(), 4, True),
+    (".ffv1", "1a45dfa3", 0, True),
+    (".rm", b".RMF".hex(), 0, False),
+    (".rmvb", b".RMF".hex(), 0, False),
+    (".ogv", b"OggS".hex(), 0, False),
+]

@@ -329,3 +329,77 @@ SERIES = """(select event_type as name, (epoch_us(date_trunc('minute', ts)) // 6
 
 def vectors(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+
+
+# (hex lead, hex tail, extension) given to the files by ``file_id % len``; the rest is the text
+FILE_LEADS = [
+    ("FFD8FFE000104A46", "FFD9", "jpg"),
+    ("FFD8FFE000104A46", "", "jpg"),
+    ("89504E470D0A1A0A", "", "png"),
+    ("474946383761", "", "gif"),
+    ("424D", "", "bmp"),
+    ("255044462D312E34", "0A2525454F46", "pdf"),
+    ("D0CF11E0A1B11AE1", "", "doc"),
+    ("504B0304140006000000776F72642F", "504B0506", "zip"),
+    ("504B0304140006000000786C2F", "504B0506", "zip"),
+    ("504B030414000600", "504B0506", "zip"),
+    ("0000001866747970717420200000", "", "mov"),
+    ("00000018667479706D703432" + "0000000000000167", "", "mp4"),
+    ("0000001866747970" + "6D703432" + "6D6F6F76", "", "mp4"),
+    ("52494646000000004156492044697658", "", "avi"),
+    ("1A45DFA3010000007765626D", "", "mkv"),
+    ("1A45DFA301000000", "", "mkv"),
+    ("464C5601", "", "flv"),
+    ("4D5A9000", "", "exe"),
+    ("4944330400", "", "mp3"),
+    ("3026B2758E66CF11", "", "wmv"),
+    ("000001B000000140", "", "mpg"),
+    ("000001B3", "", "mpg"),
+    ("", "", "txt"),
+    ("", "", "mp4"),
+    ("", "", "jpg"),
+]
+
+
+def typed_files(spark, sf_dir):
+    """Files with real magic bytes around their text: (file_id, ext, data); every 50th is empty."""
+    n = len(FILE_LEADS)
+    i = F.col("file_id") % n
+    pick = lambda j: F.element_at(F.array(*[F.lit(x[j]) for x in FILE_LEADS]), (i + 1).cast("int"))
+    body = F.concat(F.unhex(pick(0)), F.col("data"), F.unhex(pick(1)))
+    return ev_bytes(spark, sf_dir).select(
+        "file_id",
+        pick(2).alias("ext"),
+        F.when(F.col("file_id") % 50 == 49, F.unhex(F.lit(""))).otherwise(body).alias("data"),
+    )
+
+
+def _pick(j):
+    return "list_extract([" + ",".join(f"'{x[j]}'" for x in FILE_LEADS) + f"], (file_id % {len(FILE_LEADS)} + 1)::bigint)"
+
+
+TYPED = f"""(select file_id, {_pick(2)} as ext,
+  case when file_id % 50 = 49 then '' else {_pick(0)} || hx || {_pick(1)} end as hx from {EV_BYTES})"""
+
+
+def cipher_files(spark, sf_dir):
+    """Bytes with the look of ciphertext: 4096 hash bytes, repeated 16-byte blocks, or plain text."""
+    i = F.col("file_id")
+    dig = F.expr("concat_ws('', transform(sequence(1, 128), k -> sha2(concat(cast(file_id as string), ':', cast(k as string)), 256)))")
+    blk = F.expr("concat_ws('', transform(sequence(1, 64), k -> md5(concat(cast(file_id as string), ':', cast(k % 40 as string)))))")
+    return ev_bytes(spark, sf_dir).select(
+        "file_id",
+        F.when(i % 3 == 0, F.unhex(dig)).when(i % 3 == 1, F.unhex(blk)).otherwise(F.col("data")).alias("data"),
+    )
+
+
+CIPHER = f"""(select file_id, case file_id % 3
+   when 0 then upper(array_to_string(list_transform(range(1, 129), lambda k: sha256(file_id || ':' || k)), ''))
+   when 1 then upper(array_to_string(list_transform(range(1, 65), lambda k: md5(file_id || ':' || (k % 40))), ''))
+   else hx end as hx from {EV_BYTES})"""
+
+
+def byte_rows(source: str) -> str:
+    """SQL: one row per byte of a (file_id, hx) subquery."""
+    return f"""(select file_id, pos, ('0x' || substr(hx, (2*pos+1)::bigint, 2))::integer as b
+  from (select file_id, hx, unnest(range(length(hx) // 2)) as pos from {source}))"""
