@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text", "bytestats"]
+MODULES = ["text", "bytestats", "traffic"]
 
 
 def _modules():

@@ -103,7 +103,7 @@ with dense as (select f.file_id, v.b, coalesce(h.n, 0) as n from {tb.EV_BYTES} f
  m as (select file_id, avg(n) as mu from dense group by 1)
 select d.file_id, max(n) as max, min(n) as min, count(*) filter (n > 0) as unique, count(*) filter (n = 1) as singletons,
  count(*) filter (n > mu) as above_mean, median(n)::double as median, round(any_value(mu), 6) as mean,
- round(var_pop(n), 6) as var, round(stddev_pop(n), 6) as std from dense d join m on m.file_id = d.file_id group by 1"""
+ round(sum(n*n)/256 - avg(n)*avg(n), 6) as var, round(sqrt(sum(n*n)/256 - avg(n)*avg(n)), 6) as std from dense d join m on m.file_id = d.file_id group by 1"""
 
 
 def a11(spark, d):
@@ -112,8 +112,8 @@ def a11(spark, d):
 
 QUERIES["a11_ngram_counts"] = a11
 ORACLE["a11_ngram_counts"] = f"""
-select ext, ('0x' || substr(hx, (2*pos+1)::bigint, 4))::bigint as gram, count(*) as n
-from (select ext, hx, unnest(range(size - 1)) as pos from {tb.EV_BYTES}) group by all"""
+select ext, ('0x' || a || b)::bigint as gram, count(*) as n
+from (select ext, unnest(l[:-2]) as a, unnest(l[2:]) as b from (select ext, regexp_extract_all(hx, '..') as l from {tb.EV_BYTES})) group by all"""
 
 
 def c19(spark, d):

@@ -44,11 +44,6 @@ def ev_bytes(spark, sf_dir):
 EV_BYTES = """(select doc_id as file_id, lang as ext, hex(encode(text)) as hx, strlen(text)::bigint as size
   from documents)"""
 
-# one row per byte: (file_id, pos, b)
-EV_BYTE_ROWS = f"""(select file_id, pos, ('0x' || substr(hx, (2*pos+1)::bigint, 2))::integer as b
-  from (select file_id, hx, unnest(range(size)) as pos from {EV_BYTES}))"""
-
-
 def ev_image(spark, sf_dir):
     """Pages in id order as one byte image: (image_id, chunk_no, base_offset, data)."""
     pages = load(spark, sf_dir, "pages").select(
@@ -70,6 +65,19 @@ EV_IMAGE = """(select 'pages' as image_id, page_id as chunk_no, html,
   strlen(html)::bigint as n from pages)"""
 
 
+# what the packets carry in front of their properties, and the hosts they name
+PAYLOAD_LEADS = [
+    b"GET /", b"HTTP/1.1 200 ", b"\x16\x03\x01", b"220 ready ", b"USER x", b"EHLO y", b"\x00\x01\x00\x00",
+    b"x cmd=", b"1 UNION SELECT ", b"<script>", b"\x90\x90\x90\x90", b"RCPT TO:msf_", b"plain ",
+]
+HOSTS = [".example.com", ".bit.ly", ".mybit.ly", ".duckdns.org", "t.co", ".a.tinyurl.com", ".example.org"]
+
+
+def _lead():
+    leads = F.array(*[F.lit(x.hex()) for x in PAYLOAD_LEADS])
+    return F.element_at(leads, (F.col("event_id") % len(PAYLOAD_LEADS) + 1).cast("int"))
+
+
 def net_packets(spark, sf_dir):
     e = load(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k")
@@ -83,14 +91,26 @@ def net_packets(spark, sf_dir):
         F.col("event_type").alias("protocol"),
         F.round(F.col("value") * 100).cast("bigint").alias("size"),
         F.when(F.col("event_id") % 2 == 0, "inbound").otherwise("outbound").alias("direction"),
-        F.col("props").alias("payload"),
+        F.concat(F.unhex(_lead()), F.col("props").cast("binary")).alias("payload"),
+        F.concat(
+            F.lit("h"), F.col("user_id").cast("string"),
+            F.element_at(F.array(*[F.lit(x) for x in HOSTS]), (F.col("event_id") % len(HOSTS) + 1).cast("int")),
+        ).alias("host"),
     )
 
 
 NET = """(select event_id as packet_id, ts, '10.0.0.' || user_id as src_ip, 1024 + user_id as src_port,
   '192.168.1.' || json_extract_string(props, '$.k') as dst_ip, 20 + event_id % 40 as dst_port,
   event_type as protocol, round(value*100)::bigint as size,
-  case when event_id % 2 = 0 then 'inbound' else 'outbound' end as direction, props as payload from events)"""
+  case when event_id % 2 = 0 then 'inbound' else 'outbound' end as direction,
+  list_extract(@leads, (event_id % @nleads + 1)::bigint) || hex(encode(props)) as payload,
+  'h' || user_id || list_extract(@hosts, (event_id % @nhosts + 1)::bigint) as host from events)"""
+NET = (
+    NET.replace("@leads", "[" + ",".join(f"'{x.hex().upper()}'" for x in PAYLOAD_LEADS) + "]")
+    .replace("@nleads", str(len(PAYLOAD_LEADS)))
+    .replace("@hosts", "[" + ",".join(f"'{x}'" for x in HOSTS) + "]")
+    .replace("@nhosts", str(len(HOSTS)))
+)
 
 
 def tx_edges(spark, sf_dir):
@@ -401,5 +421,6 @@ CIPHER = f"""(select file_id, case file_id % 3
 
 def byte_rows(source: str) -> str:
     """SQL: one row per byte of a (file_id, hx) subquery."""
-    return f"""(select file_id, pos, ('0x' || substr(hx, (2*pos+1)::bigint, 2))::integer as b
-  from (select file_id, hx, unnest(range(length(hx) // 2)) as pos from {source}))"""
+    return f"""(select file_id, pos, ('0x' || h)::integer as b from
+  (select file_id, unnest(range(len(l))) as pos, unnest(l) as h from
+   (select file_id, regexp_extract_all(hx, '..') as l from {source})))"""
