@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text", "bytestats", "traffic"]
+MODULES = ["text", "bytestats", "traffic", "carving"]
 
 
 def _modules():
