@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text", "bytestats", "traffic", "carving"]
+MODULES = ["text", "bytestats", "traffic", "carving", "raid"]
 
 
 def _modules():
