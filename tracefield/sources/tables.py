@@ -132,21 +132,44 @@ TX = """(select l_orderkey as tx_id, 'C' || o_custkey as from_addr, 'S' || l_sup
   from lineitem join orders on l_orderkey = o_orderkey)"""
 
 
+def tx_graph(spark, sf_dir):
+    """Payments both ways: customer to supplier, and back for returned lines."""
+    li = load(spark, sf_dir, "lineitem")
+    o = load(spark, sf_dir, "orders")
+    c = F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
+    s = F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
+    legs = F.array(
+        F.struct(c.alias("from_addr"), s.alias("to_addr"), F.col("o_orderdate").alias("ts")),
+        F.when(
+            F.col("l_returnflag") == "R",
+            F.struct(s.alias("from_addr"), c.alias("to_addr"), F.col("l_shipdate").alias("ts")),
+        ),
+    )
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.col("l_orderkey").alias("tx_id"),
+        F.col("l_extendedprice").alias("value"),
+        F.inline(F.filter(legs, lambda x: x.isNotNull())),
+    )
+
+
+GRAPH = """(select l_orderkey as tx_id, l_extendedprice as value, 'C' || o_custkey as from_addr, 'S' || l_suppkey as to_addr, o_orderdate as ts
+  from lineitem join orders on l_orderkey = o_orderkey union all
+  select l_orderkey, l_extendedprice, 'S' || l_suppkey, 'C' || o_custkey, l_shipdate
+  from lineitem join orders on l_orderkey = o_orderkey where l_returnflag = 'R')"""
+
+
 def tx_inputs(spark, sf_dir):
-    """Co-spent inputs: parts of one order line set with full quantity, returned."""
-    return (
-        load(spark, sf_dir, "lineitem")
-        .filter("l_quantity = 50 and l_returnflag = 'R'")
-        .select(
-            F.col("l_orderkey").alias("tx_id"),
-            F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("addr"),
-        )
-        .distinct()
+    """Inputs spent together: the stock addresses (part and supplier) of one order."""
+    li = load(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_orderkey").alias("tx_id"),
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string"), F.lit("."), F.col("l_suppkey").cast("string")).alias("addr"),
+        F.col("l_extendedprice").alias("value"),
+        F.col("l_shipdate").alias("ts"),
     )
 
 
-TX_INPUTS = """(select distinct l_orderkey as tx_id, 'P' || l_partkey as addr from lineitem
-  where l_quantity = 50 and l_returnflag = 'R')"""
+TX_INPUTS = """(select l_orderkey as tx_id, 'P' || l_partkey || '.' || l_suppkey as addr, l_extendedprice as value, l_shipdate as ts from lineitem)"""
 
 
 def intel(spark, sf_dir):
