@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text", "bytestats", "traffic", "carving", "raid", "txgraph"]
+MODULES = ["text", "bytestats", "traffic", "carving", "raid", "txgraph", "strategy"]
 
 
 def _modules():
