@@ -164,7 +164,7 @@ TECHNIQUE_MULTIPLIERS = {
 TOOL_TIME_MULTIPLIERS = {"ffmpeg": 1.0, "untrunc": 1.5, "mp4recover": 2.0}
 TOOL_QUALITY_BONUS = {"untrunc": 0.1, "mp4recover": 0.05, "ffmpeg": 0.0}
 
-LEVEL_RANK = ["TRACE", "DEBUG", "INFO", "WARN", "ERROR", "CRITICAL", "AUDIT", "CUSTODY"]
+LEVEL_RANK = ["TRACE", "DEBUG", "INFO", "WARN", "ERROR", "CRITICAL", "EVIDENCE", "AUDIT"]
 # retention in days by log class
 RETENTION_DAYS = {"error": 365, "audit": 1825, "structured": 90, "main": 30, "performance": 30}
 

@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 from tracefield.session import checkpoint
 
 
+def _grow(seen: DataFrame, new: DataFrame, round_no: int) -> DataFrame:
+    """Add a level; every fourth round the levels are written as one table."""
+    out = seen.unionByName(new)
+    return checkpoint(out) if round_no % 4 == 3 else out
+
+
 def star_edges(members: DataFrame, group: str, node: str) -> DataFrame:
     """Edges (u, v) from every member of a group to the group's least member: n, not n squared."""
     low = members.groupBy(group).agg(F.min(node).alias("v"))
@@ -82,7 +88,7 @@ def trace_flow(edges: DataFrame, source: str, depth: int = 5, ordered_time: bool
         frontier = checkpoint(reached)
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = _grow(seen, frontier, hop)
     return seen.filter("hops > 0").select(
         F.lit(source).alias("source"), F.col("addr").alias("destination"), "hops",
         F.slice("path", F.lit(2), F.size("path") - 2).alias("intermediates"), "total", "arrived",
@@ -95,7 +101,7 @@ def shortest_path(edges: DataFrame, a: str, b: str, max_hops: int = 32) -> DataF
     spark = edges.sparkSession
     seen = spark.createDataFrame([(a, [a])], "addr string, path array<string>")
     frontier, found = seen, None
-    for _ in range(max_hops):
+    for hop in range(max_hops):
         nxt = (
             frontier.select(F.col("addr").alias("from_addr"), "path").join(e, "from_addr")
             .groupBy(F.col("to_addr").alias("addr")).agg(F.min("path").alias("path"))
@@ -109,7 +115,7 @@ def shortest_path(edges: DataFrame, a: str, b: str, max_hops: int = 32) -> DataF
             break
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier.select("addr", "path"))
+        seen = _grow(seen, frontier.select("addr", "path"), hop)
     out = found if found is not None else seen.filter("false")
     return out.select((F.size("path") - 1).alias("hops"), "path")
 
@@ -119,14 +125,14 @@ def closure(links: DataFrame, roots: DataFrame, max_rounds: int = 64) -> DataFra
     step = links.select(F.col("item"), F.col("needs")).distinct()
     seen = checkpoint(roots.select(F.col("item").alias("root"), "item").distinct())
     frontier = seen
-    for _ in range(max_rounds):
+    for n in range(max_rounds):
         frontier = checkpoint(
             frontier.join(step, "item").select("root", F.col("needs").alias("item")).distinct()
             .join(seen, ["root", "item"], "left_anti")
         )
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier)
+        seen = _grow(seen, frontier, n)
     raise RuntimeError("closure did not settle; raise max_rounds")
 
 
@@ -144,7 +150,7 @@ def process_tree(procs: DataFrame, max_rounds: int = 128) -> DataFrame:
         procs.join(alive, "ppid", "left_anti").select("pid", F.lit(0).alias("depth"), F.array("pid").alias("path"))
     )
     out = level
-    for _ in range(max_rounds):
+    for n in range(max_rounds):
         level = checkpoint(
             level.select(F.col("pid").alias("ppid"), "depth", "path")
             .join(procs.select("pid", "ppid"), "ppid")
@@ -152,5 +158,5 @@ def process_tree(procs: DataFrame, max_rounds: int = 128) -> DataFrame:
         )
         if level.isEmpty():
             return out
-        out = out.unionByName(level)
+        out = _grow(out, level, n)
     raise RuntimeError("the tree is deeper than max_rounds")

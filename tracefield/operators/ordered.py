@@ -116,6 +116,18 @@ def running_sum(
     )
 
 
+def running_max(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, out: str
+) -> DataFrame:
+    """Largest ``value`` up to and including each row."""
+    src = df.withColumn(_B, bucket).withColumn(_V, value)
+    inner = Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    edges = src.groupBy(*keys, _B).agg(F.max(_V).alias(_C)).withColumn(_C, F.max(_C).over(before))
+    src = src.withColumn(out, F.max(_V).over(inner))
+    return _join_edges(src, edges, keys).withColumn(out, F.greatest(out, _C)).drop(_B, _V, _C)
+
+
 def dense_index(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, out: str
 ) -> DataFrame:
@@ -156,16 +168,16 @@ def rows_frame_sum(
 
 
 def range_count(
-    df: DataFrame, keys: Sequence[str], seconds: Column, span: int, out: str
+    df: DataFrame, keys: Sequence[str], ticks: Column, span: int, out: str
 ) -> DataFrame:
-    """Rows of the same key in ``[t - span, t]``; ``seconds`` is a numeric time.
+    """Rows of the same key in ``(t - span, t]``; ``ticks`` is an integer time.
 
     Buckets are ``span`` wide, so a frame touches its own and the previous
     bucket only: every row is sent to its bucket and, as halo, to the next.
     """
     own = F.floor(F.col("_t") / span)
-    both = df.withColumn("_t", seconds).withColumn("_blk", F.explode(F.array(own, own + 1)))
-    frame = Window.partitionBy(*keys, "_blk").orderBy("_t").rangeBetween(-span, 0)
+    both = df.withColumn("_t", ticks).withColumn("_blk", F.explode(F.array(own, own + 1)))
+    frame = Window.partitionBy(*keys, "_blk").orderBy("_t").rangeBetween(1 - span, 0)
     return (
         both.withColumn(out, F.count(F.lit(1)).over(frame))
         .filter(F.col("_blk") == own)
