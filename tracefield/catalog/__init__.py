@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text", "bytestats", "traffic", "carving", "raid", "txgraph", "strategy", "jobs", "container", "live"]
+MODULES = ["text", "bytestats", "traffic", "carving", "raid", "txgraph", "strategy", "jobs", "container", "live", "sources"]
 
 
 def _modules():
