@@ -166,7 +166,7 @@ QUERIES["j3_match_moov_mdat"] = j3
 # --- volumes ---------------------------------------------------------------------
 def volumes(spark, d):
     """A 2 KiB volume start per order: NTFS, EXT4 or neither, by key."""
-    o = tb.load(spark, d, "orders")
+    o = tb.spread(tb.load(spark, d, "orders").select("o_orderkey", "o_custkey"))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     spc = F.element_at(F.array(F.lit(1), F.lit(8), F.lit(16)), (k % 3 + 1).cast("int"))
     ntfs = F.concat(F.lit("EB5290"), asc("NTFS    "), le(F.lit(512), 2), le(spc, 1), zeros(0x28 - 0x0E), le(k * 1000 + 7, 8), le(c + 3, 8), le(k + 500000, 8), zeros(8), le(c * 65537 + 1, 4), zeros(2048 - 0x4C))
@@ -188,7 +188,7 @@ ORACLE["f9_ext4_super"] = """select o_orderkey, o_orderkey + 100000 as blocks, 1
 
 def mft_rows(spark, d):
     """A file-table record per file entry: name, size and flags from the entry."""
-    e = tb.fs_entries(spark, d)
+    e = tb.spread(tb.fs_entries(spark, d))
     name = F.concat(F.lit("f"), F.col("inode").cast("string"), F.lit(".dat"))
     n = F.length(name)
     wide = F.hex(F.encode(name, "UTF-16LE"))

@@ -91,7 +91,7 @@ ORACLE["w2_rate_limit"] = """select event_id, user_id, n - 1 as prior, n > 2 as
 
 def progress(spark, d):
     e = tb.load(spark, d, "events").select("event_id", "user_id", "ts", "value")
-    r = jb.recent_rate(e, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), F.col("value"), 10)
+    r = jb.recent_rate(tb.checkpoint(e), ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), F.col("value"), 10)
     r = od.running_sum(r, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), F.col("value"), "done")
     tot = e.groupBy("user_id").agg(F.sum("value").alias("total"), F.min("ts").alias("t0"))
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))

@@ -129,7 +129,7 @@ def w5(spark, d):
         F.count(F.lit(1)).alias("n")
     )
     counters = od.running_sum(per_min, ["protocol"], ["tick"], F.date_trunc("day", "tick"), F.col("n"), "counter")
-    return tr.rate_per_tick(counters.drop("n"), ["protocol"], "tick", "counter", F.date_trunc("day", "tick"))
+    return tr.rate_per_tick(tb.checkpoint(counters.drop("n")), ["protocol"], "tick", "counter", F.date_trunc("day", "tick"))
 
 
 QUERIES["w5_rate_per_tick"] = w5

@@ -78,39 +78,55 @@ def xor_udf(parts: pd.Series) -> pd.Series:
     return parts.map(one)
 
 
+def arrays_type(**fields) -> T.StructType:
+    """One array per field: cheaper to hand over than an array of structs."""
+    return T.StructType([T.StructField(k, T.ArrayType(v)) for k, v in fields.items()])
+
+
+def inline_arrays(df: DataFrame, keep: list[str], packed: Column) -> DataFrame:
+    """Rows of a struct of equally long arrays."""
+    names = packed_names(df, packed)
+    return df.select(*keep, packed.alias("_p")).select(
+        *keep, F.inline(F.arrays_zip(*[F.col(f"_p.{n}") for n in names]))
+    )
+
+
+def packed_names(df: DataFrame, packed: Column) -> list[str]:
+    return df.select(packed.alias("_p")).schema["_p"].dataType.names
+
+
 def ngram_udf(n: int):
-    @F.pandas_udf("array<struct<gram:bigint,n:bigint>>")
-    def grams(data: pd.Series) -> pd.Series:
-        def one(d):
+    @F.pandas_udf(arrays_type(gram=T.LongType(), n=T.LongType()))
+    def grams(data: pd.Series) -> pd.DataFrame:
+        rows = []
+        for d in data:
             a = np.frombuffer(d, np.uint8).astype(np.int64)
-            if len(a) < n:
-                return []
-            code = np.zeros(len(a) - n + 1, np.int64)
+            code = np.zeros(max(len(a) - n + 1, 0), np.int64)
             for i in range(n):
-                code = code * 256 + a[i : len(a) - n + 1 + i]
-            g, c = np.unique(code, return_counts=True)
-            return [{"gram": int(x), "n": int(y)} for x, y in zip(g, c)]
-
-        return data.map(one)
+                code = code * 256 + a[i : i + len(code)]
+            rows.append(np.unique(code, return_counts=True))
+        return pd.DataFrame(rows, columns=["gram", "n"])
 
     return grams
 
 
 
 def strings_udf(min_len: int = 4):
-    @F.pandas_udf("array<struct<offset:bigint,value:string>>")
-    def runs(data: pd.Series) -> pd.Series:
+    @F.pandas_udf(arrays_type(offset=T.LongType(), value=T.StringType()))
+    def runs(data: pd.Series) -> pd.DataFrame:
         find = re.compile(rb"[\x20-\x7e]{%d,}" % min_len).finditer
-        return data.map(
-            lambda d: [{"offset": m.start(), "value": m.group().decode("ascii")} for m in find(d)]
-        )
+        rows = []
+        for d in data:
+            found = list(find(d))
+            rows.append(([m.start() for m in found], [m.group().decode("ascii") for m in found]))
+        return pd.DataFrame(rows, columns=["offset", "value"])
 
     return runs
 
 
 def extract_strings(df: DataFrame, key: str, data: str = "data", min_len: int = 4) -> DataFrame:
     """Runs of printable ASCII, one row each."""
-    return df.select(key, F.inline(strings_udf(min_len)(F.col(data))))
+    return inline_arrays(df, [key], strings_udf(min_len)(F.col(data)))
 
 
 def byte_histogram(df: DataFrame, keys: list[str], data: str = "data") -> DataFrame:
@@ -237,7 +253,7 @@ def section_entropy(df: DataFrame, keys: list[str], sections: int = 10, data: st
 def ngram_counts(df: DataFrame, keys: list[str], n: int, data: str = "data") -> DataFrame:
     """Counts per cell inside the task, then one sum per (keys, gram)."""
     return (
-        df.select(*keys, F.inline(ngram_udf(n)(F.col(data))))
+        inline_arrays(df, keys, ngram_udf(n)(F.col(data)))
         .groupBy(*keys, "gram")
         .agg(F.sum("n").alias("n"))
     )

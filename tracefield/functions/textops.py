@@ -10,6 +10,7 @@ from tracefield.functions import fixed_values as fv
 # white space as a text splitter sees it, ASCII and Unicode
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NON_SPACE = SPACE.replace("[", "[^", 1)
+SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def hits(text: Column, words: list[str]) -> Column:
@@ -54,7 +55,13 @@ def text_type(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+    """Words between white space; every such character is turned into a blank first,
+    since splitting at one plain character needs no regular expression."""
+    return F.filter(F.split(blanks(text), " "), lambda w: w != "")
+
+
+def blanks(text: Column) -> Column:
+    return F.translate(text, SPACE_CHARS, " " * len(SPACE_CHARS))
 
 
 def text_stats(df: DataFrame, text: str = "text") -> DataFrame:
@@ -68,11 +75,10 @@ def text_stats(df: DataFrame, text: str = "text") -> DataFrame:
             "paragraphs",
             F.size(F.filter(F.split(t, "\n\n", -1), lambda p: p.rlike(NON_SPACE))),
         )
-        .withColumn("unique_words", F.size(F.array_distinct(words(F.lower(t)))))
+        .withColumn("unique_words", F.size(F.array_distinct(F.transform("_w", F.lower))))
         .withColumn(
             "avg_word_length",
-            F.when(F.size("_w") > 0, F.aggregate("_w", F.lit(0), lambda a, w: a + F.length(w)) / F.size("_w"))
-            .otherwise(0.0),
+            F.when(F.size("_w") > 0, F.length(F.replace(blanks(t), F.lit(" "), F.lit(""))) / F.size("_w")).otherwise(0.0),
         )
         .drop("_w")
     )
@@ -103,9 +109,14 @@ def spans(text: Column, pattern: str) -> Column:
 
 def entities(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """One row per e-mail, phone number or IPv4-shaped token, with its place."""
+    none = F.expr("cast(array() as array<struct<match:string,start:int,end:int>>)")
+
     def rows(kind, pattern, conf):
+        found = spans(F.col(text), pattern)
+        if kind == "EMAIL":  # the costly pattern runs only where it can match
+            found = F.when(F.contains(text, F.lit("@")), found).otherwise(none)
         return F.transform(
-            spans(F.col(text), pattern),
+            found,
             lambda s: F.struct(
                 F.lit(kind).alias("entity_type"),
                 s["match"].alias("entity"),

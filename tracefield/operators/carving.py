@@ -16,22 +16,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracefield.functions.bytesops import arrays_type, inline_arrays
 from tracefield.operators import ordered as od
 from tracefield.session import checkpoint
 
 MAX_SCAN_PATTERNS = 4096
-HITS = T.ArrayType(T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("pos", T.LongType())]))
+HITS = arrays_type(pid=T.IntegerType(), pos=T.LongType())
 
 
-def find_all(data: bytes, patterns: list[bytes]):
-    """(pattern number, position) of every occurrence, overlaps included.
+def find_all(data: bytes, patterns: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pattern numbers and positions of every occurrence, overlaps included.
 
     A table over byte pairs marks where any pattern can start, so the bytes are
     read once whatever the number of patterns.
     """
-    out = []
-    if not data:
-        return out
     a = np.frombuffer(data, np.uint8)
     pair = a[:-1].astype(np.uint16) << 8 | a[1:] if len(a) > 1 else np.empty(0, np.uint16)
     wanted = np.zeros(65536, bool)
@@ -40,7 +38,8 @@ def find_all(data: bytes, patterns: list[bytes]):
             wanted[p[0] << 8 | p[1]] = True
     cand = np.flatnonzero(wanted[pair])
     code = pair[cand]
-    for pid, p in enumerate(patterns):
+    found = []
+    for p in patterns:
         if len(p) == 1:
             at = np.flatnonzero(a == p[0])
         else:
@@ -48,14 +47,15 @@ def find_all(data: bytes, patterns: list[bytes]):
             at = at[at + len(p) <= len(a)]
             for i in range(2, len(p)):
                 at = at[a[at + i] == p[i]]
-        out.extend((pid, int(x)) for x in at)
-    return out
+        found.append(at)
+    pids = np.repeat(np.arange(len(patterns), dtype=np.int32), [len(x) for x in found])
+    return pids, np.concatenate(found).astype(np.int64)
 
 
 def scan_udf(patterns: list[bytes]):
     @F.pandas_udf(HITS)
-    def scan(data: pd.Series) -> pd.Series:
-        return data.map(lambda d: [{"pid": p, "pos": x} for p, x in find_all(d, patterns)])
+    def scan(data: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([find_all(d, patterns) for d in data], columns=["pid", "pos"])
 
     return scan
 
@@ -64,11 +64,14 @@ def edge_udf(patterns: list[bytes]):
     """Hits that start in the left part and end in the right one."""
 
     @F.pandas_udf(HITS)
-    def scan(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([
-            [{"pid": p, "pos": x} for p, x in find_all(a + b, patterns) if x < len(a) < x + len(patterns[p])]
-            for a, b in zip(left, right)
-        ])
+    def scan(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        size = np.array([len(p) for p in patterns])
+        rows = []
+        for a, b in zip(left, right):
+            pid, pos = find_all(a + b, patterns)
+            over = (pos < len(a)) & (pos + size[pid] > len(a))
+            rows.append((pid[over], pos[over]))
+        return pd.DataFrame(rows, columns=["pid", "pos"])
 
     return scan
 
@@ -105,14 +108,14 @@ def _strips(chunks: DataFrame, reach: int, min_chunk: int) -> DataFrame:
 
 def scan_patterns(chunks: DataFrame, patterns: list[bytes], min_chunk: int = 1) -> DataFrame:
     """Every occurrence of every pattern: (image_id, pid, offset)."""
-    inside = chunks.select("image_id", "base_offset", F.inline(scan_udf(patterns)(F.col("data")))).select(
+    inside = inline_arrays(chunks, ["image_id", "base_offset"], scan_udf(patterns)(F.col("data"))).select(
         "image_id", "pid", (F.col("base_offset") + F.col("pos")).alias("offset")
     )
     reach = max(len(p) for p in patterns) - 1
     if reach == 0:
         return inside
     strips = _strips(chunks, reach, min_chunk)
-    across = strips.select("image_id", "left_offset", F.inline(edge_udf(patterns)(F.col("left"), F.col("right")))).select(
+    across = inline_arrays(strips, ["image_id", "left_offset"], edge_udf(patterns)(F.col("left"), F.col("right"))).select(
         "image_id", "pid", (F.col("left_offset") + F.col("pos")).alias("offset")
     )
     return inside.unionByName(across)
@@ -316,7 +319,8 @@ def fragmented(parts: DataFrame, keys: list[str], max_gap: int, max_fragments: i
     with more than one and at most ``max_fragments`` members."""
     end = F.col("offset") + F.col("size")
     bucket = F.floor(F.col("offset") / span)
-    step = od.lag_value(parts, keys, ["offset"], bucket, end, "_prev")
+    # each ordered step reads its input twice, so chained steps are written out between
+    step = checkpoint(od.lag_value(checkpoint(parts), keys, ["offset"], bucket, end, "_prev"))
     start = (F.col("_prev").isNull() | (F.col("offset") - F.col("_prev") > max_gap)).cast("bigint")
     runs = od.running_sum(step, keys, ["offset"], bucket, start, "_run")
     return (
@@ -338,7 +342,7 @@ def scan_udtf(patterns: list[bytes]):
     @F.udtf(returnType="pid int, offset bigint")
     class Scan:
         def eval(self, data, base_offset):
-            for pid, pos in find_all(bytes(data), patterns):
-                yield pid, base_offset + pos
+            for pid, pos in zip(*find_all(bytes(data), patterns)):
+                yield int(pid), base_offset + int(pos)
 
     return Scan

@@ -161,8 +161,9 @@ def match_moov_mdat(moov: DataFrame, mdat: DataFrame, tolerance: float = 0.2) ->
     u = u.withColumn("_hi", F.when(F.col("kind") == 0, F.col("want") * (1 + tolerance)).otherwise(F.col("want")))
     octave = F.floor(F.log2(F.greatest("_lo", F.lit(1.0))))
     order = ["_lo", "kind", "off"]
-    u = od.running_max(u, ["image_id"], order, octave, F.col("_hi"), "_reach")
-    u = od.lag_value(u, ["image_id"], order, octave, F.col("_reach"), "_prev")
+    # each ordered step reads its input twice, so chained steps are written out between
+    u = checkpoint(od.running_max(checkpoint(u), ["image_id"], order, octave, F.col("_hi"), "_reach"))
+    u = checkpoint(od.lag_value(u, ["image_id"], order, octave, F.col("_reach"), "_prev"))
     cut = (F.col("_prev").isNull() | (F.col("_lo") > F.col("_prev"))).cast("bigint")
     u = od.running_sum(u, ["image_id"], order, octave, cut, "_part")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracefield.operators import ordered as od
+from tracefield.session import checkpoint
 
 
 def read_sectors(images: DataFrame, key: str, sector: int = 512, data: str = "data") -> DataFrame:
@@ -37,7 +38,7 @@ def read_clusters(files: DataFrame, key: str, chain: str, clusters: DataFrame) -
 
 def bad_sector_runs(sectors: DataFrame, span: int = 1 << 20) -> DataFrame:
     """Runs of adjacent bad sectors, their length and the gap to the next run."""
-    runs = od.islands(sectors, [], "sector", F.floor(F.col("sector") / span))
+    runs = checkpoint(od.islands(sectors, [], "sector", F.floor(F.col("sector") / span)))
     nxt = od.carry_next(runs, [], ["run_start"], F.floor(F.col("run_start") / span), F.col("run_start"), "_next")
     return nxt.withColumn("gap_to_next", F.col("_next") - F.col("run_end") - 1).drop("_next")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracefield.functions import fixed_values as fv
 from tracefield.functions.scalars import lookup
 from tracefield.operators import ordered as od
+from tracefield.session import checkpoint
 
 MIB = 1 << 20
 
@@ -242,7 +243,8 @@ def index_repair(index: DataFrame, sizes: DataFrame, order: str, header: Column,
     i = index.join(sizes, "file_id").withColumn("_s", F.when(F.col("size") == 0, MIB).otherwise(F.col("size")).cast("bigint"))
     i = i.withColumn("_a", F.when(F.col("offset") < F.col("file_size"), F.col("offset")))
     bucket = F.floor(F.col(order) / span)
-    summed = od.running_sum(i, ["file_id"], [order], bucket, F.col("_s"), "_sum")
+    # each ordered step reads its input twice, so the first is written out
+    summed = checkpoint(od.running_sum(i, ["file_id"], [order], bucket, F.col("_s"), "_sum"))
     lead = F.coalesce(F.col("_a") - (F.col("_sum") - F.col("_s")), header)
     peak = od.running_max(summed, ["file_id"], [order], bucket, F.greatest(lead, header), "_m")
     start = F.least(F.col("file_size"), F.col("_m") + F.col("_sum") - F.col("_s"))

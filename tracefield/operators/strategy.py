@@ -64,7 +64,7 @@ def similar_scenarios(targets: DataFrame, history: DataFrame, k: int) -> DataFra
         for pdf in batches:
             if not len(pdf):
                 continue
-            h = np.array(pdf["vec"].tolist(), np.float64)
+            h = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
             norms = np.outer(tn, np.linalg.norm(h, axis=1))
             sim = np.divide(t @ h.T, norms, out=np.zeros_like(norms), where=norms > 0).round(9)
             hid = pdf["id"].to_numpy()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefield.operators.ordered import running_sum
+from tracefield.session import checkpoint
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +18,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work on a few-split input every core.
+
+    A small file is one split and would keep one core busy; a scan that already
+    has a split per core (any large input) is returned as it is, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ev_files(spark, sf_dir):
     """Text files: path, extension, content, byte size."""
-    return load(spark, sf_dir, "documents").select(
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).select(
         F.col("doc_id").alias("file_id"),
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang").alias("path"),
         F.col("lang").alias("ext"),
@@ -34,7 +45,7 @@ EV_FILES = """(select doc_id as file_id, source || '/' || doc_id || '.' || lang
 
 def ev_bytes(spark, sf_dir):
     """The same files as bytes."""
-    return load(spark, sf_dir, "documents").select(
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select(
         F.col("doc_id").alias("file_id"),
         F.col("lang").alias("ext"),
         F.col("text").cast("binary").alias("data"),
@@ -46,13 +57,16 @@ EV_BYTES = """(select doc_id as file_id, lang as ext, hex(encode(text)) as hx, s
 
 def ev_image(spark, sf_dir):
     """Pages in id order as one byte image: (image_id, chunk_no, base_offset, data)."""
-    pages = load(spark, sf_dir, "pages").select(
+    stored = load(spark, sf_dir, "pages").select("page_id", "html")
+    pages = spread(stored).select(
         F.lit("pages").alias("image_id"),
         F.col("page_id").alias("chunk_no"),
         F.col("html").cast("binary").alias("data"),
     )
     # offsets come from lengths only; the bytes themselves never enter a sort
-    sizes = pages.select("image_id", "chunk_no", F.octet_length("data").cast("bigint").alias("n"))
+    sizes = stored.select(
+        F.lit("pages").alias("image_id"), F.col("page_id").alias("chunk_no"), F.octet_length("html").cast("bigint").alias("n")
+    )
     offsets = running_sum(
         sizes, ["image_id"], ["chunk_no"], F.floor(F.col("chunk_no") / 4096), F.col("n"),
         "base_offset", include_current=False,
@@ -336,7 +350,8 @@ def index_rows(spark, sf_dir):
         F.trunc("l_shipdate", "year"), F.col("size"), "offset",
     )
     bent = F.when(F.col("l_orderkey") % 50 == 0, F.col("offset") - 60).otherwise(F.col("offset"))
-    return summed.select("file_id", "size", bent.alias("offset"), F.col("offset").alias("slot"))
+    # written once: the users of this table walk it several times
+    return checkpoint(summed.select("file_id", "size", bent.alias("offset"), F.col("offset").alias("slot")))
 
 
 INDEX = """(select file_id, size, case when ok % 50 = 0 then slot - 60 else slot end as "offset", slot from
