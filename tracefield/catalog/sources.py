@@ -6,13 +6,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tracefield.catalog.bytestats import HIST
+from tracefield.catalog.bytestats import HIST, validated
 from tracefield.catalog.carving import CARVED, PAGE_SIGNATURES
-from tracefield.catalog.strategy import outcomes, vecs
+from tracefield.catalog.carving import ORACLE as CARVING_ORACLE
+from tracefield.catalog.strategy import OUT, SCEN, outcomes, vecs
 from tracefield.functions import bytesops as by
 from tracefield.operators import carving as cv
 from tracefield.operators import dedup as dd
 from tracefield.operators import learning as ln
+from tracefield.operators import ordered as od
+from tracefield.operators import reports as rp
 from tracefield.session import work_dir
 from tracefield.sources import image as im
 from tracefield.sources import records as rc
@@ -105,6 +108,76 @@ QUERIES["x1_custom_validator"] = x1
 ORACLE["x1_custom_validator"] = CARVED + "select name, start_offset, case when name = 'HTML Page' then is_complete end as valid from carved where name in ('HTML Page', 'Title')"
 
 
+def part_signatures(spark, d):
+    """A signature per part type, read back from the rule file it was written to."""
+    kinds = tb.load(spark, d, "part").select("p_type").distinct()
+    h = F.hex("p_type")
+    rows = kinds.select(
+        F.col("p_type").alias("name"), F.concat(F.lit("."), F.lower("p_type")).alias("extension"), F.unhex(h).alias("header"),
+        F.when(F.length("p_type") % 2 == 0, F.unhex(F.substring(h, -4, 4))).alias("footer"), (F.length("p_type") * 1000).cast("bigint").alias("max_size"),
+        F.length("p_type").cast("bigint").alias("footer_search_offset"))
+    path = fresh(spark, "signatures")
+    sg.write_signatures(rows, path)
+    return sg.read_signatures(spark, path).select("name", "extension", F.hex("header").alias("header"), F.hex("footer").alias("footer"), "max_size", "footer_search_offset")
+
+
+PART_SIG = """select p_type as name, '.' || lower(p_type) as extension, hex(encode(p_type)) as header, case when length(p_type) % 2 = 0 then right(hex(encode(p_type)), 4) end as footer,
+ length(p_type)*1000 as max_size, length(p_type) as footer_search_offset from (select distinct p_type from part)"""
+QUERIES["s1_read_signatures"] = part_signatures
+ORACLE["s1_read_signatures"] = PART_SIG
+QUERIES["s3_write_signatures"] = lambda spark, d: part_signatures(spark, d).groupBy("max_size").agg(F.count(F.lit(1)).alias("signatures"))
+ORACLE["s3_write_signatures"] = f"select max_size, count(*) as signatures from ({PART_SIG}) group by 1"
+def typed_image(spark, d):
+    """The typed files one after another as one image."""
+    f = tb.typed_files(spark, d).select(F.lit("typed").alias("image_id"), F.col("file_id").alias("chunk_no"), "data").filter(F.octet_length("data") > 0)
+    n = f.select("image_id", "chunk_no", F.octet_length("data").cast("bigint").alias("n"))
+    at = od.running_sum(n, ["image_id"], ["chunk_no"], F.floor(F.col("chunk_no") / 512), F.col("n"), "base_offset", include_current=False)
+    at = od.dense_index(tb.checkpoint(at.drop("n")), ["image_id"], ["chunk_no"], F.floor(F.col("chunk_no") / 512), "dense")
+    return f.join(at, ["image_id", "chunk_no"]).select("image_id", F.col("dense").alias("chunk_no"), "base_offset", "data")
+
+
+# the built-in list over all of it
+QUERIES["s2_default_signatures"] = lambda spark, d: cv.match_signatures(typed_image(spark, d), sg.default_signatures(spark)).select("name", "offset")
+_default = "(values " + ", ".join(f"('{n}', '{h}')" for n, _, h, *_ in sg.DEFAULT_SIGNATURES) + ") s(name, header)"
+ORACLE["s2_default_signatures"] = f"""select name, pos as "offset" from (select pos, array_to_string([h, {', '.join(f'lead(h,{i}) over w' for i in range(1, 17))}], '') as bytes from
+  (select base + i as pos, h from (select base, unnest(range(len(l))) as i, unnest(l) as h from
+    (select coalesce(sum(length(hx)//2) over (order by file_id rows between unbounded preceding and 1 preceding), 0)::bigint as base, regexp_extract_all(hx, '..') as l from {tb.TYPED}))) window w as (order by pos))
+ join {_default} on starts_with(bytes, header)"""
+
+
+def s10(spark, d):
+    path = fresh(spark, "history")
+    v = vecs(spark, d).select("scenario_id", "file_size_mb", "container_format", "corruption_severity", "header_corruption", "corruption_patterns")
+    o = outcomes(spark, d).select("scenario_id", "success", "tools_used", F.col("quality").alias("actual_quality_score"))
+    rc.write_history(v, o, path)
+    s, r = rc.read_history(spark, path, per_line=True)
+    return s.join(r, "scenario_id").select(F.col("scenario_id").cast("bigint").alias("scenario_id"), "container_format", "header_corruption", "success", F.array_join("tools_used", ",").alias("tools"))
+
+
+QUERIES["s10_read_history"] = s10
+ORACLE["s10_read_history"] = f"select s.scenario_id, container_format, header_corruption, success, array_to_string(tools_used, ',') as tools from {SCEN} s join {OUT} o on o.scenario_id = s.scenario_id"
+
+
+def s14(spark, d):
+    path = fresh(spark, "report")
+    rp.write_report(validated(spark, d), "file_id", path)
+    return spark.read.schema("file_type string, files bigint").json(f"{path}/types")
+
+
+QUERIES["s14_write_report"] = s14
+ORACLE["s14_write_report"] = CARVING_ORACLE["a3_type_breakdown"]
+
+
+def s15(spark, d):
+    path = fresh(spark, "export") + ".csv"
+    rp.export_results(tb.net_packets(spark, d).select("packet_id", "src_ip", "dst_ip", "size"), path)
+    return spark.read.option("header", True).schema("packet_id bigint, src_ip string, dst_ip string, size bigint").csv(path)
+
+
+QUERIES["s15_export_results"] = s15
+ORACLE["s15_export_results"] = f"select packet_id, src_ip, dst_ip, size from {tb.NET}"
+
+
 # --- alike files -------------------------------------------------------------------
 QUERIES["j10_exact_duplicates"] = lambda spark, d: dd.exact_duplicates(tb.ev_files(spark, d), "file_id", "text")
 ORACLE["j10_exact_duplicates"] = f"""select file_id, digest, keeper, copies from (select file_id, sha256(text) as digest, min(file_id) over (partition by text) as keeper, count(*) over (partition by text) as copies from {tb.EV_FILES}) where copies > 1"""

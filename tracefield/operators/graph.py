@@ -14,9 +14,9 @@ from tracefield.session import checkpoint
 
 
 def _grow(seen: DataFrame, new: DataFrame, round_no: int) -> DataFrame:
-    """Add a level; every fourth round the levels are written as one table."""
+    """Add a level; every third round the levels are written as one table."""
     out = seen.unionByName(new)
-    return checkpoint(out) if round_no % 4 == 3 else out
+    return checkpoint(out) if round_no % 3 == 2 else out
 
 
 def star_edges(members: DataFrame, group: str, node: str) -> DataFrame:

@@ -27,13 +27,18 @@ def read_sectors(images: DataFrame, key: str, sector: int = 512, data: str = "da
     )
 
 
+def cluster_pieces(files: DataFrame, key: str, chain: str, clusters: DataFrame) -> DataFrame:
+    """(key, i, cluster_no, data): the listed clusters, numbered in list order; any file size."""
+    return files.select(key, F.posexplode(chain).alias("_i", "cluster_no")).join(clusters, "cluster_no")
+
+
 def read_clusters(files: DataFrame, key: str, chain: str, clusters: DataFrame) -> DataFrame:
-    """Listed clusters joined in list order; ``clusters(cluster_no, data)``."""
-    wanted = files.select(key, F.posexplode(chain).alias("_i", "cluster_no"))
+    """The listed clusters of each file as one cell, for files that fit one; ``clusters(cluster_no, data)``."""
+    wanted = cluster_pieces(files, key, chain, clusters)
     joined = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("_i", F.hex("data").alias("h")))), lambda x: x["h"]), ""
     )
-    return wanted.join(clusters, "cluster_no").groupBy(key).agg(F.unhex(joined).alias("content"))
+    return wanted.groupBy(key).agg(F.unhex(joined).alias("content"))
 
 
 def bad_sector_runs(sectors: DataFrame, span: int = 1 << 20) -> DataFrame:

@@ -79,9 +79,9 @@ def operation_durations(log: DataFrame) -> DataFrame:
     return per.groupBy("operation").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_seconds"), F.max(d).alias("max_seconds"))
 
 
-def custody_chain(log: DataFrame) -> DataFrame:
+def custody_chain(log: DataFrame, bucket: str = "hour") -> DataFrame:
     """log(evidence_id, entry_id, ts, holder, action): previous holder and a hash linking the two."""
-    chained = od.lag_value(log, ["evidence_id"], ["ts", "entry_id"], F.date_trunc("day", "ts"), F.col("holder"), "previous_holder")
+    chained = od.lag_value(log, ["evidence_id"], ["ts", "entry_id"], F.date_trunc(bucket, "ts"), F.col("holder"), "previous_holder")
     link = F.sha2(F.concat_ws("|", "evidence_id", F.col("entry_id").cast("string"), F.coalesce("previous_holder", F.lit("-")), "holder", "action"), 256)
     return chained.withColumn("link_hash", link)
 

@@ -68,13 +68,13 @@ def flows(packets: DataFrame) -> DataFrame:
     )
 
 
-def flow_segments(packets: DataFrame, per_segment: int = 1024) -> DataFrame:
+def flow_segments(packets: DataFrame, per_segment: int = 1024, bucket: str = "hour") -> DataFrame:
     """Payload in time order, cut into numbered segments of ``per_segment`` packets.
 
     The whole stream of a flow is its segments in order; no cell holds an
     unbounded flow.
     """
-    numbered = od.dense_index(packets, FLOW, ["ts", "packet_id"], F.date_trunc("day", "ts"), "_i")
+    numbered = od.dense_index(packets, FLOW, ["ts", "packet_id"], F.date_trunc(bucket, "ts"), "_i")
     return (
         numbered.withColumn("segment", F.floor(F.col("_i") / per_segment))
         .groupBy(*FLOW, "segment")
