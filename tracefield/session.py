@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,30 +29,34 @@ def local_session(app: str = "tracefield", cpus: str = "8", shuffle: str = "8")
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
+_local_folders: dict[str, str] = {}
+
+
+def work_dir(spark: SparkSession) -> str:
+    """Shared folder for intermediate tables and stream state: ``spark.checkpoint.dir``.
 
     Only a local session may fall back to a folder of its own; on a cluster an
     unset folder is an error, since a machine-local one would not survive the
     loss of an executor.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-def work_dir(spark: SparkSession) -> str:
-    """Folder for written intermediate tables: the one the cluster names, or a local one in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if sc.applicationId not in _local_folders:
+        _local_folders[sc.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local_folders[sc.applicationId]
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage: write the rows as a table in the shared folder and read it back.
+
+    Against ``DataFrame.checkpoint`` this computes the rows once instead of
+    twice, gives the optimizer true sizes and pruned columns, and carries no
+    inferred constraints along, which in a loop would double with every round.
+    """
+    path = f"{work_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
