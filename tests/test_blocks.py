@@ -156,8 +156,7 @@ def test_atom_scan_against_brute_force(spark, chunk):
     d = b"".join(rng.choice([atom(b"mdat", b"x" * rng.randrange(40)), atom(b"moov", atom(b"mdat", b"y" * 9)), b"mdat", b"\0\0\0\x14mdat", rng.randbytes(11), struct.pack(">I", 60) + b"moov"]) for _ in range(120))
     rows = [("i", k, k * chunk, bytearray(d[k * chunk : (k + 1) * chunk])) for k in range(-(-len(d) // chunk))]
     chunks = spark.createDataFrame(rows, "image_id string, chunk_no bigint, base_offset bigint, data binary")
-    sizes = spark.createDataFrame([("i", len(d))], "image_id string, image_size bigint")
-    got = ct.atom_scan(chunks, ["moov", "mdat"], sizes, span=256).collect()
+    got = ct.atom_scan(chunks, ["moov", "mdat"], span=256).collect()
     for t in ("moov", "mdat"):
         assert sorted((r.offset, r.size) for r in got if r.atom_type == t) == scan_brute(d, t.encode())
 

@@ -9,6 +9,7 @@ from tracefield.operators import carving as cv
 from tracefield.operators import imaging as im
 from tracefield.operators import reports as rp
 from tracefield.sources import signatures as sg
+from tracefield.session import small_table
 from tracefield.sources import tables as tb
 
 QUERIES, ORACLE = {}, {}
@@ -74,7 +75,7 @@ def x4(spark, d):
     scan = cv.scan_udtf([bytes.fromhex(PAGE_SIGNATURES[i][2]) for i, _ in names])
     chunks = tb.ev_image(spark, d)
     rows = chunks.lateralJoin(scan(F.col("data").outer(), F.col("base_offset").outer()))
-    table = spark.createDataFrame([(k, n) for k, (_, n) in enumerate(names)], "pid int, name string")
+    table = small_table(spark, [(k, n) for k, (_, n) in enumerate(names)], "pid int, name string")
     return rows.join(table, "pid").select("image_id", "name", "offset")
 
 

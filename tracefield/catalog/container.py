@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracefield.operators import carving as cv
 from tracefield.operators import container as ct
 from tracefield.operators import fsmeta as fs
 from tracefield.operators import ordered as od
@@ -146,7 +145,7 @@ def movie_image(spark, d):
 
 def r11(spark, d):
     chunks = movie_image(spark, d)
-    return ct.atom_scan(chunks, ["moov", "mdat"], cv.image_sizes(chunks), min_chunk=24, span=1 << 16)
+    return ct.atom_scan(chunks, ["moov", "mdat"], min_chunk=24, span=1 << 16)
 
 
 QUERIES["r11_atom_scan"] = r11

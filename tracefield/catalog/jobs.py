@@ -8,6 +8,7 @@ from tracefield.functions import fixed_values as fv
 from tracefield.operators import graph as gr
 from tracefield.operators import jobs as jb
 from tracefield.operators import ordered as od
+from tracefield.session import small_table
 from tracefield.sources import tables as tb
 
 QUERIES, ORACLE = {}, {}
@@ -180,7 +181,7 @@ FOUND = "(select doc_id as file_id, list_extract(['AES','DES','RSA','ChaCha20','
 
 
 def j18(spark, d):
-    known = spark.createDataFrame([(n, k, s, b, ok) for n, k, s, b, ok in fv.KNOWN_ALGORITHMS], "algorithm string, kind string, key_sizes array<int>, block_size int, is_secure boolean")
+    known = small_table(spark, [(n, k, s, b, ok) for n, k, s, b, ok in fv.KNOWN_ALGORITHMS], "algorithm string, kind string, key_sizes array<int>, block_size int, is_secure boolean")
     return jb.weak_algorithms(found_algorithms(spark, d), known).select("file_id", "algorithm", "kind", "block_size")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracefield.catalog.carving import PAGE_SIGNATURES
 from tracefield.sources import signatures as sg
+from tracefield.session import small_table
 from tracefield.sources import tables as tb
 from tracefield.streaming import live as lv
 
@@ -67,7 +68,7 @@ RULES = [("hot_errors", "error", ">", 10.0, 600), ("low_views", "view", "<=", 60
 
 def t5(spark, d):
     m = events(spark, d).select("ts", F.col("event_type").alias("metric"), F.concat(F.lit("z"), (F.col("user_id") % 10).cast("string")).alias("subject"), "value")
-    rules = spark.createDataFrame(RULES, "rule_id string, metric string, op string, threshold double, duration int")
+    rules = small_table(spark, RULES, "rule_id string, metric string, op string, threshold double, duration int")
     out = read_out(spark, lv.run_available(lv.alert_rules(m, rules)))
     return out.select("rule_id", "subject", "started_us", "fired_us")
 

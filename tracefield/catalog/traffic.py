@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracefield.functions import fixed_values as fv
 from tracefield.operators import ordered as od
 from tracefield.operators import traffic as tr
+from tracefield.session import small_table
 from tracefield.sources import tables as tb
 
 QUERIES, ORACLE = {}, {}
@@ -96,7 +97,7 @@ ORACLE["f28_extractable_flows"] = f"""select packet_id, app_protocol, case when
 
 
 def j12(spark, d):
-    domains = spark.createDataFrame([(x,) for x in fv.SUSPICIOUS_DOMAINS], "domain string")
+    domains = small_table(spark, [(x,) for x in fv.SUSPICIOUS_DOMAINS], "domain string")
     return tr.suspicious_domains(tb.net_packets(spark, d), domains).select("packet_id", "host")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tracefield.functions.bytesops import arrays_type, inline_arrays
 from tracefield.operators import ordered as od
-from tracefield.session import checkpoint
+from tracefield.session import checkpoint, small_table
 
 MAX_SCAN_PATTERNS = 4096
 HITS = arrays_type(pid=T.IntegerType(), pos=T.LongType())
@@ -76,49 +76,53 @@ def edge_udf(patterns: list[bytes]):
     return scan
 
 
-def _strips(chunks: DataFrame, reach: int, min_chunk: int) -> DataFrame:
-    """(image_id, edge, left, right): the last ``reach`` bytes before each chunk end, the next after."""
+def scan_pass(chunks: DataFrame, packed: Column, reach: int) -> DataFrame:
+    """The one read of the image bytes, written as a small table: per chunk the
+    packed hits, the size, and ``reach`` bytes from each end."""
+    d = F.col("data")
+    size = F.octet_length(d)
+    return checkpoint(chunks.select(
+        "image_id", "chunk_no", "base_offset", size.alias("size"), packed.alias("hits"),
+        F.substring(d, 1, reach).alias("head"),
+        F.substring(d, F.greatest(size - reach + 1, F.lit(1)), F.lit(reach)).alias("tail"),
+    ))
+
+
+def strips(passed: DataFrame, reach: int, min_chunk: int) -> DataFrame:
+    """(image_id, left_offset, left, right): the bytes before each chunk end and those after it.
+
+    Chunks of at least ``min_chunk`` bytes: as many following heads are joined
+    as it takes to reach ``reach`` bytes.
+    """
     steps = max(1, math.ceil(reach / max(min_chunk, 1)))
-    size = F.octet_length("data")
-    tails = chunks.select(
+    left = passed.select(
         "image_id", "chunk_no",
-        (F.col("base_offset") + size - F.least(size, F.lit(reach))).alias("left_offset"),
-        F.substring(F.col("data"), F.greatest(size - reach + 1, F.lit(1)), F.lit(reach)).alias("left"),
+        (F.col("base_offset") + F.col("size") - F.octet_length("tail")).alias("left_offset"), F.col("tail").alias("left"),
     )
-    heads = chunks.select(
-        "image_id",
-        F.col("chunk_no").alias("_from"),
-        F.substring("data", 1, reach).alias("_head"),
-    ).select(
-        "image_id",
-        F.posexplode(F.sequence(F.lit(1), F.lit(steps))).alias("_", "step"),
-        "_from", "_head",
-    ).select("image_id", (F.col("_from") - F.col("step")).alias("chunk_no"), "step", "_head")
+    heads = passed.select(
+        "image_id", "chunk_no", "head", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")
+    ).select("image_id", (F.col("chunk_no") - F.col("step")).alias("chunk_no"), "step", "head")
     # at most ``steps`` short heads per chunk
-    right = heads.groupBy("image_id", "chunk_no").agg(
-        F.unhex(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("step", F.hex("_head").alias("h")))), lambda x: x["h"]),
-                "",
-            )
-        ).alias("right")
-    )
-    return tails.join(right, ["image_id", "chunk_no"]).withColumn("right", F.substring("right", 1, reach))
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("step", F.hex("head").alias("h")))), lambda x: x["h"])
+    right = heads.groupBy("image_id", "chunk_no").agg(F.unhex(F.array_join(joined, "")).alias("right"))
+    return left.join(right, ["image_id", "chunk_no"]).select("image_id", "left_offset", "left", F.substring("right", 1, reach).alias("right"))
+
+
+def scan_images(chunks: DataFrame, patterns: list[bytes], min_chunk: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Every occurrence of every pattern (image_id, pid, offset), and (image_id, image_size)."""
+    reach = max(max(len(p) for p in patterns) - 1, 1)
+    passed = scan_pass(chunks, scan_udf(patterns)(F.col("data")), reach)
+    inside = passed.select(
+        "image_id", "base_offset", F.inline(F.arrays_zip("hits.pid", "hits.pos"))
+    ).select("image_id", "pid", (F.col("base_offset") + F.col("pos")).alias("offset"))
+    edge = inline_arrays(strips(passed, reach, min_chunk), ["image_id", "left_offset"], edge_udf(patterns)(F.col("left"), F.col("right")))
+    across = edge.select("image_id", "pid", (F.col("left_offset") + F.col("pos")).alias("offset"))
+    sizes = passed.groupBy("image_id").agg(F.max(F.col("base_offset") + F.col("size")).alias("image_size"))
+    return inside.unionByName(across), sizes
 
 
 def scan_patterns(chunks: DataFrame, patterns: list[bytes], min_chunk: int = 1) -> DataFrame:
-    """Every occurrence of every pattern: (image_id, pid, offset)."""
-    inside = inline_arrays(chunks, ["image_id", "base_offset"], scan_udf(patterns)(F.col("data"))).select(
-        "image_id", "pid", (F.col("base_offset") + F.col("pos")).alias("offset")
-    )
-    reach = max(len(p) for p in patterns) - 1
-    if reach == 0:
-        return inside
-    strips = _strips(chunks, reach, min_chunk)
-    across = inline_arrays(strips, ["image_id", "left_offset"], edge_udf(patterns)(F.col("left"), F.col("right"))).select(
-        "image_id", "pid", (F.col("left_offset") + F.col("pos")).alias("offset")
-    )
-    return inside.unionByName(across)
+    return scan_images(chunks, patterns, min_chunk)[0]
 
 
 def match_signatures(chunks: DataFrame, signatures: DataFrame, min_chunk: int = 1) -> DataFrame:
@@ -135,8 +139,8 @@ def match_signatures(chunks: DataFrame, signatures: DataFrame, min_chunk: int =
     if not patterns:
         return chunks.select("image_id", F.lit("").alias("name"), "base_offset", F.lit(0).alias("header_len")).filter("false").withColumnRenamed("base_offset", "offset")
     number = {p: i for i, p in enumerate(patterns)}
-    names = chunks.sparkSession.createDataFrame(
-        [(number[bytes(r.header)], r.name, len(r.header)) for r in rows], "pid int, name string, header_len int"
+    names = small_table(
+        chunks.sparkSession, [(number[bytes(r.header)], r.name, len(r.header)) for r in rows], "pid int, name string, header_len int"
     )
     return scan_patterns(chunks, patterns, min_chunk).join(names, "pid").select("image_id", "name", "offset", "header_len")
 
@@ -221,7 +225,7 @@ def carve(
 ) -> DataFrame:
     """Ranges carved from the images, one row each.
 
-    Headers and footers come from one scan of the bytes, written once.
+    Headers, footers and image sizes all come from one scan of the bytes.
     """
     spark = chunks.sparkSession
     rows = signatures.limit(MAX_SCAN_PATTERNS + 1).collect()
@@ -229,21 +233,21 @@ def carve(
         raise ValueError(f"carve takes at most {MAX_SCAN_PATTERNS} signatures at a time; split the list")
     patterns = sorted({bytes(r.header) for r in rows} | {bytes(r.footer) for r in rows if r.footer})
     number = {p: i for i, p in enumerate(patterns)}
-    hits = checkpoint(scan_patterns(chunks, patterns, min_chunk))
-    head_roles = spark.createDataFrame(
+    hits, sizes = scan_images(chunks, patterns, min_chunk)
+    hits = checkpoint(hits)
+    head_roles = small_table(
+        spark,
         [(number[bytes(r.header)], r.name, len(r.header), r.max_size, r.footer_search_offset, len(r.footer or b"")) for r in rows],
         "pid int, name string, header_len int, max_size bigint, footer_search_offset bigint, footer_len int",
     )
-    foot_roles = spark.createDataFrame(
-        [(number[bytes(r.footer)], r.name) for r in rows if r.footer], "pid int, name string"
-    )
+    foot_roles = small_table(spark, [(number[bytes(r.footer)], r.name) for r in rows if r.footer], "pid int, name string")
     headers = hits.join(head_roles, "pid").drop("pid")
     if dedup:
         keep = dedup_offsets(headers).select("image_id", "offset", "name")
         headers = headers.join(keep, ["image_id", "offset", "name"], "left_semi")
     footers = hits.join(foot_roles, "pid").drop("pid")
     paired = pair_footers(headers, footers, mode, span)
-    return cut_ranges(paired, image_sizes(chunks))
+    return cut_ranges(paired, sizes)
 
 
 def overlapping_pieces(ranges: DataFrame, chunks: DataFrame, span: int = 1 << 20) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracefield.operators import ordered as od
-from tracefield.operators.carving import _strips
+from tracefield.operators.carving import scan_pass, strips
 from tracefield.session import checkpoint
 
 # fixed values
@@ -70,8 +70,9 @@ def _tag_hits(d: bytes, tags: list[bytes], lo: int, hi: int):
     return out
 
 
-def atom_candidates(chunks: DataFrame, types: list[str], min_chunk: int = 1) -> DataFrame:
-    """(image_id, atom_type, offset, size) of every tag and the size field before it, edges included."""
+def atom_candidates(chunks: DataFrame, types: list[str], min_chunk: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(image_id, atom_type, offset, size) of every tag and the size field before it, edges
+    included; and the image sizes. The bytes are read once."""
     tags = [t.encode() for t in types]
 
     @F.pandas_udf(_TAGS)
@@ -84,13 +85,15 @@ def atom_candidates(chunks: DataFrame, types: list[str], min_chunk: int = 1) ->
             [h for h in _tag_hits(a + b, tags, 0, len(a)) if h["pos"] + 8 > len(a)] for a, b in zip(left, right)
         ])
 
-    a = chunks.select("image_id", F.col("base_offset").alias("_b"), F.inline(inside(F.col("data"))))
-    s = _strips(chunks, 7, min_chunk)
+    passed = scan_pass(chunks, inside(F.col("data")), 7)
+    a = passed.select("image_id", F.col("base_offset").alias("_b"), F.inline("hits"))
+    s = strips(passed, 7, min_chunk)
     b = s.select("image_id", F.col("left_offset").alias("_b"), F.inline(across(F.col("left"), F.col("right"))))
-    return a.unionByName(b).select("image_id", "atom_type", (F.col("_b") + F.col("pos")).alias("offset"), "size")
+    sizes = passed.groupBy("image_id").agg(F.max(F.col("base_offset") + F.col("size")).alias("image_size"))
+    return a.unionByName(b).select("image_id", "atom_type", (F.col("_b") + F.col("pos")).alias("offset"), F.col("size")), sizes
 
 
-def atom_scan(chunks: DataFrame, types: list[str], image_sizes: DataFrame, min_chunk: int = 1, span: int = 1 << 26) -> DataFrame:
+def atom_scan(chunks: DataFrame, types: list[str], min_chunk: int = 1, span: int = 1 << 26) -> DataFrame:
     """Accepted atoms per type: size from 8 to what is left, the search going on
     behind an accepted atom.
 
@@ -98,7 +101,8 @@ def atom_scan(chunks: DataFrame, types: list[str], image_sizes: DataFrame, min_c
     behind its end); the chain is followed by doubling, in log(n) joins.
     """
     keys = ["image_id", "atom_type"]
-    c = atom_candidates(chunks, types, min_chunk).join(image_sizes, "image_id")
+    c, sizes = atom_candidates(chunks, types, min_chunk)
+    c = c.join(sizes, "image_id")
     c = c.filter((F.col("size") >= 8) & (F.col("size") <= F.col("image_size") - F.col("offset")) & (F.col("offset") + 4 < F.col("image_size") - 8))
     c = checkpoint(c.select(*keys, "offset", "size", (F.col("offset") + 4).alias("tag"), (F.col("offset") + F.col("size")).alias("_end")))
     nxt = od.next_at_or_after(c, c.select(*keys, F.col("tag").alias("_t")), keys, "_end", "_t", span, "nxt")

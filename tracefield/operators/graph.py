@@ -69,10 +69,10 @@ def trace_flow(edges: DataFrame, source: str, depth: int = 5, ordered_time: bool
     With ``ordered_time`` money moves on only at or after it arrived.
     """
     e = edges.select("from_addr", "to_addr", "value", "ts")
-    spark = edges.sparkSession
     ts_type = edges.schema["ts"].dataType
-    seen = spark.createDataFrame([(source, 0, [source])], "addr string, hops int, path array<string>").select(
-        "*", F.lit(0.0).alias("total"), F.lit(None).cast(ts_type).alias("arrived")
+    seen = edges.sparkSession.range(1).select(
+        F.lit(source).alias("addr"), F.lit(0).alias("hops"), F.array(F.lit(source)).alias("path"),
+        F.lit(0.0).alias("total"), F.lit(None).cast(ts_type).alias("arrived"),
     )
     frontier = seen
     for hop in range(1, depth + 1):
@@ -98,8 +98,7 @@ def trace_flow(edges: DataFrame, source: str, depth: int = 5, ordered_time: bool
 def shortest_path(edges: DataFrame, a: str, b: str, max_hops: int = 32) -> DataFrame:
     """Fewest hops from ``a`` to ``b`` with the least such path; no row if there is none."""
     e = edges.select("from_addr", "to_addr").distinct()
-    spark = edges.sparkSession
-    seen = spark.createDataFrame([(a, [a])], "addr string, path array<string>")
+    seen = edges.sparkSession.range(1).select(F.lit(a).alias("addr"), F.array(F.lit(a)).alias("path"))
     frontier, found = seen, None
     for hop in range(max_hops):
         nxt = (

@@ -7,6 +7,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MAX_SMALL_ROWS = 10_000
 
 
 def local_session(app: str = "tracefield", cpus: str = "8", shuffle: str = "8") -> SparkSession:
@@ -29,6 +32,17 @@ def local_session(app: str = "tracefield", cpus: str = "8", shuffle: str = "8")
     return spark
 
 
+def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A rule list made on the driver, broadcast because its row count is checked here.
+
+    Without the hint the optimizer takes such a table for huge and would rather
+    ship, or shuffle on a handful of rule keys, the data joined to it.
+    """
+    if len(rows) > MAX_SMALL_ROWS:
+        raise ValueError(f"{len(rows)} rows are too many for a broadcast list; pass them as a stored table")
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
 _local_folders: dict[str, str] = {}
 
 
