@@ -200,6 +200,7 @@ def mft_rows(spark, d):
     return e.select(F.lit("vol").alias("image_id"), F.col("inode").alias("record_no"), F.unhex(F.rpad(body, 2048, "0")).alias("record"))
 
 
-QUERIES["f10_mft_scan"] = lambda spark, d: fs.mft_scan(mft_rows(spark, d), "image_id")
+# the composed table is stored first, as a real image would be
+QUERIES["f10_mft_scan"] = lambda spark, d: fs.mft_scan(tb.checkpoint(mft_rows(spark, d)), "image_id")
 ORACLE["f10_mft_scan"] = f"""select 'vol' as image_id, inode, name, '/MFT_' || inode || '/' || name as path, floor(size)::bigint as size, inode % 10 = 0 as is_directory, is_deleted
  from (select *, case when inode % 9 = 0 then 'MFT_Record_' || inode else 'f' || inode || '.dat' end as name from {tb.FS} where inode % 17 <> 16)"""

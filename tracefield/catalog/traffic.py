@@ -126,7 +126,7 @@ ORACLE["j13_geo_enrich"] = f"""select packet_id, dst_ip, n_name as country, 'isp
 
 
 def w5(spark, d):
-    per_min = tb.net_packets(spark, d).groupBy("protocol", F.date_trunc("hour", "ts").alias("tick")).agg(
+    per_min = tb.net_packets(spark, d).groupBy("protocol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("tick")).agg(
         F.count(F.lit(1)).alias("n")
     )
     counters = od.running_sum(per_min, ["protocol"], ["tick"], F.date_trunc("day", "tick"), F.col("n"), "counter")

@@ -58,16 +58,20 @@ def carry_next(
     out: str,
     include_current: bool = False,
 ) -> DataFrame:
-    """First non-null ``value`` after each row (or from it)."""
+    """First non-null ``value`` after each row (or from it).
+
+    Written as the last one before it in reverse order: a frame that grows is
+    kept up row by row, one that shrinks would be summed anew for every row.
+    """
     src = df.withColumn(_B, bucket).withColumn(_V, value)
-    inner = Window.partitionBy(*keys, _B).orderBy(*order)
-    inner = inner.rowsBetween(0 if include_current else 1, Window.unboundedFollowing)
+    inner = Window.partitionBy(*keys, _B).orderBy(*[F.col(c).desc() for c in order])
+    inner = inner.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     edges = src.groupBy(*keys, _B).agg(
         F.min_by(_V, F.when(F.col(_V).isNotNull(), F.struct(*order))).alias(_C)
     )
-    after = Window.partitionBy(*keys).orderBy(_B).rowsBetween(1, Window.unboundedFollowing)
-    edges = edges.withColumn(_C, F.first(_C, ignorenulls=True).over(after))
-    src = src.withColumn(out, F.first(_V, ignorenulls=True).over(inner))
+    after = Window.partitionBy(*keys).orderBy(F.col(_B).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn(_C, F.last(_C, ignorenulls=True).over(after))
+    src = src.withColumn(out, F.last(_V, ignorenulls=True).over(inner))
     return (
         _join_edges(src, edges, keys)
         .withColumn(out, F.coalesce(out, _C))

@@ -276,7 +276,7 @@ def rank_findings(findings: DataFrame) -> DataFrame:
 
 def hourly_bursts(events: DataFrame, ts: str, n: int = 10) -> DataFrame:
     return (
-        events.groupBy(F.date_trunc("hour", ts).alias("first_seen"))
+        events.groupBy(F.date_trunc("hour", ts).cast(events.schema[ts].dataType).alias("first_seen"))
         .agg(F.count(F.lit(1)).alias("occurrences"))
         .filter(F.col("occurrences") > n)
         .select(
