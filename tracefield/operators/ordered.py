@@ -176,17 +176,26 @@ def range_count(
 ) -> DataFrame:
     """Rows of the same key in ``(t - span, t]``; ``ticks`` is an integer time.
 
-    Buckets are ``span`` wide, so a frame touches its own and the previous
-    bucket only: every row is sent to its bucket and, as halo, to the next.
+    The count up to ``t`` less the count up to ``t - span``: each row asks at
+    both places, and growing counts answer, whatever the number of rows inside
+    the frame.
     """
-    own = F.floor(F.col("_t") / span)
-    both = df.withColumn("_t", ticks).withColumn("_blk", F.explode(F.array(own, own + 1)))
-    frame = Window.partitionBy(*keys, "_blk").orderBy("_t").rangeBetween(1 - span, 0)
-    return (
-        both.withColumn(out, F.count(F.lit(1)).over(frame))
-        .filter(F.col("_blk") == own)
-        .drop("_blk", "_t")
-    )
+    row = F.struct(*[F.col(c) for c in df.columns])
+    ask = df.withColumn("_t", ticks).select(
+        *keys, row.alias("_row"),
+        F.inline(F.array(
+            F.struct(F.col("_t").alias("_pos"), F.lit(1).alias("_one")),
+            F.struct((F.col("_t") - span).alias("_pos"), F.lit(0).alias("_one")),
+        )),
+    ).withColumn(_B, F.floor(F.col("_pos") / span))
+    inner = Window.partitionBy(*keys, _B).orderBy("_pos").rangeBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    edges = ask.groupBy(*keys, _B).agg(F.sum("_one").alias(_C)).withColumn(_C, F.coalesce(F.sum(_C).over(before), F.lit(0)))
+    upto = _join_edges(ask.withColumn(_V, F.sum("_one").over(inner)), edges, keys)
+    at = lambda kind: F.max(F.when(F.col("_one") == kind, F.col(_V) + F.col(_C)))
+    # equal rows share one answer and come out as often as they went in
+    both = upto.groupBy("_row").agg((at(1) - at(0)).alias(out), F.sum("_one").cast("int").alias("_n"))
+    return both.select("_row.*", out, "_n").withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).drop("_n")
 
 
 def islands(
