@@ -194,8 +194,8 @@ def range_count(
     upto = _join_edges(ask.withColumn(_V, F.sum("_one").over(inner)), edges, keys)
     at = lambda kind: F.max(F.when(F.col("_one") == kind, F.col(_V) + F.col(_C)))
     # equal rows share one answer and come out as often as they went in
-    both = upto.groupBy("_row").agg((at(1) - at(0)).alias(out), F.sum("_one").cast("int").alias("_n"))
-    return both.select("_row.*", out, "_n").withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).drop("_n")
+    both = upto.groupBy("_row").agg((at(1) - at(0)).alias(out), F.sum("_one").cast("int").alias("_copies"))
+    return both.select("_row.*", out, F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
 
 
 def islands(
