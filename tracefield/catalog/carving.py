@@ -172,7 +172,6 @@ def j6(spark, d):
 
 
 QUERIES["j6_zero_fill"] = j6
-ORACLE["j6_zero_fill"] = """select r as sector, coalesce(upper(md5(r::varchar)) filter_, repeat('00', 16)) as data from x"""
 ORACLE["j6_zero_fill"] = """with good as (select l_orderkey from lineitem group by 1 having count(*) filter (l_returnflag = 'R') = 0)
 select s as sector, case when g.l_orderkey is not null then upper(md5(s::varchar)) else repeat('00', 16) end as data, g.l_orderkey is not null as readable
 from (select unnest(range((select max(o_orderkey) + 1 from orders))) as s) left join good g on g.l_orderkey = s"""

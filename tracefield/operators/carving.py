@@ -209,12 +209,6 @@ def cut_ranges(paired: DataFrame, image_sizes: DataFrame) -> DataFrame:
     )
 
 
-def image_sizes(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy("image_id").agg(
-        F.max(F.col("base_offset") + F.octet_length("data")).alias("image_size")
-    )
-
-
 def carve(
     chunks: DataFrame,
     signatures: DataFrame,
