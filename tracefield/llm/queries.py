@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracefield.llm import packing, token_files, url_filter
+from tracefield.llm import packing, quality, token_files, toxicity, url_filter
 from tracefield.llm.common import table
 
 # fixed values: the given url rules (host, path, action)
@@ -23,6 +24,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of the labels: 0 low quality, 1 good but toxic, 2 good."""
+    docs = table(spark, sf_dir, "documents")
+    rated = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    model = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", rated.alias("grade")))
+    tails = F.col("tails")
+    return quality.grade_texts(docs, model).select("doc_id", "expected_grade", F.get(tails, 0).alias("p_good"), F.get(tails, 1).alias("p_good_clean"), "selected")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -37,6 +47,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP8_SQL = """
 with parts as (
   select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
@@ -55,8 +69,10 @@ select page_id, host, path, rule, case when rule in ('example.com/en/', 'net/es/
 """
 
 QUERIES = {
+    "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op7_token_files": op7_token_files,
     "op8_url_filter": op8_url_filter,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLE = {"op8_url_filter": OP8_SQL}
