@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefield.llm import packing, quality, token_files, toxicity, url_filter
+from tracefield.llm import language, packing, quality, token_files, toxicity, url_filter
 from tracefield.llm.common import table
 
 # fixed values: the given url rules (host, path, action)
@@ -51,6 +51,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, language.load_pieces(tokenizer_path("piece_bpe_32k.model")))
+    return language.identify(docs, model)
+
+
 OP8_SQL = """
 with parts as (
   select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
@@ -74,5 +80,6 @@ QUERIES = {
     "op7_token_files": op7_token_files,
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
+    "op10_language": op10_language,
 }
 ORACLE = {"op8_url_filter": OP8_SQL}
