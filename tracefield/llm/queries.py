@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefield.llm import language, packing, quality, token_files, toxicity, url_filter
+from tracefield.llm import language, packing, pii, quality, token_files, toxicity, url_filter
 from tracefield.llm.common import table
 
 # fixed values: the given url rules (host, path, action)
@@ -24,6 +24,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.learn(docs))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades of the labels: 0 low quality, 1 good but toxic, 2 good."""
     docs = table(spark, sf_dir, "documents")
@@ -75,6 +80,7 @@ select page_id, host, path, rule, case when rule in ('example.com/en/', 'net/es/
 """
 
 QUERIES = {
+    "op2_pii": op2_pii,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op7_token_files": op7_token_files,
