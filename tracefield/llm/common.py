@@ -97,3 +97,14 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of the runs [start, start + length), one after the other."""
     ends = np.cumsum(lengths)
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as lower-cased words with one blank after each: (bytes, word starts, text offsets)."""
+    _, first, end, doc = words(data, offsets)
+    length = end - first
+    out = np.full(int(length.sum()) + len(first), 32, np.uint8)
+    starts = np.cumsum(length + 1) - (length + 1)
+    out[ragged(starts, length)] = _LOWER[data[ragged(first, length)]]
+    sizes = np.bincount(doc, length + 1, len(offsets) - 1).astype(np.int64)
+    return out, starts, np.concatenate([[0], np.cumsum(sizes)])
