@@ -28,7 +28,7 @@ from tracefield.llm.common import mix, plain_words, ragged, slices, utf8
 
 #: edits allowed, as a share of the item's characters
 EDITS = 0.12
-STEPS, WALKS, TABLES, SAMPLED = 64, 2, 4, 16
+STEPS, WALKS, TABLES, SAMPLED = 64, 2, 3, 14
 #: the same for items of less than 48 characters, whose walks end sooner
 SHORT, SHORT_STEPS, SHORT_SAMPLED = 48, 16, 6
 #: items that one scan of the documents looks for; more take more scans
@@ -57,19 +57,18 @@ def embed(data: np.ndarray, starts: np.ndarray, tables: list) -> Iterator[tuple[
     for walk in sorted({w for w, _ in tables}):
         own = [(t, set(steps.tolist())) for t, (w, steps) in enumerate(tables) if w == walk]
         h = {t: np.full(len(starts), t + 1, np.uint64) for t, _ in own}
-        at = starts.astype(np.int32)
+        at = starts.astype(np.int64)
         last = max(max(s) for _, s in own)
-        done = {max(s): t for t, s in own}
         ends: dict[int, np.ndarray] = {}
         for j in range(last + 1):
             read = data.take(at)
             for t, steps in own:
                 if j in steps:
-                    h[t] = h[t] * np.uint64(0x100000001B3) + read
+                    h[t] *= np.uint64(0x100000001B3)
+                    h[t] += read
                     if j == max(steps):
                         ends[t] = at.copy()
             at += bits[walk, j].take(read)
-        del done
         for t, _ in own:
             yield t, mix(h[t]), ends[t]
 
