@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefield.llm import language, packing, pii, quality, token_files, toxicity, url_filter
+from tracefield.llm import decontaminate, language, minhash, packing, pii, quality, token_files, toxicity, url_filter
 from tracefield.llm.common import table
 
 # fixed values: the given url rules (host, path, action)
@@ -29,6 +29,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(docs, pii.learn(docs))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades of the labels: 0 low quality, 1 good but toxic, 2 good."""
     docs = table(spark, sf_dir, "documents")
@@ -81,6 +89,8 @@ select page_id, host, path, rule, case when rule in ('example.com/en/', 'net/es/
 
 QUERIES = {
     "op2_pii": op2_pii,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_minhash": op4_minhash,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op7_token_files": op7_token_files,
