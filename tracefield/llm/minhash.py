@@ -78,7 +78,7 @@ def sketch(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) ->
     turn = 0
     while len(at):
         turn += 1
-        r = mix(seed[at] + np.uint64(turn) * _ODD)
+        r = mix(seed[at] + np.array([turn], np.uint64) * _ODD)
         u = ((r >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
         arrival = arrival - np.log(u) / weight[at]
         open_ = arrival < late[doc[at]]
@@ -244,9 +244,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id, kept, n_copies.
 
     Classes are the components of links. ``class_id`` is the least doc_id of the
-    class and ``kept`` marks one row of it: that doc_id's (of repeated rows, the
-    one marked by ``pick_one``). ``n_copies`` counts the rows with the same
-    text. Null texts count as empty; texts without words are alike only if
+    class and ``kept`` marks that document (rows equal in id and text are one
+    document and marked alike). ``n_copies`` counts the rows with the same text. Null texts count as empty; texts without words are alike only if
     equal; null doc_ids come first. Other columns are ignored.
     """
     docs = docs.select("doc_id", "text")

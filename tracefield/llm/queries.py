@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefield.llm import decontaminate, language, minhash, packing, pii, quality, token_files, toxicity, url_filter
+from tracefield.llm import cover_tree, decontaminate, language, minhash, packing, pii, quality, token_files, toxicity, url_filter
 from tracefield.llm.common import table
 
 # fixed values: the given url rules (host, path, action)
@@ -24,6 +24,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.detect(docs, pii.learn(docs))
@@ -88,6 +92,7 @@ select page_id, host, path, rule, case when rule in ('example.com/en/', 'net/es/
 """
 
 QUERIES = {
+    "op1_cover_tree": op1_cover_tree,
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_minhash": op4_minhash,
