@@ -107,10 +107,32 @@ class Tree:
         return {int(k): wanted[v] for k, v in pd.Series(node[wanted]).groupby(node[wanted]).indices.items()}
 
 
-def traverse(a: Tree, b: Tree, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """(links of a's points, links of b's points, edges (point of a, point of b) that connect all that is linked)."""
+class Forest:
+    """Union-find over points; only what connects is kept, however many links there are."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def top(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def join(self, u: list, v: list) -> None:
+        for x, y in zip(u, v, strict=True):
+            x, y = self.top(x), self.top(y)
+            if x != y:
+                self.root[max(x, y)] = min(x, y)
+
+
+def traverse(a: Tree, b: Tree, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray, Forest]:
+    """(links of a's points, links of b's points, forest over a's points and, if they are others, b's after them)."""
     reach = float(np.sqrt(2.0 - 2.0 * cosine))
-    links_a, links_b, edges = np.zeros(len(a.x)), np.zeros(len(b.x)), []
+    links_a, links_b = np.zeros(len(a.x)), np.zeros(len(b.x))
+    shift = 0 if same else len(a.x)
+    linked = Forest(len(a.x) + (0 if same else len(b.x)))
     alive = np.ones((1, 1), bool)
 
     def whole(level: int, pairs: np.ndarray):
@@ -121,12 +143,12 @@ def traverse(a: Tree, b: Tree, same: bool, cosine: float) -> tuple[np.ndarray, n
             p, q = in_a[i], in_b[j]
             if same and i == j:
                 links_a[p] += size_a[i] - a.weight[p]
-                edges.extend((int(p[0]), int(x)) for x in p[1:])
+                linked.join([int(p[0])] * (len(p) - 1), p[1:].tolist())
                 continue
             links_a[p] += size_b[j]
             links_b[q] += size_a[i]
-            edges.extend((int(p[0]), int(x)) for x in q)
-            edges.extend((int(x), int(q[0])) for x in p[1:])
+            linked.join([int(p[0])] * len(q), (q + shift).tolist())
+            linked.join(p[1:].tolist(), [int(q[0]) + shift] * (len(p) - 1))
 
     def single(i: np.ndarray, j: np.ndarray):
         """Points compared one with one."""
@@ -136,7 +158,7 @@ def traverse(a: Tree, b: Tree, same: bool, cosine: float) -> tuple[np.ndarray, n
             p, q = p[hit], q[hit]
             np.add.at(links_a, p, b.weight[q])
             np.add.at(links_b, q, a.weight[p])
-            edges.extend(zip(p.tolist(), q.tolist(), strict=True))
+            linked.join(p.tolist(), (q + shift).tolist())
 
     for level in range(len(a.levels)):
         ca, _, ra, pa_, na = a.levels[level]
@@ -169,10 +191,11 @@ def traverse(a: Tree, b: Tree, same: bool, cosine: float) -> tuple[np.ndarray, n
                 single(i[keep], j[keep])
                 open_ &= ~ones
             ahead[rows] = open_
-        alive = ahead
+        # children need not lie in their parents' order
+        alive = ahead | ahead.T if same else ahead
         if not alive.any():
             break
-    for i, j in np.argwhere(alive).tolist():  # leaves that the bounds leave open
+    for i, j in np.argwhere(np.triu(alive) if same else alive).tolist():  # leaves that the bounds leave open
         p, q = a.order[a.first[i] : a.first[i + 1]], b.order[b.first[j] : b.first[j + 1]]
         for part in np.array_split(p, -(-len(p) // STRIPE)):
             hit = a.x[part] @ b.x[q].T >= cosine
@@ -181,29 +204,10 @@ def traverse(a: Tree, b: Tree, same: bool, cosine: float) -> tuple[np.ndarray, n
             links_a[part] += hit @ b.weight[q]
             links_b[q] += hit.T @ a.weight[part]
             u, v = np.nonzero(hit)
-            edges.extend(forest(part[u].tolist(), q[v].tolist(), len(a.x)))
+            linked.join(part[u].tolist(), (q[v] + shift).tolist())
     if same:
         links_a = links_a + links_b
-    return links_a, links_b, edges
-
-
-def forest(u: list, v: list, shift: int) -> list[tuple[int, int]]:
-    """A part of the edges (u in a, v in b) that connects what all of them connect."""
-    root: dict[int, int] = {}
-
-    def top(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for i, j in zip(u, v, strict=True):
-        x, y = top(i), top(j + shift)
-        if x != y:
-            root[x] = y
-            out.append((i, j))
-    return out
+    return links_a, links_b, linked
 
 
 def points(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -308,24 +312,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
 
         name_a, a = of(i)
         name_b, b = (name_a, a) if i == j else of(j)
-        links_a, links_b, edges = traverse(a, b, i == j, cosine)
-        shift = 0 if i == j else len(name_a)
+        links_a, links_b, linked = traverse(a, b, i == j, cosine)
         names = name_a if i == j else np.concatenate([name_a, name_b])
         links = links_a if i == j else np.concatenate([links_a, links_b])
-        root = list(range(len(names)))
-
-        def top(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for p, q in edges:
-            p, q = top(p), top(q + shift)
-            if p != q:
-                root[max(p, q)] = min(p, q)
         at = np.flatnonzero(links)
-        return pd.DataFrame({"node": names[at], "links": links[at].astype(np.int64), "root": names[[top(x) for x in at.tolist()]]})
+        return pd.DataFrame({"node": names[at], "links": links[at].astype(np.int64), "root": names[[linked.top(x) for x in at.tolist()]]})
 
     found = checkpoint(pairs.groupBy("i", "j").applyInPandas(meet, "node binary, links long, root binary"))
     component = connected_components(found.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
