@@ -1,10 +1,68 @@
-"""Stages that turn ``documents`` into packed training sequences."""
+"""Stages that turn ``documents`` into packed training sequences.
+
+Toxic documents go, one document of each class of near copies stays, documents
+with benchmark passages go, personal data is masked, and the rest is packed
+into sequences. Each stage works on all that its predecessor kept; all but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracefield.llm import decontaminate, minhash, packing, pii, toxicity
+from tracefield.llm.common import table
+from tracefield.llm.queries import tokenizer_path
+from tracefield.session import checkpoint
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score lies below the threshold; the model learns from the labelled ones among them."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).filter("predicted = 0").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, the least doc_id; of rows equal in id and text, one."""
+    key = F.md5(F.concat(F.hex(minhash.node_of()), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary"))
+    classes = minhash.near_duplicates(docs, keep_node=True).filter("kept")
+    kept = classes.select(F.md5(F.concat(F.hex("node"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary")).alias("_key")).distinct()
+    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data masked; ``n_chars`` follows the text."""
+    out = pii.mask(docs, pii.learn(docs))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+    return out.select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences of 1024 tokens."""
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near copies", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("personal data", mask_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: classifiers, sketches and tokenizers are not SQL; tests hold the stages against brute-force versions
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = checkpoint(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -240,8 +240,8 @@ def _pairs_of(forest: bool):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id, kept, n_copies.
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, keep_node: bool = False) -> DataFrame:
+    """One row per document: doc_id, class_id, kept, n_copies and, if asked for, node (md5 of the text).
 
     Classes are the components of links. ``class_id`` is the least doc_id of the
     class and ``kept`` marks that document (rows equal in id and text are one
@@ -282,4 +282,5 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.col("first.doc_id").alias("class_id"),
         (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))).alias("kept"),
         "n_copies",
+        *(["node"] if keep_node else []),
     )
