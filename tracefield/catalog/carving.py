@@ -61,26 +61,29 @@ QUERIES["j1_match_signatures"] = j1
 ORACLE["j1_match_signatures"] = f"""with {HITS_SQL} select 'pages' as image_id, name, "offset", header_len from hits"""
 
 
-def j1_join(spark, d):
-    only = [s for s in PAGE_SIGNATURES if s[0] != "Page seam"]
-    return cv.match_signatures_join(tb.ev_image(spark, d), sg.signatures_of(spark, only))
+def j1_long(spark, d):
+    """A list of thousands of signatures: the page marks and every word of 5 to 9 letters of the documents."""
+    words = tb.load(spark, d, "documents").select(F.explode(F.expr("regexp_extract_all(text, '(?<![A-Za-z])[a-z]{5,9}(?![A-Za-z])', 0)")).alias("w")).distinct()
+    listed = words.select(F.col("w").alias("name"), F.col("w").cast("binary").alias("header"))
+    return cv.match_signatures(tb.ev_image(spark, d), listed.unionByName(sigs(spark).select("name", "header")))
 
 
-QUERIES["j1_match_signatures_join"] = j1_join
-ORACLE["j1_match_signatures_join"] = ORACLE["j1_match_signatures"] + " where name <> 'Page seam'"
+QUERIES["j1_match_signatures_join"] = j1_long
+ORACLE["j1_match_signatures_join"] = f"""with words as (select distinct w from (select unnest(regexp_extract_all(' ' || regexp_replace(text, '[^A-Za-z]', '  ', 'g') || ' ', ' ([a-z]{{5,9}}) ', 1)) as w from
+    (select regexp_replace(text, '([^\x00-\x7f])', ' \1 ', 'g') as text from documents))),
+  listed as (select w as name, hex(encode(w)) as header from words union all select name, header from {SIG_ROWS}),
+  spots as (select pos, n, substr(s, 1, 2 * n) as part from {IMG_BYTES} b, (select distinct length(header) // 2 as n from listed) l where length(s) >= 2 * n)
+  select 'pages' as image_id, name, pos as "offset", n as header_len from spots join listed on part = header"""
 
 
 def x4(spark, d):
-    names = [(i, s[0]) for i, s in enumerate(PAGE_SIGNATURES) if s[0] != "Page seam"]
-    scan = cv.scan_udtf([bytes.fromhex(PAGE_SIGNATURES[i][2]) for i, _ in names])
-    chunks = tb.ev_image(spark, d)
-    rows = chunks.lateralJoin(scan(F.col("data").outer(), F.col("base_offset").outer()))
-    table = small_table(spark, [(k, n) for k, (_, n) in enumerate(names)], "pid int, name string")
+    rows = cv.scan_by_udtf(tb.ev_image(spark, d), [bytes.fromhex(s[2]) for s in PAGE_SIGNATURES])
+    table = small_table(spark, [(k, s[0]) for k, s in enumerate(PAGE_SIGNATURES)], "pid int, name string")
     return rows.join(table, "pid").select("image_id", "name", "offset")
 
 
 QUERIES["x4_scan_udtf"] = x4
-ORACLE["x4_scan_udtf"] = f"""with {HITS_SQL} select 'pages' as image_id, name, "offset" from hits where name <> 'Page seam'"""
+ORACLE["x4_scan_udtf"] = f"""with {HITS_SQL} select 'pages' as image_id, name, "offset" from hits"""
 
 QUERIES["u3_dedup_offsets"] = lambda spark, d: cv.dedup_offsets(j1(spark, d))
 ORACLE["u3_dedup_offsets"] = f"""with {HITS_SQL} select 'pages' as image_id, "offset", name, header_len from

@@ -145,7 +145,7 @@ def movie_image(spark, d):
 
 def r11(spark, d):
     chunks = movie_image(spark, d)
-    return ct.atom_scan(chunks, ["moov", "mdat"], min_chunk=24, span=1 << 16)
+    return ct.atom_scan(chunks, ["moov", "mdat"], span=1 << 16)
 
 
 QUERIES["r11_atom_scan"] = r11

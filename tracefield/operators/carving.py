@@ -8,8 +8,6 @@ sides of the edge, so image bytes are never shuffled or sorted.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,7 +18,8 @@ from tracefield.functions.bytesops import arrays_type, inline_arrays
 from tracefield.operators import ordered as od
 from tracefield.session import checkpoint, small_table
 
-MAX_SCAN_PATTERNS = 4096
+#: patterns that one scan of the bytes looks for; longer lists take more scans
+PATTERNS_PER_SCAN = 65_536
 HITS = arrays_type(pid=T.IntegerType(), pos=T.LongType())
 
 
@@ -38,18 +37,24 @@ def find_all(data: bytes, patterns: list[bytes]) -> tuple[np.ndarray, np.ndarray
             wanted[p[0] << 8 | p[1]] = True
     cand = np.flatnonzero(wanted[pair])
     code = pair[cand]
-    found = []
-    for p in patterns:
-        if len(p) == 1:
-            at = np.flatnonzero(a == p[0])
-        else:
-            at = cand[code == (p[0] << 8 | p[1])]
+    order = np.argsort(code, kind="stable")
+    cand, code = cand[order], code[order]
+    starts: dict[int, list[int]] = {}
+    for n, p in enumerate(patterns):
+        starts.setdefault(p[0] << 8 | p[1] if len(p) > 1 else -1 - p[0], []).append(n)
+    pids, found = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    first = np.flatnonzero(np.r_[np.ones(min(1, len(code)), bool), code[1:] != code[:-1]])
+    groups = [(int(code[i]), cand[i:j]) for i, j in zip(first, np.r_[first[1:], len(code)])]
+    groups += [(-1 - b, np.flatnonzero(a == b)) for b in range(256) if -1 - b in starts]
+    for key, spots in groups:  # only patterns whose start occurs are looked at
+        for n in starts[key]:
+            p, at = patterns[n], spots
             at = at[at + len(p) <= len(a)]
             for i in range(2, len(p)):
                 at = at[a[at + i] == p[i]]
-        found.append(at)
-    pids = np.repeat(np.arange(len(patterns), dtype=np.int32), [len(x) for x in found])
-    return pids, np.concatenate(found).astype(np.int64)
+            pids.append(np.full(len(at), n, np.int32))
+            found.append(at)
+    return np.concatenate(pids), np.concatenate(found).astype(np.int64)
 
 
 def scan_udf(patterns: list[bytes]):
@@ -88,80 +93,72 @@ def scan_pass(chunks: DataFrame, packed: Column, reach: int) -> DataFrame:
     ))
 
 
-def strips(passed: DataFrame, reach: int, min_chunk: int) -> DataFrame:
+def strips(passed: DataFrame, reach: int) -> DataFrame:
     """(image_id, left_offset, left, right): the bytes before each chunk end and those after it.
 
-    Chunks of at least ``min_chunk`` bytes: as many following heads are joined
-    as it takes to reach ``reach`` bytes.
+    Chunks are glued only where the next one begins at the very offset where
+    this one ends; over a missing chunk nothing is glued. Where chunks are
+    shorter than ``reach``, heads of following chunks are joined by doubling.
     """
-    steps = max(1, math.ceil(reach / max(min_chunk, 1)))
-    left = passed.select(
-        "image_id", "chunk_no",
-        (F.col("base_offset") + F.col("size") - F.octet_length("tail")).alias("left_offset"), F.col("tail").alias("left"),
+    parts = passed.filter("size > 0").select(
+        "image_id", F.col("base_offset").alias("begin"), (F.col("base_offset") + F.col("size")).alias("stop"), "head", "tail"
+    )
+    least = parts.agg(F.min(F.col("stop") - F.col("begin"))).first()[0] or reach
+    run = parts.select("image_id", "begin", "stop", "head")
+    while least < reach:
+        # each run grows by the run that begins where it stops
+        after = run.select("image_id", F.col("begin").alias("stop"), F.col("stop").alias("_stop"), F.col("head").alias("_head"))
+        run = checkpoint(run.join(after, ["image_id", "stop"], "left").select(
+            "image_id", "begin", F.coalesce("_stop", "stop").alias("stop"),
+            F.substring(F.when(F.col("_head").isNull(), F.col("head")).otherwise(F.concat("head", "_head")), 1, reach).alias("head"),
+        ))
+        least *= 2
+    right = run.select("image_id", F.col("begin").alias("stop"), F.col("head").alias("right"))
+    return parts.join(right, ["image_id", "stop"]).select(
+        "image_id", (F.col("stop") - F.octet_length("tail")).alias("left_offset"), F.col("tail").alias("left"), "right"
     )
-    heads = passed.select(
-        "image_id", "chunk_no", "head", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")
-    ).select("image_id", (F.col("chunk_no") - F.col("step")).alias("chunk_no"), "step", "head")
-    # at most ``steps`` short heads per chunk
-    joined = F.transform(F.array_sort(F.collect_list(F.struct("step", F.hex("head").alias("h")))), lambda x: x["h"])
-    right = heads.groupBy("image_id", "chunk_no").agg(F.unhex(F.array_join(joined, "")).alias("right"))
-    return left.join(right, ["image_id", "chunk_no"]).select("image_id", "left_offset", "left", F.substring("right", 1, reach).alias("right"))
 
 
-def scan_images(chunks: DataFrame, patterns: list[bytes], min_chunk: int = 1) -> tuple[DataFrame, DataFrame]:
+def scan_images(chunks: DataFrame, patterns: list[bytes]) -> tuple[DataFrame, DataFrame]:
     """Every occurrence of every pattern (image_id, pid, offset), and (image_id, image_size)."""
-    reach = max(max(len(p) for p in patterns) - 1, 1)
+    found = sizes = None
+    for start in range(0, max(1, len(patterns)), PATTERNS_PER_SCAN):
+        group = patterns[start : start + PATTERNS_PER_SCAN]
+        hits, sizes = _scan_group(chunks, group)
+        hits = hits.withColumn("pid", F.col("pid") + start)
+        found = hits if found is None else found.unionByName(hits)
+    return found, sizes
+
+
+def _scan_group(chunks: DataFrame, patterns: list[bytes]) -> tuple[DataFrame, DataFrame]:
+    reach = max([len(p) for p in patterns] + [2]) - 1
     passed = scan_pass(chunks, scan_udf(patterns)(F.col("data")), reach)
     inside = passed.select(
         "image_id", "base_offset", F.inline(F.arrays_zip("hits.pid", "hits.pos"))
     ).select("image_id", "pid", (F.col("base_offset") + F.col("pos")).alias("offset"))
-    edge = inline_arrays(strips(passed, reach, min_chunk), ["image_id", "left_offset"], edge_udf(patterns)(F.col("left"), F.col("right")))
+    edge = inline_arrays(strips(passed, reach), ["image_id", "left_offset"], edge_udf(patterns)(F.col("left"), F.col("right")))
     across = edge.select("image_id", "pid", (F.col("left_offset") + F.col("pos")).alias("offset"))
     sizes = passed.groupBy("image_id").agg(F.max(F.col("base_offset") + F.col("size")).alias("image_size"))
     return inside.unionByName(across), sizes
 
 
-def scan_patterns(chunks: DataFrame, patterns: list[bytes], min_chunk: int = 1) -> DataFrame:
-    return scan_images(chunks, patterns, min_chunk)[0]
+def scan_patterns(chunks: DataFrame, patterns: list[bytes]) -> DataFrame:
+    return scan_images(chunks, patterns)[0]
 
 
-def match_signatures(chunks: DataFrame, signatures: DataFrame, min_chunk: int = 1) -> DataFrame:
-    """Header hits (image_id, name, offset, header_len).
+def match_signatures(chunks: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Header hits (image_id, name, offset, header_len), over chunk edges too.
 
-    A signature list up to ``MAX_SCAN_PATTERNS`` is compiled into the scan; a
-    longer one is joined on a common-length prefix instead.
+    The signature list, a rule list, is compiled into the scan; its names join
+    the hits by pattern number, as a broadcast only while the list is short.
     """
-    sigs = signatures.select("name", "header")
-    rows = sigs.limit(MAX_SCAN_PATTERNS + 1).collect()
-    if len(rows) > MAX_SCAN_PATTERNS:
-        return match_signatures_join(chunks, signatures)
+    rows = signatures.select("name", "header").collect()
     patterns = sorted({bytes(r.header) for r in rows})
-    if not patterns:
-        return chunks.select("image_id", F.lit("").alias("name"), "base_offset", F.lit(0).alias("header_len")).filter("false").withColumnRenamed("base_offset", "offset")
     number = {p: i for i, p in enumerate(patterns)}
     names = small_table(
         chunks.sparkSession, [(number[bytes(r.header)], r.name, len(r.header)) for r in rows], "pid int, name string, header_len int"
     )
-    return scan_patterns(chunks, patterns, min_chunk).join(names, "pid").select("image_id", "name", "offset", "header_len")
-
-
-def match_signatures_join(chunks: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The same hits inside chunks by an equi-join on the first bytes; no limit on the list."""
-    least = signatures.agg(F.min(F.octet_length("header"))).first()[0]
-    sigs = signatures.select("name", "header", F.substring("header", 1, least).alias("anchor"))
-    size = F.octet_length("data")
-    spots = chunks.filter(size >= least).select(
-        "image_id", "base_offset",
-        F.explode(F.transform(
-            F.sequence(F.lit(1), size - (least - 1)),
-            lambda i: F.struct(i.alias("i"), F.substring(F.col("data"), i, F.lit(least)).alias("anchor"), F.substring(F.col("data"), i, F.lit(64)).alias("ahead")),
-        )).alias("s"),
-    ).select("image_id", (F.col("base_offset") + F.col("s.i") - 1).alias("offset"), F.col("s.anchor").alias("anchor"), F.col("s.ahead").alias("ahead"))
-    return (
-        spots.join(sigs, "anchor")
-        .filter(F.startswith("ahead", F.col("header")))
-        .select("image_id", "name", "offset", F.octet_length("header").alias("header_len"))
-    )
+    return scan_patterns(chunks, patterns).join(names, "pid").select("image_id", "name", "offset", "header_len")
 
 
 def dedup_offsets(hits: DataFrame, priority: Column | None = None) -> DataFrame:
@@ -213,7 +210,6 @@ def carve(
     chunks: DataFrame,
     signatures: DataFrame,
     mode: str = "first",
-    min_chunk: int = 1,
     dedup: bool = False,
     span: int = 1 << 26,
 ) -> DataFrame:
@@ -222,12 +218,10 @@ def carve(
     Headers, footers and image sizes all come from one scan of the bytes.
     """
     spark = chunks.sparkSession
-    rows = signatures.limit(MAX_SCAN_PATTERNS + 1).collect()
-    if len(rows) > MAX_SCAN_PATTERNS:
-        raise ValueError(f"carve takes at most {MAX_SCAN_PATTERNS} signatures at a time; split the list")
+    rows = signatures.collect()
     patterns = sorted({bytes(r.header) for r in rows} | {bytes(r.footer) for r in rows if r.footer})
     number = {p: i for i, p in enumerate(patterns)}
-    hits, sizes = scan_images(chunks, patterns, min_chunk)
+    hits, sizes = scan_images(chunks, patterns)
     hits = checkpoint(hits)
     head_roles = small_table(
         spark,
@@ -337,10 +331,24 @@ def fragmented(parts: DataFrame, keys: list[str], max_gap: int, max_fragments: i
 def scan_udtf(patterns: list[bytes]):
     """Table function ``scan(data, base_offset)``: all header hits of a chunk as rows."""
 
-    @F.udtf(returnType="pid int, offset bigint")
+    @F.udtf(returnType="pid int, offset bigint", useArrow=True)
     class Scan:
         def eval(self, data, base_offset):
             for pid, pos in zip(*find_all(bytes(data), patterns)):
                 yield int(pid), base_offset + int(pos)
 
     return Scan
+
+
+def scan_by_udtf(chunks: DataFrame, patterns: list[bytes]) -> DataFrame:
+    """(image_id, pid, offset) by the table function: over each chunk, and over the bytes around each chunk edge."""
+    scan = scan_udtf(patterns)
+    spark = chunks.sparkSession
+    reach = max([len(p) for p in patterns] + [2]) - 1
+    sizes = small_table(spark, [(i, len(p)) for i, p in enumerate(patterns)], "pid int, _size int")
+    found = lambda df, at: df.lateralJoin(scan(F.col("data").outer(), F.col(at).outer()))
+    inside = found(chunks.select("image_id", "base_offset", "data"), "base_offset").select("image_id", "pid", "offset")
+    edges = strips(scan_pass(chunks, F.lit(None).cast("int"), reach), reach)
+    edges = edges.select("image_id", "left_offset", (F.col("left_offset") + F.octet_length("left")).alias("_edge"), F.concat("left", "right").alias("data"))
+    over = found(edges, "left_offset").join(sizes, "pid").filter((F.col("offset") < F.col("_edge")) & (F.col("offset") + F.col("_size") > F.col("_edge")))
+    return inside.unionByName(over.select("image_id", "pid", "offset"))

@@ -70,7 +70,7 @@ def _tag_hits(d: bytes, tags: list[bytes], lo: int, hi: int):
     return out
 
 
-def atom_candidates(chunks: DataFrame, types: list[str], min_chunk: int = 1) -> tuple[DataFrame, DataFrame]:
+def atom_candidates(chunks: DataFrame, types: list[str]) -> tuple[DataFrame, DataFrame]:
     """(image_id, atom_type, offset, size) of every tag and the size field before it, edges
     included; and the image sizes. The bytes are read once."""
     tags = [t.encode() for t in types]
@@ -87,13 +87,13 @@ def atom_candidates(chunks: DataFrame, types: list[str], min_chunk: int = 1) ->
 
     passed = scan_pass(chunks, inside(F.col("data")), 7)
     a = passed.select("image_id", F.col("base_offset").alias("_b"), F.inline("hits"))
-    s = strips(passed, 7, min_chunk)
+    s = strips(passed, 7)
     b = s.select("image_id", F.col("left_offset").alias("_b"), F.inline(across(F.col("left"), F.col("right"))))
     sizes = passed.groupBy("image_id").agg(F.max(F.col("base_offset") + F.col("size")).alias("image_size"))
     return a.unionByName(b).select("image_id", "atom_type", (F.col("_b") + F.col("pos")).alias("offset"), F.col("size")), sizes
 
 
-def atom_scan(chunks: DataFrame, types: list[str], min_chunk: int = 1, span: int = 1 << 26) -> DataFrame:
+def atom_scan(chunks: DataFrame, types: list[str], span: int = 1 << 26) -> DataFrame:
     """Accepted atoms per type: size from 8 to what is left, the search going on
     behind an accepted atom.
 
@@ -101,7 +101,7 @@ def atom_scan(chunks: DataFrame, types: list[str], min_chunk: int = 1, span: int
     behind its end); the chain is followed by doubling, in log(n) joins.
     """
     keys = ["image_id", "atom_type"]
-    c, sizes = atom_candidates(chunks, types, min_chunk)
+    c, sizes = atom_candidates(chunks, types)
     c = c.join(sizes, "image_id")
     c = c.filter((F.col("size") >= 8) & (F.col("size") <= F.col("image_size") - F.col("offset")) & (F.col("offset") + 4 < F.col("image_size") - 8))
     c = checkpoint(c.select(*keys, "offset", "size", (F.col("offset") + 4).alias("tag"), (F.col("offset") + F.col("size")).alias("_end")))

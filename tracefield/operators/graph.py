@@ -32,7 +32,7 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftright(h, 24))).first())
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) by alternating large-star and small-star steps.
 
     ``component`` is the least node of the component. Nodes without an edge do
@@ -40,7 +40,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """
     cur = checkpoint(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     state = _state(cur)
-    for _ in range(max_rounds):
+    while True:
         # large star: every larger neighbour of u is hung on the least neighbour of u
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -54,8 +54,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if new == state:
             break
         state = new
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         cur.select(F.col("v").alias("node"), F.col("v").alias("component"))
     ).distinct()
@@ -95,12 +93,15 @@ def trace_flow(edges: DataFrame, source: str, depth: int = 5, ordered_time: bool
     )
 
 
-def shortest_path(edges: DataFrame, a: str, b: str, max_hops: int = 32) -> DataFrame:
-    """Fewest hops from ``a`` to ``b`` with the least such path; no row if there is none."""
+def shortest_path(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Fewest hops from ``a`` to ``b`` with the least such path; no row if there is none.
+
+    Goes on, level by level, until ``b`` is met or nothing new is reached.
+    """
     e = edges.select("from_addr", "to_addr").distinct()
     seen = edges.sparkSession.range(1).select(F.lit(a).alias("addr"), F.array(F.lit(a)).alias("path"))
-    frontier, found = seen, None
-    for hop in range(max_hops):
+    frontier, found, hop = seen, None, 0
+    while found is None:
         nxt = (
             frontier.select(F.col("addr").alias("from_addr"), "path").join(e, "from_addr")
             .groupBy(F.col("to_addr").alias("addr")).agg(F.min("path").alias("path"))
@@ -108,23 +109,27 @@ def shortest_path(edges: DataFrame, a: str, b: str, max_hops: int = 32) -> DataF
             .select("addr", F.concat("path", F.array("addr")).alias("path"))
         )
         frontier = checkpoint(nxt)
+        if frontier.isEmpty():
+            break
         hit = frontier.filter(F.col("addr") == b)
         if not hit.isEmpty():
             found = hit
-            break
-        if frontier.isEmpty():
-            break
         seen = _grow(seen, frontier.select("addr", "path"), hop)
+        hop += 1
     out = found if found is not None else seen.filter("false")
     return out.select((F.size("path") - 1).alias("hops"), "path")
 
 
-def closure(links: DataFrame, roots: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(root, item) pairs: every item reachable over links(item, needs), the root included."""
-    step = links.select(F.col("item"), F.col("needs")).distinct()
+def closure(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, item) pairs: every item reachable over links(item, needs), the root included.
+
+    One level per round from the given roots, until a level brings nothing new;
+    for all items at once see ``full_closure``.
+    """
+    step = links.select("item", "needs").distinct()
     seen = checkpoint(roots.select(F.col("item").alias("root"), "item").distinct())
-    frontier = seen
-    for n in range(max_rounds):
+    frontier, n = seen, 0
+    while True:
         frontier = checkpoint(
             frontier.join(step, "item").select("root", F.col("needs").alias("item")).distinct()
             .join(seen, ["root", "item"], "left_anti")
@@ -132,30 +137,56 @@ def closure(links: DataFrame, roots: DataFrame, max_rounds: int = 64) -> DataFra
         if frontier.isEmpty():
             return seen
         seen = _grow(seen, frontier, n)
-    raise RuntimeError("closure did not settle; raise max_rounds")
+        n += 1
 
 
-def dependency_closure(items: DataFrame, links: DataFrame) -> DataFrame:
-    """Transitive needs per item, itself included; ``known`` is false for missing ones."""
-    full = closure(links, items)
+def full_closure(links: DataFrame, items: DataFrame) -> DataFrame:
+    """``closure`` with every item a root, by doubling: rounds grow with the logarithm of the depth."""
+    step = links.select(F.col("item").alias("root"), F.col("needs").alias("item")).distinct()
+    reach = checkpoint(step)
+    while True:
+        longer = reach.select("root", F.col("item").alias("_mid")).join(reach.select(F.col("root").alias("_mid"), "item"), "_mid").select("root", "item").distinct()
+        new = checkpoint(longer.join(reach, ["root", "item"], "left_anti"))
+        if new.isEmpty():
+            break
+        reach = checkpoint(reach.unionByName(new))
+    own = items.select(F.col("item").alias("root"), "item").distinct()
+    return own.unionByName(reach.join(own.select("root"), "root", "left_semi")).distinct()
+
+
+def dependency_closure(items: DataFrame, links: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Transitive needs per item, itself included; ``known`` is false for missing ones.
+
+    ``roots`` (item) limits the answer to those items. Without it every (root,
+    item) pair of the graph is listed, as many as there are: a choice for
+    graphs whose items need few others.
+    """
+    full = full_closure(links, items) if roots is None else closure(links, roots)
     known = items.select("item", F.lit(True).alias("known")).distinct()
     return full.join(known, "item", "left").select("root", "item", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-def process_tree(procs: DataFrame, max_rounds: int = 128) -> DataFrame:
-    """Depth and root path of every process; procs(pid, ppid). Roots have no living parent."""
-    alive = procs.select(F.col("pid").alias("ppid"))
-    level = checkpoint(
-        procs.join(alive, "ppid", "left_anti").select("pid", F.lit(0).alias("depth"), F.array("pid").alias("path"))
+def process_tree(procs: DataFrame) -> DataFrame:
+    """Depth and root path of every process; procs(pid, ppid).
+
+    Roots have no living parent, or are their own. Each round doubles how far
+    up every process looks, so rounds grow with the logarithm of the depth.
+    Processes in a cycle, or below one, have null depth and path.
+    """
+    own = procs.select("pid", F.when(F.col("ppid") != F.col("pid"), F.col("ppid")).alias("up"))
+    alive = procs.select(F.col("pid").alias("up"), F.lit(True).alias("there")).distinct()
+    # up: the ancestor reached so far; path: from below it down to the process
+    state = own.join(alive, "up", "left").select(
+        "pid", F.when(F.col("there"), F.col("up")).alias("up"), F.array("pid").alias("path")
     )
-    out = level
-    for n in range(max_rounds):
-        level = checkpoint(
-            level.select(F.col("pid").alias("ppid"), "depth", "path")
-            .join(procs.select("pid", "ppid"), "ppid")
-            .select("pid", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("pid")).alias("path"))
-        )
-        if level.isEmpty():
-            return out
-        out = _grow(out, level, n)
-    raise RuntimeError("the tree is deeper than max_rounds")
+    state, n = checkpoint(state), procs.count()
+    for _ in range(max(1, n).bit_length() + 1):
+        if state.filter("up is not null").isEmpty():
+            break
+        above = state.select(F.col("pid").alias("up"), F.col("up").alias("further"), F.col("path").alias("before"))
+        moved = state.filter("up is not null").join(above, "up").select("pid", F.col("further").alias("up"), F.concat("before", "path").alias("path"))
+        # a path longer than the processes there are goes round in circles
+        moved = moved.withColumn("path", F.when(F.size("path") <= n, F.col("path")))
+        state = checkpoint(state.filter("up is null").unionByName(moved.filter("path is not null")).unionByName(moved.filter("path is null").withColumn("up", F.lit(None).cast(procs.schema["pid"].dataType))))
+    path = F.when(F.col("up").isNull(), F.col("path"))
+    return state.select("pid", (F.size(path) - 1).alias("depth"), path.alias("path")).withColumn("depth", F.when(F.col("path").isNotNull(), F.col("depth")))

@@ -83,9 +83,13 @@ def chunk_hashes(chunks: DataFrame) -> DataFrame:
 def hash_root(chunks: DataFrame, fan: int = 1024, levels: int = 3) -> DataFrame:
     """Hash-list root per image: digests are folded ``fan`` at a time, in order.
 
-    Each fold sees at most ``fan`` digests; ``fan ** levels`` chunks are covered.
+    Each fold sees at most ``fan`` digests. At least ``levels`` folds are made,
+    and as many more as it takes for the longest image to come to one root.
     """
     level = chunks.select("image_id", F.col("chunk_no").alias("n"), F.sha2("data", 256).alias("h"))
+    last = chunks.agg(F.max("chunk_no")).first()[0] or 0
+    while last >= fan**levels:
+        levels += 1
     for _ in range(levels):
         level = (
             level.groupBy("image_id", F.floor(F.col("n") / fan).alias("n"))

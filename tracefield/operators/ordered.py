@@ -153,10 +153,12 @@ def rows_frame_sum(
 ) -> DataFrame:
     """``sum(value)`` over the current and the ``rows - 1`` rows before it.
 
-    Rows are numbered, cut into blocks of ``block`` rows, and the last
-    ``rows - 1`` rows of a block are also sent to the next one.
+    Rows are numbered, cut into blocks of ``block`` rows (of ``rows``, if the
+    frame is longer), and the last ``rows - 1`` rows of a block are also sent
+    to the next one.
     """
     halo = rows - 1
+    block = max(block, rows)
     numbered = dense_index(df.withColumn("_val", value), keys, order, bucket, "_idx")
     own = F.floor(F.col("_idx") / block)
     spill = F.col("_idx") % block >= block - halo
@@ -178,11 +180,11 @@ def range_count(
 
     The count up to ``t`` less the count up to ``t - span``: each row asks at
     both places, and growing counts answer, whatever the number of rows inside
-    the frame.
+    the frame. Only keys, times and a row number go through the two orders.
     """
-    row = F.struct(*[F.col(c) for c in df.columns])
-    ask = df.withColumn("_t", ticks).select(
-        *keys, row.alias("_row"),
+    rows = checkpoint(df.withColumn("_t", ticks).withColumn("_id", F.monotonically_increasing_id()))
+    ask = rows.select(
+        *keys, "_id",
         F.inline(F.array(
             F.struct(F.col("_t").alias("_pos"), F.lit(1).alias("_one")),
             F.struct((F.col("_t") - span).alias("_pos"), F.lit(0).alias("_one")),
@@ -193,9 +195,8 @@ def range_count(
     edges = ask.groupBy(*keys, _B).agg(F.sum("_one").alias(_C)).withColumn(_C, F.coalesce(F.sum(_C).over(before), F.lit(0)))
     upto = _join_edges(ask.withColumn(_V, F.sum("_one").over(inner)), edges, keys)
     at = lambda kind: F.max(F.when(F.col("_one") == kind, F.col(_V) + F.col(_C)))
-    # equal rows share one answer and come out as often as they went in
-    both = upto.groupBy("_row").agg((at(1) - at(0)).alias(out), F.sum("_one").cast("int").alias("_copies"))
-    return both.select("_row.*", out, F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    both = upto.groupBy("_id").agg((at(1) - at(0)).alias(out))
+    return rows.join(both, "_id").select(*df.columns, out)
 
 
 def islands(

@@ -11,7 +11,8 @@ from tracefield.functions import fixed_values as fv
 from tracefield.functions.scalars import lookup
 from tracefield.operators.quantiles import exact_median
 
-MAX_TARGETS = 1024
+#: targets that one pass over the history serves
+TARGETS_PER_PASS = 1024
 
 
 def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -48,13 +49,30 @@ def feature_vector() -> Column:
 def similar_scenarios(targets: DataFrame, history: DataFrame, k: int) -> DataFrame:
     """Top ``k`` of ``history(id, vec)`` per target(id, vec) by cosine.
 
-    A bounded set of targets travels to every task; each task keeps its own
-    best ``k`` per target, so no target x history rows are ever emitted.
+    Targets are taken in blocks of a bounded size; a block travels to every
+    task, and each task keeps its own best ``k`` per target, so no target x
+    history rows are ever emitted. The tasks' lists are merged in two steps.
     Similarity is rounded to 9 places; ties go to the lower id.
     """
-    rows = targets.select("id", "vec").limit(MAX_TARGETS + 1).collect()
-    if len(rows) > MAX_TARGETS:
-        raise ValueError(f"at most {MAX_TARGETS} targets per call")
+    blocks = max(1, -(-targets.count() // TARGETS_PER_PASS))
+    local = None
+    for block in range(blocks):
+        part = targets if blocks == 1 else targets.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
+        rows = part.select("id", "vec").collect()
+        if rows:
+            found = _nearest(rows, history, k)
+            local = found if local is None else local.unionByName(found)
+    if local is None:
+        local = history.select(F.col("id").alias("target_id"), "id", F.lit(0.0).alias("similarity")).filter("false")
+    order = [F.desc("similarity"), F.asc("id")]
+    some = Window.partitionBy("target_id", "_part").orderBy(*order)
+    few = local.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("rank", F.row_number().over(some)).filter(F.col("rank") <= k)
+    w = Window.partitionBy("target_id").orderBy(*order)
+    return few.drop("_part").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _nearest(rows: list, history: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of each task for a block of targets."""
     ids = np.array([r.id for r in rows])
     t = np.array([r.vec for r in rows], np.float64)
     tn = np.linalg.norm(t, axis=1)
@@ -74,9 +92,7 @@ def similar_scenarios(targets: DataFrame, history: DataFrame, k: int) -> DataFra
         out = [(ids[i], h, -s) for i in range(len(ids)) for s, h in top[i]]
         yield pd.DataFrame(out, columns=["target_id", "id", "similarity"])
 
-    local = history.select("id", "vec").mapInPandas(best, "target_id long, id long, similarity double")
-    w = Window.partitionBy("target_id").orderBy(F.desc("similarity"), "id")
-    return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return history.select("id", "vec").mapInPandas(best, "target_id long, id long, similarity double")
 
 
 def tool_performance(outcomes: DataFrame) -> DataFrame:

@@ -33,14 +33,14 @@ def local_session(app: str = "tracefield", cpus: str = "8", shuffle: str = "8")
 
 
 def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    """A rule list made on the driver, broadcast because its row count is checked here.
+    """A rule list made on the driver, broadcast where its row count, checked here, allows.
 
     Without the hint the optimizer takes such a table for huge and would rather
-    ship, or shuffle on a handful of rule keys, the data joined to it.
+    ship, or shuffle on a handful of rule keys, the data joined to it. Longer
+    lists are left to the optimizer.
     """
-    if len(rows) > MAX_SMALL_ROWS:
-        raise ValueError(f"{len(rows)} rows are too many for a broadcast list; pass them as a stored table")
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= MAX_SMALL_ROWS else table
 
 
 _local_folders: dict[str, str] = {}
