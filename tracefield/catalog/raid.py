@@ -60,9 +60,19 @@ def mirrored(spark, d, disks):
     )
 
 
-QUERIES["r7_raid1"] = lambda spark, d: digest(rd.raid1(mirrored(spark, d, 2), bad_table(spark, d, 2)))
-ORACLE["r7_raid1"] = f"""select array_id, block_no, md5(unhex(case when (array_id*7+5) % 11 < (array_id*7) % 11 or (array_id % 3 = 0 and block_no = 1)
- then '01' else '00' end) || data) as md5 from {UNITS}"""
+# block 2 of every fifth array is on no member, unless it is the last one
+LOST2 = "(array_id % 5 = 0 and block_no = 2 and block_no < top)"
+
+
+def lose_block(spark, d):
+    s = mirrored(spark, d, 2)
+    top = units(spark, d).groupBy("array_id").agg(F.max("block_no").alias("top"))
+    return s.join(top, "array_id").withColumnRenamed("stripe_no", "block_no").filter("not " + LOST2).drop("top").withColumnRenamed("block_no", "stripe_no")
+
+
+QUERIES["r7_raid1"] = lambda spark, d: digest(rd.raid1(lose_block(spark, d), bad_table(spark, d, 2)))
+ORACLE["r7_raid1"] = f"""select array_id, block_no, case when not {LOST2} then md5(unhex(case when (array_id*7+5) % 11 < (array_id*7) % 11 or (array_id % 3 = 0 and block_no = 1)
+ then '01' else '00' end) || data) end as md5 from (select *, max(block_no) over (partition by array_id) as top from {UNITS})"""
 QUERIES["r7_best_member"] = lambda spark, d: rd.best_member(bad_table(spark, d, 3))
 ORACLE["r7_best_member"] = """select doc_id as array_id, arg_min(disk, bad * 100 + disk) as disk from (select doc_id, disk, (doc_id*7 + disk*5) % 11 as bad
  from documents cross join (select unnest(range(3)) as disk)) group by 1"""
@@ -98,12 +108,18 @@ def striped5(spark, d, layout):
 def rebuilt5(spark, d, layout):
     s = striped5(spark, d, layout)
     lost = (F.col("disk") == F.col("array_id") % 4) | ((F.col("array_id") % 7 == 0) & (F.col("stripe_no") == 1) & (F.col("disk") == (F.col("array_id") + 1) % 4))
-    return rd.raid5(s.filter(~lost), 4, layout)
+    return rd.raid5(lose_stripe(s).filter(~lost), 4, layout)
+
+
+def lose_stripe(s):
+    """A whole stripe of every eleventh array is gone, unless it is the last one."""
+    top = s.groupBy("array_id").agg(F.max("stripe_no").alias("top"))
+    return s.join(top, "array_id").filter("not (array_id % 11 = 0 and stripe_no = 2 and stripe_no < top)").drop("top")
 
 
 _R5 = f"""with n as (select array_id, (max(block_no) // 3 + 1) * 3 as c from {UNITS} group by 1),
- k as (select array_id, unnest(range(c)) as block_no from n),
- r as (select k.array_id, k.block_no, case when k.array_id % 7 = 0 and k.block_no // 3 = 1 then null else coalesce(u.data, {ZERO}) end as data
+ k as (select array_id, c, unnest(range(c)) as block_no from n),
+ r as (select k.array_id, k.block_no, case when (k.array_id % 7 = 0 and k.block_no // 3 = 1) or (k.array_id % 11 = 0 and k.block_no // 3 = 2 and 3 < k.c // 3) then null else coalesce(u.data, {ZERO}) end as data
   from k left join {UNITS} u on u.array_id = k.array_id and u.block_no = k.block_no)"""
 for _layout in ("left", "right"):
     QUERIES[f"r8_raid5_{_layout}"] = lambda spark, d, lay=_layout: digest(rebuilt5(spark, d, lay))
@@ -111,8 +127,8 @@ for _layout in ("left", "right"):
 QUERIES["r8_rebuild_confidence"] = lambda spark, d: rd.rebuild_confidence(rebuilt5(spark, d, "left")).withColumn("confidence", F.round("confidence", 6))
 ORACLE["r8_rebuild_confidence"] = _R5 + " select array_id, count(data) as recovered, count(*) - count(data) as failed, round(count(data)/count(*), 6) as confidence from r group by 1"
 QUERIES["r9_raid6"] = lambda spark, d: digest(rd.raid6(
-    striped5(spark, d, "left").filter("disk <> array_id % 4 and not (array_id % 2 = 0 and disk = (array_id + 1) % 4)"), 4))
-ORACLE["r9_raid6"] = _R5.replace("k.array_id % 7 = 0 and k.block_no // 3 = 1", "k.array_id % 2 = 0") + " select array_id, block_no, md5(data) as md5 from r"
+    lose_stripe(striped5(spark, d, "left")).filter("disk <> array_id % 4 and not (array_id % 2 = 0 and disk = (array_id + 1) % 4)"), 4))
+ORACLE["r9_raid6"] = _R5.replace("(k.array_id % 7 = 0 and k.block_no // 3 = 1)", "k.array_id % 2 = 0") + " select array_id, block_no, md5(data) as md5 from r"
 
 
 def disk_edges(spark, d):
@@ -155,8 +171,8 @@ select array_id, stripe_size from a where n * 512 > stripe_size * 0.1"""
 
 
 def arrays(spark, d):
-    """One array per file: mirror, mirrored pairs, parity or plain stripes by key."""
-    kinds = F.col("array_id") % 4
+    """One array per file: mirror, mirrored pairs, parity, plain stripes or double parity by key."""
+    kinds = F.when(F.col("array_id") % 9 == 8, 4).otherwise(F.col("array_id") % 4)
     u = units(spark, d)
     disks = F.when(kinds == 0, 2).otherwise(4)
     cell = u.withColumn("disks", disks)
@@ -166,7 +182,20 @@ def arrays(spark, d):
     pairs = cell.filter(kinds == 1).select("array_id", F.explode(F.array(((F.col("block_no") % 2) * 2).cast("int"), ((F.col("block_no") % 2) * 2 + 1).cast("int"))).alias("disk"),
                                            F.floor(F.col("block_no") / 2).alias("stripe_no"), "data")
     par = striped5(spark, d, "left").filter(kinds == 2).select("array_id", F.col("disk").cast("int").alias("disk"), "stripe_no", "data")
-    return plain.unionByName(mirror).unionByName(pairs).unionByName(par)
+    return plain.unionByName(mirror).unionByName(pairs).unionByName(par).unionByName(striped6(u.filter(kinds == 4)))
+
+
+def striped6(u):
+    """Two data units per stripe, their XOR and their second parity, turning over four disks."""
+    zero = F.unhex(F.repeat(F.lit("00"), F.lit(UNIT)))
+    side = F.col("block_no") % 2
+    s = u.groupBy("array_id", F.floor(F.col("block_no") / 2).alias("stripe_no")).agg(
+        F.coalesce(F.max(F.when(side == 0, F.col("data"))), zero).alias("a"), F.coalesce(F.max(F.when(side == 1, F.col("data"))), zero).alias("b")
+    )
+    row = F.array(by.xor_udf(F.array("a", "b")), rd.q_parity_udf(F.array("a", "b")), "a", "b")
+    return s.select("array_id", "stripe_no", F.posexplode(row).alias("disk", "data")).select(
+        "array_id", ((F.col("disk") + F.col("stripe_no")) % 4).cast("int").alias("disk"), "stripe_no", "data"
+    )
 
 
 def r5(spark, d):
@@ -177,13 +206,13 @@ def r5(spark, d):
 QUERIES["r5_raid_level"] = r5
 # how many units a file has decides what its array can show
 ORACLE["r5_raid_level"] = f"""with n as (select array_id, count(*) as c from {UNITS} group by 1)
-select array_id, (case array_id % 4 when 0 then 2 when 1 then case when c = 1 then 2 else 4 end when 2 then 4 else least(c, 4) end)::bigint as disks,
- case array_id % 4 when 0 then 'RAID1' when 1 then case when c = 1 then 'RAID1' else 'RAID10' end when 2 then case when c = 1 then 'RAID10' else 'RAID5' end
- else case when c >= 8 then 'RAID0' else 'UNKNOWN' end end as level from n"""
+select array_id, (case kind when 4 then 4 when 0 then 2 when 1 then case when c = 1 then 2 else 4 end when 2 then 4 else least(c, 4) end)::bigint as disks,
+ case kind when 4 then 'RAID6' when 0 then 'RAID1' when 1 then case when c = 1 then 'RAID1' else 'RAID10' end when 2 then case when c = 1 then 'RAID10' else 'RAID5' end
+ else case when c >= 8 then 'RAID0' else 'UNKNOWN' end end as level from (select *, case when array_id % 9 = 8 then 4 else array_id % 4 end as kind from n)"""
 QUERIES["j21_raid_mirror_compare"] = lambda spark, d: rd.mirror_compare(arrays(spark, d).withColumnRenamed("stripe_no", "block_no"))
 ORACLE["j21_raid_mirror_compare"] = f"""with n as (select array_id, count(*) as c from {UNITS} group by 1)
-select array_id, p as pair, case array_id % 4 when 0 then true when 1 then true when 2 then c = 1 else false end as mirrored
-from n cross join (select unnest(range(2)) as p) where p = 0 or (array_id % 4 = 1 and c > 1) or array_id % 4 = 2 or (array_id % 4 = 3 and c > 2)"""
+select array_id, p as pair, case kind when 0 then true when 1 then true when 2 then c = 1 when 4 then p = 0 and c = 1 else false end as mirrored
+from (select *, case when array_id % 9 = 8 then 4 else array_id % 4 end as kind from n) cross join (select unnest(range(2)) as p) where p = 0 or (kind = 1 and c > 1) or kind in (2, 4) or (kind = 3 and c > 2)"""
 
 
 def c13(spark, d):

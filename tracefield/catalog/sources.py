@@ -182,6 +182,13 @@ ORACLE["s15_export_results"] = f"select packet_id, src_ip, dst_ip, size from {tb
 QUERIES["j10_exact_duplicates"] = lambda spark, d: dd.exact_duplicates(tb.ev_files(spark, d), "file_id", "text")
 ORACLE["j10_exact_duplicates"] = f"""select file_id, digest, keeper, copies from (select file_id, sha256(text) as digest, min(file_id) over (partition by text) as keeper, count(*) over (partition by text) as copies from {tb.EV_FILES}) where copies > 1"""
 QUERIES["j10_near_duplicates"] = lambda spark, d: dd.near_duplicates(tb.ev_files(spark, d), "file_id", "text", 0.95)
+ORACLE["j10_near_duplicates"] = f"""with recursive w as (select file_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') as w from {tb.EV_FILES}),
+ sh as (select distinct file_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) else [array_to_string(w, ' ')] end) as s from w),
+ n as (select file_id, count(*) as n from sh group by 1),
+ j as (select a.file_id as u, b.file_id as v, count(*) as c from sh a join sh b on a.s = b.s and a.file_id <> b.file_id group by all),
+ l as materialized (select u, v from j join n x on x.file_id = u join n y on y.file_id = v where c >= 0.95 * (x.n + y.n - c)),
+ r as (select u, v from l union select r.u, l.v from r join l on l.u = r.v)
+select u as file_id, min(v) as "group" from r group by 1"""
 
 
 def j9(spark, d):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,58 +46,51 @@ def shingles(df: DataFrame, key: str, text: str, width: int = 3) -> DataFrame:
     return df.select(key, w.alias("w")).select(key, F.array_distinct(runs).alias("sh"))
 
 
-def minhash_udf(bands: int, rows: int):
-    """One hash per band from ``rows`` minima each."""
-    rng = np.random.default_rng(7)
-    a = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, id): the runs of each set that any set alike to it must share one of.
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def sketch(sh: pd.Series) -> pd.Series:
-        def one(v):
-            x = np.asarray(v, np.int64).view(np.uint64)
-            mins = np.array([(x * p + q).min() for p, q in zip(a, b)], np.uint64).reshape(bands, rows)
-            mix = np.zeros(bands, np.uint64)
-            for i in range(rows):
-                mix = (mix ^ mins[:, i]) * np.uint64(0x9E3779B97F4A7C15)
-            return mix.view(np.int64)
+    Runs are ordered from rare to common; sets of n runs with a Jaccard
+    similarity of at least t share one of the first n - ceil(t n) + 1.
+    """
+    runs = sets.select("id", F.size("sh").alias("n"), F.explode("sh").alias("s"))
+    known = runs.join(runs.groupBy("s").agg(F.count(F.lit(1)).alias("files")), "s")
+    ordered = known.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("files", "s"))).alias("r"))
+    first = F.slice("r", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    return ordered.select("id", "n", F.explode(first).alias("r")).filter("r.files > 1").select(F.col("r.s").alias("bucket"), "id", "n")
 
-        return sh.map(one)
 
-    return sketch
+def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those (u, v) whose sets have at least the similarity."""
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("sh").alias("_a")), "u").join(sets.select(F.col("id").alias("v"), F.col("sh").alias("_b")), "v")
+    share = F.size(F.array_intersect("_a", "_b"))
+    return checkpoint(both.filter(share >= threshold * (F.size("_a") + F.size("_b") - share)).select("u", "v"))
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.95, bands: int = 16, rows: int = 4) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.95) -> DataFrame:
     """(key, group): files linked by a Jaccard similarity of at least ``threshold`` over word runs.
 
-    Equal texts are folded first. In each sketch bucket everyone is compared
-    with one keeper, those unlike it wait for the next keeper, so a bucket of m
-    alike files costs m comparisons. Links are verified exactly, then joined.
+    Complete: equal texts are folded; of the others, alike ones share a rare run
+    (prefix filter). Each member of a run's bucket is compared with its least
+    one; buckets that are not one component by then have their members of
+    different components, of fitting sizes, compared too.
     """
     t = df.select(key, F.col(text).alias("_t"), F.sha2(F.col(text), 256).alias("_h"))
     folded = t.groupBy("_h").agg(F.min(key).alias("id"))
     heads = t.join(folded, (t[key] == folded.id) & (t._h == folded._h), "left_semi")
     sets = checkpoint(shingles(heads, key, "_t").withColumnRenamed(key, "id"))
-    waiting = checkpoint(
-        sets.select("id", F.posexplode(minhash_udf(bands, rows)(F.col("sh"))).alias("band", "bucket"))
-    )
-    links = None
-    while True:
-        keeper = waiting.groupBy("band", "bucket").agg(F.min("id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        todo = waiting.join(keeper.drop("n"), ["band", "bucket"]).filter("id <> keeper")
-        pairs = todo.select("id", "keeper").distinct()
-        seen = (
-            pairs.join(sets, "id").join(sets.select(F.col("id").alias("keeper"), F.col("sh").alias("ksh")), "keeper")
-            .select("id", "keeper", (F.size(F.array_intersect("sh", "ksh")) / F.size(F.array_union("sh", "ksh"))).alias("j"))
-        )
-        seen = checkpoint(seen)
-        hit = seen.filter(F.col("j") >= threshold).select(F.col("id").alias("u"), F.col("keeper").alias("v"))
-        links = hit if links is None else checkpoint(links.unionByName(hit))
-        waiting = checkpoint(
-            todo.join(seen.filter(F.col("j") >= threshold).select("id", "keeper"), ["id", "keeper"], "left_anti").select("id", "band", "bucket")
-        )
-        if waiting.isEmpty():
-            break
+    index = checkpoint(prefixes(sets, threshold))
+    low = index.groupBy("bucket").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    index = checkpoint(index.join(low, "bucket"))
+    tried = checkpoint(index.filter("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct())
+    links = _alike(tried, sets, threshold)
+    component = connected_components(links).withColumnRenamed("node", "id")
+    rest = index.filter("m > 2 and id <> low").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = rest.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
+    rest = checkpoint(rest.join(mixed, "bucket", "left_semi").select("bucket", "id", "n", "component"))
+    other = rest.select("bucket", F.col("id").alias("v"), F.col("n").alias("_n"), F.col("component").alias("_c"))
+    fits = (F.col("v") < F.col("id")) & (F.col("component") != F.col("_c")) & (F.least("n", "_n") >= F.greatest("n", "_n") * threshold - 1e-9)
+    pairs = rest.join(other, "bucket").filter(fits).select(F.col("id").alias("u"), "v").distinct().join(tried, ["u", "v"], "left_anti")
+    links = links.unionByName(_alike(pairs, sets, threshold))
     copies = t.join(folded, "_h").filter(t[key] != folded.id).select(t[key].alias("u"), folded.id.alias("v"))
     return connected_components(links.unionByName(copies)).select(F.col("node").alias(key), F.col("component").alias("group"))
 

@@ -8,6 +8,7 @@ blocks in order, so nothing has to fit one task. Work is grouped per stripe
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,8 +106,52 @@ def parity_match(stripes: DataFrame, stripe_no: int = 0) -> DataFrame:
     return x.select("array_id", "disks", (zeros / F.octet_length("_x")).alias("parity_share"))
 
 
+def _double(a: np.ndarray) -> np.ndarray:
+    """Times 2 in the field of 256 elements with the polynomial 0x11d."""
+    return ((a.astype(np.uint16) << 1) ^ np.where(a & 0x80, 0x11D, 0)).astype(np.uint8)
+
+
+def _syndrome(units: list[np.ndarray]) -> np.ndarray:
+    """Q of data units in order: the sum of 2^i times unit i."""
+    q = np.zeros_like(units[0])
+    for u in reversed(units):
+        q = _double(q) ^ u
+    return q
+
+
+@F.pandas_udf(T.BinaryType())
+def q_parity_udf(units: pd.Series) -> pd.Series:
+    """The second parity of RAID 6 over data units of one size, in disk order."""
+    return units.map(lambda u: _syndrome([np.frombuffer(x, np.uint8) for x in u]).tobytes() if len(u) else None)
+
+
+@F.pandas_udf(T.BooleanType())
+def dual_parity_udf(units: pd.Series) -> pd.Series:
+    """Whether some unit is the P and another, not zero, the Q of the rest, which keep their order."""
+
+    def one(row) -> bool:
+        u = [np.frombuffer(x, np.uint8) for x in row if x is not None]
+        if len(u) < 4 or len({len(x) for x in u}) > 1:
+            return False
+        every = np.bitwise_xor.reduce(u)
+        for q in range(len(u)):
+            if u[q].any() and np.array_equal(every, u[q]):  # all others, P among them, cancel out
+                for p in range(len(u)):
+                    if p != q and np.array_equal(_syndrome([x for i, x in enumerate(u) if i not in (p, q)]), u[q]):
+                        return True
+        return False
+
+    return units.map(one)
+
+
+def dual_parity(stripes: DataFrame, stripe_no: int = 0) -> DataFrame:
+    """(array_id, dual): whether one stripe holds P and Q."""
+    units = F.transform(F.array_sort(F.collect_list(F.struct("disk", "data"))), lambda x: x["data"])
+    return stripes.filter(F.col("stripe_no") == stripe_no).groupBy("array_id").agg(units.alias("_u")).select("array_id", dual_parity_udf("_u").alias("dual"))
+
+
 def raid_level(blocks: DataFrame, stripes: DataFrame, compat: bool = False) -> DataFrame:
-    """Level per array. Mirrors and parity are tried before plain striping;
+    """Level per array. Mirrors, double and single parity are tried before plain striping;
     ``compat`` keeps the order 1, 0, 5, 6, 10, where striping hides the rest."""
     pairs = mirror_compare(blocks).groupBy("array_id").agg(F.bool_and("mirrored").alias("all_mirrored"))
     n = blocks.groupBy("array_id").agg((F.max("disk") + 1).alias("n"))
@@ -119,25 +164,33 @@ def raid_level(blocks: DataFrame, stripes: DataFrame, compat: bool = False) -> D
         n.join(pairs, "array_id", "left")
         .join(unlike, "array_id", "left")
         .join(parity_match(stripes).select("array_id", "parity_share"), "array_id", "left")
+        .join(dual_parity(stripes), "array_id", "left")
     )
     c = F.col
     mirror2 = (c("n") == 2) & c("all_mirrored")
     striped = (c("n") >= 2) & c("all_differ") & (c("units") == c("n"))
     parity = (c("n") >= 3) & (c("parity_share") > 0.8)
+    dual = (c("n") >= 4) & c("dual")
     mirrors = (c("n") >= 4) & (c("n") % 2 == 0) & c("all_mirrored")
     if compat:
-        level = F.when(mirror2, "RAID1").when(striped, "RAID0").when(parity, "RAID5").when(mirrors, "RAID10")
+        level = F.when(mirror2, "RAID1").when(striped, "RAID0").when(parity, "RAID5").when(dual, "RAID6").when(mirrors, "RAID10")
     else:
-        level = F.when(mirror2, "RAID1").when(mirrors, "RAID10").when(parity, "RAID5").when(striped, "RAID0")
+        level = F.when(mirror2, "RAID1").when(mirrors, "RAID10").when(dual, "RAID6").when(parity, "RAID5").when(striped, "RAID0")
     return x.select("array_id", c("n").alias("disks"), level.otherwise("UNKNOWN").alias("level"))
 
 
 def _grid(stripes: DataFrame, disks: int) -> DataFrame:
     """Every (array, stripe, disk) up to the last stripe seen, with the unit size."""
-    per = stripes.groupBy("array_id").agg(F.max("stripe_no").alias("last"), F.max(F.octet_length("data")).alias("unit"))
-    return per.select(
-        "array_id", "unit", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last").cast("bigint"))).alias("stripe_no")
-    ).select("array_id", "unit", "stripe_no", F.explode(F.sequence(F.lit(0), F.lit(disks - 1))).alias("disk"))
+    per = stripes.groupBy("array_id").agg(F.max("stripe_no").cast("bigint").alias("last"), F.max(F.octet_length("data")).alias("unit"))
+    return _stripe_numbers(per).select("array_id", "unit", "stripe_no", F.explode(F.sequence(F.lit(0), F.lit(disks - 1))).alias("disk"))
+
+
+def _stripe_numbers(per: DataFrame) -> DataFrame:
+    """Every stripe number from 0 to ``last``, in ranges dealt over the cluster: no row or task makes all of an array."""
+    width = F.lit(1 << 16)
+    zero = F.lit(0).cast("bigint")
+    ranges = per.withColumn("_r", F.explode(F.sequence(zero, F.floor(F.col("last") / width)))).repartition("array_id", "_r")
+    return ranges.withColumn("stripe_no", F.explode(F.sequence(F.col("_r") * width, F.least((F.col("_r") + 1) * width - 1, F.col("last"))))).drop("_r", "last")
 
 
 def raid0(stripes: DataFrame, disks: int) -> DataFrame:
@@ -155,12 +208,15 @@ def raid0(stripes: DataFrame, disks: int) -> DataFrame:
 
 def raid1(stripes: DataFrame, bad: DataFrame) -> DataFrame:
     """The member with the fewest bad sectors (array_id, disk, bad_sectors);
-    where that member lacks a block, the next best one has it."""
-    return (
+    where that member lacks a block, the next best one has it. Blocks that no
+    member has come out with null data."""
+    last = stripes.groupBy("array_id").agg(F.max("stripe_no").cast("bigint").alias("last"))
+    best = (
         stripes.join(bad, ["array_id", "disk"], "left")
         .groupBy("array_id", F.col("stripe_no").alias("block_no"))
         .agg(F.min_by("data", F.when(F.col("data").isNotNull(), F.struct(F.coalesce("bad_sectors", F.lit(0)), "disk"))).alias("data"))
     )
+    return _stripe_numbers(last).withColumnRenamed("stripe_no", "block_no").join(best.withColumn("block_no", F.col("block_no").cast("bigint")), ["array_id", "block_no"], "left").select("array_id", "block_no", "data")
 
 
 def best_member(bad: DataFrame) -> DataFrame:
@@ -171,14 +227,21 @@ def raid5(stripes: DataFrame, disks: int, layout: str = "left") -> DataFrame:
     """Data blocks of each stripe; one lost unit is the XOR of the others.
 
     ``layout``: parity on disk ``stripe % n`` (left) or ``n - 1 - stripe % n``
-    (right). A stripe lacking more than one unit gives blocks with null data.
+    (right). A stripe lacking more than one unit, or all of them, gives blocks with null data.
     """
+    last = stripes.groupBy("array_id").agg(F.max("stripe_no").cast("bigint").alias("last"))
     turn = F.col("stripe_no") % disks
     parity = (turn if layout == "left" else F.lit(disks - 1) - turn).cast("int")
     g = (
         stripes.filter("data is not null")
         .groupBy("array_id", "stripe_no")
         .agg(F.map_from_entries(F.collect_list(F.struct(F.col("disk").cast("int"), "data"))).alias("u"))
+        .withColumn("stripe_no", F.col("stripe_no").cast("bigint"))
+    )
+    g = (
+        _stripe_numbers(last)
+        .join(g, ["array_id", "stripe_no"], "left")
+        .withColumn("u", F.coalesce("u", F.expr("cast(map() as map<int,binary>)")))
         .withColumn("parity", parity)
         .withColumn("have", F.size("u"))
     )
