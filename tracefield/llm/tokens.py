@@ -1,30 +1,43 @@
 """Token ids of whole texts by the ``tokenizers`` library, each distinct pre-token encoded once per task.
 
-A byte-pair tokenizer cuts a text in pre-tokens and encodes each for itself, so
-equal pre-tokens have equal ids. The texts are cut here by the tokenizer's own
-published pattern, distinct pre-tokens go to the library, and the ids are put
-together with numpy. Texts with special tokens, or with characters whose class
-may differ between Unicode versions, go to the library whole.
+A byte-pair tokenizer cuts a text in pre-tokens and encodes each for itself. No
+pre-token of the two tokenizers used here reaches over a blank, other than one
+that leads it. So texts are cut at blanks, distinct chunks are cut in
+pre-tokens, distinct pre-tokens go to the library's model, and the ids are put
+together with numpy. Texts where that does not hold go to the library whole:
+those with special tokens, with blanks between other white space, or with
+characters whose class may differ between Unicode versions.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
-import regex
 
 from tracefield.llm.common import ragged
 
-# fixed values: the pre-token patterns of the two tokenizers
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: anything else goes to the library whole
-UNUSUAL = regex.compile("[^\\t\\n\\r -~¡-ɏ‐-‧]|<\\|")
-#: distinct pre-tokens kept in a worker before it starts afresh
-MAX_KEPT = 300_000
+#: anything but these characters goes to the library whole
+UNUSUAL = re.compile("[^\\t\\n\\r -~\u00a1-\u024f\u2010-\u2027]")
+#: letters and numbers among the usual characters
+LETTER = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+NUMBER = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+# fixed values: the pre-token patterns of the two tokenizers, for the usual characters
+PATTERNS = {
+    "byte": rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+",
+    "word": rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+",
+}
+#: distinct chunks kept in a worker before it starts afresh
+MAX_KEPT = 500_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class _Numbers(dict):
@@ -39,32 +52,58 @@ def encoder(path: str, kind: str) -> Callable[[list], tuple[np.ndarray, np.ndarr
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    cut = regex.compile(BYTE_PATTERN if kind == "byte" else WORD_PATTERN).findall
-    lower = kind == "word"
+    model, cut, letters = library.model, re.compile(PATTERNS[kind]).findall, byte_letters()
+    known: dict[str, list[int]] = {}
     numbers = _Numbers()
     store = [np.zeros(0, np.uint32), np.zeros(1, np.int64)]
 
+    def piece_ids(piece: str) -> list[int]:
+        ids = known.get(piece)
+        if ids is None:
+            if piece.isascii() and piece.isalnum():
+                spelt = piece
+            elif piece.isascii() and piece[0] == " " and piece[1:].isalnum():
+                spelt = letters[32] + piece[1:]
+            else:
+                spelt = piece.encode().decode("latin-1").translate(letters)
+            ids = known[piece] = [t.id for t in model.tokenize(spelt)]
+        return ids
+
     def learn():
         new = list(numbers)[len(store[1]) - 1 :]
-        got = [e.ids for e in library.encode_batch(new, add_special_tokens=False)]
+        if kind == "byte":  # a chunk stands after a blank; the first of a text is marked as standing alone
+            new = [x[1:] if x[:1] == "\0" else " " + x for x in new]
+        got = [piece_ids(c[0]) if len(c) == 1 else [i for piece in c for i in piece_ids(piece)] for c in map(cut, new)]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         ids = np.fromiter((x for g in got for x in g), np.uint32, int(lengths.sum()))
         store[0] = np.concatenate([store[0], ids])
         store[1] = np.concatenate([store[1], store[1][-1] + np.cumsum(lengths)])
 
+    def chunks(text: str) -> list | None:
+        if "<|" in text or UNUSUAL.search(text):
+            return None
+        if kind == "word":
+            return text.lower().split()
+        if "  " in text or "\n \n" in text or "\t" in text or "\r" in text:
+            return None
+        out = text.split(" ")
+        out[0] = "\0" + out[0]
+        return out
+
     def encode(texts: list) -> tuple[np.ndarray, np.ndarray]:
         if len(numbers) > MAX_KEPT:
             numbers.clear()
+            known.clear()
             store[:] = [np.zeros(0, np.uint32), np.zeros(1, np.int64)]
         parts, counts = [], []
         whole: dict[int, np.ndarray] = {}
         for i, text in enumerate(texts):
             text = text or ""
-            if UNUSUAL.search(text):
+            pieces = chunks(text)
+            if pieces is None:
                 whole[i] = np.asarray(library.encode(text, add_special_tokens=False).ids, np.uint32)
                 counts.append(0)
                 continue
-            pieces = cut(text.lower() if lower else text)
             parts.append(np.fromiter(map(numbers.__getitem__, pieces), np.int32, len(pieces)))
             counts.append(len(pieces))
         if len(numbers) >= len(store[1]):
@@ -83,7 +122,3 @@ def encoder(path: str, kind: str) -> Callable[[list], tuple[np.ndarray, np.ndarr
         return ids, lengths
 
     return encode
-
-
-def texts_of(column: pa.Array) -> list:
-    return column.to_pylist()
