@@ -179,7 +179,7 @@ def edits_within(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
                 break
         if distance - (len(text) - 1 - j) > min(most, best):
             break
-    return (best, where) if best <= most else None
+    return (best, where) if where and best <= most else None
 
 
 def leaks(index: Index, data: np.ndarray, starts: np.ndarray, offsets: np.ndarray, edits: float) -> list[tuple[int, int, int, int]]:

@@ -246,7 +246,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, keep_node: bo
     Classes are the components of links. ``class_id`` is the least doc_id of the
     class and ``kept`` marks that document (rows equal in id and text are one
     document and marked alike). ``n_copies`` counts the rows with the same text. Null texts count as empty; texts without words are alike only if
-    equal; null doc_ids come first. Other columns are ignored.
+    equal; a null doc_id is a class's id only if it has no other. Other columns are
+    ignored.
     """
     docs = docs.select("doc_id", "text")
     rows = checkpoint(describe(docs))
@@ -274,7 +275,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, keep_node: bo
     component = connected_components(links)
     joined = rows.select("doc_id", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     joined = checkpoint(joined)
-    classes = joined.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id", "node")).alias("first"))
+    classes = joined.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "node")).alias("first"))
     copies = joined.groupBy("node").agg(F.count(F.lit(1)).alias("n_copies"))
     out = joined.join(classes, "component").join(copies, "node")
     return out.select(

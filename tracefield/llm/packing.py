@@ -29,9 +29,17 @@ from tracefield.session import checkpoint
 def plan_sequences(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths of one sequence, number of sequences) that use every piece once.
 
-    Exact fills first: for the longest lengths first, one complement, then pairs,
-    then triples; the rest goes, longest first, into the fullest sequence with room.
+    Exact fills by one complement never cost a sequence. Exact fills by pairs
+    and triples may use up short pieces that long ones need, so the plans that
+    fill with up to one, two and three pieces are all made, on counts alone, and
+    the shortest is taken (of equal ones, that with the most exact fills).
     """
+    plans = [_plan(counts, size, depth) for depth in (3, 2, 1)]
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
+def _plan(counts: dict[int, int], size: int, depth: int) -> list[tuple[tuple[int, ...], int]]:
+    """Exact fills with up to ``depth`` pieces, longest lengths first; the rest goes, longest first, into the fullest sequence with room."""
     have = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
         have[length] += n
@@ -55,7 +63,7 @@ def plan_sequences(counts: dict[int, int], size: int) -> list[tuple[tuple[int, .
     for longest in range(size - 1, 0, -1):
         if have[longest]:
             use((longest, size - longest))
-    for longest in range(size - 1, 0, -1):
+    for longest in range(size - 1, 0, -1) if depth > 1 else ():
         gap = size - longest
         while have[longest]:
             a = np.arange(gap - 1, (gap - 1) // 2, -1)
@@ -63,7 +71,7 @@ def plan_sequences(counts: dict[int, int], size: int) -> list[tuple[tuple[int, .
             found = next((t for x in a.tolist() if enough(t := (longest, x, gap - x))), None)
             if found is None or not use(found):
                 break
-    for longest in range(size - 1, 0, -1):
+    for longest in range(size - 1, 0, -1) if depth > 2 else ():
         gap = size - longest
         while have[longest]:
             there = (have[: gap + 1] > 0).astype(float)
