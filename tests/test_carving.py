@@ -131,21 +131,20 @@ def test_image_writer_and_checksums(spark, tmp_path):
     data = random.Random(3).randbytes(5000)
     chunks = chunks_of(spark, data, 512)
     im.write_image(chunks, str(tmp_path / "out"))
-    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("chunk_no").collect()
-    assert b"".join(zlib.decompress(bytes(r.body)) for r in rows) == data
-    assert all(zlib.crc32(zlib.decompress(bytes(r.body))) == r.crc32 for r in rows)
+    rows = im.read_written_image(spark, str(tmp_path / "out")).orderBy("chunk_no").collect()
+    assert b"".join(bytes(r.data) for r in rows) == data and all(r.sound for r in rows)
     h = im.chunk_hashes(chunks).orderBy("chunk_no").first()
     assert h.sha512 == hashlib.sha512(data[:512]).hexdigest() and h.crc32 == zlib.crc32(data[:512])
     idx = im.image_index(chunks).orderBy("chunk_no").collect()
     assert [r.offset for r in idx] == [i * 512 for i in range(len(idx))]
 
 
-def test_signature_list_beyond_the_scan_limit(spark, monkeypatch):
+def test_signature_list_longer_than_one_scan_takes(spark, monkeypatch):
     data = b"..abcd..abce..xbcd" * 20
     sigs = sg.signatures_of(spark, [("A", "", b"abcd".hex(), "", 9, 0), ("B", "", b"abc".hex(), "", 9, 0), ("C", "", b"xbcd".hex(), "", 9, 0)])
     chunks = chunks_of(spark, data, len(data))
     few = sorted(map(tuple, cv.match_signatures(chunks, sigs).collect()))
-    monkeypatch.setattr(cv, "MAX_SCAN_PATTERNS", 2)
+    monkeypatch.setattr(cv, "PATTERNS_PER_SCAN", 2)
     assert sorted(map(tuple, cv.match_signatures(chunks, sigs).collect())) == few
 
 

@@ -69,10 +69,10 @@ def test_asof(spark, rows):
 
 
 def test_exact_median(rows):
-    got = {r.k: r["median"] for r in exact_median(rows, ["k"], F.col("t"), 50.0).collect()}
+    got = {r.k: r["median"] for r in exact_median(rows, ["k"], F.col("t")).collect()}
     want = rows.toPandas().groupby("k").t.median().to_dict()
     assert got == want
-    assert exact_median(rows, [], F.col("t"), 50.0).first()["median"] == rows.toPandas().t.median()
+    assert exact_median(rows, [], F.col("t")).first()["median"] == rows.toPandas().t.median()
 
 
 def test_similar_scenarios_against_numpy(spark):

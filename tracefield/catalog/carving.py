@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracefield.catalog.bytestats import VALIDATED, _mime, validated
@@ -9,7 +11,7 @@ from tracefield.operators import carving as cv
 from tracefield.operators import imaging as im
 from tracefield.operators import reports as rp
 from tracefield.sources import signatures as sg
-from tracefield.session import small_table
+from tracefield.session import small_table, work_dir
 from tracefield.sources import tables as tb
 
 QUERIES, ORACLE = {}, {}
@@ -104,15 +106,14 @@ ORACLE["r1_carve"] = CARVED + "select image_id, name, start_offset, end_offset,
 
 
 def r1_bytes(spark, d):
-    one = sg.signatures_of(spark, [PAGE_SIGNATURES[0]])
     chunks = tb.ev_image(spark, d)
-    ranges = cv.carve(chunks, one, span=1 << 16)
-    return cv.carved_bytes(ranges, chunks, 1 << 14).select("start_offset", F.octet_length("content").alias("size"), F.md5("content").alias("md5"))
+    ranges = cv.carve(chunks, sigs(spark), span=1 << 16)
+    return cv.carved_bytes(ranges, chunks, 1 << 14).select("name", "start_offset", F.octet_length("content").alias("size"), F.md5("content").alias("md5"))
 
 
 QUERIES["r1_carved_bytes"] = r1_bytes
 ORACLE["r1_carved_bytes"] = CARVED + """, img as (select string_agg(hex(encode(html)), '' order by page_id) as hx from pages)
- select start_offset, size, md5(unhex(substr(hx, 2*start_offset+1, 2*size))) as md5 from carved, img where name = 'HTML Page'"""
+ select name, start_offset, size, md5(unhex(substr(hx, 2*start_offset+1, 2*size))) as md5 from carved, img"""
 
 QUERIES["a1_carving_stats"] = lambda spark, d: cv.carving_stats(carved(spark, d))
 ORACLE["a1_carving_stats"] = CARVED + """select name, count(*) as files, count(*) filter (is_complete) as complete, min(size) as min_size, max(size) as max_size,
@@ -126,13 +127,13 @@ ORACLE["f17_carve_filters"] = CARVED + "select name, start_offset, size from car
 
 
 def r2(spark, d):
-    parts = carved(spark, d).filter("is_complete and name <> 'Percent run'").groupBy("image_id", "name", F.col("start_offset").alias("offset")).agg(F.max("size").alias("size"))
+    parts = carved(spark, d).filter("is_complete").groupBy("image_id", "name", F.col("start_offset").alias("offset")).agg(F.max("size").alias("size"))
     return cv.fragmented(parts, ["image_id", "name"], 3000, 5, span=1 << 16)
 
 
 QUERIES["r2_carve_fragmented"] = r2
 ORACLE["r2_carve_fragmented"] = CARVED + """, l as (select *, case when start_offset - lag(end_offset) over w <= 3000 then 0 else 1 end as st from carved
-   where is_complete and name <> 'Percent run' window w as (partition by name order by start_offset)),
+   where is_complete window w as (partition by name order by start_offset)),
   g as (select *, sum(st) over (partition by name order by start_offset) as run from l)
  select image_id, name, count(*) as fragments, min(start_offset) as start_offset, max(end_offset) as end_offset, sum(size)::bigint as bytes
  from g group by image_id, name, run having count(*) > 1 and count(*) <= 5"""
@@ -151,12 +152,12 @@ def s6(spark, d):
         "o_orderkey",
         F.transform(F.sequence(F.lit(0), F.col("o_custkey") % 4), lambda i: (F.col("o_orderkey") * 7 + i * 13) % n).alias("chain"),
     )
-    clusters = pages.select(F.col("page_id").alias("cluster_no"), F.encode(F.substring("url", 1, 64), "utf-8").alias("data"))
+    clusters = pages.select(F.col("page_id").alias("cluster_no"), F.encode("html", "utf-8").alias("data"))
     return im.read_clusters(files, "o_orderkey", "chain", clusters).select("o_orderkey", F.md5("content").alias("md5"))
 
 
 QUERIES["s6_read_clusters"] = s6
-ORACLE["s6_read_clusters"] = """select o_orderkey, md5(string_agg(substr(url, 1, 64), '' order by i)) as md5 from
+ORACLE["s6_read_clusters"] = """select o_orderkey, md5(string_agg(html, '' order by i)) as md5 from
  (select o_orderkey, i, (o_orderkey*7 + i*13) % (select count(*) from pages) as c from (select o_orderkey, unnest(range(o_custkey % 4 + 1)) as i from orders))
  join pages on page_id = c group by 1"""
 
@@ -198,6 +199,17 @@ QUERIES["a42_hash_root"] = lambda spark, d: im.hash_root(tb.ev_image(spark, d),
 ORACLE["a42_hash_root"] = """with a as (select page_id // 64 as n, sha256(string_agg(sha256(html), '' order by page_id)) as h from pages group by 1),
  b as (select n // 64 as m, sha256(string_agg(h, '' order by n)) as h from a group by 1)
 select 'pages' as image_id, m // 64 as part, sha256(string_agg(h, '' order by m)) as root from b group by 2"""
+
+
+def s17(spark, d):
+    """The image written to shared storage and read back, each chunk checked."""
+    path = f"{work_dir(spark)}/image-{uuid.uuid4().hex}"
+    im.write_image(tb.ev_image(spark, d), path)
+    return im.read_written_image(spark, path).select("image_id", "chunk_no", F.octet_length("data").alias("size"), F.md5("data").alias("md5"), "sound")
+
+
+QUERIES["s17_written_image"] = s17
+ORACLE["s17_written_image"] = "select 'pages' as image_id, page_id as chunk_no, strlen(html) as size, md5(html) as md5, true as sound from pages"
 QUERIES["s17_image_index"] = lambda spark, d: im.image_index(tb.ev_image(spark, d)).select("chunk_no", "size", "offset")
 ORACLE["s17_image_index"] = f"""select chunk_no, n as size, base_offset as "offset" from {tb.EV_IMAGE}"""
 

@@ -67,6 +67,26 @@ ATOMS = f"""p as (select file_id, size as n, 68 + 4*(file_id % 4) as ml, case wh
 QUERIES["g6_atom_walk"] = lambda spark, d: ct.atom_walk(mp4_files(spark, d))
 ORACLE["g6_atom_walk"] = f"with {ATOMS} select * from atoms"
 
+QUERIES["g6_moov_structure"] = lambda spark, d: ct.moov_structure(ct.atom_walk(mp4_files(spark, d))).withColumn("damage", F.array_join("damage", ","))
+ORACLE["g6_moov_structure"] = f"""with {ATOMS} select file_id, mo is not null as has_moov, mo is not null as has_mvhd, case when mo is null then 0 else 1 end::bigint as tracks,
+ case when mo is null then 'HEADER_DAMAGE' else '' end as damage from q where exists (select 1 from atoms a where a.file_id = q.file_id)"""
+
+
+def seconds(spark, d):
+    """Movie headers of both versions, made of the file's key and size."""
+    f = tb.ev_files(spark, d).select("file_id", "size")
+    i, n = F.col("file_id"), F.col("size")
+    head = F.concat(be(F.lit(108), 4), asc("mvhd"))
+    v0 = F.concat(head, zeros(4), zeros(8), be(i % 3 * 300, 4), be(n, 4), zeros(80))
+    v1 = F.concat(head, F.lit("01000000"), zeros(16), be(i % 3 * 300, 4), be(n * 5000000000, 8), zeros(80))
+    moov = F.concat(zeros(4), asc("moov"), F.when(i % 5 == 4, F.lit("")).when(i % 2 == 0, v0).otherwise(v1))
+    return f.select("file_id", ct.movie_seconds_udf(F.unhex(moov)).alias("x")).select("file_id", "x.*")
+
+
+QUERIES["r12_movie_seconds"] = seconds
+ORACLE["r12_movie_seconds"] = f"""select file_id, case when file_id % 5 <> 4 then file_id % 2 end::int as version, case when file_id % 5 <> 4 then file_id % 3 * 300 end::bigint as time_scale,
+ case when file_id % 5 <> 4 and file_id % 3 > 0 then size * (case when file_id % 2 = 0 then 1 else 5000000000 end)::double / (file_id % 3 * 300)::double end as seconds from {tb.EV_FILES}"""
+
 QUERIES["r12_expected_mdat"] = lambda spark, d: mp4_files(spark, d).select("file_id", ct.expected_mdat_udf(F.col("moov")).alias("x")).select("file_id", "x.*")
 ORACLE["r12_expected_mdat"] = f"""select file_id, floor((case when file_id % 4 = 0 then 100*(size // 100 + 1) when size // 3 = 0 then 10485760 else (file_id % 4)*(size // 3) end)::double * 1.1::double)::bigint as expected_mdat,
  size*2 as duration, file_id + 1000 as created, 1 as tracks from {tb.EV_BYTES}"""

@@ -97,15 +97,14 @@ ORACLE["s13_indexed_names"] = CARVED + f"select lpad((row_number() over (order b
 
 
 def x1(spark, d):
-    one = sg.signatures_of(spark, [PAGE_SIGNATURES[0], PAGE_SIGNATURES[2]])
     chunks = tb.ev_image(spark, d)
-    carved = cv.carve(chunks, one, span=1 << 16)
+    carved = cv.carve(chunks, sg.signatures_of(spark, PAGE_SIGNATURES), span=1 << 16)
     body = cv.carved_bytes(carved, chunks, 1 << 14)
     return dd.validate_carved(body, {"HTML Page": lambda b: b.endswith(b"</html>")}).select("name", "start_offset", "valid")
 
 
 QUERIES["x1_custom_validator"] = x1
-ORACLE["x1_custom_validator"] = CARVED + "select name, start_offset, case when name = 'HTML Page' then is_complete end as valid from carved where name in ('HTML Page', 'Title')"
+ORACLE["x1_custom_validator"] = CARVED + "select name, start_offset, case when name = 'HTML Page' then is_complete end as valid from carved"
 
 
 def part_signatures(spark, d):

@@ -351,9 +351,9 @@ select k.vec_id, round(sum((a-ma)*(b-mb)) / (sqrt(sum((a-ma)**2))*sqrt(sum((b-mb
 def m18(spark, d):
     """Outlying files: distance of the size from the median in units of the median deviation."""
     f = tb.ev_files(spark, d).select("file_id", "ext", F.col("size").cast("double").alias("x"))
-    med = exact_median(f, ["ext"], F.col("x"), 1000.0, "med")
+    med = exact_median(f, ["ext"], F.col("x"), "med")
     g = f.join(med, "ext").withColumn("dev", F.abs(F.col("x") - F.col("med")))
-    mad = exact_median(g, ["ext"], F.col("dev"), 1000.0, "mad")
+    mad = exact_median(g, ["ext"], F.col("dev"), "mad")
     z = F.col("dev") * 0.6745 / F.col("mad")
     return g.join(mad, "ext").filter((F.col("mad") > 0) & (z > 3.5)).select("file_id", "ext", F.round(z, 6).alias("score"))
 

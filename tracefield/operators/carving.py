@@ -241,27 +241,29 @@ def carve(
 def overlapping_pieces(ranges: DataFrame, chunks: DataFrame, span: int = 1 << 20) -> DataFrame:
     """Bytes of each range as ordered pieces (image_id, name, start_offset, piece_offset, piece).
 
-    Both sides are cut into ``span`` wide cells and joined on the cell; a pair
-    that shares several cells is kept in the first one only.
+    Which chunk holds which part of a range is found on chunk places alone, cut
+    into ``span`` wide cells. Each chunk then meets the list of parts wanted of
+    it once, cuts them, and only the pieces go on; chunks that nothing is
+    wanted of are left where they are.
     """
     first = F.floor(F.col("start_offset") / span)
     r = ranges.withColumn("_cell", F.explode(F.sequence(first, F.floor((F.col("end_offset") - 1) / span)))).withColumn("_rc", first)
-    c_end = F.col("base_offset") + F.octet_length("data")
+    places = chunks.select("image_id", "chunk_no", "base_offset", (F.col("base_offset") + F.octet_length("data")).alias("_stop")).filter(F.col("_stop") > F.col("base_offset"))
     c_first = F.floor(F.col("base_offset") / span)
-    c = (
-        chunks.filter(F.octet_length("data") > 0)
-        .withColumn("_cell", F.explode(F.sequence(c_first, F.floor((c_end - 1) / span))))
-        .withColumn("_cc", c_first)
-    )
+    c = places.withColumn("_cell", F.explode(F.sequence(c_first, F.floor((F.col("_stop") - 1) / span)))).withColumn("_cc", c_first)
     lo = F.greatest("start_offset", "base_offset")
-    hi = F.least(F.col("end_offset"), c_end)
-    return (
+    hi = F.least("end_offset", "_stop")
+    # a pair that shares several cells is kept in the first one only
+    wanted = (
         r.join(c, ["image_id", "_cell"])
         .filter((lo < hi) & (F.col("_cell") == F.greatest("_rc", "_cc")))
-        .select(
-            "image_id", "name", "start_offset", lo.alias("piece_offset"),
-            F.substring(F.col("data"), (lo - F.col("base_offset") + 1).cast("int"), (hi - lo).cast("int")).alias("piece"),
-        )
+        .select("image_id", "chunk_no", "name", "start_offset", lo.alias("piece_offset"), (hi - lo).cast("int").alias("_n"))
+        .groupBy("image_id", "chunk_no").agg(F.collect_list(F.struct("name", "start_offset", "piece_offset", "_n")).alias("_w"))
+    )
+    cut = chunks.join(checkpoint(wanted), ["image_id", "chunk_no"]).select("image_id", "base_offset", "data", F.explode("_w").alias("w"))
+    return cut.select(
+        "image_id", "w.name", "w.start_offset", "w.piece_offset",
+        F.substring(F.col("data"), (F.col("w.piece_offset") - F.col("base_offset") + 1).cast("int"), F.col("w._n")).alias("piece"),
     )
 
 

@@ -21,23 +21,26 @@ ATOM_ROW = "atom_type string, offset bigint, size bigint, header_size int, level
 
 
 def walk_atoms(d: bytes, start: int, end: int, level: int = 0, parent=None):
-    """Atom rows in file order; stops at the first impossible size."""
-    at = start
-    while at + 8 <= end:
+    """Atom rows in file order, at any depth; a level stops at its first impossible size."""
+    open_levels = [(start, end, level, parent)]
+    while open_levels:
+        at, end, level, parent = open_levels.pop()
+        if at + 8 > end:
+            continue
         (size,) = struct.unpack_from(">I", d, at)
         kind, head = d[at + 4 : at + 8].decode("ascii", "ignore"), 8
         if size == 1:
             if at + 16 > end:
-                return
+                continue
             (size,), head = struct.unpack_from(">Q", d, at + 8), 16
         elif size == 0:
             size = end - at
         if not head <= size <= end - at:
-            return
+            continue
         yield kind, at, size, head, level, parent
+        open_levels.append((at + size, end, level, parent))
         if kind in CONTAINER_ATOMS:
-            yield from walk_atoms(d, at + head, at + size, level + 1, at)
-        at += size
+            open_levels.append((at + head, at + size, level + 1, at))
 
 
 def atom_walk(files: DataFrame, key: str = "file_id", data: str = "data") -> DataFrame:
@@ -53,6 +56,40 @@ def atom_walk(files: DataFrame, key: str = "file_id", data: str = "data") -> Dat
     return files.select(key, data).mapInPandas(walk, f"{key} {key_type}, {ATOM_ROW}")
 
 
+def moov_structure(atoms: DataFrame, key: str = "file_id") -> DataFrame:
+    """Per file: whether the movie atom and its header are there, number of tracks, damage found.
+
+    No movie atom or no ``mvhd``: HEADER_DAMAGE; a movie without a track: STRUCTURE_DAMAGE.
+    """
+    kind = F.col("atom_type")
+    g = atoms.groupBy(key).agg(
+        F.bool_or((kind == "moov") & (F.col("level") == 0)).alias("has_moov"), F.bool_or((kind == "mvhd") & (F.col("level") == 1)).alias("has_mvhd"),
+        F.sum(((kind == "trak") & (F.col("level") == 1)).cast("bigint")).alias("tracks"),
+    )
+    flags = F.filter(F.array(
+        F.when(~F.col("has_moov") | ~F.col("has_mvhd"), "HEADER_DAMAGE"), F.when(F.col("has_moov") & (F.col("tracks") == 0), "STRUCTURE_DAMAGE")
+    ), lambda x: x.isNotNull())
+    return g.withColumn("damage", flags)
+
+
+_TIMES = T.StructType([T.StructField("version", T.IntegerType()), T.StructField("time_scale", T.LongType()), T.StructField("seconds", T.DoubleType())])
+
+
+@F.pandas_udf(_TIMES)
+def movie_seconds_udf(moov: pd.Series) -> pd.DataFrame:
+    """Version, time scale and length in seconds of a movie header: 32-bit times in version 0, 64-bit in version 1."""
+    rows = []
+    for d in moov:
+        at = d.find(b"mvhd") + 4
+        wide = at >= 4 and len(d) > at and d[at] == 1
+        if at < 4 or len(d) < at + (32 if wide else 20):
+            rows.append((None, None, None))
+            continue
+        scale, length = struct.unpack_from(">IQ" if wide else ">II", d, at + (20 if wide else 12))
+        rows.append((int(wide), scale, length / scale if scale else None))
+    return pd.DataFrame(rows, columns=["version", "time_scale", "seconds"]).astype({"version": "Int32", "time_scale": "Int64", "seconds": "Float64"})
+
+
 _TAGS = T.ArrayType(T.StructType([
     T.StructField("atom_type", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("size", T.LongType()),
 ]))

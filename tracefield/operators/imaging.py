@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracefield.operators import ordered as od
 from tracefield.session import checkpoint
@@ -98,11 +94,6 @@ def hash_root(chunks: DataFrame, fan: int = 1024, levels: int = 3) -> DataFrame:
     return level.select("image_id", F.col("n").alias("part"), F.col("h").alias("root"))
 
 
-@F.pandas_udf(T.BinaryType())
-def deflate_udf(data: pd.Series) -> pd.Series:
-    return data.map(lambda d: zlib.compress(d, 6))
-
-
 def image_index(chunks: DataFrame, span: int = 4096) -> DataFrame:
     """Index of a written image: offset, size and checksum of each chunk."""
     sized = chunks.select("image_id", "chunk_no", F.octet_length("data").cast("bigint").alias("size"), F.crc32("data").alias("crc32"))
@@ -112,11 +103,17 @@ def image_index(chunks: DataFrame, span: int = 4096) -> DataFrame:
 
 
 def write_image(chunks: DataFrame, path: str, compress: bool = True) -> None:
-    """Chunks as Parquet, range-partitioned by position, with checksum; optionally deflated."""
-    body = deflate_udf(F.col("data")) if compress else F.col("data")
+    """Chunks as Parquet, range-partitioned by position, with checksum; the file format compresses."""
     (
-        chunks.select("image_id", "chunk_no", F.crc32("data").alias("crc32"), F.octet_length("data").alias("size"), body.alias("body"))
+        chunks.select("image_id", "chunk_no", F.crc32("data").alias("crc32"), F.octet_length("data").alias("size"), F.col("data").alias("body"))
         .repartitionByRange("image_id", "chunk_no")
         .sortWithinPartitions("image_id", "chunk_no")
-        .write.mode("overwrite").option("compression", "none" if compress else "zstd").parquet(path)
+        .write.mode("overwrite").option("compression", "zstd" if compress else "none").parquet(path)
     )
+
+
+def read_written_image(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks of a written image (image_id, chunk_no, data) and whether each still has its size and checksum."""
+    w = spark.read.parquet(path)
+    sound = (F.crc32("body") == F.col("crc32")) & (F.octet_length("body") == F.col("size"))
+    return w.select("image_id", "chunk_no", F.col("body").alias("data"), sound.alias("sound"))

@@ -121,9 +121,9 @@ def robust_outliers(features: DataFrame, benign: DataFrame, key: str, limit: flo
     parallel (no file's or feature's values are gathered in one task).
     """
     long = benign.select(F.posexplode("values").alias("f", "x"))
-    med = exact_median(long, ["f"], F.col("x"), 1.0, "med")
+    med = exact_median(long, ["f"], F.col("x"), "med")
     dev = long.join(med, "f").withColumn("dev", F.abs(F.col("x") - F.col("med")))
-    mad = exact_median(dev, ["f"], F.col("dev"), 1.0, "mad")
+    mad = exact_median(dev, ["f"], F.col("dev"), "mad")
     scale = med.join(mad, "f")
     z = features.select(key, F.posexplode("values").alias("f", "x")).join(scale, "f").filter("mad > 0")
     return z.groupBy(key).agg(F.max(F.abs(F.col("x") - F.col("med")) * 0.6745 / F.col("mad")).alias("score")).withColumn(

@@ -105,7 +105,7 @@ def tool_performance(outcomes: DataFrame) -> DataFrame:
 
 def outcome_stats(outcomes: DataFrame) -> DataFrame:
     q = F.when(F.col("quality") > 0, F.col("quality"))
-    med = exact_median(outcomes, [], q, 0.01).scalar()
+    med = exact_median(outcomes, [], q).scalar()
     return outcomes.agg(
         F.count(F.lit(1)).alias("total_repairs"),
         F.coalesce(F.avg(F.col("success").cast("double")), F.lit(0.0)).alias("success_rate"),
