@@ -199,7 +199,7 @@ def striped6(u):
 
 
 def r5(spark, d):
-    a = arrays(spark, d)
+    a = tb.checkpoint(arrays(spark, d))
     return rd.raid_level(a.withColumnRenamed("stripe_no", "block_no"), a)
 
 

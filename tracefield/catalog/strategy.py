@@ -73,7 +73,7 @@ ORACLE["c14_feature_vector"] = f"select scenario_id, array_to_string(list_transf
 
 def neighbours(spark, d, k):
     """Targets are the newest scenario of each container; history is every other one with an outcome."""
-    v = vecs(spark, d)
+    v = tb.checkpoint(vecs(spark, d).select("scenario_id", "container_format", "ts", "vec"))
     newest = v.groupBy("container_format").agg(F.max_by("scenario_id", F.struct("ts", "scenario_id")).alias("id"))
     t = v.join(newest.select("id"), F.col("scenario_id") == F.col("id"), "left_semi").select(F.col("scenario_id").alias("id"), "vec")
     h = v.join(newest.select("id"), F.col("scenario_id") == F.col("id"), "left_anti").select(F.col("scenario_id").alias("id"), "vec")

@@ -135,8 +135,9 @@ ORACLE["c9_counterparties"] = f"select tx_id, leg, to_addr, value, array_to_stri
 
 def risk_flags(spark, d):
     flags = tg.watchlist_flag(all_addrs(spark, d), watch_lists(spark, d), ["blacklisted", "exchange", "sanctioned"])
-    mix = tg.mixer_features(tb.tx_graph(spark, d), PATTERNS)
-    spikes = tg.activity_spikes(tb.tx_graph(spark, d), 3.0).select("addr").distinct().withColumn("suspicious_timing", F.lit(True))
+    graph = tb.checkpoint(tb.tx_graph(spark, d))
+    mix = tg.mixer_features(graph, PATTERNS)
+    spikes = tg.activity_spikes(graph, 3.0).select("addr").distinct().withColumn("suspicious_timing", F.lit(True))
     out = flags.join(mix, "addr", "left").join(spikes, "addr", "left")
     no = F.lit(False)
     return tg.address_risk(out.select(

@@ -67,6 +67,9 @@ def trace_flow(edges: DataFrame, source: str, depth: int = 5, ordered_time: bool
     With ``ordered_time`` money moves on only at or after it arrived.
     """
     e = edges.select("from_addr", "to_addr", "value", "ts")
+    if not ordered_time:  # every hop joins the edges: one per pair, written once
+        e = e.groupBy("from_addr", "to_addr").agg(F.sum("value").alias("value"), F.min("ts").alias("ts"))
+    e = checkpoint(e)
     ts_type = edges.schema["ts"].dataType
     seen = edges.sparkSession.range(1).select(
         F.lit(source).alias("addr"), F.lit(0).alias("hops"), F.array(F.lit(source)).alias("path"),
@@ -98,7 +101,7 @@ def shortest_path(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Goes on, level by level, until ``b`` is met or nothing new is reached.
     """
-    e = edges.select("from_addr", "to_addr").distinct()
+    e = checkpoint(edges.select("from_addr", "to_addr").distinct())
     seen = edges.sparkSession.range(1).select(F.lit(a).alias("addr"), F.array(F.lit(a)).alias("path"))
     frontier, found, hop = seen, None, 0
     while found is None:

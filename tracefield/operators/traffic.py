@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracefield.functions import fixed_values as fv
 from tracefield.operators import ordered as od
+from tracefield.session import checkpoint
 
 
 def protocol_distribution(packets: DataFrame) -> DataFrame:
@@ -247,7 +248,8 @@ SEVERITY = {"exfiltration": 0.9, "ddos": 0.8, "malicious_traffic": 0.8, "port_sc
 
 
 def union_anomalies(packets: DataFrame, ports=5, window="1 day", sources=8, share_pct=5.0, k=2.0) -> DataFrame:
-    """The five detectors under one schema (kind, subject, severity, detail)."""
+    """The five detectors under one schema (kind, subject, severity, detail); the packets are read once."""
+    packets = checkpoint(packets)
 
     def shape(df, kind, subject, detail):
         return df.select(

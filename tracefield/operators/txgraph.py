@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefield.operators import ordered as od
+from tracefield.session import checkpoint
 
 
 def watchlist_flag(addrs: DataFrame, lists: DataFrame, names: list[str]) -> DataFrame:
@@ -177,7 +178,7 @@ def daily_activity(edges: DataFrame) -> DataFrame:
 
 def dormant_periods(edges: DataFrame, days: int) -> DataFrame:
     """Gaps of at least ``days`` between active days of an address."""
-    d = daily_activity(edges)
+    d = checkpoint(daily_activity(edges))
     lagged = od.lag_value(d, ["addr"], ["day"], F.trunc("day", "year"), F.col("day"), "previous_day")
     return (
         lagged.withColumn("gap_days", F.date_diff("day", "previous_day"))
@@ -188,6 +189,6 @@ def dormant_periods(edges: DataFrame, days: int) -> DataFrame:
 
 def activity_spikes(edges: DataFrame, k: float) -> DataFrame:
     """Days with more than mean + k sd transactions of that address."""
-    d = daily_activity(edges)
+    d = checkpoint(daily_activity(edges))
     s = d.groupBy("addr").agg((F.avg("n") + k * F.stddev_pop("n")).alias("_limit"))
     return d.join(s, "addr").filter(F.col("n") > F.col("_limit")).select("addr", "day", "n")
