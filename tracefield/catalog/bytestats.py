@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracefield.catalog.text import ORACLE as TEXT_ORACLE
 from tracefield.functions import bytesops as by
 from tracefield.functions import filetypes as ft
 from tracefield.functions import fixed_values as fv
+from tracefield.functions import textops as tx
 from tracefield.sources import tables as tb
 
 QUERIES, ORACLE = {}, {}
@@ -307,6 +309,25 @@ def f27(spark, d):
     )
 
 
+def f27_text(spark, d):
+    """Text features of the text files, over the whole text, and how old each file is at the newest one's time."""
+    files = tb.ev_files(spark, d).select("file_id", "text", "size", ft.mime_of(F.lit("txt")).alias("mime"))
+    stats = tx.text_stats(files)
+    changed = F.timestamp_seconds(F.col("file_id") * 3600)
+    newest = F.timestamp_seconds(F.lit(files.agg(F.max("file_id")).first()[0] * 3600))
+    letters = F.length(F.regexp_replace("text", "[^A-Za-z]", ""))
+    digits = F.length(F.regexp_replace("text", "[^0-9]", ""))
+    return stats.select(
+        "file_id", "size", "mime", "chars", "words", "lines", F.round("avg_word_length", 6).alias("avg_word_length"),
+        letters.alias("letters"), digits.alias("digits"), F.date_diff(newest, changed).alias("age_days"),
+    )
+
+
+QUERIES["f27_text_features"] = f27_text
+ORACLE["f27_text_features"] = f"""select f.file_id, size, 'text/plain' as mime, chars, words, lines, avg_word_length, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as letters,
+ length(regexp_replace(text, '[^0-9]', '', 'g')) as digits, datediff('day', make_timestamp(f.file_id * 3600000000), (select make_timestamp(max(file_id) * 3600000000) from {tb.EV_FILES})) as age_days
+ from {tb.EV_FILES} f join ({TEXT_ORACLE['a12_text_stats']}) s on s.file_id = f.file_id"""
+
 _mime = "case ext " + " ".join(f"when '{k}' then '{v}'" for k, v in ft.MIME_BY_EXTENSION.items()) + " end"
 HEAD_ENT = f"""(select file_id, {ENT} as he from (select file_id, b, count(*) as n from {tb.byte_rows(tb.TYPED)} where pos < 512 group by all) group by 1)"""
 QUERIES["f27_file_features"] = f27

@@ -29,14 +29,35 @@ def fresh(spark, name):
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def text_folder(spark, d):
+    """Every text as a file of its own, in a folder per language."""
+    folder = fresh(spark, "texts")
+    f = tb.ev_bytes(spark, d)
+    name = F.concat(F.col("file_id").cast("string"), F.lit("."), "ext")
+    rc.export_files(f.select(F.col("ext").alias("image_id"), name.alias("file_name"), F.col("data").alias("content")), folder)
+    return folder
+
+
 def s4(spark, d):
-    """The stored table file itself as a byte image."""
-    img = im.read_image(spark, f"{d}/lineitem.parquet", 1 << 18, 16)
-    return img.select("chunk_no", "base_offset", "length", F.crc32("data").alias("crc32"))
+    """The texts' files as byte images, in chunks that overlap."""
+    img = im.read_image(spark, text_folder(spark, d), 1024, 16)
+    name = F.element_at(F.split("image_id", "/"), -1)
+    return img.select(F.split(name, r"\.")[0].cast("bigint").alias("file_id"), "chunk_no", "base_offset", "length", F.md5("data").alias("md5"))
 
 
 QUERIES["s4_read_image"] = s4
-QUERIES["s9_scan_files"] = lambda spark, d: im.scan_files(spark, d, [".PARQUET"]).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.round("size_mb", 6).alias("size_mb"))
+ORACLE["s4_read_image"] = f"""select file_id, i as chunk_no, i*1024 as base_offset, least(size - i*1024, 1024)::int as length, md5(unhex(substr(hx, (2048*i+1)::bigint, 2080))) as md5
+ from (select *, unnest(range((size + 1023) // 1024)) as i from {tb.EV_BYTES})"""
+
+
+def s9(spark, d):
+    """The texts' files of two languages, listed."""
+    found = im.scan_files(spark, text_folder(spark, d), [".EN", ".de"])
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.round("size_mb", 6).alias("size_mb"))
+
+
+QUERIES["s9_scan_files"] = s9
+ORACLE["s9_scan_files"] = f"select file_id || '.' || ext as name, round(size / 1048576, 6) as size_mb from {tb.EV_BYTES} where ext in ('en', 'de')"
 
 
 def s7(spark, d):

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -18,7 +17,11 @@ class ByteRange(InputPartition):
 
 
 class ByteImageReader(DataSourceReader):
-    """One partition per run of chunks; each task seeks to its own range of the shared file."""
+    """One partition per run of chunks; each task reads its own range of the shared file.
+
+    The path is a file, or a folder whose files are images each; a plain path
+    or a URI of a store that pyarrow knows (file, hdfs, s3, gs).
+    """
 
     def __init__(self, options):
         self.path = options["path"]
@@ -27,11 +30,21 @@ class ByteImageReader(DataSourceReader):
         self.run = int(options.get("chunksperpartition", 8))
 
     def partitions(self):
-        n = -(-os.path.getsize(self.path) // self.chunk)
-        return [ByteRange(self.path, i, min(i + self.run, n)) for i in range(0, n, self.run)]
+        store, name = self.store()
+        info = store.get_file_info(name)
+        files = store.get_file_info(fs.FileSelector(name, recursive=True)) if info.type == fs.FileType.Directory else [info]
+        out = []
+        for f in files:
+            if f.type == fs.FileType.File:
+                n = -(-f.size // self.chunk)
+                out += [ByteRange(f.path, i, min(i + self.run, n)) for i in range(0, n, self.run)]
+        return out
+
+    def store(self):
+        return fs.FileSystem.from_uri(self.path) if self.path.startswith("file:") or "://" in self.path else (fs.LocalFileSystem(), self.path)
 
     def read(self, part):
-        with open(part.path, "rb") as f:
+        with self.store()[0].open_input_file(part.path) as f:
             for i in range(part.first, part.last):
                 f.seek(i * self.chunk)
                 data = f.read(self.chunk + self.overlap)
@@ -51,7 +64,7 @@ class ByteImageSource(DataSource):
 
 
 def read_image(spark: SparkSession, path: str, chunk: int = 16 * MIB, overlap: int = 0) -> DataFrame:
-    """Fixed-size chunks of one large file on storage every executor can open.
+    """Fixed-size chunks of one large file, or of every file of a folder, on storage every executor can open.
 
     ``length`` is a chunk's own size; with ``overlap`` its data also carries
     that many bytes of the next one.
