@@ -268,3 +268,40 @@ QUERIES["m15_malware_detector"] = m15
 QUERIES["m16_train_strategy_model"] = m16
 QUERIES["m17_predict_strategy"] = m17
 QUERIES["m19_dominant_clusters"] = lambda spark, d: ln.dominant_clusters(tb.vectors(spark, d)).select("cluster", "members", "share")
+
+# models have no SQL twin; what must hold of their results has
+HOLDS = "count(*) as files, true as holds"
+
+
+def m14_holds(spark, d):
+    out = m14(spark, d).join(tb.typed_files(spark, d).select("file_id", "ext"), "file_id")
+    right = F.avg((F.col("predicted") == F.col("ext")).cast("double"))
+    return out.agg(F.count(F.lit(1)).alias("files"), ((right >= 0.9) & F.min(F.col("confidence").between(0, 1))).alias("holds"))
+
+
+def m15_holds(spark, d):
+    out = m15(spark, d)
+    right = F.avg(((F.col("predicted") == "malicious") == (F.col("file_id") % 3 == 0)).cast("double"))
+    return out.agg(F.count(F.lit(1)).alias("files"), ((right >= 0.9) & F.bool_and(F.col("flagged") == ((F.col("predicted") == "malicious") | F.col("outlier")))).alias("holds"))
+
+
+def m17_holds(spark, d):
+    """Predicted tools are tools that worked once, with a probability."""
+    known = [r.tool for r in outcomes(spark, d).filter("success").select("tool").distinct().collect()]
+    out = m17(spark, d).join(vecs(spark, d).select("scenario_id"), "scenario_id", "right")
+    ok = F.col("predicted").isNull() | (F.col("predicted").isin(known) & F.col("confidence").between(0, 1))
+    return out.agg(F.count(F.lit(1)).alias("files"), F.bool_and(ok).alias("holds"))
+
+
+QUERIES["m14_type_classifier_holds"] = m14_holds
+ORACLE["m14_type_classifier_holds"] = f"select {HOLDS} from {tb.TYPED}"
+QUERIES["m15_malware_detector_holds"] = m15_holds
+ORACLE["m15_malware_detector_holds"] = f"select {HOLDS} from {tb.EV_FILES}"
+QUERIES["m17_predict_strategy_holds"] = m17_holds
+ORACLE["m17_predict_strategy_holds"] = f"select {HOLDS} from {SCEN}"
+for _name, _query in (("m16_train_strategy_model", m16), ("m21_feature_importance", m21)):
+    QUERIES[f"{_name}_holds"] = lambda spark, d, q=_query: q(spark, d).agg((F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one"), (F.min("importance") >= 0).alias("positive"))
+    ORACLE[f"{_name}_holds"] = "select true as sums_to_one, true as positive"
+QUERIES["m19_dominant_clusters_holds"] = lambda spark, d: QUERIES["m19_dominant_clusters"](spark, d).agg(
+    F.sum("members").alias("members"), F.round(F.sum("share"), 6).alias("share"), (F.min("members") > 0).alias("filled"))
+ORACLE["m19_dominant_clusters_holds"] = "select count(*) as members, 1.0 as share, true as filled from embeddings"

@@ -70,7 +70,9 @@ def predict(model: PipelineModel, features: DataFrame, key: str) -> DataFrame:
 
 
 def feature_importance(model: PipelineModel, families: list[str], spark) -> DataFrame:
-    """Importance summed per feature family."""
+    """Importance summed per feature family; no rows without a model."""
+    if model is None:
+        return spark.createDataFrame([], "family string, importance double")
     imp = model.stages[-1].featureImportances.toArray()
     rows = spark.createDataFrame([(f, float(v)) for f, v in zip(families, imp)], "family string, importance double")
     return rows.groupBy("family").agg(F.sum("importance").alias("importance"))
@@ -151,7 +153,9 @@ def train_strategy_model(history: DataFrame, trees: int = 100, depth: int = 10,
 
 
 def predict_strategy(model: PipelineModel, scenarios: DataFrame) -> DataFrame:
-    """Tool and probability; a predicted failure gives no row."""
+    """Tool and probability; a predicted failure gives no row, and so does a history too short for a model."""
+    if model is None:
+        return scenarios.select("scenario_id", F.lit("").alias("predicted"), F.lit(0.0).alias("confidence")).filter("false")
     rows = scenarios.select("scenario_id", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("raw"))
     return predict(model, rows, "scenario_id").filter("predicted not in ('failed', 'unknown')")
 
