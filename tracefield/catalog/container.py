@@ -67,6 +67,27 @@ ATOMS = f"""p as (select file_id, size as n, 68 + 4*(file_id % 4) as ml, case wh
 QUERIES["g6_atom_walk"] = lambda spark, d: ct.atom_walk(mp4_files(spark, d))
 ORACLE["g6_atom_walk"] = f"with {ATOMS} select * from atoms"
 
+def avi_files(spark, d):
+    """RIFF files around each text: header list and movie list, either lacking by file id; every 13th is cut short."""
+    i, n = F.col("file_id"), F.octet_length("data")
+    hdrl = F.when(i % 5 == 1, F.lit("")).otherwise(F.concat(asc("LIST"), le(F.lit(68), 4), asc("hdrl"), asc("avih"), le(F.lit(56), 4), zeros(56)))
+    body = F.concat(asc("00dc"), le(n, 4), F.hex("data"), F.repeat(F.lit("00"), (n % 2).cast("int")))
+    movi = F.when(i % 5 == 2, F.lit("")).otherwise(F.concat(asc("LIST"), le(12 + n + n % 2, 4), asc("movi"), body))
+    size = 4 + F.when(i % 5 == 1, 0).otherwise(76) + F.when(i % 5 == 2, 0).otherwise(20 + n + n % 2)
+    whole = F.concat(asc("RIFF"), le(size + F.when(i % 13 == 7, 1000).otherwise(0), 4), asc("AVI "), hdrl, movi)
+    return tb.ev_bytes(spark, d).select("file_id", F.unhex(whole).alias("data"))
+
+
+RIFF = f"""p as (select file_id, size as n, size % 2 as pad, case when file_id % 5 = 1 then 0 else 76 end as h, case when file_id % 5 = 2 then 0 else 20 + size + size % 2 end as m
+   from {tb.EV_BYTES} where file_id % 13 <> 7),
+ chunks as (select file_id, 'AVI ' as chunk, 0 as "offset", 4 + h + m as size, 0 as level, null::bigint as parent_offset from p
+  union all select file_id, 'hdrl', 12, 68, 1, 0 from p where h > 0 union all select file_id, 'avih', 24, 56, 2, 12 from p where h > 0
+  union all select file_id, 'movi', 12 + h, m - 8, 1, 0 from p where m > 0 union all select file_id, '00dc', 24 + h, n, 2, 12 + h from p where m > 0)"""
+QUERIES["g6_riff_walk"] = lambda spark, d: ct.riff_walk(avi_files(spark, d))
+ORACLE["g6_riff_walk"] = f"with {RIFF} select * from chunks"
+QUERIES["r13_avi_flags"] = lambda spark, d: (lambda f: ct.avi_flags(ct.riff_walk(f), f).withColumn("flags", F.array_join("flags", ",")))(avi_files(spark, d))
+ORACLE["r13_avi_flags"] = f"""select file_id, case when file_id % 13 = 7 then 'NOT_AVI,HDRL_MISSING,MOVI_MISSING' when file_id % 5 = 1 then 'HDRL_MISSING' when file_id % 5 = 2 then 'MOVI_MISSING' else '' end as flags from {tb.EV_BYTES}"""
+
 QUERIES["g6_moov_structure"] = lambda spark, d: ct.moov_structure(ct.atom_walk(mp4_files(spark, d))).withColumn("damage", F.array_join("damage", ","))
 ORACLE["g6_moov_structure"] = f"""with {ATOMS} select file_id, mo is not null as has_moov, mo is not null as has_mvhd, case when mo is null then 0 else 1 end::bigint as tracks,
  case when mo is null then 'HEADER_DAMAGE' else '' end as damage from q where exists (select 1 from atoms a where a.file_id = q.file_id)"""

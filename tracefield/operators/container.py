@@ -56,6 +56,51 @@ def atom_walk(files: DataFrame, key: str = "file_id", data: str = "data") -> Dat
     return files.select(key, data).mapInPandas(walk, f"{key} {key_type}, {ATOM_ROW}")
 
 
+RIFF_ROW = "chunk string, offset bigint, size bigint, level int, parent_offset bigint"
+
+
+def walk_riff(d: bytes):
+    """Chunk rows of a RIFF file in file order, at any depth: little-endian sizes, chunks begin at even places.
+
+    Lists go by their form type. A level stops at its first impossible size.
+    """
+    open_levels = [(0, len(d), 0, None)]
+    while open_levels:
+        at, end, level, parent = open_levels.pop()
+        if at + 8 > end:
+            continue
+        kind, (size,) = d[at : at + 4], struct.unpack_from("<I", d, at + 4)
+        stop = at + 8 + size
+        listed = kind in (b"RIFF", b"LIST")
+        if stop > end or listed and size < 4:
+            continue
+        yield (d[at + 8 : at + 12] if listed else kind).decode("ascii", "ignore"), at, size, level, parent
+        open_levels.append((stop + size % 2, end, level, parent))
+        if listed:
+            open_levels.append((at + 12, stop, level + 1, at))
+
+
+def riff_walk(files: DataFrame, key: str = "file_id", data: str = "data") -> DataFrame:
+    """One row per RIFF chunk, nested ones with their parent's offset."""
+
+    def walk(batches):
+        for pdf in batches:
+            rows = [(k, *c) for k, d in zip(pdf[key], pdf[data]) for c in walk_riff(d)]
+            yield pd.DataFrame(rows, columns=[key, "chunk", "offset", "size", "level", "parent_offset"]).astype({"parent_offset": "Int64"})
+
+    key_type = files.schema[key].dataType.simpleString()
+    return files.select(key, data).mapInPandas(walk, f"{key} {key_type}, {RIFF_ROW}")
+
+
+def avi_flags(chunks: DataFrame, files: DataFrame, key: str = "file_id") -> DataFrame:
+    """Damage of every file: NOT_AVI, HDRL_MISSING, MOVI_MISSING; an empty list where none is found."""
+    has = lambda name, level: F.coalesce(F.bool_or((F.col("chunk") == name) & (F.col("level") == level)), F.lit(False))
+    seen = chunks.groupBy(key).agg(has("AVI ", 0).alias("_avi"), has("hdrl", 1).alias("_hdrl"), has("movi", 1).alias("_movi"))
+    miss = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    flags = F.array(F.when(miss("_avi"), "NOT_AVI"), F.when(miss("_hdrl"), "HDRL_MISSING"), F.when(miss("_movi"), "MOVI_MISSING"))
+    return files.select(key).join(seen, key, "left").select(key, F.filter(flags, lambda x: x.isNotNull()).alias("flags"))
+
+
 def moov_structure(atoms: DataFrame, key: str = "file_id") -> DataFrame:
     """Per file: whether the movie atom and its header are there, number of tracks, damage found.
 
