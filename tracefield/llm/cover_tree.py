@@ -37,6 +37,8 @@ BLOCK, SAMPLE, CELLS = 4096, 2048, 256
 LEVELS = 6
 #: bounds decide only beyond this margin; nearer than that, the points themselves are compared
 MARGIN = 1e-7
+#: error allowed for a dot product of unit vectors in single precision
+SLACK = 1e-5
 STRIPE = 512
 
 
@@ -160,37 +162,40 @@ def traverse(a: Tree, b: Tree, same: bool, cosine: float) -> tuple[np.ndarray, n
             np.add.at(links_b, q, a.weight[p])
             linked.join(p.tolist(), (q + shift).tolist())
 
+    # bounds are taken in single precision, with slack; what they leave open is decided in double precision
+    xa, xb = a.x.astype(np.float32), b.x.astype(np.float32)
     for level in range(len(a.levels)):
-        ca, _, ra, pa_, na = a.levels[level]
-        cb, _, rb, pb, nb = b.levels[level]
-        point_a, point_b = np.bincount(a.levels[level][1]) == 1, np.bincount(b.levels[level][1]) == 1
+        ca, node_a, ra, above_a, _ = a.levels[level]
+        cb, node_b, rb, above_b, _ = b.levels[level]
+        point_a, point_b = np.bincount(node_a) == 1, np.bincount(node_b) == 1
+        live_a, live_b = np.flatnonzero(alive.any(1)[above_a]), np.flatnonzero(alive.any(0)[above_b])
         ahead = np.zeros((len(ca), len(cb)), bool)
-        xb = b.x[cb]
-        for s in range(0, len(ca), STRIPE):
-            rows = slice(s, min(s + STRIPE, len(ca)))
-            open_ = alive[pa_[rows]][:, pb]
-            if same:
-                open_ &= np.arange(len(cb))[None, :] >= np.arange(rows.start, rows.stop)[:, None]
-            if not open_.any():
-                continue
-            dot = a.x[ca[rows]] @ xb.T
-            bound = ra[rows, None] + rb[None, :]
-            # d > r + r' + reach, in terms of the dot product
-            open_ &= dot >= 1.0 - (bound + reach + MARGIN) ** 2 / 2
-            inner = reach - bound - MARGIN
-            full = open_ & (inner > 0) & (dot >= 1.0 - np.maximum(inner, 0) ** 2 / 2)
-            i, j = np.nonzero(full)
-            if len(i):
-                whole(level, np.stack([i + s, j], 1))
-                open_ &= ~full
-            ones = open_ & point_a[rows, None] & point_b[None, :]
-            i, j = np.nonzero(ones)
-            if len(i):
-                i, j = ca[i + s], cb[j]
-                keep = i != j if same else np.ones(len(i), bool)
-                single(i[keep], j[keep])
-                open_ &= ~ones
-            ahead[rows] = open_
+        for ones_a in (True, False):
+            for ones_b in (True, False):
+                cols = live_b[point_b[live_b] == ones_b]
+                some = live_a[point_a[live_a] == ones_a]
+                for rows in np.array_split(some, -(-len(some) // STRIPE)) if len(some) and len(cols) else ():
+                    dot = xa[ca[rows]] @ xb[cb[cols]].T
+                    if ones_a and ones_b:
+                        i, j = np.nonzero(dot >= 1.0 - (reach + MARGIN) ** 2 / 2 - SLACK)
+                        i, j = rows[i], cols[j]
+                        keep = alive[above_a[i], above_b[j]]
+                        if same:
+                            keep &= i < j
+                        single(ca[i[keep]], cb[j[keep]])
+                        continue
+                    open_ = alive[above_a[rows]][:, above_b[cols]]
+                    if same:
+                        open_ &= cols[None, :] >= rows[:, None]
+                    bound = ra[rows, None] + rb[None, cols]
+                    # d > r + r' + reach, in terms of the dot product
+                    open_ &= dot >= 1.0 - (bound + reach + MARGIN) ** 2 / 2 - SLACK
+                    i, j = np.nonzero(open_)
+                    inner = reach - ra[rows[i]] - rb[cols[j]] - MARGIN
+                    full = (inner > 0) & (dot[i, j] >= 1.0 - np.maximum(inner, 0) ** 2 / 2 + SLACK)
+                    if full.any():
+                        whole(level, np.stack([rows[i[full]], cols[j[full]]], 1))
+                    ahead[rows[i[~full]], cols[j[~full]]] = True
         # children need not lie in their parents' order
         alive = ahead | ahead.T if same else ahead
         if not alive.any():
