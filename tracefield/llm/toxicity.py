@@ -86,13 +86,13 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, penalty
     if not docs0 or not docs1:
         share = (docs1 + 1) / (docs0 + docs1 + 2)
         return {"places": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": float(np.log(share / (1 - share)))}
-    grams = sample.mapInArrow(count, "place long, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter("n0 + n1 >= 3").toPandas()
-    n0, n1 = grams["n0"].to_numpy(float), grams["n1"].to_numpy(float)
-    ratio = np.log((n1 + 1) / (docs1 + 2)) - np.log((n0 + 1) / (docs0 + 2))
-    error = np.sqrt(1 / (n1 + 1) + 1 / (n0 + 1) - 1 / (docs1 + 2) - 1 / (docs0 + 2))
-    best = np.argsort(-np.abs(ratio) / error, kind="stable")[:MAX_FEATURES]
-    best = best[np.argsort(grams["place"].to_numpy()[best])]
-    places, ratio = grams["place"].to_numpy(np.int64)[best], ratio[best]
+    grams = sample.mapInArrow(count, "place long, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter("n0 + n1 >= 3")
+    # the log ratio of the shares of texts with the feature, and how far it stands out of its standard error
+    ratio = F.log((F.col("n1") + 1) / (docs1 + 2)) - F.log((F.col("n0") + 1) / (docs0 + 2))
+    error = F.sqrt(1 / (F.col("n1") + 1) + 1 / (F.col("n0") + 1) - 1 / (docs1 + 2) - 1 / (docs0 + 2))
+    best = grams.select("place", ratio.alias("ratio"), (F.abs(ratio) / error).alias("z")).orderBy(F.desc("z"), "place").limit(MAX_FEATURES).collect()
+    best.sort(key=lambda r: r["place"])
+    places, ratio = np.array([r["place"] for r in best], np.int64), np.array([r["ratio"] for r in best], float)
     number = np.zeros(PLACES, np.int32)
     number[places] = np.arange(len(places))
     wanted = np.zeros(PLACES, bool)
