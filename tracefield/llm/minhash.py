@@ -12,20 +12,26 @@ Equal texts are one node from the start. Texts that agree in a band (rows of
 components) are candidates; J_P of candidates is computed from their whole
 shingle sets, and links are pairs at or above the threshold. 1 - J_P is a
 metric, but no bound is taken from it: within a bucket, pairs are left out only
-if their sketches are far apart or a chain of links joins them already.
+if their sketches are far apart or a chain of links joins them already. Each
+member is first compared with its bucket's least one; in buckets that are not
+one component by then, members of different components are compared in groups
+of bounded size that hold each text once: a spanning forest of the nearest
+sketches first, then all near pairs that are still not joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefield.llm.common import mix, slices, utf8, words
+from tracefield.llm.url_filter import bloom
 from tracefield.operators.graph import connected_components
 from tracefield.session import checkpoint
 
@@ -36,7 +42,7 @@ COMPONENTS = BANDS * ROWS
 #: sketches that agree in a smaller share of components are not verified: 3.9 standard errors below the threshold
 FAR = 0.605
 #: members of a bucket that one task compares; a larger bucket is cut in chunks and its pairs of chunks are dealt out
-CHUNK = 1024
+CHUNK = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -154,39 +160,71 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.mapInPandas(_agree, "u binary, v binary")
 
 
+class Sets:
+    """Shingle sets of texts, kept by node up to a bound."""
+
+    def __init__(self, most: int = 2_000_000):
+        self.kept: dict[bytes, tuple] = {}
+        self.size, self.most = 0, most
+
+    def get(self, node: bytes, text: str | None) -> tuple:
+        found = self.kept.get(node)
+        if found is None:
+            if self.size > self.most:
+                self.kept, self.size = {}, 0
+            _, value, count = shingles(*utf8(pa.array([text], pa.string())))
+            found = self.kept[node] = (value, count.astype(float))
+            self.size += len(value)
+        return found
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text), one row for each wanted node.
+
+    A Bloom filter of the wanted nodes (10 bits a node, 32 MB at most) keeps
+    other texts from moving; what it lets pass wrongly goes in the join.
+    """
+    keys = lambda c: [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2")]
+    wanted = checkpoint(wanted.distinct())
+    filtered = bloom(wanted.select(*keys("node")), max(1, wanted.count()), 0.01, 0)
+
+    @F.pandas_udf("boolean")
+    def maybe(h1: pd.Series, h2: pd.Series) -> pd.Series:
+        return pd.Series(filtered.hits(h1.to_numpy(), h2.to_numpy()))
+
+    rows = docs.select(node_of().alias("node"), "text").filter(maybe(*keys("node")))
+    return rows.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node", "left_semi")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Those (u, v) whose texts have J_P at or above the threshold; texts are fetched for the pairs' nodes only."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = docs.select(node_of().alias("node"), "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    texts = checkpoint(texts)
+    """Those (u, v) whose texts have J_P at or above the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[bytes, tuple] = {}
-
-        def sets(column, keys) -> list:
-            new = {k: i for i, k in enumerate(keys) if k not in kept}
-            if len(kept) > 2000:
-                kept.clear()
-                new = {k: i for i, k in enumerate(keys)}
-            if new:
-                doc, value, count = shingles(*utf8(column.take(pa.array(list(new.values())))))
-                cuts = np.searchsorted(doc, np.arange(len(new) + 1))
-                for k, lo, hi in zip(new, cuts[:-1], cuts[1:], strict=True):
-                    kept[k] = (value[lo:hi], count[lo:hi].astype(float))
-            return [kept[k] for k in keys]
+        sets = Sets()
+        for b in batches:
+            u, v, x, y = (b.column(c) for c in ("u", "v", "text_u", "text_v"))
+            ok = [
+                similarity(sets.get(u[i].as_py(), x[i].as_py()), sets.get(v[i].as_py(), y[i].as_py())) >= threshold
+                for i in range(len(b))
+            ]
+            yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    texts = checkpoint(texts_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("node"))))
+    joined = pairs.join(texts.toDF("u", "text_u"), "u").join(texts.toDF("v", "text_v"), "v")
+    with few_rows_a_batch(docs.sparkSession):
+        return checkpoint(joined.select("u", "text_u", "v", "text_v").mapInArrow(run, "u binary, v binary"))
 
-        for big in batches:
-            for b in slices(big, "text_u"):
-                us, vs = b.column("u").to_pylist(), b.column("v").to_pylist()
-                left = sets(b.column("text_u"), us)
-                ok = []
-                for i in range(len(b)):
-                    right = sets(b.column("text_v").slice(i, 1), vs[i : i + 1])[0]
-                    ok.append(similarity(left[i], right) >= threshold)
-                yield b.select(["u", "v"]).filter(pa.array(ok))
 
-    joined = pairs.join(texts.toDF("u", "text_u"), "u").join(texts.toDF("v", "text_v"), "v")
-    return checkpoint(joined.select("u", "text_u", "v", "text_v").mapInArrow(run, "u binary, v binary"))
+@contextmanager
+def few_rows_a_batch(spark: SparkSession, rows: int = 128):
+    """Arrow batches of few rows while whole texts go to Python, so that long ones do not fill its memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _chunks(members: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -194,48 +232,74 @@ def _chunks(members: DataFrame, sizes: DataFrame) -> DataFrame:
     dealt = members.join(sizes.select("bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "bucket")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    return dealt.select("bucket", "node", "component", "sketch", "part", other).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+    return dealt.select("bucket", "node", "component", "sketch", "bands", "part", other).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+
 
+def near_pairs(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """(members of one group by node, pairs of row numbers whose sketches are near, nearest first).
+
+    Only pairs of different components; a pair that shares several bands is
+    taken in the bucket of the first of them, one that meets in several groups
+    of a bucket in the one of its two parts.
+    """
+    rows = rows.drop_duplicates("node").sort_values("node", ignore_index=True)
+    bucket, cross = rows["bucket"].iloc[0], rows["i"].iloc[0] != rows["j"].iloc[0]
+    s = np.frombuffer(b"".join(rows["sketch"]), "<u4").reshape(len(rows), COMPONENTS)
+    bands = np.array(rows["bands"].tolist(), np.int64)
+    here = int(np.flatnonzero((bands == bucket).all(0))[0])
+    _, component = np.unique(rows["component"].to_numpy(), return_inverse=True)
+    part = rows["part"].to_numpy()
+    found = [np.zeros((0, 3))]
+    for a in range(len(rows) - 1):
+        ok = component[a + 1 :] != component[a]
+        if cross:
+            ok &= part[a + 1 :] != part[a]
+        b = np.flatnonzero(ok) + a + 1
+        if len(b) and here:
+            b = b[(bands[b, :here] != bands[a, :here]).all(1)]
+        if len(b):
+            same = (s[b] == s[a]).mean(1)
+            b, same = b[same >= FAR], same[same >= FAR]
+            found.append(np.stack([np.full(len(b), a), b, -same], 1))
+    pairs = np.concatenate(found)
+    return rows, pairs[np.argsort(pairs[:, 2], kind="stable"), :2].astype(np.int64)
 
-def _pairs_of(forest: bool):
-    """Function of one group: its near pairs of different components; a spanning forest of them or all."""
+
+def _involved(rows: pd.DataFrame) -> pd.DataFrame:
+    """Members of a group that are in some near pair."""
+    rows, pairs = near_pairs(rows)
+    return rows.loc[np.unique(pairs), ["bucket", "i", "j", "part", "node", "component"]]
+
+
+def _links(threshold: float, forest: bool):
+    """Function of one group with its texts: verified links, pairs already joined by links left out.
+
+    With ``forest`` only a spanning forest of the near pairs, nearest first, is
+    verified: a hub that joins its copies is found without comparing them all.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("node").sort_values("node", ignore_index=True)
-        s = np.frombuffer(b"".join(rows["sketch"]), "<u4").reshape(len(rows), COMPONENTS)
+        rows, pairs = near_pairs(rows)
         _, component = np.unique(rows["component"].to_numpy(), return_inverse=True)
-        node, part = rows["node"].to_numpy(), rows["part"].to_numpy()
-        cross = rows["i"].iloc[0] != rows["j"].iloc[0]
-        found = []
-        for a in range(len(rows) - 1):
-            ok = component[a + 1 :] != component[a]
-            if cross:
-                ok &= part[a + 1 :] != part[a]
-            b = np.flatnonzero(ok) + a + 1
-            if len(b):
-                same = (s[b] == s[a]).mean(1)
-                near = same >= FAR
-                found.append(np.stack([np.full(int(near.sum()), a), b[near], -same[near]], 1))
-        pairs = np.concatenate([*found, np.zeros((0, 3))])
-        pairs = pairs[np.argsort(pairs[:, 2], kind="stable")]
-        u, v = pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.int64)
-        if forest:
-            root = list(range(int(component.max()) + 1))
-
-            def top(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            keep = []
-            for k, (a, b) in enumerate(zip(component[u].tolist(), component[v].tolist(), strict=True)):
-                a, b = top(a), top(b)
-                if a != b:
-                    root[a] = b
-                    keep.append(k)
-            u, v = u[keep], v[keep]
-        return pd.DataFrame({"u": node[u], "v": node[v]})
+        root = list(range(int(component.max()) + 1))
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        node, text, sets, out = rows["node"].tolist(), rows["text"].tolist(), Sets(), []
+        for a, b in pairs.tolist():
+            x, y = top(component[a]), top(component[b])
+            if x == y:
+                continue
+            alike = similarity(sets.get(node[a], text[a]), sets.get(node[b], text[b])) >= threshold
+            if alike:
+                out.append((node[a], node[b]))
+            if alike or forest:
+                root[x] = y
+        return pd.DataFrame(out, columns=["u", "v"])
 
     return run
 
@@ -257,21 +321,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, keep_node: bo
     shared = checkpoint(members.join(sizes, "bucket"))
     # every member against its bucket's least: one pair per member
     star = shared.filter("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
-    tried = checkpoint(_near(star, nodes))
-    links = verify(tried, docs, threshold)
-    for forest in (True, False):
-        # buckets whose other members are not yet joined: first a spanning forest of near pairs, then all that are left
+    links = verify(checkpoint(_near(star, nodes)), docs, threshold)
+    # buckets whose other members are not yet joined, as far as their first links tell
+    first = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    rest = shared.filter("n > 2 and node <> low").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = checkpoint(rest.select("bucket", "node", "component", "n"))
+    mixed = rest.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.first("n").alias("n")).filter("a <> b")
+    held = rest.select("bucket", "node", "component").join(mixed.select("bucket"), "bucket", "left_semi").join(nodes, "node")
+    group = ["bucket", "i", "j"]
+    kept = _chunks(held, mixed).groupBy(*group).applyInPandas(_involved, "bucket long, i int, j int, part int, node binary, component binary")
+    kept = checkpoint(kept)
+    if kept.head(1):
+        # first the nearest pairs of each group, then, knowing what these join, all near pairs left
+        whole = checkpoint(nodes.join(texts_of(docs, kept.select("node")), "node"))
+        links = links.unionByName(checkpoint(kept.join(whole, "node").groupBy(*group).applyInPandas(_links(threshold, True), "u binary, v binary")))
         component = connected_components(links)
-        rest = shared.filter("n > 2 and node <> low").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rest = checkpoint(rest.select("bucket", "node", "component", "n"))
-        mixed = rest.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.first("n").alias("n")).filter("a <> b")
-        held = rest.select("bucket", "node", "component").join(mixed.select("bucket"), "bucket", "left_semi").join(nodes.select("node", "sketch"), "node")
-        pairs = _chunks(held, mixed).groupBy("bucket", "i", "j").applyInPandas(_pairs_of(forest), "u binary, v binary")
-        new = checkpoint(pairs.distinct().join(tried, ["u", "v"], "left_anti").join(tried.toDF("v", "u"), ["u", "v"], "left_anti"))
-        if not new.head(1):
-            break
-        links = links.unionByName(verify(new, docs, threshold))
-        tried = tried.unionByName(new)
+        left = checkpoint(kept.drop("component").join(component, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        mixed = left.groupBy(*group).agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select(*group)
+        left = left.join(mixed, group, "left_semi").join(whole, "node")
+        links = links.unionByName(checkpoint(left.groupBy(*group).applyInPandas(_links(threshold, False), "u binary, v binary")))
     component = connected_components(links)
     joined = rows.select("doc_id", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     joined = checkpoint(joined)

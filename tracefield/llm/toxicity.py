@@ -27,6 +27,8 @@ PLACES = 1 << 20
 #: labelled texts that are learned from, at most (about)
 MAX_LABELLED = 12_000
 MAX_FEATURES = 1 << 14
+#: bytes of text taken at once: every character is the start of four n-grams of eight bytes
+SLICE = 1 << 19
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,7 +54,7 @@ def gram_places(points: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | No
         at = np.arange(len(place)) if wanted is None else np.flatnonzero(wanted[place])
         doc = np.searchsorted(offsets, at, "right") - 1
         inside = at + n <= offsets[doc + 1]
-        found.append((doc[inside] << 20) | place[at[inside]])
+        found.append(np.unique((doc[inside] << 20) | place[at[inside]]))
     keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return keys >> 20, keys & (PLACES - 1)
 
@@ -71,7 +73,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, penalty
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, PLACES), np.int64)
         for big in batches:
-            for b in slices(big, "text"):
+            for b in slices(big, "text", SLICE):
                 toxic = b.column("toxic").to_numpy(zero_copy_only=False) > 0
                 doc, place = gram_places(*codes(b.column("text").to_pylist()))
                 for y in (0, 1):
@@ -100,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, penalty
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in slices(big, "text"):
+            for b in slices(big, "text", SLICE):
                 doc, place = gram_places(*codes(b.column("text").to_pylist()), wanted)
                 cuts = np.searchsorted(doc, np.arange(len(b) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(number[place]))
@@ -138,7 +140,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
         weight[model["places"]] = model["weights"]
         wanted = weight != 0
         for big in batches:
-            for b in slices(big, "text"):
+            for b in slices(big, "text", SLICE):
                 doc, place = gram_places(*codes(b.column("text").to_pylist()), wanted)
                 s = sigmoid(np.bincount(doc, weight[place], len(b)) + model["bias"])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, "score", "predicted"])

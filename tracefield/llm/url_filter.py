@@ -68,7 +68,7 @@ def member(shards: list[list[Level]], h1: np.ndarray, h2: np.ndarray) -> np.ndar
     return out
 
 
-def _encode(keys: DataFrame, n: int, rate: float, depth: int) -> Level:
+def bloom(keys: DataFrame, n: int, rate: float, depth: int) -> Level:
     """One Bloom filter over distinct (h1, h2); words of bits are or-ed by a shuffle, the driver sees n_bits / 64 of them."""
     n_bits = max(64, min(MAX_BITS, math.ceil(-n * math.log(rate) / math.log(2) ** 2)))
     n_hash = max(1, round(n_bits / n * math.log(2)))
@@ -110,7 +110,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_levels: int = 64)
     inside, outside, count = listed, universe.join(listed, ["h1", "h2"], "left_anti"), n
     for depth in range(max_levels):
         rate = min(0.5, n / (max(1, size) * math.sqrt(2))) if depth == 0 else 0.5
-        level = _encode(inside, count, rate, depth)
+        level = bloom(inside, count, rate, depth)
         levels.append(level)
         wrong = checkpoint(_passing(outside, level))
         count = wrong.count()
