@@ -273,7 +273,7 @@ def test_near_copies_registered(spark):
     assert got == brute_classes(documents(spark))
 
 
-@pytest.mark.parametrize("chunk", [8, 1024])
+@pytest.mark.parametrize("chunk", [8, 512])
 def test_near_copies_in_chains_and_mixed_buckets(spark, monkeypatch, chunk):
     monkeypatch.setattr(minhash, "CHUNK", chunk)
     rng = random.Random(11)
