@@ -202,6 +202,38 @@ def test_leaks_are_found_through_edits(spark, share, recall):
     assert len(found) >= recall * len(items)
 
 
+@pytest.mark.parametrize("length", [9, 16, 45, 55, 62, 80, 100, 200])
+@pytest.mark.parametrize("share", [0.1, 0.12])
+def test_leaks_recall_holds_in_every_length_class(length, share):
+    rng = random.Random(length)
+    word = lambda: "".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(rng.randint(2, 9)))
+    items, texts = [], []
+    for _ in range(200):
+        text = word()
+        while len(text) < length:
+            text += " " + word()
+        chars = list(text)
+        for _ in range(int(share * len(text))):
+            at, kind = rng.randrange(len(chars)), rng.randrange(3)
+            chars[at : at + (kind != 2)] = [] if kind == 1 else [rng.choice("abcdefgh ")]
+        items.append((len(items), text.encode()))
+        texts.append(" ".join([*(word() for _ in range(20)), "".join(chars), *(word() for _ in range(20))]))
+    data, starts, offsets = decontaminate.normalised(pa.array(texts))
+    raw, edits = data.tobytes(), decontaminate.EDITS
+    want = {(i, i) for i, t in items if decontaminate.edits_within(t, raw[offsets[i] : offsets[i + 1]], int(edits * len(t)))}
+    found = {x[:2] for x in decontaminate.leaks(decontaminate.Index(items), data, starts, offsets, edits)}
+    assert len(want) > 190 and len(want & found) >= 0.99 * len(want)
+
+
+def test_leaks_texts_without_word_starts():
+    """Items of one long word: no walk starts inside it, pieces find it."""
+    rng = random.Random(5)
+    items = [(i, "".join(rng.choice("abcdefghijklmnop") for _ in range(80)).encode()) for i in range(50)]
+    texts = [f"before x{t[:20].decode()}z{t[21:50].decode()}{t[51:].decode()}y after" for _, t in items]
+    data, starts, offsets = decontaminate.normalised(pa.array(texts))
+    assert len(decontaminate.leaks(decontaminate.Index(items), data, starts, offsets, decontaminate.EDITS)) == 50
+
+
 def test_leaks_registered_exact_passages(spark):
     plain = lambda t: re.sub(r"[^0-9a-z_\x80-\U0010ffff]+", " ", re.sub("[A-Z]", lambda m: m.group().lower(), t)).strip()
     items = [(r["item_id"], plain(r["text"])) for r in table(spark, SF, "benchmark").collect()]

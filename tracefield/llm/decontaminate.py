@@ -9,6 +9,10 @@ is indexed from each of its word starts on, every document is asked at each of i
 word starts, for several walks and samples, so a leaked item has (words of
 the item) x (tables) chances. A candidate fixes where the whole item would lie;
 that item-sized window, wider by the allowed edits, is verified exactly.
+Items take the long walks if enough of them end inside the item for the wanted
+recall, else short ones. Items with too few word starts for these too are cut in
+one piece more than edits are allowed: one piece is left as it is, so asking for
+all pieces at every place finds them all.
 
 Texts are compared as lower-cased words with single blanks between them.
 Documents are scanned once, without a shuffle; the index holds the items only.
@@ -29,8 +33,14 @@ from tracefield.llm.common import mix, plain_words, ragged, slices, utf8
 #: edits allowed, as a share of the item's characters
 EDITS = 0.12
 STEPS, WALKS, TABLES, SAMPLED = 64, 2, 3, 14
-#: the same for items of less than 48 characters, whose walks end sooner
-SHORT, SHORT_STEPS, SHORT_SAMPLED = 48, 16, 6
+#: the same for items in which too few long walks end
+SHORT_STEPS, SHORT_SAMPLED = 32, 10
+#: share of the items with all allowed edits, evenly spread, that must become candidates
+RECALL = 0.995
+#: a word start counts as hit with probability (1 - edits) ** REACH at least (tests measure the recall); so many next starts share edits
+REACH, OVERLAP = 4, {"long": 4, "short": 1}
+#: places asked for pieces at once
+ASKED = 1 << 16
 #: items that one scan of the documents looks for; more take more scans
 ITEMS_PER_SCAN = 20_000
 FILTER_BITS = 22
@@ -50,6 +60,20 @@ def sampled_steps() -> list[tuple[int, np.ndarray]]:
     return long + [(w, np.sort(rng.choice(SHORT_STEPS, SHORT_SAMPLED, replace=False))) for w in range(WALKS) for _ in range(TABLES)]
 
 
+def starts_needed(kind: str, edits: float) -> int:
+    """Word starts with walks inside the item from which on its recall is RECALL."""
+    miss = 1 - (1 - edits) ** REACH
+    return OVERLAP[kind] * max(1, int(np.ceil(np.log(1 - RECALL) / np.log(max(miss, 1e-9)))))
+
+
+def run_hash(data: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` characters at each place."""
+    h = np.full(max(0, len(data) - n + 1), n, np.uint64)
+    for i in range(n):
+        h = h * np.uint64(0x100000001B3) + data[i : len(data) - n + 1 + i]
+    return mix(h)
+
+
 def embed(data: np.ndarray, starts: np.ndarray, tables: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yield (table number, hash, last place read) for windows at ``starts`` of normalised bytes."""
     bits = walk_bits()
@@ -76,7 +100,7 @@ def embed(data: np.ndarray, starts: np.ndarray, tables: list) -> Iterator[tuple[
 class Index:
     """Items and their windows, by table and hash."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], edits: float = EDITS):
         self.items = items
         self.tables = sampled_steps()
         self.n_long = WALKS * TABLES
@@ -88,22 +112,39 @@ class Index:
         owner = np.searchsorted(begin, starts, "right") - 1 if len(items) else starts
         reach = (begin + size)[owner] if len(items) else starts
         keys, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        covered = np.zeros(len(items), bool)
-        for t, h, last in embed(data, starts, self.tables):
-            short = size[owner] < SHORT
-            fits = (last < reach) & (short if t >= self.n_long else ~short)
+        walks = [(t, h, last < reach) for t, h, last in embed(data, starts, self.tables)]
+        # walks of an item that end inside it, a table of each kind
+        ended = {"long": np.zeros(len(items)), "short": np.zeros(len(items))}
+        for t, _, fits in walks:
+            ended["short" if t >= self.n_long else "long"] += np.bincount(owner[fits], minlength=len(items)) / self.n_long
+        long = ended["long"] >= starts_needed("long", edits)
+        short = ~long & (ended["short"] >= starts_needed("short", edits))
+        for t, h, fits in walks:
+            fits = fits & (short if t >= self.n_long else long)[owner]
             keys.append(h[fits])
             at.append(np.flatnonzero(fits))
-            covered[owner[fits]] = True
         self.keys, which = np.concatenate(keys), np.concatenate(at)
         order = np.argsort(self.keys, kind="stable")
         self.keys = self.keys[order]
         self.owner, self.offset = owner[which[order]], (starts - begin[owner])[which[order]] if len(items) else starts
         self.seen = np.zeros(1 << FILTER_BITS, bool)
         self.seen[(self.keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        self.used = self.tables if (size < SHORT).any() else self.tables[: self.n_long]
-        #: too short for any walk: looked for as they are
-        self.tiny = np.flatnonzero(~covered).tolist()
+        self.used = self.tables if short.any() else self.tables[: self.n_long]
+        rest = np.flatnonzero(~long & ~short)
+        most = (edits * size[rest]).astype(np.int64)
+        #: too short for an edit: looked for as they are
+        self.tiny = rest[most == 0].tolist()
+        #: length of pieces -> (sorted hashes, item, place in the item)
+        self.pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        cut: dict[int, list[tuple[int, int]]] = {}
+        for i, k in zip(rest[most > 0].tolist(), most[most > 0].tolist(), strict=True):
+            n = int(size[i]) // (k + 1)
+            cut.setdefault(n, []).extend((i, j * n) for j in range(k + 1))
+        for n, found in cut.items():
+            of, place = np.array(found, np.int64).T
+            hashes = run_hash(data, n)[begin[of] + place]
+            order = np.argsort(hashes, kind="stable")
+            self.pieces[n] = hashes[order], of[order], place[order]
 
         self.grams = np.zeros((len(items), GRAM_PLACES), bool)
         run = gram_places(data)
@@ -125,8 +166,8 @@ class Index:
             ok[part] = np.bincount(owner, there, len(part)) >= n - GRAM + 1 - most * GRAM
         return ok
 
-    def candidates(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (item number, place in ``data`` where the item would begin)."""
+    def candidates(self, data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item number, place in ``data`` where the item would begin), distinct in each part."""
         out = [np.zeros((0, 2), np.int64)]
         for _, h, _ in embed(data, starts, self.used):
             hit = np.flatnonzero(self.seen.take((h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)))
@@ -135,7 +176,19 @@ class Index:
             entry = np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
             out.append(np.stack([self.owner[entry], np.repeat(starts[hit], n) - self.offset[entry]], 1))
         found = np.unique(np.concatenate(out), axis=0)
-        return found[:, 0], found[:, 1]
+        yield found[:, 0], found[:, 1]
+        for size, (keys, of, place) in self.pieces.items():
+            asked = run_hash(data, size)
+            seen = np.zeros(1 << FILTER_BITS, bool)
+            seen[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+            for first in range(0, len(asked), ASKED):
+                h = asked[first : first + ASKED]
+                hit = np.flatnonzero(seen.take((h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)))
+                low, high = np.searchsorted(keys, h[hit], "left"), np.searchsorted(keys, h[hit], "right")
+                entry = ragged(low, high - low)
+                if len(entry):
+                    found = np.unique(np.stack([of[entry], np.repeat(first + hit, high - low) - place[entry]], 1), axis=0)
+                    yield found[:, 0], found[:, 1]
 
 
 def gram_places(data: np.ndarray) -> np.ndarray:
@@ -184,34 +237,32 @@ def edits_within(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
 
 def leaks(index: Index, data: np.ndarray, starts: np.ndarray, offsets: np.ndarray, edits: float) -> list[tuple[int, int, int, int]]:
     """(text number, item number, edit distance, end) of verified leaks, the closest of each text and item."""
-    item, begin = index.candidates(data, starts)
-    if len(item):
-        ok = index.possible(data, item, begin, edits)
-        item, begin = item[ok], begin[ok]
     raw = data.tobytes()
     best: dict[tuple[int, int], tuple[int, int]] = {}
     tried: set[tuple[int, int]] = set()
     # a window starts in the text of the word it was asked at; its item may begin up to the allowed edits before
-    for i, b in zip(item.tolist(), begin.tolist(), strict=True):
-        text = index.items[i][1]
-        most = int(edits * len(text))
-        middle = b + len(text) // 2
-        doc = int(np.searchsorted(offsets, min(max(middle, 0), len(raw) - 1), "right")) - 1
-        first, end = int(offsets[doc]), int(offsets[doc + 1])
-        key = (doc, i)
-        if best.get(key, (1, 0))[0] == 0:
-            continue
-        if b >= first and raw[b : b + len(text)] == text and b + len(text) <= end:
-            best[key] = (0, b + len(text) - first)
-            continue
-        spot = (i, b // max(1, most))
-        if spot in tried or key in best:
-            continue
-        tried.add(spot)
-        low, high = max(first, b - 2 * most), min(end, b + len(text) + 2 * most)
-        got = edits_within(text, raw[low:high], most)
-        if got:
-            best[key] = (got[0], low + got[1] - first)
+    for item, begin in index.candidates(data, starts):
+        ok = index.possible(data, item, begin, edits)
+        for i, b in zip(item[ok].tolist(), begin[ok].tolist(), strict=True):
+            text = index.items[i][1]
+            most = int(edits * len(text))
+            middle = b + len(text) // 2
+            doc = int(np.searchsorted(offsets, min(max(middle, 0), len(raw) - 1), "right")) - 1
+            first, end = int(offsets[doc]), int(offsets[doc + 1])
+            key = (doc, i)
+            if best.get(key, (1, 0))[0] == 0:
+                continue
+            if b >= first and raw[b : b + len(text)] == text and b + len(text) <= end:
+                best[key] = (0, b + len(text) - first)
+                continue
+            spot = (i, b // max(1, most))
+            if spot in tried or key in best:
+                continue
+            tried.add(spot)
+            low, high = max(first, b - 2 * most), min(end, b + len(text) + 2 * most)
+            got = edits_within(text, raw[low:high], most)
+            if got:
+                best[key] = (got[0], low + got[1] - first)
     for i in index.tiny:
         text = index.items[i][1]
         at = raw.find(text) if text else -1
@@ -251,7 +302,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> D
         items = [(n, t) for n, a, b in zip(names, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) if (t := raw[a:b].rstrip(b" "))]
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = Index(items)
+            index = Index(items, edits)
             for big in batches:
                 for b in slices(big, "text"):
                     data, starts, offsets = normalised(b.column("text"))
@@ -282,7 +333,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -
         items = [(i, t) for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)) if (t := raw[a:b].rstrip(b" "))]
 
         def keep(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = Index(items)
+            index = Index(items, edits)
             for big in batches:
                 for b in slices(big, "text"):
                     data, starts, offsets = normalised(b.column("text"))
