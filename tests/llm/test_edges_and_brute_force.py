@@ -148,6 +148,23 @@ def test_messages_are_exact_on_trees():
     assert np.allclose(got, total / total.sum(1, keepdims=True), atol=1e-6)
 
 
+def test_labels_reach_distant_repeats():
+    """One phone that the patterns find, 40 repeats that they miss, weights at their limits and the threshold in use."""
+    width = len(pii.LABELS)
+    pair = np.where(np.eye(width) > 0, 4.0, -4.0)
+    model = {"unary": np.zeros((pii.PLACES, width), np.float32), "chain": pair, "skip": pair}
+    text = "Call +1-988-555-2485 now. " + "Then words stand here. Or (988)555-2485 again. " * 40
+    (base, added), other = pii.find([text, "dial 77 now"], model)
+    assert len(base) == 1 and len(added) >= 36 and {k for _, k, _ in added} == {pii.KINDS.index("phone")} and other == ([], [])
+    # without a bound in the way, the marginals are those of the path: a product of the link tables
+    edges, unary = np.array([(i, i + 1) for i in range(60)]), np.zeros((61, width))
+    unary[0] = [-30, -30, -30, -30, 0]
+    got = pii.pass_messages(unary, edges, np.repeat(pair[None], 60, 0), pii.ROUNDS + 4 * pii.longest_path(edges.tolist()))
+    link = np.exp(pair) / np.exp(pair).sum(0)
+    want = np.exp(unary[0]) / np.exp(unary[0]).sum() @ np.linalg.matrix_power(link, 60)
+    assert np.allclose(got[60], want, atol=1e-3)
+
+
 def test_pii_odd_rows(spark, odd, none):
     model = pii.learn(odd)
     assert pii.detect(odd, model).count() == odd.count()

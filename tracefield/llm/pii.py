@@ -33,6 +33,8 @@ LABELS = ("none", *KINDS)
 MAX_LEARNED, MAX_TOKENS = 4_000, 256
 PLACES = 1 << 12
 THRESHOLD = 0.95
+#: rounds of messages at most, besides those for the longest path of the document
+ROUNDS = 100
 
 # possessive forms of the given patterns: the same matches, without backtracking over long runs
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -227,10 +229,20 @@ def learn(docs: DataFrame, bound: int = MAX_LEARNED, penalty: float = 1.0) -> di
     return {"unary": np.reshape(got["unary"], (PLACES, width)).astype(np.float32), "chain": np.reshape(got["chain"], (width, width)), "skip": np.reshape(got["skip"], (width, width))}
 
 
-def pass_messages(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
+def longest_path(edges: list) -> int:
+    """Edges of the longest path that goes on in text order; ``edges`` have the earlier token first."""
+    depth: dict[int, int] = {}
+    for i, j in sorted(edges, key=lambda e: e[1]):
+        depth[j] = max(depth.get(j, 0), depth.get(i, 0) + 1)
+    return max(depth.values(), default=0)
+
+
+def pass_messages(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int | np.ndarray = 12, damping: float = 0.3, settled: float = 1e-6) -> np.ndarray:
     """Marginals of a pairwise field by loopy sum-product in logarithms.
 
-    ``unary`` (nodes, labels), ``edges`` (m, 2), ``pair`` (m, labels, labels).
+    ``unary`` (nodes, labels), ``edges`` (m, 2), ``pair`` (m, labels, labels),
+    ``rounds`` at most, of all nodes or of each. A round makes anew only the
+    messages whose node got one that was not settled yet.
     """
     def normal(x):
         x = x - x.max(1, keepdims=True)
@@ -241,25 +253,32 @@ def pass_messages(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds
     table = np.concatenate([pair, pair.transpose(0, 2, 1)])
     back = np.r_[np.arange(m, 2 * m), np.arange(m)]
     message = np.full((2 * m, width), -np.log(width))
-    for _ in range(rounds):
-        belief = unary.copy()
-        np.add.at(belief, target, message)
-        send = belief[source] - message[back]
-        z = send[:, :, None] + table
+    belief = unary.astype(float)
+    np.add.at(belief, target, message)
+    limit = np.broadcast_to(rounds, len(unary))
+    active, done = np.arange(2 * m), 0
+    while len(active := active[limit[source[active]] > done]):
+        send = belief[source[active]] - message[back[active]]
+        z = send[:, :, None] + table[active]
         top = z.max(1)
         new = normal(top + np.log(np.exp(z - top[:, None, :]).sum(1)))
-        if np.abs(new - message).max(initial=0) < 1e-4:
-            break
-        message = damping * message + (1 - damping) * new
-    belief = unary.copy()
-    np.add.at(belief, target, message)
+        moved = np.abs(new - message[active]).max(1) >= settled
+        active, new = active[moved], new[moved]
+        change = (1 - damping) * (new - message[active])
+        message[active] += change
+        np.add.at(belief, target[active], change)
+        reached = np.zeros(len(unary), bool)
+        reached[target[active]] = True
+        again = reached[source]
+        again[active] = True
+        active, done = np.flatnonzero(again), done + 1
     return np.exp(normal(belief)) if len(unary) else belief
 
 
 def find(texts: list, model: dict, threshold: float = THRESHOLD) -> list[tuple[list, list]]:
     """(base spans, added spans) of each text, as (start, kind number, end)."""
     base = [base_spans(t or "") for t in texts]
-    found, labels, unary, edges, pair, sizes = [], [], [], [], [], []
+    found, labels, unary, edges, pair, sizes, rounds = [], [], [], [], [], [], []
     shift = 0
     for text, spans in zip(texts, base, strict=True):
         here = tokens(text or "")
@@ -271,6 +290,8 @@ def find(texts: list, model: dict, threshold: float = THRESHOLD) -> list[tuple[l
         pair += [0] * len(chain) + [1] * len(skip)
         unary += [model["unary"][features(text[s:e], *near_words(text, s, e))].sum(0) for s, e in here]
         sizes.append(len(here))
+        # a label moves one edge a round, and damped messages take some more to settle
+        rounds += [ROUNDS + 4 * longest_path([*chain, *skip])] * len(here)
         shift += len(here)
     if not shift:
         return [(spans, []) for spans in base]
@@ -280,7 +301,7 @@ def find(texts: list, model: dict, threshold: float = THRESHOLD) -> list[tuple[l
     scores[fixed] = -30.0
     scores[fixed, seen[fixed]] = 0.0
     tables = np.stack([model["chain"], model["skip"]])
-    marginal = pass_messages(scores, np.array(edges, np.int64).reshape(-1, 2), tables[np.array(pair, np.int64)].reshape(-1, *tables.shape[1:]))
+    marginal = pass_messages(scores, np.array(edges, np.int64).reshape(-1, 2), tables[np.array(pair, np.int64)].reshape(-1, *tables.shape[1:]), np.array(rounds))
     out, at = [], 0
     for text, spans, here, n in zip(texts, base, found, sizes, strict=True):
         best, sure = marginal[at : at + n].argmax(1), marginal[at : at + n].max(1)
