@@ -395,6 +395,23 @@ def test_language_held_out(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.98
 
 
+def test_rare_labels_are_learned_above_the_bound(spark):
+    """2,400 labelled texts, a bound of 200, and 12 texts of the rare label."""
+    rare = lambda i: i % 200 == 0
+    text = lambda i: "vile zorgle brumpf words " * 3 if rare(i) else f"plain text about topic {i % 7} and more"
+    docs = spark.createDataFrame([(i, text(i), "zz" if rare(i) else "en") for i in range(2400)], "doc_id long, text string, lang string")
+    model = language.train(docs, language.load_pieces(queries.tokenizer_path("piece_bpe_32k.model")), bound=200)
+    shares = Counter("zz" if rare(i) else "en" for i in range(2400) if zlib.crc32(str(i).encode()) % 4 != 2)
+    assert model["langs"] == ["en", "zz"] and np.allclose(np.exp(model["prior"]), [shares[x] / shares.total() for x in model["langs"]])
+    labels = docs.selectExpr("doc_id", "cast(lang = 'zz' as int) as toxic", "if(lang = 'zz', 0, 1) as grade")
+    learned = toxicity.train(docs, labels, bound=200)
+    got = {r["lang"]: r["s"] for r in toxicity.score(docs, learned).groupBy("lang").agg(F.avg("score").alias("s")).collect()}
+    assert len(learned["places"]) and got["zz"] > 0.5 > 0.05 > got["en"]
+    graded = quality.grade_texts(docs, quality.train(docs, labels, bound=200)).join(docs, "doc_id")
+    means = {r["lang"]: r["g"] for r in graded.groupBy("lang").agg(F.avg("expected_grade").alias("g")).collect()}
+    assert means["zz"] < means["en"] - 0.1
+
+
 def test_language_sums_all_segmentations():
     pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba"]
     vocabulary, prob = language.Vocabulary(pieces), np.random.default_rng(0).random((len(pieces) + 1, 2))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefield.llm.common import mix, ragged, slices
-from tracefield.llm.learn import bounded_sample, fold
+from tracefield.llm.learn import fold, sample_by_label
 from tracefield.session import checkpoint
 
 #: labelled texts that are learned from, at most (about)
@@ -180,12 +180,12 @@ def expect(matrix, lengths, counts, vocabulary, prob: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, pieces: list[str], bound: int = MAX_LABELLED, rounds: int = 4, smoothing: float = 0.02) -> dict:
     """Model {langs, prior, prob} from texts with a language whose crc32 of the id mod 4 is not 2.
 
-    ``bound`` labelled texts at most are learned from, so word types are bounded
-    too. ``smoothing`` is the count that every piece has in every language.
+    ``bound`` labelled texts at most (about) are learned from, of every language
+    some, so word types are bounded too; the prior is that of all. ``smoothing`` is the count that every piece has in every language.
     """
     known = docs.filter(F.col("lang").isNotNull() & (fold("doc_id", 4) != 2)).select("doc_id", "lang", "text")
-    sample = checkpoint(bounded_sample(known, "doc_id", bound))
-    prior = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    sample, prior, _ = sample_by_label(known, "doc_id", "lang", bound)
+    sample = checkpoint(sample)
     langs = sorted(prior)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: rows of a label that a bounded sample has at least (about), if there are so many
+LEAST = 40
+
+
 class Rows:
     """Sparse rows: feature numbers, values and the row of each entry."""
 
@@ -77,6 +81,28 @@ def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 40)) < int((1 << 40) * bound / n))
 
 
+def sample_by_label(rows: DataFrame, key: str, label: str, bound: int) -> tuple[DataFrame, dict, dict]:
+    """(sample, rows of each label, share of them taken): as ``bounded_sample``, but label by label.
+
+    All rows if they are ``bound`` at most. Else the bound is shared out evenly;
+    labels with fewer rows are taken whole and leave their rest to the others.
+    No label's share is under LEAST rows, so the bound grows with over bound / LEAST labels.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    rates, left, rest = {}, bound, len(counts)
+    for value, n in sorted(counts.items(), key=lambda x: x[1]):
+        part = max(LEAST, left / rest)
+        rates[value] = min(1.0, part / n)
+        left, rest = max(0, left - min(n, part)), rest - 1
+    if sum(counts.values()) <= bound:
+        rates = dict.fromkeys(counts, 1.0)
+    cut = [x for v, r in rates.items() if r < 1 for x in (F.lit(v), F.lit(int((1 << 40) * r)))]
+    if cut:
+        limit = F.coalesce(F.try_element_at(F.create_map(*cut), F.col(label)), F.lit(1 << 40))
+        rows = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 40)) < limit)
+    return rows, counts, rates
+
+
 def fold(id_col: str, parts: int):
     """Remainder of crc32 of the id as text; null for a null id, which is never learned from."""
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(parts))

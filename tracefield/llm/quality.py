@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefield.llm.common import mix, slices, utf8, words
-from tracefield.llm.learn import Rows, bounded_sample, lbfgs, sigmoid
+from tracefield.llm.learn import Rows, lbfgs, sample_by_label, sigmoid
 from tracefield.session import checkpoint
 
 PLACES = 1 << 17
@@ -62,7 +62,8 @@ def feature_sums(data: np.ndarray, offsets: np.ndarray):
 def train(docs: DataFrame, grades: DataFrame, bound: int = MAX_LABELLED, penalty: float = 0.02) -> dict:
     """Model of ``grades`` (doc_id, grade int from 0): weights, thresholds. ``bound`` labelled texts at most are learned from."""
     known = grades.filter("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("grade").cast("int")).alias("grade"))
-    sample = docs.select("doc_id", "text").join(bounded_sample(known, "doc_id", bound), "doc_id").select("grade", "text")
+    picked, _, rates = sample_by_label(known, "doc_id", "grade", bound)
+    sample = docs.select("doc_id", "text").join(picked, "doc_id").select("grade", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -78,7 +79,10 @@ def train(docs: DataFrame, grades: DataFrame, bound: int = MAX_LABELLED, penalty
         grade = rows["grade"].to_numpy(np.int64)
         top = int(grade.max())
         x = Rows(list(rows["place"]), list(rows["value"]), PLACES)
-        share = np.array([(grade <= k).mean() for k in range(top)]).clip(1e-3, 1 - 1e-3)
+        # back to the shares of the grades among all labelled texts
+        weight = np.array([1 / rates[g] for g in grade.tolist()])
+        weight /= weight.mean()
+        share = np.array([(weight * (grade <= k)).mean() for k in range(top)]).clip(1e-3, 1 - 1e-3)
         cut = np.log(share / (1 - share))
         start = np.concatenate([np.zeros(PLACES), cut[:1], np.log(np.maximum(np.diff(cut), 1e-2))])
 
@@ -89,7 +93,8 @@ def train(docs: DataFrame, grades: DataFrame, bound: int = MAX_LABELLED, penalty
             hi, lo = sigmoid(edges[grade + 1] - z), sigmoid(edges[grade] - z)
             prob = np.maximum(hi - lo, 1e-12)
             dhi, dlo = hi * (1 - hi), lo * (1 - lo)
-            value = -np.log(prob).sum() + penalty / 2 * (w @ w)
+            value = -(weight * np.log(prob)).sum() + penalty / 2 * (w @ w)
+            dhi, dlo = weight * dhi, weight * dlo
             gz = (dhi - dlo) / prob
             gtheta = np.array([(-dhi[grade == k] / prob[grade == k]).sum() + (dlo[grade == k + 1] / prob[grade == k + 1]).sum() for k in range(top)])
             gaps = np.exp(p[PLACES + 1 :])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefield.llm.common import slices
-from tracefield.llm.learn import Rows, bounded_sample, fold, lbfgs, sigmoid
+from tracefield.llm.learn import Rows, fold, lbfgs, sample_by_label, sigmoid
 from tracefield.session import checkpoint
 
 SIZES = (3, 4, 5, 6)
@@ -59,16 +59,17 @@ def gram_places(points: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | No
     return keys >> 20, keys & (PLACES - 1)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """(toxic, text) of labelled texts that may be learned from: crc32 of the id mod 3 is not 1."""
+def _labelled(docs: DataFrame, labels: DataFrame, bound: int) -> tuple[DataFrame, dict]:
+    """((toxic, text), share taken of each label) of labelled texts that may be learned from: crc32 of the id mod 3 is not 1."""
     known = labels.filter(F.col("toxic").isNotNull() & (fold("doc_id", 3) != 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    picked = bounded_sample(known, "doc_id", bound)
-    return docs.select("doc_id", "text").join(picked, "doc_id").select("toxic", "text")
+    picked, _, rates = sample_by_label(known.withColumn("kind", (F.col("toxic") > 0).cast("int")), "doc_id", "kind", bound)
+    return docs.select("doc_id", "text").join(picked, "doc_id").select("toxic", "text"), rates
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, penalty: float = 1.0) -> dict:
     """Model: places, weights, bias. ``bound`` labelled texts at most are learned from."""
-    sample = checkpoint(_labelled(docs, labels, bound))
+    sample, rates = _labelled(docs, labels, bound)
+    sample = checkpoint(sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, PLACES), np.int64)
@@ -124,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, penalty
 
     rows = sample.mapInArrow(features, "toxic int, features array<int>")
     p = np.asarray(rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fit, "weights array<double>").first()["weights"])
-    return {"places": places, "weights": ratio * p[:-1], "bias": float(p[-1])}
+    return {"places": places, "weights": ratio * p[:-1], "bias": float(p[-1] + np.log(rates[0] / rates[1]))}  # the odds of all labelled texts, not of the sample
 
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
