@@ -1,4 +1,4 @@
-"""Small numeric helpers of the trained models: sparse rows, L-BFGS, bounded labelled samples."""
+"""Helpers of the trained models: sparse rows, L-BFGS, bounded labelled samples and their texts."""
 
 from __future__ import annotations
 
@@ -8,7 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracefield.session import checkpoint
 
+#: picked ids that are broadcast to the scan of the texts, at most; more are left to the optimizer
+MAX_BROADCAST = 200_000
 #: rows of a label that a bounded sample has at least (about), if there are so many
 LEAST = 40
 
@@ -103,6 +106,18 @@ def sample_by_label(rows: DataFrame, key: str, label: str, bound: int) -> tuple[
     return rows, counts, rates
 
 
+def texts_of_ids(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """``picked`` (a bounded sample: doc_id and labels) with the texts of its ids, found in the scan of ``docs``.
+
+    The picked rows are written and counted; only such a counted list is
+    broadcast, so texts that were not picked never move. Rows equal in id and
+    text are learned from once.
+    """
+    picked = checkpoint(picked)
+    few = picked.count() <= MAX_BROADCAST
+    return docs.select("doc_id", "text").join(F.broadcast(picked) if few else picked, "doc_id").dropDuplicates(["doc_id", "text"])
+
+
 def fold(id_col: str, parts: int):
     """Remainder of crc32 of the id as text; null for a null id, which is never learned from."""
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(parts))

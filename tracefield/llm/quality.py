@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefield.llm.common import mix, slices, utf8, words
-from tracefield.llm.learn import Rows, lbfgs, sample_by_label, sigmoid
+from tracefield.llm.learn import Rows, lbfgs, sample_by_label, sigmoid, texts_of_ids
 from tracefield.session import checkpoint
 
 PLACES = 1 << 17
@@ -63,7 +63,7 @@ def train(docs: DataFrame, grades: DataFrame, bound: int = MAX_LABELLED, penalty
     """Model of ``grades`` (doc_id, grade int from 0): weights, thresholds. ``bound`` labelled texts at most are learned from."""
     known = grades.filter("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("grade").cast("int")).alias("grade"))
     picked, _, rates = sample_by_label(known, "doc_id", "grade", bound)
-    sample = docs.select("doc_id", "text").join(picked, "doc_id").select("grade", "text")
+    sample = texts_of_ids(docs, picked).select("grade", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:

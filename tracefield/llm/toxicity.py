@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefield.llm.common import slices
-from tracefield.llm.learn import Rows, fold, lbfgs, sample_by_label, sigmoid
+from tracefield.llm.learn import Rows, fold, lbfgs, sample_by_label, sigmoid, texts_of_ids
 from tracefield.session import checkpoint
 
 SIZES = (3, 4, 5, 6)
@@ -63,7 +63,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, bound: int) -> tuple[DataFrame
     """((toxic, text), share taken of each label) of labelled texts that may be learned from: crc32 of the id mod 3 is not 1."""
     known = labels.filter(F.col("toxic").isNotNull() & (fold("doc_id", 3) != 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     picked, _, rates = sample_by_label(known.withColumn("kind", (F.col("toxic") > 0).cast("int")), "doc_id", "kind", bound)
-    return docs.select("doc_id", "text").join(picked, "doc_id").select("toxic", "text"), rates
+    return texts_of_ids(docs, picked).select("toxic", "text"), rates
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, penalty: float = 1.0) -> dict:
