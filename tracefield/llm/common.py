@@ -6,6 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracefield.session import checkpoint
 
 U64 = np.uint64
 #: bytes of text that one numpy pass works on; longer single texts are one pass of their own
@@ -20,6 +23,33 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def continued(local: DataFrame, key: str, part: str, number: str) -> DataFrame:
+    """Numbers that count the rows of ``key`` in one range partition go on from the partitions before it.
+
+    ``local`` (written) is ordered by ``key`` over partitions numbered ``part``.
+    Only the key that a partition shares with those before needs their count,
+    one row per partition at most: a list that may be broadcast.
+    """
+    sizes = local.groupBy(key, part).agg(F.count(F.lit(1)).alias("_n"))
+    # the keys of a partition other than its first begin there
+    lasts = checkpoint(sizes.groupBy(part).agg(F.max_by(F.struct(key, "_n"), F.struct(F.col(key).isNotNull(), F.col(key))).alias("_last"), F.min_by(F.struct(key), F.struct(F.col(key).isNotNull(), F.col(key))).alias("_first")))
+    ends = sorted((r.asDict(True) for r in lasts.collect()), key=lambda r: r[part])
+    base, now, count = [], None, 0
+    for r in ends:
+        first, last = r["_first"][key], r["_last"][key]
+        carry = count if now == (first,) else 0
+        if carry:
+            base.append((r[part], first, carry))
+        count = r["_last"]["_n"] + (carry if last == first else 0)
+        now = (last,)
+    if not base:
+        return local
+    kind = local.schema[key].dataType.simpleString()
+    table = local.sparkSession.createDataFrame(base, f"_p int, _k {kind}, _base long")
+    joined = local.join(F.broadcast(table), (F.col(part) == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k")), "left")
+    return joined.withColumn(number, F.col(number) + F.coalesce("_base", F.lit(0))).drop("_p", "_k", "_base")
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     """Cut an Arrow batch in row ranges of at most ``limit`` text bytes (one row at least)."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -60,16 +90,16 @@ _WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] =
 _POW = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(64)], U64)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of a batch of texts: (hash, first byte, end byte, text number).
 
-    A word is a run of ASCII letters, digits, underscores and non-ASCII bytes;
-    ASCII letters are lower-cased. Words do not reach across texts.
+    A word is a run of the bytes that ``word`` marks: ASCII letters, digits,
+    underscores and non-ASCII bytes; ASCII letters are lower-cased. Words do not reach across texts.
     """
     if not len(data):
         none = np.zeros(0, np.int64)
         return np.zeros(0, U64), none, none, none
-    inside = _WORD[data]
+    inside = word[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()
