@@ -80,10 +80,12 @@ def encoder(path: str, kind: str) -> Callable[[list], tuple[np.ndarray, np.ndarr
         store[1] = np.concatenate([store[1], store[1][-1] + np.cumsum(lengths)])
 
     def chunks(text: str) -> list | None:
+        if kind == "word":
+            text = text.lower()  # some capitals have small letters beyond the usual ones
         if "<|" in text or UNUSUAL.search(text):
             return None
         if kind == "word":
-            return text.lower().split()
+            return text.split()
         if "  " in text or "\n \n" in text or "\t" in text or "\r" in text:
             return None
         out = text.split(" ")
