@@ -93,6 +93,37 @@ def test_overlapping_patterns():
     assert find(b"", [b"a"]) == [] and find(b"aaa", [b"aa"]) == [(0, 0), (0, 1)]
 
 
+def test_many_patterns_cost_no_more_and_are_all_found():
+    rng = random.Random(7)
+    data = bytes(rng.randrange(97, 103) for _ in range(4000))
+    patterns = list({bytes(rng.randrange(97, 103) for _ in range(rng.choice([1, 2, 3, 5, 9]))) for _ in range(3000)})
+    patterns += [patterns[0], data[100:400], data]  # a repeated one, long ones
+    want = sorted((n, i) for n, p in enumerate(patterns) for i in range(len(data) - len(p) + 1) if data.startswith(p, i))
+    assert sorted(zip(*map(list, cv.find_all(data, patterns)))) == want
+    assert len(cv.find_all(b"", patterns)[0]) == 0
+    few = patterns[:60]
+    assert sorted(zip(*map(list, cv.find_few(few, data)))) == [x for x in want if x[0] < 60]
+
+
+def test_signature_list_that_stays_on_spark(spark, monkeypatch):
+    data = b"..abcd..abce..xbcd\x00\xff" * 20
+    sigs = sg.signatures_of(spark, [("A", "", b"abcd".hex(), "", 9, 0), ("B", "", b"abc".hex(), "", 9, 0), ("C", "", b"xbcd".hex(), "", 9, 0), ("D", "", b"abc".hex(), "", 9, 0), ("E", "", "00ff", "", 9, 0), ("F", "", b"none".hex(), "", 9, 0)])
+    for step in (len(data), 7, 3):
+        chunks = chunks_of(spark, data, step)
+        few = sorted(map(tuple, cv.match_signatures(chunks, sigs).collect()))
+        monkeypatch.setattr(cv, "SHORT_LIST", 2)
+        assert sorted(map(tuple, cv.match_signatures(chunks, sigs).collect())) == few and len(few) == 140
+        monkeypatch.undo()
+
+
+def test_table_function_over_chunk_edges(spark):
+    data = b"..abcd..abce..xbcd" * 20
+    patterns = [b"abc", b"bcd..", b"x"]
+    want = sorted((n, i) for n, p in enumerate(patterns) for i in range(len(data)) if data.startswith(p, i))
+    for step in (len(data), 7, 2):
+        assert sorted((r.pid, r.offset) for r in cv.scan_by_udtf(chunks_of(spark, data, step), patterns).collect()) == want
+
+
 def test_carved_bytes_across_chunks(spark):
     data = b"\x00" * 777 + JPEG + b"\x01" * 321 + PNG
     chunks = chunks_of(spark, data, 100)

@@ -8,27 +8,40 @@ sides of the edge, so image bytes are never shuffled or sorted.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import partial
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracefield.functions.bytesops import arrays_type, inline_arrays
 from tracefield.operators import ordered as od
+from tracefield.operators.windows import PatternIndex, listed_windows
 from tracefield.session import checkpoint, small_table
 
 #: patterns that one scan of the bytes looks for; longer lists take more scans
 PATTERNS_PER_SCAN = 65_536
+#: lists up to here are searched by first bytes; up to the next they are compiled into the scan, longer ones stay on Spark
+FEW, SHORT_LIST = 64, 1024
 HITS = arrays_type(pid=T.IntegerType(), pos=T.LongType())
 
 
 def find_all(data: bytes, patterns: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Pattern numbers and positions of every occurrence, overlaps included.
+    """Pattern numbers and positions of every occurrence, overlaps included."""
+    return finder(patterns)(data)
 
-    A table over byte pairs marks where any pattern can start, so the bytes are
-    read once whatever the number of patterns.
-    """
+
+def finder(patterns: list[bytes]) -> Callable[[bytes], tuple[np.ndarray, np.ndarray]]:
+    """``find_all`` for one pattern list: by hashed windows, or by first bytes where the list is short."""
+    return PatternIndex(patterns).find if len(patterns) > FEW else partial(find_few, patterns)
+
+
+def find_few(patterns: list[bytes], data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A table over byte pairs marks where any pattern can start; its patterns are tried there."""
     a = np.frombuffer(data, np.uint8)
     pair = a[:-1].astype(np.uint16) << 8 | a[1:] if len(a) > 1 else np.empty(0, np.uint16)
     wanted = np.zeros(65536, bool)
@@ -37,43 +50,37 @@ def find_all(data: bytes, patterns: list[bytes]) -> tuple[np.ndarray, np.ndarray
             wanted[p[0] << 8 | p[1]] = True
     cand = np.flatnonzero(wanted[pair])
     code = pair[cand]
-    order = np.argsort(code, kind="stable")
-    cand, code = cand[order], code[order]
-    starts: dict[int, list[int]] = {}
-    for n, p in enumerate(patterns):
-        starts.setdefault(p[0] << 8 | p[1] if len(p) > 1 else -1 - p[0], []).append(n)
     pids, found = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-    first = np.flatnonzero(np.r_[np.ones(min(1, len(code)), bool), code[1:] != code[:-1]])
-    groups = [(int(code[i]), cand[i:j]) for i, j in zip(first, np.r_[first[1:], len(code)])]
-    groups += [(-1 - b, np.flatnonzero(a == b)) for b in range(256) if -1 - b in starts]
-    for key, spots in groups:  # only patterns whose start occurs are looked at
-        for n in starts[key]:
-            p, at = patterns[n], spots
-            at = at[at + len(p) <= len(a)]
-            for i in range(2, len(p)):
-                at = at[a[at + i] == p[i]]
-            pids.append(np.full(len(at), n, np.int32))
-            found.append(at)
+    for n, p in enumerate(patterns):
+        at = cand[code == (p[0] << 8 | p[1])] if len(p) > 1 else np.flatnonzero(a == p[0])
+        at = at[at + len(p) <= len(a)]
+        for i in range(2, len(p)):
+            at = at[a[at + i] == p[i]]
+        pids.append(np.full(len(at), n, np.int32))
+        found.append(at)
     return np.concatenate(pids), np.concatenate(found).astype(np.int64)
 
 
 def scan_udf(patterns: list[bytes]):
+    find = finder(patterns)
+
     @F.pandas_udf(HITS)
     def scan(data: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([find_all(d, patterns) for d in data], columns=["pid", "pos"])
+        return pd.DataFrame([find(d) for d in data], columns=["pid", "pos"])
 
     return scan
 
 
 def edge_udf(patterns: list[bytes]):
     """Hits that start in the left part and end in the right one."""
+    find = finder(patterns)
 
     @F.pandas_udf(HITS)
     def scan(left: pd.Series, right: pd.Series) -> pd.DataFrame:
         size = np.array([len(p) for p in patterns])
         rows = []
         for a, b in zip(left, right):
-            pid, pos = find_all(a + b, patterns)
+            pid, pos = find(a + b)
             over = (pos < len(a)) & (pos + size[pid] > len(a))
             rows.append((pid[over], pos[over]))
         return pd.DataFrame(rows, columns=["pid", "pos"])
@@ -149,10 +156,13 @@ def scan_patterns(chunks: DataFrame, patterns: list[bytes]) -> DataFrame:
 def match_signatures(chunks: DataFrame, signatures: DataFrame) -> DataFrame:
     """Header hits (image_id, name, offset, header_len), over chunk edges too.
 
-    The signature list, a rule list, is compiled into the scan; its names join
-    the hits by pattern number, as a broadcast only while the list is short.
+    A short list is compiled into the scan. A longer one stays on Spark: the
+    scan gives the windows that a bit table of it lets through, and these meet
+    the list in a join on their bytes.
     """
-    rows = signatures.select("name", "header").collect()
+    rows = signatures.select("name", "header").limit(SHORT_LIST + 1).collect()
+    if len(rows) > SHORT_LIST:
+        return match_listed(chunks, signatures)
     patterns = sorted({bytes(r.header) for r in rows})
     number = {p: i for i, p in enumerate(patterns)}
     names = small_table(
@@ -161,6 +171,18 @@ def match_signatures(chunks: DataFrame, signatures: DataFrame) -> DataFrame:
     return scan_patterns(chunks, patterns).join(names, "pid").select("image_id", "name", "offset", "header_len")
 
 
+def match_listed(chunks: DataFrame, signatures: DataFrame) -> DataFrame:
+    """``match_signatures`` for a list of any length, which is never collected."""
+    listed = checkpoint(signatures.select("name", "header").filter(F.octet_length("header") > 0))
+    inside, over, longest = listed_windows(listed, "header")
+    reach = max(longest, 2) - 1
+    passed = scan_pass(chunks, inside(F.col("data")), reach)
+    hits = passed.select("image_id", F.col("base_offset").alias("at"), F.inline(F.arrays_zip("hits.window", "hits.pos")))
+    edges = inline_arrays(strips(passed, reach).withColumnRenamed("left_offset", "at"), ["image_id", "at"], over(F.col("left"), F.col("right")))
+    both = hits.unionByName(edges).withColumnRenamed("window", "header")
+    return both.join(listed, "header").select("image_id", "name", (F.col("at") + F.col("pos")).alias("offset"), F.octet_length("header").alias("header_len"))
+
+
 def dedup_offsets(hits: DataFrame, priority: Column | None = None) -> DataFrame:
     """One hit per offset: longest header, then highest priority, then name."""
     rank = F.struct(-F.col("header_len"), F.lit(0) if priority is None else -priority, F.col("name"))
@@ -330,27 +352,34 @@ def fragmented(parts: DataFrame, keys: list[str], max_gap: int, max_fragments: i
     )
 
 
-def scan_udtf(patterns: list[bytes]):
-    """Table function ``scan(data, base_offset)``: all header hits of a chunk as rows."""
+def scan_udtf(patterns: list[bytes], id_type: str = "string"):
+    """Table function over rows (image_id, base_offset, edge, data): all header hits, Arrow batches in, Arrow tables out.
 
-    @F.udtf(returnType="pid int, offset bigint", useArrow=True)
+    ``edge``: null, or the place in ``data`` that a hit must reach over.
+    """
+    find = finder(patterns)
+    sizes = np.array([len(p) for p in patterns] or [0])
+
+    @F.arrow_udtf(returnType=f"image_id {id_type}, pid int, offset bigint")
     class Scan:
-        def eval(self, data, base_offset):
-            for pid, pos in zip(*find_all(bytes(data), patterns)):
-                yield int(pid), base_offset + int(pos)
+        def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+            image = batch.column("image_id")
+            for i, (base, edge, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("base_offset", "edge", "data")), strict=True)):
+                pid, pos = find(data)
+                if edge is not None:
+                    over = (pos < edge) & (pos + sizes[pid] > edge)
+                    pid, pos = pid[over], pos[over]
+                if len(pid):
+                    yield pa.table([image.take(pa.array(np.full(len(pid), i))), pa.array(pid, pa.int32()), pa.array(pos + base, pa.int64())], names=["image_id", "pid", "offset"])
 
     return Scan
 
 
 def scan_by_udtf(chunks: DataFrame, patterns: list[bytes]) -> DataFrame:
     """(image_id, pid, offset) by the table function: over each chunk, and over the bytes around each chunk edge."""
-    scan = scan_udtf(patterns)
-    spark = chunks.sparkSession
+    scan = scan_udtf(patterns, chunks.schema["image_id"].dataType.simpleString())
     reach = max([len(p) for p in patterns] + [2]) - 1
-    sizes = small_table(spark, [(i, len(p)) for i, p in enumerate(patterns)], "pid int, _size int")
-    found = lambda df, at: df.lateralJoin(scan(F.col("data").outer(), F.col(at).outer()))
-    inside = found(chunks.select("image_id", "base_offset", "data"), "base_offset").select("image_id", "pid", "offset")
+    inside = chunks.select("image_id", "base_offset", F.lit(None).cast("int").alias("edge"), "data")
     edges = strips(scan_pass(chunks, F.lit(None).cast("int"), reach), reach)
-    edges = edges.select("image_id", "left_offset", (F.col("left_offset") + F.octet_length("left")).alias("_edge"), F.concat("left", "right").alias("data"))
-    over = found(edges, "left_offset").join(sizes, "pid").filter((F.col("offset") < F.col("_edge")) & (F.col("offset") + F.col("_size") > F.col("_edge")))
-    return inside.unionByName(over.select("image_id", "pid", "offset"))
+    edges = edges.select("image_id", F.col("left_offset").alias("base_offset"), F.octet_length("left").alias("edge"), F.concat("left", "right").alias("data"))
+    return scan(inside.asTable()).unionByName(scan(edges.asTable()))
