@@ -251,6 +251,45 @@ def test_leaks_texts_without_word_starts():
     assert len(decontaminate.leaks(decontaminate.Index(items), data, starts, offsets, decontaminate.EDITS)) == 50
 
 
+def test_the_closest_copy_counts(spark):
+    rng = random.Random(8)
+    item = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(30))
+    edited = lambda n: "".join(c if i % n else "#x"[i % 2] for i, c in enumerate(item))
+    far, near = edited(12), item[:50] + "q" + item[51:120] + item[122:]
+    docs = spark.createDataFrame([(1, f"{far} and so on {near} end"), (2, f"{near} then {far}"), (3, far), (4, f"{far} {near} {item}")], "doc_id long, text string")
+    got = {r["doc_id"]: r["distance"] for r in decontaminate.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got[1] == got[2] == 3 and got[3] > 10 and got[4] == 0
+
+
+@pytest.mark.parametrize("letters", ["абвгдежзиклмнопрст", "αβγδεζηθικλμνοπρστ", "éèàùçôîñöüßabcdefg", "abcdefghijklmnopqr"])
+def test_leaks_in_capitals_of_any_script(letters):
+    """Whole characters count: 10 % changed letters in capitals are found, one changed letter is distance 1."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    items = [" ".join(word() for _ in range(25)) for _ in range(60)]
+    texts = []
+    for i, t in enumerate(items):
+        chars = list(t)
+        for at in rng.sample(range(len(chars)), int(0.1 * len(chars)) if i % 2 else 1):
+            chars[at] = rng.choice(letters.replace(chars[at], ""))
+        texts.append(f"{word()} {word()} {''.join(chars).upper()} {word()}")
+    rows = decontaminate.item_list(pa.table({"item_id": pa.array(range(60)), "text": pa.array(items)}))
+    assert all(len(p) == len(t.casefold()) for (_, p), t in zip(rows, items, strict=True))
+    found = {x[:2]: x[2] for x in decontaminate.leaks(decontaminate.Index(rows), *decontaminate.normalised(pa.array(texts)), decontaminate.EDITS)}
+    assert {(i, i) for i in range(60)} <= set(found)
+    if "ß" not in letters:
+        assert all(found[i, i] <= 1 for i in range(0, 60, 2))
+
+
+def test_characters_are_normalised_as_bytes_are():
+    rng = random.Random(10)
+    texts = ["".join(rng.choice("ab C_9-. \n") for _ in range(rng.randint(0, 30))) for _ in range(200)] + [None, "", "-"]
+    plain = decontaminate.normalised(pa.array(texts))
+    from tracefield.llm.common import word_characters
+
+    assert all((x == y).all() for x, y in zip(plain, word_characters([(t or "").lower() for t in texts]), strict=True))
+
+
 def test_leaks_registered_exact_passages(spark):
     plain = lambda t: re.sub(r"[^0-9a-z_\x80-\U0010ffff]+", " ", re.sub("[A-Z]", lambda m: m.group().lower(), t)).strip()
     items = [(r["item_id"], plain(r["text"])) for r in table(spark, SF, "benchmark").collect()]

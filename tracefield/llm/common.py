@@ -138,3 +138,22 @@ def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     out[ragged(starts, length)] = _LOWER[data[ragged(first, length)]]
     sizes = np.bincount(doc, length + 1, len(offsets) - 1).astype(np.int64)
     return out, starts, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def word_characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``plain_words`` by characters: (code points, word starts, text offsets) of texts taken as they are."""
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = _WORD[np.minimum(points, 255)]
+    # the last character of a word brings a blank along, so words of different texts never touch
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    edge = ends[(ends > 0) & (ends <= len(points))] - 1
+    last[edge] = inside[edge]
+    size = inside.astype(np.int64) + last
+    total = np.concatenate([[0], np.cumsum(size)])
+    out = np.full(int(total[-1]), 32, np.uint32)
+    at = np.flatnonzero(inside)
+    out[total[at]] = points[at]
+    starts = np.concatenate([[0], total[np.flatnonzero(last) + 1]])
+    return out, starts[starts < len(out)], np.concatenate([[0], total[ends]]) if len(texts) else np.zeros(1, np.int64)

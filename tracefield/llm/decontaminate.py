@@ -14,21 +14,24 @@ recall, else short ones. Items with too few word starts for these too are cut in
 one piece more than edits are allowed: one piece is left as it is, so asking for
 all pieces at every place finds them all.
 
-Texts are compared as lower-cased words with single blanks between them.
+Texts are compared as case-folded words with single blanks between them,
+character by character in any script; only walks, pieces and run counts, which
+make candidates, see characters beyond ASCII by one of 128 classes.
 Documents are scanned once, without a shuffle; the index holds the items only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefield.llm.common import mix, plain_words, ragged, slices, utf8
+from tracefield.llm.common import mix, plain_words, ragged, slices, utf8, word_characters
 
 #: edits allowed, as a share of the item's characters
 EDITS = 0.12
@@ -39,8 +42,8 @@ SHORT_STEPS, SHORT_SAMPLED = 32, 10
 RECALL = 0.995
 #: a word start counts as hit with probability (1 - edits) ** REACH at least (tests measure the recall); so many next starts share edits
 REACH, OVERLAP = 4, {"long": 4, "short": 1}
-#: places asked for pieces at once
-ASKED = 1 << 16
+#: places asked for pieces at once, and word starts that walk at once (their arrays stay in the processor's cache)
+ASKED, WALKING = 1 << 16, 1 << 16
 #: items that one scan of the documents looks for; more take more scans
 ITEMS_PER_SCAN = 20_000
 FILTER_BITS = 22
@@ -75,9 +78,8 @@ def run_hash(data: np.ndarray, n: int) -> np.ndarray:
 
 
 def embed(data: np.ndarray, starts: np.ndarray, tables: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Yield (table number, hash, last place read) for windows at ``starts`` of normalised bytes."""
+    """Yield (table number, hash, last place read) for windows at ``starts`` of letters; STEPS + 1 more follow the last one."""
     bits = walk_bits()
-    data = np.concatenate([data, np.zeros(STEPS + 1, np.uint8)])
     for walk in sorted({w for w, _ in tables}):
         own = [(t, set(steps.tolist())) for t, (w, steps) in enumerate(tables) if w == walk]
         h = {t: np.full(len(starts), t + 1, np.uint64) for t, _ in own}
@@ -100,19 +102,21 @@ def embed(data: np.ndarray, starts: np.ndarray, tables: list) -> Iterator[tuple[
 class Index:
     """Items and their windows, by table and hash."""
 
-    def __init__(self, items: list[tuple[int, bytes]], edits: float = EDITS):
-        self.items = items
+    def __init__(self, items: list[tuple[int, np.ndarray | bytes]], edits: float = EDITS):
+        """``items``: (id, code points of the normalised text, or its bytes if it is ASCII)."""
+        items = [(name, np.frombuffer(t, np.uint8) if isinstance(t, bytes) else t) for name, t in items]
+        self.items = [(name, points.tolist()) for name, points in items]
+        self.raw = [points.astype("<u4").tobytes() for _, points in items]
         self.tables = sampled_steps()
         self.n_long = WALKS * TABLES
-        text = b"".join(t for _, t in items)
         size = np.fromiter((len(t) for _, t in items), np.int64, len(items))
         begin = np.cumsum(size) - size
-        data = np.frombuffer(text, np.uint8)
+        data = letters(np.concatenate([np.zeros(0, np.uint32), *(t for _, t in items)]))
         starts = np.array([b + o for b, (_, t) in zip(begin.tolist(), items, strict=True) for o in word_starts(t)], np.int64)
         owner = np.searchsorted(begin, starts, "right") - 1 if len(items) else starts
         reach = (begin + size)[owner] if len(items) else starts
         keys, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        walks = [(t, h, last < reach) for t, h, last in embed(data, starts, self.tables)]
+        walks = [(t, h, last < reach) for t, h, last in embed(np.concatenate([data, np.zeros(STEPS + 1, np.uint8)]), starts, self.tables)]
         # walks of an item that end inside it, a table of each kind
         ended = {"long": np.zeros(len(items)), "short": np.zeros(len(items))}
         for t, _, fits in walks:
@@ -169,12 +173,14 @@ class Index:
     def candidates(self, data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(item number, place in ``data`` where the item would begin), distinct in each part."""
         out = [np.zeros((0, 2), np.int64)]
-        for _, h, _ in embed(data, starts, self.used):
-            hit = np.flatnonzero(self.seen.take((h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)))
-            low, high = np.searchsorted(self.keys, h[hit], "left"), np.searchsorted(self.keys, h[hit], "right")
-            n = high - low
-            entry = np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
-            out.append(np.stack([self.owner[entry], np.repeat(starts[hit], n) - self.offset[entry]], 1))
+        padded = np.concatenate([data, np.zeros(STEPS + 1, np.uint8)])
+        for part in np.array_split(starts, max(1, -(-len(starts) // WALKING))):
+            for _, h, _ in embed(padded, part, self.used):
+                hit = np.flatnonzero(self.seen.take((h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)))
+                low, high = np.searchsorted(self.keys, h[hit], "left"), np.searchsorted(self.keys, h[hit], "right")
+                n = high - low
+                entry = ragged(low, n)
+                out.append(np.stack([self.owner[entry], np.repeat(part[hit], n) - self.offset[entry]], 1))
         found = np.unique(np.concatenate(out), axis=0)
         yield found[:, 0], found[:, 1]
         for size, (keys, of, place) in self.pieces.items():
@@ -198,11 +204,16 @@ def gram_places(data: np.ndarray) -> np.ndarray:
     return (h * np.uint32(0x9E3779B1)) >> np.uint32(20)
 
 
-def word_starts(text: bytes) -> list[int]:
-    return [0] * bool(text) + [i + 1 for i, c in enumerate(text[:-1]) if c == 32]
+def letters(points: np.ndarray) -> np.ndarray:
+    """Code points as bytes: ASCII as it is, others as one of 128 classes."""
+    return np.where(points < 128, points, 128 + (points.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(25))).astype(np.uint8)
 
 
-def edits_within(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
+def word_starts(text: np.ndarray) -> list[int]:
+    return [0] * bool(len(text)) + (np.flatnonzero(text[:-1] == 32) + 1).tolist()
+
+
+def edits_within(item: Sequence[int], text: Sequence[int], most: int) -> tuple[int, int] | None:
     """(least edit distance of the item to a part of ``text``, end of that part) if it is at most ``most``.
 
     Bit-parallel dynamic programming over whole numbers of len(item) bits.
@@ -235,9 +246,10 @@ def edits_within(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
     return (best, where) if where and best <= most else None
 
 
-def leaks(index: Index, data: np.ndarray, starts: np.ndarray, offsets: np.ndarray, edits: float) -> list[tuple[int, int, int, int]]:
+def leaks(index: Index, points: np.ndarray, starts: np.ndarray, offsets: np.ndarray, edits: float) -> list[tuple[int, int, int, int]]:
     """(text number, item number, edit distance, end) of verified leaks, the closest of each text and item."""
-    raw = data.tobytes()
+    points = points.astype("<u4")
+    data, raw = letters(points), points.tobytes()
     best: dict[tuple[int, int], tuple[int, int]] = {}
     tried: set[tuple[int, int]] = set()
     # a window starts in the text of the word it was asked at; its item may begin up to the allowed edits before
@@ -247,36 +259,51 @@ def leaks(index: Index, data: np.ndarray, starts: np.ndarray, offsets: np.ndarra
             text = index.items[i][1]
             most = int(edits * len(text))
             middle = b + len(text) // 2
-            doc = int(np.searchsorted(offsets, min(max(middle, 0), len(raw) - 1), "right")) - 1
+            doc = int(np.searchsorted(offsets, min(max(middle, 0), len(points) - 1), "right")) - 1
             first, end = int(offsets[doc]), int(offsets[doc + 1])
             key = (doc, i)
-            if best.get(key, (1, 0))[0] == 0:
+            closest = best[key][0] if key in best else most + 1
+            if not closest:
                 continue
-            if b >= first and raw[b : b + len(text)] == text and b + len(text) <= end:
+            if b >= first and b + len(text) <= end and raw[4 * b : 4 * (b + len(text))] == index.raw[i]:
                 best[key] = (0, b + len(text) - first)
                 continue
             spot = (i, b // max(1, most))
-            if spot in tried or key in best:
+            if spot in tried:
                 continue
             tried.add(spot)
             low, high = max(first, b - 2 * most), min(end, b + len(text) + 2 * most)
-            got = edits_within(text, raw[low:high], most)
+            got = edits_within(text, points[low:high].tolist(), closest - 1)
             if got:
                 best[key] = (got[0], low + got[1] - first)
     for i in index.tiny:
-        text = index.items[i][1]
+        text = index.raw[i]
         at = raw.find(text) if text else -1
         while at >= 0:
-            doc = int(np.searchsorted(offsets, at, "right")) - 1
-            end = at + len(text)
-            if end <= offsets[doc + 1] and (at == offsets[doc] or raw[at - 1] == 32) and (end == offsets[doc + 1] or raw[end] == 32):
-                best[doc, i] = (0, end - int(offsets[doc]))
+            if at % 4 == 0:
+                place, end = at // 4, (at + len(text)) // 4
+                doc = int(np.searchsorted(offsets, place, "right")) - 1
+                if end <= offsets[doc + 1] and (place == offsets[doc] or points[place - 1] == 32) and (end == offsets[doc + 1] or points[end] == 32):
+                    best[doc, i] = (0, end - int(offsets[doc]))
             at = raw.find(text, at + 1)
     return [(doc, i, *found) for (doc, i), found in best.items()]
 
 
 def normalised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return plain_words(*utf8(texts))
+    """(code points, word starts, text offsets) of texts as case-folded words with one blank after each."""
+    if not pc.any(pc.not_equal(pc.binary_length(texts), pc.utf8_length(texts))).as_py():
+        return plain_words(*utf8(texts))
+    return word_characters([(t or "").casefold() for t in texts.to_pylist()])
+
+
+def item_list(rows: pa.Table) -> list[tuple[object, np.ndarray]]:
+    """(item_id or row number, code points of the normalised text) of items that have a word."""
+    if not len(rows):
+        return []
+    names = rows.column("item_id").to_pylist() if "item_id" in rows.column_names else range(len(rows))
+    points, _, offsets = normalised(rows.column("text").combine_chunks())
+    cut = ((n, points[a : z - 1]) for n, a, z in zip(names, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) if z > a)
+    return [(n, x) for n, x in cut if len(x)]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
@@ -284,7 +311,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> D
 
     ``distance`` is the edit distance of the item to the closest part of the
     document, at most ``edits`` of the item's characters; ``n_chars`` the
-    item's length, both in normalised text. Null texts and items without words
+    item's length, both in characters of case-folded text. Null texts and items without words
     match nothing; repeated documents and null ids give rows of their own; an
     empty benchmark gives an empty result.
     """
@@ -295,18 +322,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> D
         part = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
         if scans > 1:
             part = part.filter(F.pmod(F.xxhash64("text"), F.lit(scans)) == scan)
-        rows = part.toArrow()
-        names = rows.column("item_id").to_pylist()
-        data, _, offsets = normalised(rows.column("text").combine_chunks()) if len(rows) else (np.zeros(0, np.uint8), None, np.zeros(1, np.int64))
-        raw = data.tobytes()
-        items = [(n, t) for n, a, b in zip(names, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) if (t := raw[a:b].rstrip(b" "))]
+        items = item_list(part.toArrow())
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             index = Index(items, edits)
             for big in batches:
                 for b in slices(big, "text"):
-                    data, starts, offsets = normalised(b.column("text"))
-                    hits = leaks(index, data, starts, offsets, edits) if len(starts) else []
+                    points, starts, offsets = normalised(b.column("text"))
+                    hits = leaks(index, points, starts, offsets, edits) if len(starts) else []
                     if hits:
                         doc, item, distance, _ = zip(*hits, strict=True)
                         yield pa.RecordBatch.from_arrays(
@@ -325,21 +348,18 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -
     scans = max(1, -(-rows.count() // ITEMS_PER_SCAN))
     for scan in range(scans):
         part = rows if scans == 1 else rows.filter(F.pmod(F.xxhash64("text"), F.lit(scans)) == scan)
-        got = part.toArrow()
-        if not len(got):
+        items = item_list(part.toArrow())
+        if not items:
             continue
-        data, _, offsets = normalised(got.column("text").combine_chunks())
-        raw = data.tobytes()
-        items = [(i, t) for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)) if (t := raw[a:b].rstrip(b" "))]
 
         def keep(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             index = Index(items, edits)
             for big in batches:
                 for b in slices(big, "text"):
-                    data, starts, offsets = normalised(b.column("text"))
+                    points, starts, offsets = normalised(b.column("text"))
                     clean = np.ones(len(b), bool)
                     if len(starts):
-                        clean[[h[0] for h in leaks(index, data, starts, offsets, edits)]] = False
+                        clean[[h[0] for h in leaks(index, points, starts, offsets, edits)]] = False
                     yield b.filter(pa.array(clean))
 
         docs = docs.mapInArrow(keep, docs.schema)
