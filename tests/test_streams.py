@@ -1,5 +1,7 @@
 """Streams over several batches equal their batch definition."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tracefield.streaming import live as lv
@@ -35,6 +37,61 @@ def test_alert_needs_the_whole_duration(spark, tmp_path):
     assert [((r.started_us - t0) // 60_000_000, (r.fired_us - t0) // 60_000_000) for r in out] == [(0, 2), (4, 6)]
 
 
+def watched(spark, tmp_path, rows, parts, **more):
+    df = stream_of(spark, tmp_path, rows, "ts string, metric string, subject string, value double", parts).withColumn("ts", F.to_timestamp("ts"))
+    rules = spark.createDataFrame([("r", "cpu", ">", 90.0, 120)], "rule_id string, metric string, op string, threshold double, duration int")
+    return lv.alert_rules(df, rules, **more)
+
+
+def states(stream, tmp_path, mode="append"):
+    """Rows written, and state rows after the last batch."""
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", str(tmp_path / "offsets")).trigger(availableNow=True)
+    query = query.format("parquet").option("path", str(tmp_path / "out")).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.parquet(str(tmp_path / "out")), [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress]
+
+
+def test_alert_fires_without_a_further_row_and_its_state_goes(spark, tmp_path):
+    """Host a holds and falls silent, b breaks too early, c is asked late; other hosts move the time on."""
+    rows = [("2024-01-01 00:00:00", "cpu", "a", 95.0), ("2024-01-01 00:00:00", "cpu", "b", 95.0), ("2024-01-01 00:01:30", "cpu", "b", 10.0)]
+    rows += [("2024-01-01 06:00:00", "cpu", "x", 1.0), ("2024-01-01 12:00:00", "cpu", "x", 1.0), ("2024-01-01 18:00:00", "cpu", "x", 1.0)]
+    out, kept = states(watched(spark, tmp_path, rows, 4, forget=3600), tmp_path)
+    got = [(r.subject, r.fired_us - r.started_us) for r in out.collect()]
+    assert got == [("a", 120_000_000)]
+    assert max(kept) > 0 and kept[-1] == 0
+
+
+def test_alerts_do_not_depend_on_the_batches(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00", "cpu", f"h{m % 2}", float(rng.choice([10, 95, 96, 97]))) for m in range(300)]
+    want = None
+    for parts in (1, 3, 7):
+        folder = tmp_path / str(parts)
+        got = sorted(map(tuple, spark.read.parquet(lv.run_available(watched(spark, folder, rows, parts))).collect()))
+        want = want or got
+        assert got == want and len(got) > 20
+
+
+def test_idle_users_are_forgotten(spark, tmp_path):
+    rows = [("2024-01-01 00:00:00", i, 1) for i in range(5)] + [(f"2024-01-01 {h:02d}:00:00", 10 + h, 2) for h in range(1, 12)]
+    df = stream_of(spark, tmp_path, rows, "ts string, request_id bigint, user_id bigint", 8).withColumn("ts", F.to_timestamp("ts"))
+    out, kept = states(lv.stream_rate_limit(df, 3), tmp_path)
+    got = {(r.user_id, r.request_id): r.accepted for r in out.collect()}
+    assert sum(got[1, i] for i in range(5)) == 3 and all(v for (u, _), v in got.items() if u == 2)
+    assert max(kept) == 2 and kept[-1] == 1  # the last user only
+
+
+def test_error_counts_forget_past_windows(spark, tmp_path):
+    rows = [(f"2024-01-{1 + i // 10:02d} {i % 10:02d}:00:00", f"c{i % 3}", "m", "x") for i in range(60)]
+    df = stream_of(spark, tmp_path, rows, "ts string, code string, message string, context string", 6).withColumn("ts", F.to_timestamp("ts"))
+    folder = str(tmp_path / "state")
+    stream = lv.stream_error_counts(df)
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "o")).trigger(availableNow=True).foreachBatch(lv.append_batches(folder)).start()
+    query.awaitTermination()
+    assert {r.code: (r.occurrences, str(r.last_seen)) for r in lv.error_history(spark, folder).collect()} == {f"c{k}": (20, f"2024-01-06 0{7 + k}:00:00") for k in range(3)}
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 6
+
+
 def test_error_counts_in_update_mode(spark, tmp_path):
     rows = [("2024-01-01 00:00:00", f"c{i % 3}", "m", "x") for i in range(30)]
     df = stream_of(spark, tmp_path, rows, "ts string, code string, message string, context string", 5).withColumn("ts", F.to_timestamp("ts"))

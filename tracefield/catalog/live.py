@@ -75,11 +75,16 @@ def t5(spark, d):
 
 QUERIES["t5_alert_rules"] = t5
 _cond = "case rule_id when 'hot_errors' then value > 10 when 'low_views' then value <= 60 else value <> 5 end"
+# a condition holds until a row breaks it or a day without rows ends it; it fires if that is not before its duration, once a row or the watermark is past it
 ORACLE["t5_alert_rules"] = f"""with m as (select 'z' || (user_id % 10) as subject, epoch_us(ts) as us, value, rule_id, duration, {_cond} as holds from events
   join (values ('hot_errors', 'error', 600), ('low_views', 'view', 3600), ('not_five', 'click', 7200)) r(rule_id, metric, duration) on metric = event_type),
- i as (select *, sum(case when holds then 0 else 1 end) over (partition by rule_id, subject order by us rows unbounded preceding) as island from m),
- h as (select *, min(us) over (partition by rule_id, subject, island) as started from i where holds)
-select rule_id, subject, started as started_us, min(us) as fired_us from h where us - started >= duration::bigint*1000000 group by rule_id, subject, island, started"""
+ g as (select *, us - lag(us) over w > 86400000000 as anew from m window w as (partition by rule_id, subject order by us, holds desc)),
+ i as (select *, sum(case when holds and not coalesce(anew, false) then 0 else 1 end) over (partition by rule_id, subject order by us, holds desc rows unbounded preceding) as island from g),
+ h as (select rule_id, subject, duration, island, min(us) filter (holds) as started from i group by 1, 2, 3, 4),
+ n as (select h.*, (select min(us) from m where m.rule_id = h.rule_id and m.subject = h.subject and not holds and us >= started) as broke,
+  started + duration::bigint * 1000000 as fired_us, (select max(us) from m where m.rule_id = h.rule_id and m.subject = h.subject) as last from h where started is not null)
+select rule_id, subject, started as started_us, fired_us from n
+where fired_us <= coalesce(broke, fired_us) and (fired_us <= last or fired_us < epoch_us({DONE}))"""
 
 
 def t6(spark, d):
@@ -102,7 +107,7 @@ def log_stream(spark, d):
 def t7(spark, d):
     folder = lv.work_dir(spark) + "/errors-" + lv.uuid.uuid4().hex
     lv.run_available(lv.stream_error_counts(log_stream(spark, d)), batch=lv.append_batches(folder), mode="update")
-    return lv.latest_state(spark, folder, ["code", "message", "context"])
+    return lv.error_history(spark, folder)
 
 
 QUERIES["t7_stream_error_dedup"] = t7

@@ -9,12 +9,14 @@ it wrote.
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracefield.functions.scalars import lookup
 from tracefield.operators import carving as cv
@@ -96,63 +98,135 @@ def compare(value, op, limit):
     )
 
 
-def alert_rules(metrics: DataFrame, rules: DataFrame) -> DataFrame:
-    """metrics(ts, metric, subject, value), rules(rule_id, metric, op, threshold, duration): an
-    alert once a condition has held for ``duration`` seconds, again only after it broke.
+def keyed_timers(spark: SparkSession) -> None:
+    """Timers and list state need the RocksDB state store; queries started later in this session use it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    The state per (rule, subject) is two numbers.
-    """
-    joined = metrics.join(rules, "metric").select(
-        "rule_id", "subject", (F.unix_micros(F.col("ts").cast("timestamp"))).alias("us"),
-        compare(F.col("value"), F.col("op"), F.col("threshold")).alias("holds"), "duration",
-    )
 
-    def watch(key, batches, state: GroupState):
-        since, fired = state.get if state.exists else (-1, False)
+class HeldConditions(StatefulProcessor):
+    """Per (rule, subject): since when the condition holds, and a timer for when it will have held long enough."""
+
+    def __init__(self, forget: int):
+        self.forget = forget * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", "since bigint, fired boolean, last bigint, duration bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        parts = [p[["us", "holds", "duration"]].to_numpy("int64") for p in rows]
+        seen = np.concatenate(parts)
+        seen = seen[np.lexsort((1 - seen[:, 1], seen[:, 0]))]
+        since, fired, last, duration = self.now.get() if self.now.exists() else (-1, False, -1, int(seen[0, 2]) * 1_000_000)
         out = []
-        # one batch of one rule and subject, put in time order
-        rows = pd.concat(list(batches)).sort_values("us", kind="stable")
-        for us, holds, duration in zip(rows.us, rows.holds, rows.duration):
-            if not holds:
+        for us, holds in seen[:, :2].tolist():
+            if since >= 0 and not fired and us >= since + duration:
+                fired = True
+                out.append((*key, since, since + duration))
+            if not holds or (last >= 0 and us - last > self.forget):
                 since, fired = -1, False
-                continue
-            if since < 0:
+            if holds and since < 0:
                 since = us
-            if not fired and us - since >= duration * 1_000_000:
+            last = max(last, us)
+        self._keep(since, fired, last, duration)
+        yield self._alerts(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        out = []
+        if self.now.exists():
+            since, fired, last, duration = self.now.get()
+            if since >= 0 and not fired and expiredTimerInfo.getExpiryTimeInMs() * 1000 >= since + duration:
                 fired = True
-                out.append((*key, since, us))
-        state.update((int(since), bool(fired)))
-        yield pd.DataFrame(out, columns=["rule_id", "subject", "started_us", "fired_us"])
+                out.append((*key, since, since + duration))
+            if expiredTimerInfo.getExpiryTimeInMs() * 1000 > last + self.forget:
+                self.now.clear()
+            else:
+                self._keep(since, fired, last, duration)
+        yield self._alerts(out)
+
+    def _keep(self, since: int, fired: bool, last: int, duration: int) -> None:
+        """State and its one timer; a condition that does not hold needs neither."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if since < 0:
+            if self.now.exists():
+                self.now.clear()
+            return
+        self.now.update((since, fired, last, duration))
+        self.handle.registerTimer((last + self.forget if fired else since + duration) // 1000 + 1)
+
+    @staticmethod
+    def _alerts(out: list) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["rule_id", "subject", "started_us", "fired_us"]).astype({"started_us": "int64", "fired_us": "int64"})
+
+
+def alert_rules(metrics: DataFrame, rules: DataFrame, forget: int = 86_400) -> DataFrame:
+    """metrics(ts, metric, subject, value), rules(rule_id, metric, op, threshold, duration): an
+    alert once a condition has held for ``duration`` seconds, again only after it broke.
 
-    return joined.groupBy("rule_id", "subject").applyInPandasWithState(
-        watch, "rule_id string, subject string, started_us bigint, fired_us bigint", "since bigint, fired boolean", "append", GroupStateTimeout.NoTimeout
+    A value holds until the next one, so an alert needs no row to confirm it: a
+    timer fires it when the watermark has passed the time; a later row of the
+    series does so at once. State: two numbers while the condition holds, gone
+    when it breaks or, after the alert, when no row came for ``forget`` seconds
+    (not under a rule's duration). Rows of a batch are taken in time order, those
+    that break last; rows older than the watermark do not count.
+    """
+    keyed_timers(metrics.sparkSession)
+    joined = _ts(metrics).join(rules, "metric").select(
+        "rule_id", "subject", "ts", F.unix_micros("ts").alias("us"),
+        F.coalesce(compare(F.col("value"), F.col("op"), F.col("threshold")), F.lit(False)).alias("holds"), F.col("duration").cast("bigint").alias("duration"),
     )
+    return joined.groupBy("rule_id", "subject").transformWithStateInPandas(
+        HeldConditions(forget), "rule_id string, subject string, started_us bigint, fired_us bigint", "Append", "EventTime"
+    )
+
+
+class AcceptedTimes(StatefulProcessor):
+    """Per user: the accepted times of the last span; a timer clears them when none can count any more."""
+
+    def __init__(self, limit: int, span: int):
+        self.limit, self.span = limit, span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getListState("kept", "us bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        kept = deque(sorted(r[0] for r in self.kept.get()) if self.kept.exists() else [])
+        parts = [p[["us", "request_id"]].to_numpy("int64") for p in rows]
+        asked = np.concatenate(parts)
+        asked = asked[np.lexsort((asked[:, 1], asked[:, 0]))]
+        for start in range(0, len(asked), 10_000):
+            part, verdict = asked[start : start + 10_000], []
+            for us in part[:, 0].tolist():
+                while kept and us - kept[0] >= self.span:
+                    kept.popleft()
+                verdict.append(len(kept) < self.limit)
+                if verdict[-1]:
+                    kept.append(us)
+            yield pd.DataFrame({"user_id": key[0], "request_id": part[:, 1], "us": part[:, 0], "accepted": verdict})
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if kept:
+            self.kept.put([(t,) for t in kept])
+            self.handle.registerTimer((kept[-1] + self.span) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.kept.clear()
+        yield pd.DataFrame({"user_id": pd.Series([], dtype="int64"), "request_id": pd.Series([], dtype="int64"), "us": pd.Series([], dtype="int64"), "accepted": pd.Series([], dtype="bool")})
 
 
 def stream_rate_limit(requests: DataFrame, limit: int, span_seconds: int = 3600) -> DataFrame:
     """requests(ts, request_id, user_id): exact accept or refuse.
 
     A request is refused when ``limit`` accepted ones lie within the last
-    ``span_seconds``; refused ones do not count. State: at most ``limit`` times.
+    ``span_seconds``; refused ones do not count. State: at most ``limit`` times,
+    gone when the watermark has passed the last of them by the span.
     """
-    span = span_seconds * 1_000_000
-    r = requests.select("user_id", "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-
-    def decide(key, batches, state: GroupState):
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["us", "request_id"])
-        verdict = []
-        for us in rows.us:
-            kept = [t for t in kept if us - t < span]
-            ok = len(kept) < limit
-            if ok:
-                kept.append(int(us))
-            verdict.append(ok)
-        state.update((kept,))
-        yield rows.assign(user_id=key[0], accepted=verdict)[["user_id", "request_id", "us", "accepted"]]
-
-    return r.groupBy("user_id").applyInPandasWithState(
-        decide, "user_id bigint, request_id bigint, us bigint, accepted boolean", "kept array<bigint>", "append", GroupStateTimeout.NoTimeout
+    keyed_timers(requests.sparkSession)
+    r = _ts(requests).select("user_id", "request_id", "ts", F.unix_micros("ts").alias("us"))
+    return r.groupBy("user_id").transformWithStateInPandas(
+        AcceptedTimes(limit, span_seconds * 1_000_000), "user_id bigint, request_id bigint, us bigint, accepted boolean", "Append", "EventTime"
     )
 
 
@@ -161,9 +235,19 @@ def stream_error_first(log: DataFrame) -> DataFrame:
     return _ts(log).dropDuplicatesWithinWatermark(["code", "message", "context"]).select("code", "message", "context", "ts")
 
 
-def stream_error_counts(log: DataFrame) -> DataFrame:
-    """Running count and last time per error (update mode)."""
-    return log.groupBy("code", "message", "context").agg(F.count(F.lit(1)).alias("occurrences"), F.max("ts").alias("last_seen"))
+def stream_error_counts(log: DataFrame, window: str = "1 day") -> DataFrame:
+    """Count and last time per error and window (update mode); the state of a window goes when the watermark has passed it."""
+    w = F.window("ts", window)
+    return _ts(log).groupBy(w, "code", "message", "context").agg(F.count(F.lit(1)).alias("occurrences"), F.max("ts").alias("last_seen")).select(
+        F.col("window.start").alias("window_start"), "code", "message", "context", "occurrences", "last_seen"
+    )
+
+
+def error_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Count and last time per error from ``stream_error_counts`` written by ``append_batches``."""
+    keys = ["code", "message", "context"]
+    last = latest_state(spark, folder, ["window_start", *keys])
+    return last.groupBy(*keys).agg(F.sum("occurrences").alias("occurrences"), F.max("last_seen").alias("last_seen"))
 
 
 def append_batches(folder: str) -> Callable[[DataFrame, int], None]:
