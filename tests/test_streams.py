@@ -2,9 +2,14 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from tracefield.operators import carving as cv
+from tracefield.sources import image as src
+from tracefield.sources import signatures as sg
 from tracefield.streaming import live as lv
+from tracefield.streaming.images import GrowingImages
 
 
 def stream_of(spark, tmp_path, rows, schema, parts):
@@ -99,3 +104,43 @@ def test_error_counts_in_update_mode(spark, tmp_path):
     lv.run_available(lv.stream_error_counts(df), batch=lv.append_batches(folder), mode="update")
     got = {r.code: r.occurrences for r in lv.latest_state(spark, folder, ["code", "message", "context"]).collect()}
     assert got == {"c0": 10, "c1": 10, "c2": 10}
+
+
+SIGS = [("A", "", b"<a>".hex(), b"</a>".hex(), 60, 3), ("B", "", b"<b".hex(), "", 7, 0), ("C", "", b"<cc>".hex(), b"!".hex(), 2, 0), ("D", "", b"<a".hex(), b">".hex(), 30, 5)]
+
+
+@pytest.mark.parametrize("mode, order", [("first", "forward"), ("first", "mixed"), ("last", "backward")])
+def test_image_in_three_batches_is_carved_as_in_one(spark, tmp_path, mode, order):
+    rng = random.Random(3)
+    data = "".join(rng.choice(["<a>", "</a>", "<b", "<cc>", "!", ">", "xyz", "-"]) for _ in range(300)).encode()
+    rows, at = [], 0
+    while at < len(data):
+        n = rng.choice([1, 2, 5, 40])
+        rows.append(("one", at, at, bytearray(data[at : at + n])))
+        at += n
+    rows += [("two", 0, 0, bytearray(b"<a>..")), ("two", 5, 5, bytearray(b"..</")), ("two", 9, 9, bytearray(b"a>")), ("gap", 7, 7, bytearray(b"<a>xx</a>"))]
+    schema = "image_id string, chunk_no bigint, base_offset bigint, data binary"
+    sigs = sg.signatures_of(spark, SIGS)
+    want = sorted(map(tuple, cv.carve(spark.createDataFrame(rows, schema), sigs, mode, span=64).collect()))
+    if order == "backward":
+        rows = rows[::-1]
+    elif order == "mixed":
+        rng.shuffle(rows)
+    growing = GrowingImages(spark, sigs, str(tmp_path / "state"), mode, span=64)
+    lv.run_available(stream_of(spark, tmp_path, rows, schema, 3), batch=growing.step())
+    early = spark.read.parquet(str(tmp_path / "state/carved")).count()
+    assert sorted(map(tuple, growing.finish().collect())) == want and len(want) > 100
+    assert early > 50 if order == "forward" else True
+
+
+def test_file_that_grows_is_read_once(spark, tmp_path):
+    data = random.Random(4).randbytes(1000)
+    (tmp_path / "img").mkdir()
+    got = []
+    stream = src.stream_image(spark, str(tmp_path / "img"), 128)
+    for size in (100, 100, 612, 1000):
+        (tmp_path / "img/a").write_bytes(data[:size])
+        query = stream.writeStream.option("checkpointLocation", str(tmp_path / "o")).foreachBatch(lambda df, i: got.extend(df.collect())).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert b"".join(bytes(r.data) for r in sorted(got, key=lambda r: r.base_offset)) == data
+    assert sorted(r.base_offset for r in got) == [0, 100, 128, 256, 384, 512, 612, 640, 768, 896]

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracefield.catalog.carving import PAGE_SIGNATURES
-from tracefield.sources import signatures as sg
+from tracefield.catalog.carving import CARVED, sigs
 from tracefield.session import small_table
 from tracefield.sources import tables as tb
 from tracefield.streaming import live as lv
+from tracefield.streaming.images import GrowingImages
 
 QUERIES, ORACLE = {}, {}
 
@@ -136,22 +136,15 @@ ORACLE["t8_stream_watchlist"] = f"select tx_id, from_addr, to_addr, value, to_ad
 
 
 def t10(spark, d):
-    """Each page is an image of its own that arrives on the stream."""
-    pages = lv.stream_table(spark, d, "pages").select(
-        F.col("page_id").alias("image_id"), F.lit(0).cast("bigint").alias("chunk_no"), F.lit(0).cast("bigint").alias("base_offset"), F.col("html").cast("binary").alias("data"))
-    folder = lv.work_dir(spark) + "/carved-" + lv.uuid.uuid4().hex
-    lv.run_available(pages, batch=lv.carve_batch(sg.signatures_of(spark, PAGE_SIGNATURES[:3]), folder))
-    return spark.read.parquet(folder).drop("batch")
+    """The pages as one image whose chunks arrive in five batches."""
+    folder = lv.work_dir(spark) + "/growing-" + lv.uuid.uuid4().hex
+    image = tb.ev_image(spark, d)
+    image.withColumn("part", F.pmod(F.floor(F.col("chunk_no") / 7), F.lit(5))).repartition(5, "part").drop("part").write.parquet(f"{folder}/arrived")
+    arrived = spark.readStream.schema(image.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arrived")
+    growing = GrowingImages(spark, sigs(spark), folder, span=1 << 16)
+    lv.run_available(arrived, batch=growing.step())
+    return growing.finish()
 
 
 QUERIES["t10_stream_carve"] = t10
-ORACLE["t10_stream_carve"] = " union all ".join(
-    f"""select page_id as image_id, '{n}' as name, start_offset, end_offset, is_complete, end_offset - start_offset as size from
- (select page_id, start_offset, case when foot < 0 then least(start_offset + {mx}, size) else foot + {len(f) // 2} end as end_offset, foot >= 0 as is_complete from
-  (select page_id, size, start_offset, case when rel > 0 and start_offset + {fso} + rel - 1 + {len(f) // 2} <= start_offset + {mx} then start_offset + {fso} + rel - 1 else -1 end as foot from
-   (select page_id, strlen(html) as size, start_offset, case when strpos(substr(hx, 2*(start_offset+{fso})+1), '{f.upper()}') > 0 then
-      len(regexp_extract(substr(hx, 2*(start_offset+{fso})+1), '^(?:..)*?{f.upper()}')) // 2 - {len(f) // 2} + 1 else 0 end as rel from
-     (select page_id, html, hex(encode(html)) as hx, unnest(list_filter(list_transform(range(1, len(g)), lambda i: (list_sum(list_transform(g[1:i], lambda x: strlen(x))) + (i-1)*{len(h) // 2})::bigint), lambda x: x is not null)) as start_offset
-       from (select page_id, html, string_split(html, '{bytes.fromhex(h).decode()}') as g from pages)))))"""
-    for n, _, h, f, mx, fso in PAGE_SIGNATURES[:3]
-)
+ORACLE["t10_stream_carve"] = CARVED + "select image_id, name, start_offset, end_offset, is_complete, size from carved"

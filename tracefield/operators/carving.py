@@ -228,6 +228,20 @@ def cut_ranges(paired: DataFrame, image_sizes: DataFrame) -> DataFrame:
     )
 
 
+def roles(spark, signatures: DataFrame) -> tuple[list[bytes], DataFrame, DataFrame]:
+    """(patterns, what each is the header of, what each is the footer of) of a signature list."""
+    rows = signatures.collect()
+    patterns = sorted({bytes(r.header) for r in rows} | {bytes(r.footer) for r in rows if r.footer})
+    number = {p: i for i, p in enumerate(patterns)}
+    heads = small_table(
+        spark,
+        [(number[bytes(r.header)], r.name, len(r.header), r.max_size, r.footer_search_offset, len(r.footer or b"")) for r in rows],
+        "pid int, name string, header_len int, max_size bigint, footer_search_offset bigint, footer_len int",
+    )
+    feet = small_table(spark, [(number[bytes(r.footer)], r.name) for r in rows if r.footer], "pid int, name string")
+    return patterns, heads, feet
+
+
 def carve(
     chunks: DataFrame,
     signatures: DataFrame,
@@ -239,24 +253,14 @@ def carve(
 
     Headers, footers and image sizes all come from one scan of the bytes.
     """
-    spark = chunks.sparkSession
-    rows = signatures.collect()
-    patterns = sorted({bytes(r.header) for r in rows} | {bytes(r.footer) for r in rows if r.footer})
-    number = {p: i for i, p in enumerate(patterns)}
+    patterns, heads, feet = roles(chunks.sparkSession, signatures)
     hits, sizes = scan_images(chunks, patterns)
     hits = checkpoint(hits)
-    head_roles = small_table(
-        spark,
-        [(number[bytes(r.header)], r.name, len(r.header), r.max_size, r.footer_search_offset, len(r.footer or b"")) for r in rows],
-        "pid int, name string, header_len int, max_size bigint, footer_search_offset bigint, footer_len int",
-    )
-    foot_roles = small_table(spark, [(number[bytes(r.footer)], r.name) for r in rows if r.footer], "pid int, name string")
-    headers = hits.join(head_roles, "pid").drop("pid")
+    headers = hits.join(heads, "pid").drop("pid")
     if dedup:
         keep = dedup_offsets(headers).select("image_id", "offset", "name")
         headers = headers.join(keep, ["image_id", "offset", "name"], "left_semi")
-    footers = hits.join(foot_roles, "pid").drop("pid")
-    paired = pair_footers(headers, footers, mode, span)
+    paired = pair_footers(headers, hits.join(feet, "pid").drop("pid"), mode, span)
     return cut_ranges(paired, sizes)
 
 

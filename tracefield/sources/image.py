@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 CHUNK_SCHEMA = "image_id string, chunk_no bigint, base_offset bigint, length int, data binary"
 MIB = 1 << 20
@@ -51,6 +51,41 @@ class ByteImageReader(DataSourceReader):
                 yield part.path, i, i * self.chunk, min(self.chunk, len(data)), data
 
 
+class GrowingImageReader(ByteImageReader, DataSourceStreamReader):
+    """Files that grow: an offset is the size seen of each; what is new is dealt out in ranges of ``chunk`` bytes.
+
+    A file's bytes are given once, in order; where it ended between two chunk
+    borders, the rest follows as a chunk of its own.
+    """
+
+    def initialOffset(self):
+        return {}
+
+    def latestOffset(self):
+        store, name = self.store()
+        info = store.get_file_info(name)
+        files = store.get_file_info(fs.FileSelector(name, recursive=True)) if info.type == fs.FileType.Directory else [info]
+        return {f.path: f.size for f in files if f.type == fs.FileType.File}
+
+    def partitions(self, start, end):
+        out, run = [], self.run * self.chunk
+        for path, size in sorted(end.items()):
+            out += [ByteRange(path, at, min(size, (at // run + 1) * run)) for at in range_starts(start.get(path, 0), size, run)]
+        return out
+
+    def read(self, part):
+        with self.store()[0].open_input_file(part.path) as f:
+            for at in range_starts(part.first, part.last, self.chunk):
+                f.seek(at)
+                data = f.read(min(part.last, (at // self.chunk + 1) * self.chunk) - at)
+                yield part.path, at, at, len(data), data
+
+
+def range_starts(first: int, last: int, step: int) -> list[int]:
+    """``first`` and every multiple of ``step`` after it, below ``last``."""
+    return ([first] if first < last else []) + list(range((first // step + 1) * step, last, step))
+
+
 class ByteImageSource(DataSource):
     @classmethod
     def name(cls):
@@ -62,6 +97,9 @@ class ByteImageSource(DataSource):
     def reader(self, schema):
         return ByteImageReader(self.options)
 
+    def streamReader(self, schema):
+        return GrowingImageReader(self.options)
+
 
 def read_image(spark: SparkSession, path: str, chunk: int = 16 * MIB, overlap: int = 0) -> DataFrame:
     """Fixed-size chunks of one large file, or of every file of a folder, on storage every executor can open.
@@ -73,6 +111,12 @@ def read_image(spark: SparkSession, path: str, chunk: int = 16 * MIB, overlap: i
     return spark.read.format("byteimage").option("chunk", chunk).option("overlap", overlap).load(path)
 
 
+def stream_image(spark: SparkSession, path: str, chunk: int = 16 * MIB) -> DataFrame:
+    """``read_image`` as a stream over files that arrive and grow; ``chunk_no`` is the chunk's offset."""
+    spark.dataSource.register(ByteImageSource)
+    return spark.readStream.format("byteimage").option("chunk", chunk).load(path)
+
+
 def read_small_images(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Many small files, one chunk each."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracefield.functions.scalars import lookup
-from tracefield.operators import carving as cv
 from tracefield.session import work_dir
 
 LATE = "10 minutes"
@@ -271,11 +270,3 @@ def stream_watchlist(tx: DataFrame, listed: DataFrame) -> DataFrame:
     ends = tx.select("*", F.explode(F.array_distinct(F.array("from_addr", "to_addr"))).alias("addr"))
     return ends.join(listed.select("addr").distinct(), "addr").withColumn("severity", F.lit("HIGH"))
 
-
-def carve_batch(signatures: DataFrame, folder: str, mode: str = "first") -> Callable[[DataFrame, int], None]:
-    """Batch step that carves newly arrived chunks (whole images per batch)."""
-
-    def step(chunks: DataFrame, batch_id: int) -> None:
-        cv.carve(chunks, signatures, mode).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
-
-    return step
