@@ -7,8 +7,9 @@ The piece probabilities are learned by expectation maximisation (forward and
 backward sums over word types), never by choosing one segmentation.
 
 Words are runs of letters, lower-cased, with the vocabulary's word-start mark
-in front; runs over 48 letters are cut into words of 48. A single character
-that is no piece of its own counts as the piece "unknown".
+in front, of any length: sums are scaled as they go, and only as many of them
+are kept as the longest piece has characters. A single character that is no
+piece of its own counts as the piece "unknown".
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from tracefield.session import checkpoint
 
 #: labelled texts that are learned from, at most (about)
 MAX_LABELLED = 8_000
-MAX_WORD = 48
-MAX_PIECE = 16
+#: characters of words that are summed at once, and places after which sums are scaled
+CELLS, EVERY = 1 << 20, 16
 START = ord("▁")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -40,7 +41,7 @@ def load_pieces(model_file: str) -> list[str]:
 
     sp = SentencePieceProcessor(model_file=model_file)
     kept = dict.fromkeys(p.lower() for p in (sp.id_to_piece(i) for i in range(sp.get_piece_size())) if p == "▁" or p.lstrip("▁").isalpha() and p.count("▁") <= 1)
-    return [p for p in kept if len(p) <= MAX_PIECE]
+    return list(kept)
 
 
 class Vocabulary:
@@ -59,6 +60,7 @@ class Vocabulary:
         self.first = np.searchsorted(self.hashes >> np.uint64(46), np.arange((1 << 18) + 1))
         self.most = int(np.diff(self.first).max()) if len(h) else 0
         self.unknown = len(pieces)
+        self.longest = max(map(len, pieces), default=1)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece numbers, -1 where there is none."""
@@ -78,15 +80,40 @@ def letter_table() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-def letter_words(texts: list, letters: np.ndarray):
-    """Distinct words of some texts: (matrix of code points, lengths, text of each occurrence, word of each occurrence)."""
+class Words:
+    """Distinct words as one run of code points, the start mark before each."""
+
+    def __init__(self, points: np.ndarray, lengths: np.ndarray):
+        self.points, self.lengths = points, lengths
+        self.starts = np.cumsum(lengths) - lengths
+
+    @classmethod
+    def of(cls, words: list[str]) -> Words:
+        marked = [chr(START) + w for w in words]
+        points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4")
+        return cls(points, np.fromiter(map(len, marked), np.int64, len(marked)))
+
+    def text(self, i: int) -> str:
+        return "".join(map(chr, self.points[self.starts[i] + 1 : self.starts[i] + self.lengths[i]]))
+
+    def block(self, rows: np.ndarray) -> np.ndarray:
+        """Matrix of code points of some words, as wide as the longest."""
+        size = self.lengths[rows]
+        out = np.zeros((len(rows), int(size.max())), np.uint32)
+        column = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(np.arange(len(rows)), size), column] = self.points[ragged(self.starts[rows], size)]
+        return out
+
+
+def letter_words(texts: list, letters: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of some texts: (words, their lengths, text of each occurrence, word of each occurrence)."""
     lowered = [(t or "").lower() for t in texts]
     offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)))])
     c = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4")
     none = np.zeros(0, np.int64)
-    if not len(c):
-        return np.zeros((0, 0), np.uint32), none, none, none
     inside = letters[c]
+    if not inside.any():
+        return Words(np.zeros(0, np.uint32), none), none, none, none
     begin, end = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]
@@ -95,27 +122,29 @@ def letter_words(texts: list, letters: np.ndarray):
     begin[cut] = inside[cut]
     end[cut - 1] = inside[cut - 1]
     first, length = np.flatnonzero(begin), np.flatnonzero(end) - np.flatnonzero(begin) + 1
-    if len(length) and length.max() > MAX_WORD:
-        parts = -(-length // MAX_WORD)
-        lead = np.repeat(np.cumsum(parts) - parts, parts)
-        nth = np.arange(int(parts.sum())) - lead
-        first, length = np.repeat(first, parts) + nth * MAX_WORD, np.minimum(np.repeat(length, parts) - nth * MAX_WORD, MAX_WORD)
-    if not len(first):
-        return np.zeros((0, 0), np.uint32), none, none, none
     doc = np.searchsorted(offsets, first, "right") - 1
     at = ragged(first, length)
     lead = np.cumsum(length) - length
-    power = np.ones(MAX_WORD, np.uint64)
+    power = np.ones(int(length.max()), np.uint64)
     power[1:] = BASE
     power = np.cumprod(power)
     h = np.add.reduceat((c[at].astype(np.uint64) + np.uint64(1)) * power[np.arange(len(at)) - np.repeat(lead, length)], lead) + length.astype(np.uint64)
     _, where, back = np.unique(h, return_index=True, return_inverse=True)
-    length = length[where]
-    matrix = np.zeros((len(where), int(length.max()) + 1), np.uint32)
-    matrix[:, 0] = START
-    row, col = np.repeat(np.arange(len(where)), length), np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    matrix[row, col + 1] = c[ragged(first[where], length)]
-    return matrix, length + 1, doc, back
+    first, length = first[where], length[where] + 1
+    points = np.full(int(length.sum()), START, np.uint32)
+    points[ragged(np.cumsum(length) - length + 1, length - 1)] = c[ragged(first, length - 1)]
+    return Words(points, length), length, doc, back
+
+
+def groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Row numbers by growing length, so many at once that a matrix of them has about CELLS cells."""
+    order = np.argsort(lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        size = lengths[order[at : at + (1 << 14)]]
+        n = max(1, int(np.searchsorted(np.arange(1, len(size) + 1) * size, CELLS, "right")))
+        yield order[at : at + n]
+        at += n
 
 
 def spans(matrix: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary):
@@ -123,7 +152,7 @@ def spans(matrix: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary):
     for i in range(matrix.shape[1]):
         live = np.flatnonzero(lengths > i)
         h = np.zeros(len(live), np.uint64)
-        for j in range(i, min(matrix.shape[1], i + MAX_PIECE)):
+        for j in range(i, min(matrix.shape[1], i + vocabulary.longest)):
             longer = lengths[live] > j
             live, h = live[longer], h[longer]
             if not len(live):
@@ -137,43 +166,70 @@ def spans(matrix: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary):
                 yield i, j + 1, live[hit], piece[hit]
 
 
-def forward(matrix, lengths, vocabulary, prob: np.ndarray) -> np.ndarray:
-    """Log probability of each word (rows) in each language (columns), over all segmentations."""
-    n, k = len(lengths), prob.shape[1]
-    out = np.zeros((n, k))
-    order = np.argsort(lengths, kind="stable")
-    for part in np.array_split(order, max(1, n >> 14)):
-        if not len(part):
-            continue
-        width = int(lengths[part].max())
-        alpha = np.zeros((width + 1, len(part), k))
-        alpha[0] = 1.0
-        for i, j, w, p in spans(matrix[part][:, :width], lengths[part], vocabulary):
-            alpha[j, w] += alpha[i, w] * prob[p]
-        out[part] = np.log(alpha[lengths[part], np.arange(len(part))] + 1e-300)
+def forward(words: Words, lengths: np.ndarray, vocabulary: Vocabulary, prob: np.ndarray) -> np.ndarray:
+    """Log probability of each word (rows) in each language (columns), over all segmentations.
+
+    Sums are kept in a ring for the places that a piece can still reach.
+    """
+    out = np.zeros((len(lengths), prob.shape[1]))
+    slots = vocabulary.longest + 1
+    for part in groups(lengths):
+        size, ring, scale, at = lengths[part], np.zeros((slots, len(part), prob.shape[1])), np.zeros((len(part), prob.shape[1])), 0
+        ring[0] = 1.0
+
+        def move(to: int):
+            """All sums up to place ``to`` are complete: note those of the words that end there."""
+            nonlocal at
+            while at < to:
+                ring[at % slots] = 0.0
+                at += 1
+                if at % EVERY == 0:
+                    most = ring.max(0)
+                    most[most == 0] = 1.0
+                    ring[:] /= most
+                    scale[:] += np.log(most)
+                low, high = np.searchsorted(size, [at, at + 1])
+                if low < high:
+                    out[part[low:high]] = np.log(ring[at % slots, low:high] + 1e-300) + scale[low:high]
+
+        for i, j, w, p in spans(words.block(part), size, vocabulary):
+            move(i)
+            ring[j % slots, w] += ring[i % slots, w] * prob[p]
+        move(int(size[-1]))
     return out
 
 
-def expect(matrix, lengths, counts, vocabulary, prob: np.ndarray) -> np.ndarray:
-    """Expected piece counts over all segmentations of the word types (one language)."""
+def expect(words: Words, lengths: np.ndarray, counts: np.ndarray, vocabulary: Vocabulary, prob: np.ndarray) -> np.ndarray:
+    """Expected piece counts over all segmentations of the word types (one language).
+
+    The backward pass is the derivative of the scaled forward pass.
+    """
     total = np.zeros(len(prob))
-    order = np.argsort(lengths, kind="stable")
-    for part in np.array_split(order, max(1, len(order) >> 14)):
-        if not len(part):
-            continue
-        width, size = int(lengths[part].max()), lengths[part]
-        steps = list(spans(matrix[part][:, :width], size, vocabulary))
-        alpha, beta = np.zeros((width + 1, len(part))), np.zeros((width + 1, len(part)))
+    for part in groups(lengths):
+        size, rows = lengths[part], np.arange(len(part))
+        width = int(size[-1])
+        steps = list(spans(words.block(part), size, vocabulary))
+        alpha, back, marks, at = np.zeros((width + 1, len(part))), np.zeros((width + 1, len(part))), {}, 0
         alpha[0] = 1.0
+        reach = lambda b: slice(b, b + vocabulary.longest + 1)
         for i, j, w, p in steps:
+            while at < i:
+                at += 1
+                if at % EVERY == 0:
+                    most = alpha[reach(at)].max(0)
+                    most[most == 0] = 1.0
+                    alpha[reach(at)] /= most
+                    marks[at] = most
             alpha[j, w] += alpha[i, w] * prob[p]
-        rows = np.arange(len(part))
-        beta[size, rows] = 1.0
+        back[size, rows] = counts[part] / np.maximum(alpha[size, rows], 1e-300)
         for i, j, w, p in reversed(steps):
-            beta[i, w] += beta[j, w] * prob[p]
-        weight = counts[part] / np.maximum(alpha[size, rows], 1e-300)
-        for i, j, w, p in steps:
-            total += np.bincount(p, alpha[i, w] * prob[p] * beta[j, w] * weight[w], len(prob))
+            while at > i:
+                if at in marks:
+                    back[reach(at)] /= marks[at]
+                at -= 1
+            share = prob[p] * back[j, w]
+            back[i, w] += share
+            total += np.bincount(p, alpha[i, w] * share, len(prob))
     return total
 
 
@@ -192,12 +248,12 @@ def train(docs: DataFrame, pieces: list[str], bound: int = MAX_LABELLED, rounds:
         letters = letter_table()
         for big in batches:
             for b in slices(big, "text"):
-                matrix, length, doc, word = letter_words(b.column("text").to_pylist(), letters)
+                words, length, doc, word = letter_words(b.column("text").to_pylist(), letters)
                 lang = b.column("lang").dictionary_encode()
                 code = np.asarray(lang.indices)
                 key, n = np.unique(code[doc] * max(1, len(length)) + word, return_counts=True)
                 w = key % max(1, len(length))
-                text = ["".join(map(chr, matrix[i, 1 : length[i]])) for i in w.tolist()]
+                text = [words.text(i) for i in w.tolist()]
                 yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(key // max(1, len(length)))), pa.array(text, pa.string()), pa.array(n)], ["lang", "word", "n"])
 
     types = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -205,15 +261,11 @@ def train(docs: DataFrame, pieces: list[str], bound: int = MAX_LABELLED, rounds:
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("word")
         vocabulary = Vocabulary(pieces)
-        text = rows["word"].tolist()
-        length = np.fromiter(map(len, text), np.int64, len(text)) + 1
-        matrix = np.zeros((len(text), int(length.max())), np.uint32)
-        for i, t in enumerate(text):
-            matrix[i, : length[i]] = [START, *map(ord, t)]
+        words = Words.of(rows["word"].tolist())
         n = rows["n"].to_numpy(float)
         prob = np.full(len(pieces) + 1, 1.0 / (len(pieces) + 1))
         for _ in range(rounds):
-            got = expect(matrix, length, n, vocabulary, prob) + smoothing
+            got = expect(words, words.lengths, n, vocabulary, prob) + smoothing
             prob = got / got.sum()
         return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "prob": [prob.tolist()]})
 
@@ -243,9 +295,9 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
             for b in slices(big, "text", 4 << 20):
                 n = len(b)
                 best, score = np.full(n, len(langs)), np.zeros(n)
-                matrix, length, doc, word = letter_words(b.column("text").to_pylist(), letters)
+                words, length, doc, word = letter_words(b.column("text").to_pylist(), letters)
                 if langs and len(doc):
-                    each = forward(matrix, length, vocabulary, model["prob"])[word]
+                    each = forward(words, length, vocabulary, model["prob"])[word]
                     z = np.stack([np.bincount(doc, each[:, k], n) for k in range(len(langs))], 1) + model["prior"]
                     share = np.exp(z - z.max(1, keepdims=True))
                     share /= share.sum(1, keepdims=True)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefield.llm.common import slices
+from tracefield.llm.common import mix, slices
 from tracefield.llm.learn import bounded_sample, lbfgs
 from tracefield.session import checkpoint
 
@@ -168,8 +168,9 @@ def near_words(text: str, start: int, end: int) -> tuple[str, str]:
 def learn(docs: DataFrame, bound: int = MAX_LEARNED, penalty: float = 1.0) -> dict:
     """Weights: ``unary`` (feature place, label), ``chain`` and ``skip`` (label, label).
 
-    ``bound`` documents with candidate tokens, and some hundred tokens of each,
-    are learned from; their labels are the base spans.
+    ``bound`` documents with candidate tokens are learned from, whole; their
+    labels are the base spans. Pair weights count the edges of all their tokens;
+    the unary rows are bounded too: MAX_TOKENS of a document, from all over it.
     """
     width = len(LABELS)
 
@@ -178,10 +179,12 @@ def learn(docs: DataFrame, bound: int = MAX_LEARNED, penalty: float = 1.0) -> di
             for b in slices(big, "text"):
                 out, pairs = [], np.zeros((2, width, width), np.int64)
                 for text in b.column("text").to_pylist():
-                    found = tokens(text or "")[:MAX_TOKENS]
+                    found = tokens(text or "")
                     label = token_labels(found, base_spans(text or ""))
-                    for (s, e), y in zip(found, label.tolist(), strict=True):
-                        out.append((y, features(text[s:e], *near_words(text, s, e))))
+                    # edges all count; of very many tokens, some from all over the text are rows of the unary weights
+                    for i in np.sort(np.argsort(mix(np.arange(len(found))), kind="stable")[:MAX_TOKENS]).tolist():
+                        s, e = found[i]
+                        out.append((int(label[i]), features(text[s:e], *near_words(text, s, e))))
                     for kind, edges in enumerate(graph(text or "", found)):
                         for i, j in edges:
                             pairs[kind, label[i], label[j]] += 1

@@ -10,7 +10,7 @@ the word before.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -59,6 +59,27 @@ def feature_sums(data: np.ndarray, offsets: np.ndarray):
         yield where[: len(g)][same], (mix(g[same] + np.uint64(k << 56)) >> np.uint64(47)).astype(np.int64), 1.0 / total[where[: len(g)][same]]
 
 
+def cumulative_link(x: Rows, grade: np.ndarray, weight: np.ndarray, top: int, penalty: float) -> Callable:
+    """Loss of (weights, first threshold, log gaps of the others): P(grade <= k) = sigmoid(threshold_k - score), rows weighted."""
+
+    def loss(p):
+        w, theta = p[:PLACES], thresholds(p[PLACES:])
+        edges = np.concatenate([[-np.inf], theta, [np.inf]])
+        z = x.dot(w)
+        hi, lo = sigmoid(edges[grade + 1] - z), sigmoid(edges[grade] - z)
+        prob = np.maximum(hi - lo, 1e-12)
+        dhi, dlo = hi * (1 - hi), lo * (1 - lo)
+        value = -(weight * np.log(prob)).sum() + penalty / 2 * (w @ w)
+        dhi, dlo = weight * dhi, weight * dlo
+        gz = (dhi - dlo) / prob
+        gtheta = np.array([(-dhi[grade == k] / prob[grade == k]).sum() + (dlo[grade == k + 1] / prob[grade == k + 1]).sum() for k in range(top)])
+        gaps = np.exp(p[PLACES + 1 :])
+        gp = np.array([gtheta.sum(), *(gtheta[k + 1 :].sum() * gaps[k] for k in range(top - 1))]) if top else np.zeros(0)
+        return value / x.n, np.concatenate([x.back(gz) + penalty * w, gp]) / x.n
+
+    return loss
+
+
 def train(docs: DataFrame, grades: DataFrame, bound: int = MAX_LABELLED, penalty: float = 0.02) -> dict:
     """Model of ``grades`` (doc_id, grade int from 0): weights, thresholds. ``bound`` labelled texts at most are learned from."""
     known = grades.filter("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("grade").cast("int")).alias("grade"))
@@ -86,22 +107,7 @@ def train(docs: DataFrame, grades: DataFrame, bound: int = MAX_LABELLED, penalty
         cut = np.log(share / (1 - share))
         start = np.concatenate([np.zeros(PLACES), cut[:1], np.log(np.maximum(np.diff(cut), 1e-2))])
 
-        def loss(p):
-            w, theta = p[:PLACES], thresholds(p[PLACES:])
-            edges = np.concatenate([[-np.inf], theta, [np.inf]])
-            z = x.dot(w)
-            hi, lo = sigmoid(edges[grade + 1] - z), sigmoid(edges[grade] - z)
-            prob = np.maximum(hi - lo, 1e-12)
-            dhi, dlo = hi * (1 - hi), lo * (1 - lo)
-            value = -(weight * np.log(prob)).sum() + penalty / 2 * (w @ w)
-            dhi, dlo = weight * dhi, weight * dlo
-            gz = (dhi - dlo) / prob
-            gtheta = np.array([(-dhi[grade == k] / prob[grade == k]).sum() + (dlo[grade == k + 1] / prob[grade == k + 1]).sum() for k in range(top)])
-            gaps = np.exp(p[PLACES + 1 :])
-            gp = np.array([gtheta.sum(), *(gtheta[k + 1 :].sum() * gaps[k] for k in range(top - 1))]) if top else np.zeros(0)
-            return value / x.n, np.concatenate([x.back(gz) + penalty * w, gp]) / x.n
-
-        p = lbfgs(loss, start, rounds=100) if top else start[:PLACES]
+        p = lbfgs(cumulative_link(x, grade, weight, top, penalty), start, rounds=100) if top else start[:PLACES]
         keep = np.flatnonzero(p[:PLACES])
         return pd.DataFrame({"place": [keep.tolist()], "weight": [p[keep].tolist()], "theta": [thresholds(p[PLACES:]).tolist()]})
 

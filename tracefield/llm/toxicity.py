@@ -10,7 +10,7 @@ being long.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -59,6 +59,18 @@ def gram_places(points: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | No
     return keys >> 20, keys & (PLACES - 1)
 
 
+def scaled_logistic(x: Rows, y: np.ndarray, ratio: np.ndarray, penalty: float) -> Callable:
+    """Loss of (weights, bias): logistic, over features that enter as their log-count ratio, with an L2 penalty on the weights."""
+
+    def loss(p):
+        z = x.dot(ratio * p[:-1]) + p[-1]
+        value = np.logaddexp(0, z).sum() - y @ z + penalty / 2 * (p[:-1] @ p[:-1])
+        r = sigmoid(z) - y
+        return value / len(y), np.append(ratio * x.back(r) + penalty * p[:-1], r.sum()) / len(y)
+
+    return loss
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, bound: int) -> tuple[DataFrame, dict]:
     """((toxic, text), share taken of each label) of labelled texts that may be learned from: crc32 of the id mod 3 is not 1."""
     known = labels.filter(F.col("toxic").isNotNull() & (fold("doc_id", 3) != 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -66,8 +78,13 @@ def _labelled(docs: DataFrame, labels: DataFrame, bound: int) -> tuple[DataFrame
     return texts_of_ids(docs, picked).select("toxic", "text"), rates
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, penalty: float = 1.0) -> dict:
-    """Model: places, weights, bias. ``bound`` labelled texts at most are learned from."""
+def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, penalty: float = 1.0, features: int = MAX_FEATURES, least: int = 3) -> dict:
+    """Model: places, weights, bias. ``bound`` labelled texts at most are learned from.
+
+    Places held by ``least`` of these texts or more may be features, the
+    ``features`` ones whose ratio stands out most are (README: held-out figures
+    for others).
+    """
     sample, rates = _labelled(docs, labels, bound)
     sample = checkpoint(sample)
 
@@ -89,11 +106,11 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, penalty
     if not docs0 or not docs1:
         share = (docs1 + 1) / (docs0 + docs1 + 2)
         return {"places": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": float(np.log(share / (1 - share)))}
-    grams = sample.mapInArrow(count, "place long, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter("n0 + n1 >= 3")
+    grams = sample.mapInArrow(count, "place long, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(F.col("n0") + F.col("n1") >= least)
     # the log ratio of the shares of texts with the feature, and how far it stands out of its standard error
     ratio = F.log((F.col("n1") + 1) / (docs1 + 2)) - F.log((F.col("n0") + 1) / (docs0 + 2))
     error = F.sqrt(1 / (F.col("n1") + 1) + 1 / (F.col("n0") + 1) - 1 / (docs1 + 2) - 1 / (docs0 + 2))
-    best = grams.select("place", ratio.alias("ratio"), (F.abs(ratio) / error).alias("z")).orderBy(F.desc("z"), "place").limit(MAX_FEATURES).collect()
+    best = grams.select("place", ratio.alias("ratio"), (F.abs(ratio) / error).alias("z")).orderBy(F.desc("z"), "place").limit(features).collect()
     best.sort(key=lambda r: r["place"])
     places, ratio = np.array([r["place"] for r in best], np.int64), np.array([r["ratio"] for r in best], float)
     number = np.zeros(PLACES, np.int32)
@@ -101,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, penalty
     wanted = np.zeros(PLACES, bool)
     wanted[places] = True
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in slices(big, "text", SLICE):
                 doc, place = gram_places(*codes(b.column("text").to_pylist()), wanted)
@@ -114,16 +131,10 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, penalty
         x = Rows(list(rows["features"]), None, len(places))
         y = (rows["toxic"].to_numpy() > 0).astype(float)
 
-        def loss(p):
-            z = x.dot(ratio * p[:-1]) + p[-1]
-            value = np.logaddexp(0, z).sum() - y @ z + penalty / 2 * (p[:-1] @ p[:-1])
-            r = sigmoid(z) - y
-            return value / len(y), np.append(ratio * x.back(r) + penalty * p[:-1], r.sum()) / len(y)
-
-        p = lbfgs(loss, np.zeros(len(places) + 1), rounds=120)
+        p = lbfgs(scaled_logistic(x, y, ratio, penalty), np.zeros(len(places) + 1), rounds=120)
         return pd.DataFrame({"weights": [p.tolist()]})
 
-    rows = sample.mapInArrow(features, "toxic int, features array<int>")
+    rows = sample.mapInArrow(present, "toxic int, features array<int>")
     p = np.asarray(rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fit, "weights array<double>").first()["weights"])
     return {"places": places, "weights": ratio * p[:-1], "bias": float(p[-1] + np.log(rates[0] / rates[1]))}  # the odds of all labelled texts, not of the sample
 
