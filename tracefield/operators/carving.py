@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from tracefield.functions.bytesops import arrays_type, inline_arrays
 from tracefield.operators import ordered as od
-from tracefield.operators.windows import PatternIndex, listed_windows
-from tracefield.session import checkpoint, small_table
+from tracefield.operators.windows import PatternIndex, listed_windows, windows
+from tracefield.session import checkpoint, rows_a_batch, small_table
 
 #: patterns that one scan of the bytes looks for; longer lists take more scans
 PATTERNS_PER_SCAN = 65_536
@@ -176,9 +176,12 @@ def match_listed(chunks: DataFrame, signatures: DataFrame) -> DataFrame:
     listed = checkpoint(signatures.select("name", "header").filter(F.octet_length("header") > 0))
     inside, over, longest = listed_windows(listed, "header")
     reach = max(longest, 2) - 1
-    passed = scan_pass(chunks, inside(F.col("data")), reach)
-    hits = passed.select("image_id", F.col("base_offset").alias("at"), F.inline(F.arrays_zip("hits.window", "hits.pos")))
-    edges = inline_arrays(strips(passed, reach).withColumnRenamed("left_offset", "at"), ["image_id", "at"], over(F.col("left"), F.col("right")))
+    data = F.col("data")
+    with rows_a_batch(chunks.sparkSession, 256):
+        passed = scan_pass(chunks, windows(data, inside(data)), reach)
+    hits = passed.select("image_id", F.col("base_offset").alias("at"), F.inline("hits"))
+    edges = strips(passed, reach).select("image_id", F.col("left_offset").alias("at"), F.concat("left", "right").alias("data"), over(F.col("left"), F.col("right")).alias("_s"))
+    edges = edges.select("image_id", "at", F.inline(windows(data, F.col("_s"))))
     both = hits.unionByName(edges).withColumnRenamed("window", "header")
     return both.join(listed, "header").select("image_id", "name", (F.col("at") + F.col("pos")).alias("offset"), F.octet_length("header").alias("header_len"))
 

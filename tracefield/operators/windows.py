@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,7 @@ from tracefield.functions.bytesops import arrays_type
 
 #: bits of the table that travels with the scan: 16 a string, 32 MB at most
 MAX_BITS = 28
-WINDOWS = arrays_type(window=T.BinaryType(), pos=T.LongType())
+SPOTS = arrays_type(pos=T.IntegerType(), size=T.IntegerType())
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -97,9 +97,10 @@ class PatternIndex:
 def listed_windows(strings: DataFrame, column: str):
     """Functions from bytes to the windows that may be in ``strings`` (written, distinct or not): (inside, edge).
 
-    ``inside(data)`` gives the windows of a cell, ``edge(left, right)`` those
-    that begin in the left part and end in the right one. What they give is
-    joined with the list on the bytes themselves. Also returns the longest length.
+    ``inside(data)`` gives the places and sizes of windows of a cell,
+    ``edge(left, right)`` those that begin in the left part and end in the right
+    one; ``windows`` cuts them, to be joined with the list on the bytes
+    themselves. Also returns the longest length.
     """
     lengths = sorted(r[0] for r in strings.select(F.octet_length(column)).distinct().collect() if r[0])
     bits = min(MAX_BITS, max(10, (16 * strings.count()).bit_length()))
@@ -116,26 +117,30 @@ def listed_windows(strings: DataFrame, column: str):
         table[r["word"]] = r["mark"]
     table = table.view(np.uint64)
 
-    def find(data: bytes, edge: int | None = None) -> tuple[list, list]:
-        windows, places = [], []
+    def find(data: bytes, edge: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        places, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
         for length, h in window_hashes(np.frombuffer(data, np.uint8), lengths):
+            first = 0
             if edge is not None:  # only those over the edge
                 first = max(0, edge - length + 1)
                 h = h[first:edge]
-            else:
-                first = 0
             s = h >> shift
             at = np.flatnonzero((table[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1)) + first
-            places += at.tolist()
-            windows += [data[i : i + length] for i in at.tolist()]
-        return windows, places
+            places.append(at.astype(np.int32))
+            sizes.append(np.full(len(at), length, np.int32))
+        return np.concatenate(places), np.concatenate(sizes)
 
-    @F.pandas_udf(WINDOWS)
+    @F.pandas_udf(SPOTS)
     def inside(data: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([find(bytes(d)) for d in data], columns=["window", "pos"])
+        return pd.DataFrame([find(d) for d in data], columns=["pos", "size"])
 
-    @F.pandas_udf(WINDOWS)
+    @F.pandas_udf(SPOTS)
     def over(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([find(bytes(a) + bytes(b), len(a)) for a, b in zip(left, right)], columns=["window", "pos"])
+        return pd.DataFrame([find(a + b, len(a)) for a, b in zip(left, right)], columns=["pos", "size"])
 
     return inside, over, lengths[-1] if lengths else 1
+
+
+def windows(data: Column, spots: Column) -> Column:
+    """Array of (pos, window): the bytes at each of the ``spots`` of a cell, cut where the cell is."""
+    return F.transform(F.arrays_zip(spots["pos"], spots["size"]), lambda x: F.struct(x["pos"].alias("pos"), F.substring(data, x["pos"] + 1, x["size"]).alias("window")))
