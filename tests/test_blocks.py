@@ -118,6 +118,26 @@ def test_mft_record(spark):
     assert [(r.inode, r.name, r.size, r.is_deleted, r.is_directory) for r in rows] == [(0, "MFT_Record_0", 1024, False, False)]
 
 
+@pytest.mark.parametrize("sizes", [[100], [1000], [1024], [5000], [1, 3000, 700, 1023]])
+def test_file_table_of_a_chunked_volume(spark, sizes):
+    """Any chunk sizes give the records of the whole volume; a lost chunk costs the records it touches only."""
+    rng = random.Random(sum(sizes))
+    data = rng.randbytes(2500) + b"".join(b"FILE" + rng.randbytes(1020) for _ in range(12)) + b"FILE rest"
+    rows, at = [], 0
+    while at < len(data):
+        n = rng.choice(sizes)
+        rows.append(("v", at, bytearray(data[at : at + n])))
+        at += n
+    rng.shuffle(rows)
+    tables = spark.createDataFrame([("v", 2500)], "image_id string, mft_offset bigint")
+    schema = "image_id string, base_offset bigint, data binary"
+    read = lambda r: {x.record_no: bytes(x.record) for x in fs.mft_slices(spark.createDataFrame(r, schema), tables).collect()}
+    assert read(rows) == {i: data[2500 + 1024 * i : 3524 + 1024 * i] for i in range(12)}
+    lost = next(r for r in rows if r[1] >= 2500 + 1024)
+    touched = {i for i in range(12) if lost[1] < 3524 + 1024 * i and lost[1] + len(lost[2]) > 2500 + 1024 * i}
+    assert set(read([r for r in rows if r is not lost])) == set(range(12)) - touched
+
+
 def atom(kind, body=b"", size=None):
     return struct.pack(">I", len(body) + 8 if size is None else size) + kind + body
 

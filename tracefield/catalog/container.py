@@ -241,7 +241,24 @@ def mft_rows(spark, d):
     return e.select(F.lit("vol").alias("image_id"), F.col("inode").alias("record_no"), F.unhex(F.rpad(body, 2048, "0")).alias("record"))
 
 
-# the composed table is stored first, as a real image would be
-QUERIES["f10_mft_scan"] = lambda spark, d: fs.mft_scan(tb.checkpoint(mft_rows(spark, d)), "image_id")
+def ntfs_volume(spark, d):
+    """A volume as chunks of many sizes: a boot sector, a hole, and the file table, two of three records cut over chunks."""
+    boot = F.concat(F.lit("EB5290"), asc("NTFS    "), le(F.lit(512), 2), le(F.lit(8), 1), zeros(0x28 - 0x0E), le(F.lit(10**9), 8), le(F.lit(5), 8), zeros(512 - 0x38))
+    first = spark.range(1).select(F.lit("vol").alias("image_id"), F.lit(0).cast("bigint").alias("base_offset"), F.unhex(boot).alias("data"))
+    n = F.col("record_no")
+    cut = F.when(n % 3 == 0, F.lit(fs.RECORD)).otherwise(1 + n * 37 % (fs.RECORD - 1)).cast("int")
+    at, rec = n * fs.RECORD + 5 * 4096, F.col("record")
+    two = F.array(F.struct(at.alias("base_offset"), F.substring(rec, F.lit(1), cut).alias("data")), F.struct((at + cut).alias("base_offset"), F.substring(rec, cut + 1, fs.RECORD - cut).alias("data")))
+    return first.unionByName(mft_rows(spark, d).select("image_id", F.inline(two)))
+
+
+def f10(spark, d):
+    """The composed volume is stored first, as a real image would be; its boot sector tells where the table begins."""
+    chunks = tb.checkpoint(ntfs_volume(spark, d))
+    boots = chunks.filter("base_offset = 0")
+    return fs.mft_scan(fs.mft_slices(chunks, fs.ntfs_boot(boots, "image_id")), "image_id")
+
+
+QUERIES["f10_mft_scan"] = f10
 ORACLE["f10_mft_scan"] = f"""select 'vol' as image_id, inode, name, '/MFT_' || inode || '/' || name as path, floor(size)::bigint as size, inode % 10 = 0 as is_directory, is_deleted
  from (select *, case when inode % 9 = 0 then 'MFT_Record_' || inode else 'f' || inode || '.dat' end as name from {tb.FS} where inode % 17 <> 16)"""

@@ -58,6 +58,32 @@ def mft_records(images: DataFrame, key: str, mft_offset: Column, data: str = "da
     )
 
 
+def mft_slices(chunks: DataFrame, tables: DataFrame) -> DataFrame:
+    """(image_id, record_no, record): the 1024-byte rows of file tables in chunked volumes, for chunks of any sizes.
+
+    chunks: image_id, base_offset, data; tables: image_id, mft_offset. Which
+    records a chunk holds, or holds parts of, follows from offsets alone. Whole
+    ones stay where they are; only parts of a record are brought together. A
+    record of which bytes are missing is left out.
+    """
+    low = (F.col("base_offset") - F.col("mft_offset")).cast("bigint")
+    high = low + F.octet_length("data")
+    held = chunks.join(tables.select("image_id", "mft_offset"), "image_id").filter((high > 0) & (F.octet_length("data") > 0))
+
+    def part(n):
+        begin, end = F.greatest(n * RECORD, low), F.least((n + 1) * RECORD, high)
+        return F.struct(n.alias("record_no"), (begin - n * RECORD).cast("int").alias("at"), F.substring(F.col("data"), (begin - low + 1).cast("int"), (end - begin).cast("int")).alias("record"))
+
+    numbers = F.sequence(F.floor(F.greatest(low, F.lit(0)) / RECORD).cast("bigint"), F.floor((high - 1) / RECORD).cast("bigint"))
+    parts = held.select("image_id", F.inline(F.transform(numbers, part)))
+    whole = parts.filter(F.octet_length("record") == RECORD).select("image_id", "record_no", "record")
+    torn = parts.filter(F.octet_length("record") < RECORD).groupBy("image_id", "record_no").agg(
+        F.array_sort(F.collect_set(F.struct("at", F.hex("record").alias("h")))).alias("p"), F.sum(F.octet_length("record")).alias("n")
+    )
+    glued = torn.filter(F.col("n") == RECORD).select("image_id", "record_no", F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("record"))
+    return whole.unionByName(glued)
+
+
 def _attributes(rec: bytes):
     """(kind, offset, length) of each attribute until the end mark or a zero length."""
     (at,) = struct.unpack_from("<H", rec, 0x14)
