@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracefield.operators import carving as cv
+from tracefield.operators import learning as ln
 from tracefield.sources import image as src
 from tracefield.sources import signatures as sg
 from tracefield.streaming import live as lv
@@ -144,3 +145,22 @@ def test_file_that_grows_is_read_once(spark, tmp_path):
         query.awaitTermination()
     assert b"".join(bytes(r.data) for r in sorted(got, key=lambda r: r.base_offset)) == data
     assert sorted(r.base_offset for r in got) == [0, 100, 128, 256, 384, 512, 612, 640, 768, 896]
+
+
+def test_model_is_fitted_anew_at_every_fiftieth_outcome(spark, tmp_path):
+    """120 outcomes in batches of 40: models at 80 and 120, none at 40; a repeated batch changes nothing."""
+    rows = [(i, [i % 2, i % 5, 1], i % 7 != 0, "a" if i % 2 else "b") for i in range(120)]
+    schema = "scenario_id bigint, vec array<int>, success boolean, tool string"
+    cycle = ln.ModelLifeCycle(spark, str(tmp_path / "cycle"), trees=5, depth=3)
+    assert cycle.latest() is None
+    seen = []
+
+    def step(df, batch):
+        cycle.step(df, batch)
+        cycle.step(df, batch)
+        seen.append(list(cycle.versions()))
+
+    lv.run_available(stream_of(spark, tmp_path, rows, schema, 3), batch=step)
+    assert seen == [[], [80], [80, 120]]
+    got = ln.predict_strategy(cycle.latest(), spark.createDataFrame([(1, [1, 1, 1]), (2, [0, 2, 1])], "scenario_id bigint, vec array<int>")).collect()
+    assert {r.scenario_id: r.predicted for r in got} == {1: "a", 2: "b"}

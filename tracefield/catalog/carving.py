@@ -193,8 +193,13 @@ ORACLE["j5_verify_image"] = """with e as (select case when page_id % 23 = 5 then
 select coalesce(page_id, c) as chunk_no, case when page_id is null then 'missing' when c is null then 'unexpected' when md5(html) <> w then 'mismatch' else 'ok' end as state
 from pages full join e on page_id = c"""
 
-QUERIES["a42_image_hashes"] = lambda spark, d: im.chunk_hashes(tb.ev_image(spark, d)).select("chunk_no", "size", "md5", "sha1", "sha256")
-ORACLE["a42_image_hashes"] = "select page_id as chunk_no, strlen(html) as size, md5(html) as md5, sha1(html) as sha1, sha256(html) as sha256 from pages"
+QUERIES["a42_image_hashes"] = lambda spark, d: im.chunk_hashes(tb.ev_image(spark, d)).select("chunk_no", "size", "md5", "sha1", "sha256", "crc32")
+# crc32 byte by byte over a table made by its rule; no SQL has sha512 here, tests hold it against a library
+ORACLE["a42_image_hashes"] = """with bits as (select i, list_reduce(list_prepend(i, range(8)), lambda c, r: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end)) as v from range(256) t(i)),
+ rule as (select list(v order by i) as entries from bits),
+ sums as (select page_id, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(strlen(html)), lambda k: ('0x' || substr(h, 2*k + 1, 2))::bigint)),
+   lambda c, b: xor(c >> 8, entries[1 + (xor(c, b) & 255)]))) as crc32 from (select page_id, html, hex(encode(html)) as h from pages), rule)
+select page_id as chunk_no, strlen(html) as size, md5(html) as md5, sha1(html) as sha1, sha256(html) as sha256, crc32 from pages join sums using (page_id)"""
 QUERIES["a42_hash_root"] = lambda spark, d: im.hash_root(tb.ev_image(spark, d), 64, 3)
 ORACLE["a42_hash_root"] = """with a as (select page_id // 64 as n, sha256(string_agg(sha256(html), '' order by page_id)) as h from pages group by 1),
  b as (select n // 64 as m, sha256(string_agg(h, '' order by n)) as h from a group by 1)

@@ -145,8 +145,20 @@ PART_SIG = """select p_type as name, '.' || lower(p_type) as extension, hex(enco
  length(p_type)*1000 as max_size, length(p_type) as footer_search_offset from (select distinct p_type from part)"""
 QUERIES["s1_read_signatures"] = part_signatures
 ORACLE["s1_read_signatures"] = PART_SIG
-QUERIES["s3_write_signatures"] = lambda spark, d: part_signatures(spark, d).groupBy("max_size").agg(F.count(F.lit(1)).alias("signatures"))
-ORACLE["s3_write_signatures"] = f"select max_size, count(*) as signatures from ({PART_SIG}) group by 1"
+
+
+def s3(spark, d):
+    """The lists of s1 written as one document each and read back, row by row."""
+    path, lists = fresh(spark, "signatures"), part_signatures(spark, d)
+    sg.write_signatures(lists.withColumn("header", F.unhex("header")).withColumn("footer", F.unhex("footer")), path)
+    back = sg.read_signatures(spark, path)
+    return back.select("name", "extension", F.hex("header").alias("header"), F.hex("footer").alias("footer"), "max_size", "footer_search_offset")
+
+
+QUERIES["s3_write_signatures"] = s3
+ORACLE["s3_write_signatures"] = PART_SIG
+
+
 def typed_image(spark, d):
     """The typed files one after another as one image."""
     f = tb.typed_files(spark, d).select(F.lit("typed").alias("image_id"), F.col("file_id").alias("chunk_no"), "data").filter(F.octet_length("data") > 0)
@@ -179,13 +191,32 @@ ORACLE["s10_read_history"] = f"select s.scenario_id, container_format, header_co
 
 
 def s14(spark, d):
+    """All four parts of a written report, read back: (part, key, value)."""
     path = fresh(spark, "report")
     rp.write_report(validated(spark, d), "file_id", path)
-    return spark.read.schema("file_type string, files bigint").json(f"{path}/types")
+    row = lambda part, key, value: (F.lit(part).alias("part"), key.cast("string").alias("key"), value.cast("string").alias("value"))
+    totals = spark.read.schema("total bigint, valid bigint, corrupted bigint, bytes bigint, success_pct double").json(f"{path}/totals")
+    parts = [totals.select(*row("totals", F.lit(c), F.col(c))) for c in ("total", "valid", "corrupted", "bytes")]
+    parts.append(totals.select(*row("totals", F.lit("success_pct"), F.round("success_pct", 6))))
+    parts.append(spark.read.schema("file_type string, files bigint").json(f"{path}/types").select(*row("types", F.col("file_type"), F.col("files"))))
+    fails = spark.read.schema("file_id bigint, errors array<string>, more bigint").json(f"{path}/failures")
+    parts.append(fails.select(*row("failures", F.col("file_id"), F.concat_ws(" ", F.array_join("errors", ","), F.col("more").cast("string")))))
+    parts.append(spark.read.text(f"{path}/text").select(*row("text", F.lit(None), F.col("value"))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 QUERIES["s14_write_report"] = s14
-ORACLE["s14_write_report"] = CARVING_ORACLE["a3_type_breakdown"]
+_kinds, _fails, _sums = CARVING_ORACLE["a3_type_breakdown"], CARVING_ORACLE["k7_failures_head"], CARVING_ORACLE["a2_recovery_stats"]
+ORACLE["s14_write_report"] = f"""with t as ({_sums}), k as ({_kinds}), f as ({_fails})
+select 'totals' as part, 'total' as key, total::varchar as value from t union all select 'totals', 'valid', valid::varchar from t union all select 'totals', 'corrupted', corrupted::varchar from t
+union all select 'totals', 'bytes', bytes::varchar from t union all select 'totals', 'success_pct', success_pct::varchar from t
+union all select 'types', file_type, files::varchar from k union all select 'failures', file_id::varchar, errors || ' ' || more from f
+union all select 'text', null, printf('files %d, valid %d (%.1f%%), corrupted %d, %d bytes', total, valid, success_pct, corrupted, bytes) from t
+union all select 'text', null, file_type || ': ' || files from k union all select 'text', null, file_id || ' ' || replace(errors, ',', ', ') from f
+union all (select 'text', null, '... and ' || more || ' more' from f limit 1)"""
 
 
 def s15(spark, d):
@@ -279,6 +310,18 @@ def m14_holds(spark, d):
     return out.agg(F.count(F.lit(1)).alias("files"), ((right >= 0.9) & F.min(F.col("confidence").between(0, 1))).alias("holds"))
 
 
+def m14_folds(spark, d):
+    """Five-fold accuracy, and that of the held-out fifth, of a smaller forest."""
+    features = typed(spark, d)
+    _, scores = ln.train_classifier(tb.checkpoint(features), "ext", trees=10, depth=5, folds=5)
+    good = all(0.8 <= scores[k] <= 1 for k in ("cv_accuracy", "test_accuracy", "train_accuracy"))
+    return features.agg(F.count(F.lit(1)).alias("files"), F.lit(good).alias("holds"))
+
+
+QUERIES["m14_type_classifier_folds"] = m14_folds
+ORACLE["m14_type_classifier_folds"] = f"select {HOLDS} from {tb.TYPED}"
+
+
 def m15_holds(spark, d):
     out = m15(spark, d)
     right = F.avg(((F.col("predicted") == "malicious") == (F.col("file_id") % 3 == 0)).cast("double"))

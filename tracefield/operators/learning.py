@@ -152,6 +152,44 @@ def train_strategy_model(history: DataFrame, trees: int = 100, depth: int = 10,
     return forest("outcome", trees, depth).fit(rows)
 
 
+class ModelLifeCycle:
+    """A strategy model that follows the outcomes of a stream.
+
+    Outcomes of each batch are stored under ``folder``; whenever their number
+    passes a multiple of ``every``, the model is fitted to all of them anew. The
+    model and the number of outcomes it knows are one version folder, whose name
+    holds the number and which counts once the model's own commit mark is there:
+    a lost or repeated batch leaves either version whole.
+    """
+
+    def __init__(self, spark, folder: str, every: int = 50, trees: int = 100, depth: int = 10):
+        self.spark, self.folder, self.every, self.trees, self.depth = spark, folder, every, trees, depth
+
+    def step(self, outcomes: DataFrame, batch: int) -> None:
+        """Batch writer for outcomes(scenario_id, vec, success, tool)."""
+        outcomes.select("scenario_id", "vec", "success", "tool").write.mode("overwrite").parquet(f"{self.folder}/outcomes/batch={batch}")
+        known = self.spark.read.parquet(f"{self.folder}/outcomes").filter(F.col("batch") <= batch)
+        total, before = known.agg(F.count(F.lit(1)), F.count(F.when(F.col("batch") < batch, 1))).first()
+        if total // self.every > before // self.every:
+            model = train_strategy_model(known.drop("batch"), self.trees, self.depth)
+            if model is not None:
+                model.write().overwrite().save(f"{self.folder}/models/outcomes={total:012d}")
+
+    def versions(self) -> list[int]:
+        """Numbers of outcomes at which there is a whole model, oldest first."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/models")
+        store = hadoop.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if not store.exists(hadoop):
+            return []
+        done = lambda p: store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "metadata/_SUCCESS"))
+        return sorted(int(f.getPath().getName().partition("=")[2]) for f in store.listStatus(hadoop) if done(f.getPath()))
+
+    def latest(self) -> PipelineModel | None:
+        """The newest model, None before the first fit."""
+        found = self.versions()
+        return PipelineModel.load(f"{self.folder}/models/outcomes={found[-1]:012d}") if found else None
+
+
 def predict_strategy(model: PipelineModel, scenarios: DataFrame) -> DataFrame:
     """Tool and probability; a predicted failure gives no row, and so does a history too short for a model."""
     if model is None:

@@ -205,17 +205,17 @@ def ip_to_long(ip: Column) -> Column:
 def geo_enrich(packets: DataFrame, ranges: DataFrame, ip: str = "dst_ip") -> DataFrame:
     """Attach ``country, isp, is_vpn`` of the range holding the address.
 
-    ``ranges(ip_from, ip_to, country, isp, is_vpn)`` must not overlap. Distinct
-    addresses meet the ranges per /16, then the packets meet the addresses.
+    ``ranges(ip_from, ip_to, country, isp, is_vpn)`` must not overlap. An as-of
+    join: distinct addresses and range starts are ordered together, each /16 for
+    itself (so at most 65,536 addresses a window, whatever the ranges), and every
+    address sees the last range that began; then the packets meet the addresses.
     """
-    cut = ranges.withColumn("_net", F.explode(F.sequence(F.shiftright("ip_from", 16), F.shiftright("ip_to", 16))))
-    ips = packets.select(ip).distinct().withColumn("_ip", ip_to_long(F.col(ip)))
-    ips = ips.withColumn("_net", F.shiftright("_ip", 16))
-    placed = (
-        ips.join(cut, "_net")
-        .filter((F.col("_ip") >= F.col("ip_from")) & (F.col("_ip") <= F.col("ip_to")))
-        .select(ip, "country", "isp", "is_vpn")
-    )
+    held = F.struct("ip_to", "country", "isp", "is_vpn")
+    starts = ranges.select(F.col("ip_from").alias("_pos"), F.lit(0).alias("_side"), F.lit(None).cast("string").alias(ip), held.alias("_range"))
+    ips = packets.select(ip).distinct().select(ip_to_long(F.col(ip)).alias("_pos"), F.lit(1).alias("_side"), ip).filter("_pos is not null")
+    both = starts.unionByName(ips.withColumn("_range", F.lit(None).cast(starts.schema["_range"].dataType)))
+    seen = od.carry_last(both, [], ["_pos", "_side", ip], F.shiftright("_pos", 16), F.col("_range"), "_last")
+    placed = seen.filter((F.col("_side") == 1) & (F.col("_pos") <= F.col("_last.ip_to"))).select(ip, "_last.country", "_last.isp", "_last.is_vpn")
     return packets.join(placed, ip, "left")
 
 

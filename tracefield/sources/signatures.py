@@ -128,23 +128,18 @@ def read_signatures(spark: SparkSession, path: str) -> DataFrame:
     doc = spark.read.schema(f"signatures array<struct<{RAW_SCHEMA.replace(' ', ':').replace(',:', ',')}>>").json(
         path, multiLine=True, mode="PERMISSIVE"
     )
-    return _typed(doc.select(F.inline("signatures")))
+    return _typed(doc.select(F.inline(F.filter("signatures", lambda x: x.isNotNull()))))
 
 
 def write_signatures(signatures: DataFrame, path: str) -> None:
-    """One JSON document with version and generator; the table is a bounded rule list."""
-    doc = signatures.agg(
-        F.to_json(
-            F.struct(
-                F.lit("1.0").alias("version"),
-                F.lit("tracefield").alias("generator"),
-                F.collect_list(
-                    F.struct(
-                        "name", "extension", F.hex("header").alias("header"),
-                        F.coalesce(F.hex("footer"), F.lit("")).alias("footer"), "max_size", "footer_search_offset",
-                    )
-                ).alias("signatures"),
-            )
-        ).alias("value")
+    """One JSON document with version and generator, a signature a line: the list streams into it, sorted, and is in no one cell."""
+    entry = F.to_json(
+        F.struct(
+            "name", "extension", F.hex("header").alias("header"), F.coalesce(F.hex("footer"), F.lit("")).alias("footer"), "max_size", "footer_search_offset",
+        )
     )
-    doc.coalesce(1).write.mode("overwrite").text(path)
+    spark = signatures.sparkSession
+    edges = spark.createDataFrame([(0, '{"version": "1.0", "generator": "tracefield", "signatures": [null'), (2, "]}")], "part int, value string")
+    # every entry brings the comma before it; the list begins with a null, which readers pass over
+    lines = edges.unionByName(signatures.select(F.lit(1).alias("part"), F.concat(F.lit(","), entry).alias("value")))
+    lines.orderBy("part", "value").select("value").coalesce(1).write.mode("overwrite").text(path)
