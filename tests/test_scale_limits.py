@@ -3,6 +3,7 @@
 import random
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracefield.operators import carving as cv
@@ -13,6 +14,7 @@ from tracefield.operators import imaging as im
 from tracefield.operators import ordered as od
 from tracefield.operators import raid as rd
 from tracefield.session import small_table
+from tracefield.sources import filesets
 from tracefield.sources import records as rc
 from tracefield.sources import signatures as sg
 
@@ -138,3 +140,24 @@ def test_exported_files_of_two_images(spark, tmp_path):
     t = spark.createDataFrame([("x", "a.jpg", bytearray(b"1")), ("y", "a.jpg", bytearray(b"2"))], "image_id string, file_name string, content binary")
     rc.export_files(t, str(tmp_path))
     assert sorted((p.parent.name, p.read_bytes()) for p in tmp_path.rglob("*.jpg")) == [("x", b"1"), ("y", b"2")]
+
+
+def test_files_appear_only_by_a_commit(spark, tmp_path):
+    """Pieces in any order make whole files; what a lost attempt left goes; a failed write leaves no file."""
+    rng = random.Random(6)
+    whole = {("i", f"f{k}"): rng.randbytes(rng.choice([1, 10, 5000])) for k in range(40)} | {("j/x", "f0"): b"other", ("i", "empty"): b""}
+    rows = [(d, n, at, bytearray(b[at : at + 700])) for (d, n), b in whole.items() for at in range(0, max(1, len(b)), 700)]
+    rng.shuffle(rows)
+    out = tmp_path / "out"
+    lost = out / "_attempts/dead"
+    lost.mkdir(parents=True)
+    (lost / "00000000").write_bytes(b"half")
+    (lost / "index.json").write_text('{"folder": "i", "file_name": "half", "file": "00000000", "attempt": "dead"}\n')
+    schema = "folder string, file_name string, at bigint, piece binary"
+    filesets.write_files(spark.createDataFrame(rows, schema).repartition(5), str(out))
+    found = lambda: {(p.parent.name, p.name): p.read_bytes() for p in out.rglob("*") if p.is_file()}
+    assert found() == {(d.replace("/", "_"), n): b for (d, n), b in whole.items()}
+    filesets.publish(spark, str(out))
+    with pytest.raises(Exception, match="a piece at 5 where 1 bytes are written"):
+        filesets.write_files(spark.createDataFrame([("i", "bad", 0, bytearray(b"1")), ("i", "bad", 5, bytearray(b"2"))], schema), str(out))
+    assert not any(p.name == "bad" for p in out.rglob("*"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tracefield.catalog.bytestats import HIST, validated
-from tracefield.catalog.carving import CARVED, PAGE_SIGNATURES
+from tracefield.catalog.carving import CARVED, IMG_BYTES, PAGE_SIGNATURES
 from tracefield.catalog.carving import ORACLE as CARVING_ORACLE
 from tracefield.catalog.strategy import OUT, SCEN, outcomes, vecs
 from tracefield.functions import bytesops as by
@@ -113,6 +113,19 @@ def s13(spark, d):
 EXT = "case name " + " ".join(f"when '{n}' then '{e}'" for n, e, *_ in PAGE_SIGNATURES) + " end"
 QUERIES["s13_write_carved"] = s13
 ORACLE["s13_write_carved"] = CARVED + f"select replace(name, ' ', '_') || '_' || lower(to_hex(start_offset)) || {EXT} as file_name, size from carved"
+
+
+def s13_files(spark, d):
+    """Every carved range as a plain file, listed and read back."""
+    path = fresh(spark, "files")
+    rc.export_carved(carved_named(spark, d, "offset")[1], tb.ev_image(spark, d), path, 1 << 14)
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return back.select(F.substring_index("path", "/", -1).alias("file_name"), F.col("length").alias("size"), F.hex(F.substring("content", 1, 2)).alias("head"))
+
+
+QUERIES["s13_export_carved"] = s13_files
+ORACLE["s13_export_carved"] = CARVED + f", named as (select replace(name, ' ', '_') || '_' || lower(to_hex(start_offset)) || {EXT} as file_name, size, start_offset from carved)" + f"""
+select replace(file_name, ' ', '%20') as file_name, size, substr(b.s, 1, 2 * least(size, 2)) as head from named join {IMG_BYTES} b on b.pos = start_offset"""
 QUERIES["s13_indexed_names"] = lambda spark, d: carved_named(spark, d, "index")[1].select("file_name", "start_offset")
 ORACLE["s13_indexed_names"] = CARVED + f"select lpad((row_number() over (order by start_offset, name) - 1)::varchar, 6, '0') || '_' || replace(name, ' ', '_') || {EXT} as file_name, start_offset from carved"
 
