@@ -142,6 +142,26 @@ def atom(kind, body=b"", size=None):
     return struct.pack(">I", len(body) + 8 if size is None else size) + kind + body
 
 
+@pytest.mark.parametrize("step", [5, 64, 997])
+def test_atoms_over_chunks_are_those_of_the_whole_file(spark, step):
+    """Nested, wide, open-ended, overlong and random atoms; headers and zero runs over chunk edges; long chains."""
+    rng = random.Random(step)
+    wide = lambda kind, body: struct.pack(">I", 1) + kind + struct.pack(">Q", len(body) + 16) + body
+    trak = atom(b"trak", atom(b"mdia", atom(b"minf", atom(b"stbl", atom(b"stsz", bytes(40)) + wide(b"free", b"x")))))
+    files = {
+        "chain": b"".join(atom(rng.choice([b"free", b"moof", b"mdat"]), rng.randbytes(rng.choice([0, 3, 40]))) for _ in range(120)),
+        "nested": atom(b"ftyp", b"isom") + atom(b"moov", trak + atom(b"mvhd", bytes(20)) + trak) + wide(b"mdat", rng.randbytes(300)),
+        "open": atom(b"ftyp", b"isom") + atom(b"moov", atom(b"trak", atom(b"edts", size=0) + bytes(30))) + struct.pack(">I", 0) + b"moov" + atom(b"mvhd", b"12") + bytes(50),
+        "over": atom(b"free", b"1") + atom(b"moov", atom(b"trak", b"123", size=400)) + atom(b"mdat", b"m" * 100, size=0xFFFFFFFF),
+        "zeros": bytes(200), "short": b"\0\0\0", "eight": atom(b"free"), "noise": rng.randbytes(3000), "small": bytes(rng.choice([0, 0, 0, 8, 9, 12, 1]) for _ in range(2000)),
+    }
+    rows = [(n, i, at, bytearray(d[at : at + step])) for n, d in files.items() for i, at in enumerate(range(0, len(d), step))]
+    rng.shuffle(rows)
+    chunks = spark.createDataFrame(rows, "image_id string, chunk_no bigint, base_offset bigint, data binary")
+    got = sorted(tuple(-1 if x is None else x for x in r) for r in ct.atom_walk_chunks(chunks, 256).collect())
+    assert got == sorted(tuple(-1 if x is None else x for x in (n, *a)) for n, d in files.items() for a in ct.walk_atoms(d, 0, len(d)))
+
+
 def test_mp4_without_moov(spark):
     good = atom(b"ftyp", b"isom" + b"\0" * 12) + atom(b"free") + atom(b"mdat", b"m" * 100)
     bad = atom(b"ftyp", b"isom") + atom(b"mdat", b"m" * 100, size=0xFFFFFFFF)

@@ -67,6 +67,21 @@ ATOMS = f"""p as (select file_id, size as n, 68 + 4*(file_id % 4) as ml, case wh
 QUERIES["g6_atom_walk"] = lambda spark, d: ct.atom_walk(mp4_files(spark, d))
 ORACLE["g6_atom_walk"] = f"with {ATOMS} select * from atoms"
 
+
+
+def g6_chunks(spark, d):
+    """The same files cut in chunks of 1,021 bytes."""
+    f = mp4_files(spark, d).select(F.col("file_id").alias("image_id"), "data")
+    n = F.ceil(F.octet_length("data") / 1021).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.cast("bigint").alias("chunk_no"), (i.cast("bigint") * 1021).alias("base_offset"), F.substring("data", i * 1021 + 1, F.lit(1021)).alias("data")))
+    chunks = tb.checkpoint(f.select("image_id", F.inline(cut)))
+    return ct.atom_walk_chunks(chunks, 1 << 14).withColumnRenamed("image_id", "file_id")
+
+
+QUERIES["g6_atom_walk_chunks"] = g6_chunks
+ORACLE["g6_atom_walk_chunks"] = ORACLE["g6_atom_walk"]
+
+
 def avi_files(spark, d):
     """RIFF files around each text: header list and movie list, either lacking by file id; every 13th is cut short."""
     i, n = F.col("file_id"), F.octet_length("data")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracefield.operators import ordered as od
-from tracefield.operators.carving import scan_pass, strips
+from tracefield.functions.bytesops import arrays_type, inline_arrays
+from tracefield.operators.carving import carved_bytes, scan_pass, strips
 from tracefield.session import checkpoint
 
 # fixed values
@@ -56,6 +58,99 @@ def atom_walk(files: DataFrame, key: str = "file_id", data: str = "data") -> Dat
     return files.select(key, data).mapInPandas(walk, f"{key} {key_type}, {ATOM_ROW}")
 
 
+_HEADERS = arrays_type(pos=T.LongType(), size=T.LongType(), head=T.IntegerType(), kind=T.LongType())
+
+
+def plausible_headers(d: bytes, stop: int, base: int, limit: int) -> tuple[np.ndarray, ...]:
+    """(offset, size, header size, kind as a number) of all places before ``stop`` whose size field could be an atom's.
+
+    The atom must end by ``limit``; sizes of 0 are left out.
+    """
+    a = np.frombuffer(d + bytes(16), np.uint8).astype(np.int64)
+    at = np.arange(max(0, min(stop, len(d) - 7)))
+    word = lambda k: a[at + k] << 24 | a[at + k + 1] << 16 | a[at + k + 2] << 8 | a[at + k + 3]
+    size = word(0)
+    at = at[(size >= 8) & (size <= limit - base - at) | (size == 1) & (at + 16 <= len(d))]
+    size, kind = word(0), word(4)
+    wide = size == 1
+    high = word(8)
+    size = np.where(wide, np.where(high < 1 << 30, high << 32 | word(12), limit + 1), size)
+    head = np.where(wide, 16, 8)
+    ok = (size >= head) & (size <= limit - base - at)
+    return base + at[ok], size[ok], head[ok].astype(np.int32), kind[ok]
+
+
+@F.pandas_udf(T.StringType())
+def kind_text(kind: pd.Series) -> pd.Series:
+    return kind.map(lambda k: int(k).to_bytes(4, "big").decode("ascii", "ignore"))
+
+
+def atom_walk_chunks(chunks: DataFrame, span: int = 1 << 20) -> DataFrame:
+    """``atom_walk`` over files in chunks (image_id, chunk_no, base_offset, data): image_id and ATOM_ROW, no cell above a chunk.
+
+    One scan lists every place whose size field could be an atom's. Where a walk
+    goes from such a place is known from its size alone, so its leaps of 1, 2, 4,
+    ... atoms are joins; a level of the walk is then read off in one pass over
+    these leaps, for all its containers and files at once. Only the places where
+    walks end are looked at again in the bytes, for an atom that reaches to the
+    end of its container.
+    """
+    length = F.col("base_offset") + F.octet_length("data")
+    sizes = checkpoint(chunks.groupBy("image_id").agg(F.max(length).alias("file_size")))
+    limit = sizes.agg(F.max("file_size")).first()[0] or 0
+
+    @F.pandas_udf(_HEADERS)
+    def inside(data: pd.Series, base: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([plausible_headers(d, len(d) - 15, b, limit) for d, b in zip(data, base)], columns=["pos", "size", "head", "kind"])
+
+    @F.pandas_udf(_HEADERS)
+    def ends(left: pd.Series, right: pd.Series, base: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([plausible_headers(a + b, len(a), o, limit) for a, b, o in zip(left, right, base)], columns=["pos", "size", "head", "kind"])
+
+    passed = scan_pass(chunks, inside(F.col("data"), F.col("base_offset")), 15)
+    seams = strips(passed, 15).select("image_id", "left_offset", "left", "right")
+    last = passed.join(sizes, "image_id").filter(F.col("base_offset") + F.col("size") == F.col("file_size")).select(
+        "image_id", (F.col("file_size") - F.octet_length("tail")).alias("left_offset"), F.col("tail").alias("left"), F.lit(b"").alias("right")
+    )
+    found = passed.select("image_id", F.inline(F.arrays_zip("hits.pos", "hits.size", "hits.head", "hits.kind")))
+    at_ends = inline_arrays(seams.unionByName(last), ["image_id"], ends(F.col("left"), F.col("right"), F.col("left_offset")))
+    c = found.unionByName(at_ends).join(sizes, "image_id").filter(F.col("pos") + F.col("size") <= F.col("file_size")).drop("file_size")
+    c = checkpoint(c.withColumn("kind", kind_text("kind")))
+
+    leaps = [checkpoint(c.select("image_id", "pos", (F.col("pos") + F.col("size")).alias("to")).join(c.select("image_id", F.col("pos").alias("to")), ["image_id", "to"], "left_semi"))]
+    while leaps[-1].head(1):
+        far = leaps[-1].select("image_id", F.col("pos").alias("to"), F.col("to").alias("_far"))
+        leaps.append(checkpoint(leaps[-1].join(far, ["image_id", "to"]).select("image_id", "pos", F.col("_far").alias("to"))))
+
+    def level_of(open_: DataFrame, level: int) -> DataFrame:
+        """Atoms of one level: what the walks from ``open_`` (image_id, start, end, parent) meet."""
+        walk = ["image_id", "start", "end", "parent"]
+        there = open_.join(c.select("image_id", F.col("pos").alias("start")), ["image_id", "start"], "left_semi").withColumn("pos", F.col("start"))
+        for leap in reversed(leaps[:-1]):
+            more = there.join(leap, ["image_id", "pos"]).filter(F.col("to") < F.col("end")).drop("pos").withColumnRenamed("to", "pos")
+            there = checkpoint(there.select(*walk, "pos").unionByName(more.select(*walk, "pos")))
+        atoms = checkpoint(there.join(c, ["image_id", "pos"]).filter(F.col("pos") + F.col("size") <= F.col("end")))
+        reached = atoms.groupBy("image_id", "start").agg(F.max(F.col("pos") + F.col("size")).alias("_reached"))
+        stop = open_.join(reached, ["image_id", "start"], "left").withColumn("pos", F.coalesce("_reached", "start")).filter(F.col("pos") + 8 <= F.col("end"))
+        stop = checkpoint(stop.select(*walk, "pos"))
+        look = stop.select("image_id", F.lit("").alias("name"), F.col("pos").alias("start_offset"), (F.col("pos") + 8).alias("end_offset")).distinct()
+        header = carved_bytes(look, chunks, span).select("image_id", F.col("start_offset").alias("pos"), "content")
+        open_ended = stop.join(header, ["image_id", "pos"]).filter(F.octet_length("content") == 8).filter(F.substring("content", 1, 4) == F.lit(bytes(4)))
+        number = F.conv(F.hex(F.substring("content", 5, 4)), 16, 10).cast("bigint")
+        open_ended = open_ended.select(*walk, "pos", (F.col("end") - F.col("pos")).alias("size"), F.lit(8).alias("head"), kind_text(number).alias("kind"))
+        return checkpoint(atoms.select(*walk, "pos", "size", "head", "kind").unionByName(open_ended).withColumn("level", F.lit(level)))
+
+    open_ = sizes.select("image_id", F.lit(0).cast("bigint").alias("start"), F.col("file_size").alias("end"), F.lit(None).cast("bigint").alias("parent"))
+    out, level = None, 0
+    while out is None or open_.head(1):
+        atoms = level_of(open_, level)
+        out = atoms if out is None else out.unionByName(atoms)
+        holders = atoms.filter(F.col("kind").isin(*sorted(CONTAINER_ATOMS)))
+        open_ = checkpoint(holders.select("image_id", (F.col("pos") + F.col("head")).alias("start"), (F.col("pos") + F.col("size")).alias("end"), F.col("pos").alias("parent")))
+        level += 1
+    return out.select("image_id", F.col("kind").alias("atom_type"), F.col("pos").alias("offset"), "size", F.col("head").alias("header_size"), "level", F.col("parent").alias("parent_offset"))
+
+
 RIFF_ROW = "chunk string, offset bigint, size bigint, level int, parent_offset bigint"
 
 
