@@ -217,5 +217,32 @@ def test_moov_mdat_matching_against_brute_force(spark):
                 _, s, o = min((f for f in fit if f[0] == low), key=lambda f: f[2])
                 free.remove((o, s))
                 want.add((img, off, o))
-    got = {(r.image_id, r.moov_offset, r.mdat_offset) for r in ct.match_moov_mdat(m, x).collect()}
-    assert got == want
+    for block in (20_000, 7):
+        got = [(r.image_id, r.moov_offset, r.mdat_offset) for r in ct.match_moov_mdat(m, x, block=block).collect()]
+        assert len(got) == len(want) and set(got) == want, block
+
+
+def test_moov_mdat_matching_where_all_sizes_compete(spark):
+    """One image, 10,000 movies, sizes within one tolerance, a third of them equal."""
+    rng = random.Random(5)
+    size = lambda: 50_000 if rng.random() < 0.33 else rng.randrange(48_000, 52_000)
+    n = 10_000
+    moov = [("a", i * 10, size()) for i in rng.sample(range(n), n)]
+    mdat = [("a", 5 + i * 10, size() + 8) for i in rng.sample(range(n), n)]
+    by_size: dict[int, list[int]] = {}
+    for _, off, s in sorted(mdat):
+        by_size.setdefault(s - 8, []).append(off)
+    want = set()
+    for _, off, exp in sorted(moov):
+        for gap in range(int(exp * 0.2)):
+            near = [(by_size[s][0], s) for s in {exp - gap, exp + gap} if by_size.get(s)]
+            if near:
+                best, s = min(near)
+                by_size[s].pop(0)
+                want.add((off, best))
+                break
+    m = spark.createDataFrame(moov, "image_id string, offset bigint, expected bigint")
+    x = spark.createDataFrame(mdat, "image_id string, offset bigint, size bigint")
+    for block in (20_000, 2_500):
+        got = [(r.moov_offset, r.mdat_offset) for r in ct.match_moov_mdat(m, x, block=block).collect()]
+        assert len(got) == len(want) and set(got) == want, block

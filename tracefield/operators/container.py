@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -328,43 +330,139 @@ def expected_mdat_udf(moov: pd.Series) -> pd.DataFrame:
     return out.astype({"duration": "Int64", "created": "Int64", "tracks": "Int32"})
 
 
-def match_moov_mdat(moov: DataFrame, mdat: DataFrame, tolerance: float = 0.2) -> DataFrame:
-    """moov(image_id, offset, expected), mdat(image_id, offset, size): one-to-one,
-    in moov order each takes the free mdat nearest in size, within the tolerance.
+class Shelf:
+    """Media atoms of one block by rank, and who is still free along two walks.
 
-    Sizes too far apart never compete: the size axis is cut wherever no
-    tolerance interval reaches across, and the pieces are worked on in parallel.
-    Only offsets and sizes are grouped, never media bytes.
+    ``right`` goes up in size, ``left`` down; both take equal sizes by offset.
+    Taken atoms point onwards, paths are shortened as they are walked; a rank
+    outside the block ends a walk.
     """
-    a = moov.select("image_id", F.col("offset").alias("off"), F.col("expected").cast("double").alias("want"), F.lit(0).alias("kind"))
-    b = mdat.select("image_id", F.col("offset").alias("off"), (F.col("size") - 8).cast("double").alias("want"), F.lit(1).alias("kind"))
-    u = a.unionByName(b).withColumn("_lo", F.when(F.col("kind") == 0, F.col("want") * (1 - tolerance)).otherwise(F.col("want")))
-    u = u.withColumn("_hi", F.when(F.col("kind") == 0, F.col("want") * (1 + tolerance)).otherwise(F.col("want")))
-    octave = F.floor(F.log2(F.greatest("_lo", F.lit(1.0))))
-    order = ["_lo", "kind", "off"]
-    # each ordered step reads its input twice, so chained steps are written out between
-    u = checkpoint(od.running_max(checkpoint(u), ["image_id"], order, octave, F.col("_hi"), "_reach"))
-    u = checkpoint(od.lag_value(u, ["image_id"], order, octave, F.col("_reach"), "_prev"))
-    cut = (F.col("_prev").isNull() | (F.col("_lo") > F.col("_prev"))).cast("bigint")
-    u = od.running_sum(u, ["image_id"], order, octave, cut, "_part")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        free = pdf[pdf.kind == 1].sort_values(["want", "off"])
-        out = []
-        for m in pdf[pdf.kind == 0].sort_values("off").itertuples():
-            gap = (free.want - m.want).abs()
-            fit = gap[gap < m.want * tolerance]
-            if len(fit):
-                low = fit[fit == fit.min()].index
-                pick = free.loc[low].sort_values("off").index[0]
-                out.append((m.image_id, m.off, free.at[pick, "off"], gap[pick]))
-                free = free.drop(pick)
-        return pd.DataFrame(out, columns=["image_id", "moov_offset", "mdat_offset", "size_diff"])
-
-    kind = moov.schema["image_id"].dataType.simpleString()
-    return u.select("image_id", "_part", "off", "want", "kind").groupBy("image_id", "_part").applyInPandas(
-        greedy, f"image_id {kind}, moov_offset bigint, mdat_offset bigint, size_diff double"
+
+    def __init__(self, first: int):
+        self.first = first
+        self.want, self.off, self.right, self.left, self.below = [], [], [], [], []
+
+    def add(self, off: int, want: float, below: int):
+        rank = self.first + len(self.want)
+        self.want.append(want)
+        self.off.append(off)
+        self.right.append(rank)
+        self.left.append(rank)
+        self.below.append(below)
+
+    def holds(self, rank: int) -> bool:
+        return 0 <= rank - self.first < len(self.want)
+
+    def free(self, walk: list[int], rank: int) -> int:
+        passed = []
+        while self.holds(rank) and walk[rank - self.first] != rank:
+            passed.append(rank - self.first)
+            rank = walk[rank - self.first]
+        for i in passed:
+            walk[i] = rank
+        return rank
+
+    def take(self, rank: int):
+        self.right[rank - self.first] = rank + 1
+        self.left[rank - self.first] = self.below[rank - self.first]
+
+
+MOVIE = "off bigint, want double, lo bigint, lo_gap double, lo_off bigint, hi bigint, hi_gap double, hi_off bigint, at bigint, mdat_offset bigint, size_diff double"
+
+
+def _propose(block: int, tolerance: float):
+    """Rows in order of (image_id, at, media first, off): media fill a shelf, each movie then takes the nearest free atom of it or moves on."""
+
+    def visit(shelf: Shelf, m: dict) -> bool:
+        best = None
+        for rank, gap, off, walk in (("lo", "lo_gap", "lo_off", shelf.left), ("hi", "hi_gap", "hi_off", shelf.right)):
+            if m[rank] >= 0 and m[rank] // block == m["at"]:
+                m[rank] = shelf.free(walk, m[rank])
+                if shelf.holds(m[rank]):
+                    i = m[rank] - shelf.first
+                    m[gap], m[off] = abs(shelf.want[i] - m["want"]), shelf.off[i]
+                elif m[rank] // block == m["at"]:
+                    m[rank] = -1
+            if m[gap] >= m["want"] * tolerance:
+                m[rank] = -1
+            if m[rank] >= 0 and (best is None or (m[gap], m[off]) < best[:2] or ((m[gap], m[off]) == best[:2] and shelf.holds(m[rank]))):
+                best = (m[gap], m[off], m[rank])
+        if best is None:
+            return False
+        gap, off, rank = best
+        if shelf.holds(rank):
+            shelf.take(rank)
+            m["mdat_offset"], m["size_diff"] = off, gap
+        else:
+            m["at"], m["mdat_offset"], m["size_diff"] = rank // block, None, None
+        return True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shelf, now = None, None
+        for b in batches:
+            out = []
+            for m in b.to_pylist():
+                if (m["image_id"], m["at"]) != now:
+                    now = (m["image_id"], m["at"])
+                    shelf = Shelf(m["at"] * block)
+                if m.pop("media"):
+                    shelf.add(m["off"], m["want"], m["lo"])
+                elif visit(shelf, m):
+                    out.append(m)
+            kept = b.schema.remove(b.schema.get_field_index("media"))
+            yield pa.RecordBatch.from_pylist(out, schema=kept)
+
+    return run
+
+
+def match_moov_mdat(moov: DataFrame, mdat: DataFrame, tolerance: float = 0.2, block: int = 20_000) -> DataFrame:
+    """moov(image_id, offset, expected), mdat(image_id, offset, size): one-to-one,
+    in moov order each takes the free mdat nearest in size (of equally near ones
+    the first), within the tolerance. Rows with a null take no part.
+
+    The same rows come from proposals in rounds, as all media prefer the earlier
+    movie: media are ranked by size and cut in blocks of ``block``; a movie visits
+    the block of its nearest candidate, takes it from any later movie, and if
+    earlier ones hold all near it there, goes on to the block of its next
+    candidate. What has rejected a movie once does so for ever, so it keeps two
+    ranks, one each way. Rounds end when no movie moves; only blocks with
+    arrivals are worked on, and a task holds the media of one block.
+    """
+    own = ["image_id", "want"]
+    media = mdat.select("image_id", F.col("offset").alias("off"), (F.col("size") - 8).cast("double").alias("want")).dropna()
+    movies = moov.select("image_id", F.col("offset").alias("off"), F.col("expected").cast("double").alias("want")).dropna().filter("want > 0")
+    sizes = media.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(1))
+    asked = movies.select(*own).distinct().select(*own, F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("kind"))
+    order = ["want", "kind"]
+    # rank of the first atom of each size, and of the size below
+    u = od.dealt(sizes.unionByName(asked), ["image_id"], order)
+    u = checkpoint(od.running_sum(u, ["image_id"], order, F.col("_part"), F.col("n"), "first", include_current=False))
+    below = F.when(F.col("kind") == 1, F.col("first"))
+    u = od.carry_last(u, ["image_id"], order, F.col("_part"), below, "below")
+    u = checkpoint(u.withColumn("below", F.coalesce("below", F.lit(-1).cast("bigint"))))
+
+    ranked = od.dense_index(od.dealt(media, ["image_id"], ["want", "off"]), ["image_id"], ["want", "off"], F.col("_part"), "rank")
+    after = F.when(F.col("rank") + 1 < F.col("first") + F.col("n"), F.col("rank") + 1).otherwise(F.col("below"))
+    none = F.lit(None)
+    shelf = ranked.join(u.filter("kind = 1").drop("_part"), own).select(
+        "image_id", "off", "want", after.alias("lo"), none.cast("double").alias("lo_gap"), none.cast("bigint").alias("lo_off"), F.col("rank").alias("hi"),
+        none.cast("double").alias("hi_gap"), none.cast("bigint").alias("hi_off"), F.floor(F.col("rank") / block).alias("at"), none.cast("bigint").alias("mdat_offset"), none.cast("double").alias("size_diff"),
+    )
+    shelf = checkpoint(shelf)
+    unseen = [F.lit(-1.0), F.lit(-1).cast("bigint")]
+    state = movies.join(u.filter("kind = 0"), own).select(
+        "image_id", "off", "want", F.col("below").alias("lo"), unseen[0].alias("lo_gap"), unseen[1].alias("lo_off"), F.col("first").alias("hi"),
+        unseen[0].alias("hi_gap"), unseen[1].alias("hi_off"), F.floor(F.col("first") / block).alias("at"), none.cast("bigint").alias("mdat_offset"), none.cast("double").alias("size_diff"),
     )
+    state = checkpoint(state)
+    place = ["image_id", "at"]
+    schema = f"image_id {moov.schema['image_id'].dataType.simpleString()}, {MOVIE}"
+    while state.filter("mdat_offset is null").head(1):
+        busy = checkpoint(state.filter("mdat_offset is null").select(*place).distinct())
+        rows = shelf.join(busy, place, "left_semi").withColumn("media", F.lit(True)).unionByName(state.join(busy, place, "left_semi").withColumn("media", F.lit(False)))
+        met = rows.select(*state.columns, "media").repartition(*place).sortWithinPartitions(*place, F.desc("media"), F.when(F.col("media"), F.col("hi")), "off", "want")
+        state = checkpoint(state.join(busy, place, "left_anti").select(*state.columns).unionByName(met.mapInArrow(_propose(block, tolerance), schema)))
+    return state.select("image_id", F.col("off").alias("moov_offset"), "mdat_offset", "size_diff")
 
 
 def chunk_offsets_in_mdat(offsets: DataFrame, mdat: DataFrame) -> DataFrame:

@@ -20,6 +20,17 @@ from tracefield.session import checkpoint
 _B, _V, _C = "_bucket", "_edge", "_carry"
 
 
+def dealt(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "_part") -> DataFrame:
+    """``df`` (written) with a bucket column of about equal row counts, whatever the keys and the order.
+
+    Range partitions of (keys, order): their bounds come from a sample of the
+    rows, their numbers never decrease along the order of a key. Rows equal in
+    all of ``order`` share a bucket.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpoint(df.repartitionByRange(parts, *keys, *order).withColumn(out, F.spark_partition_id()))
+
+
 def _join_edges(df: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Equi-join on keys + bucket; the big side is already hashed on them."""
     return df.join(edges, [*keys, _B], "left")
@@ -185,13 +196,13 @@ def range_count(
     the frame. Only keys, times and a row number go through the two orders.
     """
     rows = checkpoint(df.withColumn("_t", ticks).withColumn("_id", F.monotonically_increasing_id()))
-    ask = rows.select(
+    ask = dealt(rows.select(
         *keys, "_id",
         F.inline(F.array(
             F.struct(F.col("_t").alias("_pos"), F.lit(1).alias("_one")),
             F.struct((F.col("_t") - span).alias("_pos"), F.lit(0).alias("_one")),
         )),
-    ).withColumn(_B, F.floor(F.col("_pos") / span))
+    ), keys, ["_pos"], _B)
     inner = Window.partitionBy(*keys, _B).orderBy("_pos").rangeBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     edges = ask.groupBy(*keys, _B).agg(F.sum("_one").alias(_C)).withColumn(_C, F.coalesce(F.sum(_C).over(before), F.lit(0)))

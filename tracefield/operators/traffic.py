@@ -229,7 +229,8 @@ def periodic_flows(packets: DataFrame, max_cv: float, min_gaps: int) -> DataFram
     """Endpoint pairs whose gaps between packets hardly vary."""
     keys = ["src_ip", "dst_ip"]
     t = packets.select(*keys, "packet_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    gaps = od.lag_value(t, keys, ["t", "packet_id"], F.floor(F.col("t") / 86400), F.col("t"), "prev")
+    order = ["t", "packet_id"]
+    gaps = od.lag_value(od.dealt(t, keys, order), keys, order, F.col("_part"), F.col("t"), "prev")
     cv = F.col("sd_gap") / F.col("mean_gap")
     return (
         gaps.filter("prev is not null")
