@@ -30,6 +30,8 @@ from tracefield.session import checkpoint
 FAN = 16
 #: levels of a block: a block is FAN ** DEPTH nodes
 DEPTH = 3
+#: runs of 16 leaves whose proofs are spelt out at a time
+RUNS = 256
 #: one level of a witness: the place of the subtree among its siblings and the others' digests, left to right
 LEVEL = pa.struct([("place", pa.int32()), ("siblings", pa.binary())])
 LEVELS = pa.list_(LEVEL)
@@ -296,19 +298,19 @@ def prove(grown: DataFrame) -> DataFrame:
     doc_id, leaf, subroot, root, proof_sha256, folded_root, verified.
     """
     names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    kinds = [pa.int64(), *[pa.string()] * 5, pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for row in b.to_pylist():
-                root, subroot = row["root"].hex(), row["subroot"].hex()
-                for i, levels in _leaves(row):
-                    proof = hashlib.sha256("".join(s for _, s in levels).encode()).hexdigest()
-                    folded = fold(row["others"][i] or row["leaves"][i], levels).hex()
-                    out.append((row["doc_ids"][i], row["leaves"][i].hex(), subroot, root, proof, folded, folded == root))
-            columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
-            kinds = [pa.int64(), *[pa.string()] * 5, pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+            for start in range(0, len(b), RUNS):
+                out = []
+                for row in b.slice(start, RUNS).to_pylist():
+                    root, subroot = row["root"].hex(), row["subroot"].hex()
+                    for i, levels in _leaves(row):
+                        proof = hashlib.sha256("".join(s for _, s in levels).encode()).hexdigest()
+                        folded = fold(row["others"][i] or row["leaves"][i], levels).hex()
+                        out.append((row["doc_ids"][i], row["leaves"][i].hex(), subroot, root, proof, folded, folded == root))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return grown.mapInArrow(run, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
 
