@@ -224,7 +224,7 @@ def volumes(spark, d):
     o = tb.spread(tb.load(spark, d, "orders").select("o_orderkey", "o_custkey"))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     spc = F.element_at(F.array(F.lit(1), F.lit(8), F.lit(16)), (k % 3 + 1).cast("int"))
-    ntfs = F.concat(F.lit("EB5290"), asc("NTFS    "), le(F.lit(512), 2), le(spc, 1), zeros(0x28 - 0x0E), le(k * 1000 + 7, 8), le(c + 3, 8), le(k + 500000, 8), zeros(8), le(c * 65537 + 1, 4), zeros(2048 - 0x4C))
+    ntfs = F.concat(F.lit("EB5290"), asc("NTFS    "), le(F.lit(512), 2), le(spc, 1), zeros(0x28 - 0x0E), le(k * 1000 + 7, 8), le(c + 3, 8), le(k + 500000, 8), zeros(8), le(c * 65537 + 1, 8), zeros(2048 - 0x50))
     label = F.rpad(F.hex(F.concat(F.lit("vol"), c.cast("string"))), 32, "0")
     ext4 = F.concat(zeros(1024), zeros(4), le(k + 100000, 4), zeros(16), le(k % 4, 4), zeros(0x38 - 0x1C), F.lit("53EF"), zeros(0x78 - 0x3A), label, zeros(1024 - 0x88))
     alt = F.concat(F.lit("EB5290"), zeros(100), asc("xNTFS"), zeros(2048 - 108))

@@ -31,7 +31,7 @@ def ntfs_boot(volumes: DataFrame, key: str, data: str = "data") -> DataFrame:
         le_uint(d, 0x28, 8).alias("total_sectors"),
         le_uint(d, 0x30, 8).alias("mft_cluster"),
         le_uint(d, 0x38, 8).alias("mirror_cluster"),
-        le_uint(d, 0x48, 4).alias("serial"),
+        le_uint(d, 0x48, 8).alias("serial"),
     )
     cluster = F.col("bytes_per_sector") * F.col("sectors_per_cluster")
     return base.withColumn("cluster_size", cluster).withColumn(
