@@ -9,6 +9,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 CHUNK_SCHEMA = "image_id string, chunk_no bigint, base_offset bigint, length int, data binary"
 MIB = 1 << 20
+OPEN_COST = MIB // 16  # bytes that could be read while a file is opened
 
 
 class ByteRange(InputPartition):
@@ -16,8 +17,17 @@ class ByteRange(InputPartition):
         self.path, self.first, self.last = path, first, last
 
 
+class ByteRanges(InputPartition):
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
+
+
 class ByteImageReader(DataSourceReader):
-    """One partition per run of chunks; each task reads its own range of the shared file.
+    """Partitions of runs of chunks; each task reads its own ranges of the shared files.
+
+    A large file is dealt over many partitions, many small files share one: a
+    partition takes ``chunksperpartition`` chunks, or the 64th part of a small
+    input (1 to 128 MiB), opening a file being counted too.
 
     The path is a file, or a folder whose files are images each; a plain path
     or a URI of a store that pyarrow knows (file, hdfs, s3, gs).
@@ -33,22 +43,34 @@ class ByteImageReader(DataSourceReader):
         store, name = self.store()
         info = store.get_file_info(name)
         files = store.get_file_info(fs.FileSelector(name, recursive=True)) if info.type == fs.FileType.Directory else [info]
-        out = []
+        files = [f for f in files if f.type == fs.FileType.File and f.size]
+        total = sum(max(f.size, OPEN_COST) for f in files)
+        room = max(self.run * self.chunk, min(128 * MIB, max(MIB, total // 64)))
+        out, ranges, load = [], [], 0
         for f in files:
-            if f.type == fs.FileType.File:
-                n = -(-f.size // self.chunk)
-                out += [ByteRange(f.path, i, min(i + self.run, n)) for i in range(0, n, self.run)]
-        return out
+            n = -(-f.size // self.chunk)
+            step = room // self.chunk
+            for i in range(0, n, step):
+                last = min(i + step, n)
+                cost = max(min(last * self.chunk, f.size) - i * self.chunk, OPEN_COST)
+                if ranges and load + cost > room:
+                    out.append(ByteRanges(ranges))
+                    ranges, load = [], 0
+                ranges.append((f.path, i, last))
+                load += cost
+        return [*out, ByteRanges(ranges)] if ranges else out
 
     def store(self):
         return fs.FileSystem.from_uri(self.path) if self.path.startswith("file:") or "://" in self.path else (fs.LocalFileSystem(), self.path)
 
     def read(self, part):
-        with self.store()[0].open_input_file(part.path) as f:
-            for i in range(part.first, part.last):
-                f.seek(i * self.chunk)
-                data = f.read(self.chunk + self.overlap)
-                yield part.path, i, i * self.chunk, min(self.chunk, len(data)), data
+        store = self.store()[0]
+        for path, first, last in part.ranges:
+            with store.open_input_file(path) as f:
+                for i in range(first, last):
+                    f.seek(i * self.chunk)
+                    data = f.read(self.chunk + self.overlap)
+                    yield path, i, i * self.chunk, min(self.chunk, len(data)), data
 
 
 class GrowingImageReader(ByteImageReader, DataSourceStreamReader):
