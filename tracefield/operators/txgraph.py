@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,7 +190,17 @@ def dormant_periods(edges: DataFrame, days: int) -> DataFrame:
 
 
 def activity_spikes(edges: DataFrame, k: float) -> DataFrame:
-    """Days with more than mean + k sd transactions of that address."""
+    """Days with more than mean + k sd transactions of that address (k >= 0).
+
+    Over ``days`` days, n > mean + k sd is n days - sum > k sqrt(days squares - sum^2):
+    squared, both sides are whole numbers, so a day exactly at the limit is
+    none whatever the order of the sums.
+    """
     d = checkpoint(daily_activity(edges))
-    s = d.groupBy("addr").agg((F.avg("n") + k * F.stddev_pop("n")).alias("_limit"))
-    return d.join(s, "addr").filter(F.col("n") > F.col("_limit")).select("addr", "day", "n")
+    n = F.col("n").cast("decimal(38,0)")
+    s = d.groupBy("addr").agg(F.count(F.lit(1)).alias("_days"), F.sum(n).alias("_sum"), F.sum((n * n).cast("decimal(38,0)")).alias("_squares"))
+    p, q = Fraction(str(k)).as_integer_ratio()
+    whole = lambda e: F.expr(f"cast({e} as decimal(38,0))")
+    s = s.select("addr", "_days", "_sum", whole("_days * _squares - _sum * _sum").alias("_spread"))
+    j = d.join(s, "addr").withColumn("_over", whole("n * _days - _sum"))
+    return j.filter((F.col("_over") > 0) & F.expr(f"{q * q} * _over * _over > {p * p} * _spread")).select("addr", "day", "n")
