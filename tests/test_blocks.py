@@ -4,6 +4,7 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracefield.operators import container as ct
 from tracefield.operators import fsmeta as fs
@@ -246,3 +247,16 @@ def test_moov_mdat_matching_where_all_sizes_compete(spark):
     for block in (20_000, 2_500):
         got = [(r.moov_offset, r.mdat_offset) for r in ct.match_moov_mdat(m, x, block=block).collect()]
         assert len(got) == len(want) and set(got) == want, block
+
+
+def test_moov_mdat_matching_of_thousands_takes_one_round(spark, monkeypatch):
+    """More media than 20,000 on one image, all of near sizes: nothing is handed from block to block."""
+    n, rounds = 21_000, []
+    one = ct._propose
+    monkeypatch.setattr(ct, "_propose", lambda *a: (rounds.append(1), one(*a))[1])
+    i = spark.range(n)
+    m = i.select(F.lit("a").alias("image_id"), F.col("id").alias("offset"), (F.lit(50_000) + F.col("id") % 1_000).alias("expected"))
+    x = i.select(F.lit("a").alias("image_id"), (F.col("id") + n).alias("offset"), (F.lit(50_508) + F.col("id") % 1_000).alias("size"))
+    got = ct.match_moov_mdat(m, x)
+    assert got.count() == n and got.select("mdat_offset").distinct().count() == n
+    assert len(rounds) == 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -340,7 +341,7 @@ class Shelf:
 
     def __init__(self, first: int):
         self.first = first
-        self.want, self.off, self.right, self.left, self.below = [], [], [], [], []
+        self.want, (self.off, self.right, self.left, self.below) = array("d"), (array("q") for _ in range(4))
 
     def add(self, off: int, want: float, below: int):
         rank = self.first + len(self.want)
@@ -415,7 +416,7 @@ def _propose(block: int, tolerance: float):
     return run
 
 
-def match_moov_mdat(moov: DataFrame, mdat: DataFrame, tolerance: float = 0.2, block: int = 20_000) -> DataFrame:
+def match_moov_mdat(moov: DataFrame, mdat: DataFrame, tolerance: float = 0.2, block: int = 1 << 18) -> DataFrame:
     """moov(image_id, offset, expected), mdat(image_id, offset, size): one-to-one,
     in moov order each takes the free mdat nearest in size (of equally near ones
     the first), within the tolerance. Rows with a null take no part.
@@ -426,11 +427,14 @@ def match_moov_mdat(moov: DataFrame, mdat: DataFrame, tolerance: float = 0.2, bl
     earlier ones hold all near it there, goes on to the block of its next
     candidate. What has rejected a movie once does so for ever, so it keeps two
     ranks, one each way. Rounds end when no movie moves; only blocks with
-    arrivals are worked on, and a task holds the media of one block.
+    arrivals are worked on, and a task holds the media of one block, 40 bytes
+    each. Movies turned away at a block's edge cost the rounds, so blocks are
+    as large as a task may well hold.
     """
     own = ["image_id", "want"]
-    media = mdat.select("image_id", F.col("offset").alias("off"), (F.col("size") - 8).cast("double").alias("want")).dropna()
-    movies = moov.select("image_id", F.col("offset").alias("off"), F.col("expected").cast("double").alias("want")).dropna().filter("want > 0")
+    # both are used twice, and come from bytes
+    media = checkpoint(mdat.select("image_id", F.col("offset").alias("off"), (F.col("size") - 8).cast("double").alias("want")).dropna())
+    movies = checkpoint(moov.select("image_id", F.col("offset").alias("off"), F.col("expected").cast("double").alias("want")).dropna().filter("want > 0"))
     sizes = media.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(1))
     asked = movies.select(*own).distinct().select(*own, F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("kind"))
     order = ["want", "kind"]
