@@ -65,6 +65,28 @@ def test_deep_graphs(spark):
     assert gr.dependency_closure(items, links, items.filter("item = 65")).count() == 6
 
 
+def test_dependency_closure_by_levels(spark, monkeypatch):
+    """Cycles, depth beyond the levels, missing items: as walked; without cycles no pair is found twice by doubling."""
+    rng = random.Random(4)
+    links = [(a, rng.randrange(a)) for a in range(1, 60) for _ in range(2)] + [(a, 100 + a) for a in range(0, 60, 7)] + [(3, 9), (60, 60)]
+    for edges, levels in ((links, 32), ([e for e in links if e != (3, 9)], 3), ([e for e in links if e != (3, 9)], 32)):
+        want = set()
+        for root in range(61):
+            todo, seen = [root], {root}
+            while todo:
+                at = todo.pop()
+                new = {b for a, b in edges if a == at} - seen
+                seen |= new
+                todo += new
+            want |= {(root, x, x < 61) for x in seen}
+        if levels == 32 and (3, 9) not in edges:
+            monkeypatch.setattr(gr, "_pairs", None)
+        items = spark.createDataFrame([(i,) for i in range(61)], "item long")
+        got = [tuple(r) for r in gr.full_closure(spark.createDataFrame(edges, "item long, needs long"), items, levels).select("root", "item", "known").collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+
 def test_process_trees_deep_self_parented_and_cyclic(spark):
     rows = [(0, 0)] + [(i, i - 1) for i in range(1, 140)] + [(500, 999), (501, 500), (600, 601), (601, 600), (602, 601)]
     got = {r["pid"]: (r["depth"], r["path"]) for r in gr.process_tree(spark.createDataFrame(rows, "pid long, ppid long")).collect()}

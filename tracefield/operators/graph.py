@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracefield.session import checkpoint
 
@@ -143,18 +144,62 @@ def closure(links: DataFrame, roots: DataFrame) -> DataFrame:
         n += 1
 
 
-def full_closure(links: DataFrame, items: DataFrame) -> DataFrame:
-    """``closure`` with every item a root, by doubling: rounds grow with the logarithm of the depth."""
-    step = links.select(F.col("item").alias("root"), F.col("needs").alias("item")).distinct()
-    reach = checkpoint(step)
+def _pairs(links: DataFrame) -> DataFrame:
+    """(root, item) over links, by doubling: rounds grow with the logarithm of the depth, work with the ways between a pair."""
+    reach = checkpoint(links.select(F.col("item").alias("root"), F.col("needs").alias("item")).distinct())
     while True:
         longer = reach.select("root", F.col("item").alias("_mid")).join(reach.select(F.col("root").alias("_mid"), "item"), "_mid").select("root", "item").distinct()
         new = checkpoint(longer.join(reach, ["root", "item"], "left_anti"))
         if new.isEmpty():
-            break
+            return reach
         reach = checkpoint(reach.unionByName(new))
-    own = items.select(F.col("item").alias("root"), "item").distinct()
-    return own.unionByName(reach.join(own.select("root"), "root", "left_semi")).distinct()
+
+
+def full_closure(links: DataFrame, items: DataFrame, levels: int = 32) -> DataFrame:
+    """``closure`` with every item a root: (root, item, known); ``known`` is false for what is not in ``items``.
+
+    Items are taken up level by level, what needs nothing first: an item's set
+    is the union of its needs' sets, made once, as two arrays (known, missing)
+    in one row. What is in a cycle, above one, or more than ``levels`` deep is
+    walked by doubling among itself and then handed the finished sets.
+    """
+    step = checkpoint(links.select("item", "needs").dropna().filter("item <> needs").distinct())
+    known = items.select("item", F.lit(True).alias("there")).distinct()
+    nodes = known.select("item").unionByName(step.select("item")).unionByName(step.select(F.col("needs").alias("item"))).distinct()
+    nodes = checkpoint(nodes.join(known, "item", "left").select("item", F.coalesce("there", F.lit(False)).alias("there")))
+    nothing = F.array().cast(T.ArrayType(nodes.schema["item"].dataType))
+    mine = F.array("item")
+    alone = nodes.select("item", "there", F.when(F.col("there"), mine).otherwise(nothing).alias("has"), F.when(F.col("there"), nothing).otherwise(mine).alias("lacks"))
+
+    done = last = checkpoint(alone.join(step, "item", "left_anti"))
+    unmet = step
+    for _ in range(levels):
+        still = checkpoint(unmet.join(last.select(F.col("item").alias("needs")), "needs", "left_anti").select("item", "needs"))
+        ready = unmet.select("item").distinct().join(still, "item", "left_anti")
+        sets = step.join(ready, "item", "left_semi").join(done.select(F.col("item").alias("needs"), "has", "lacks"), "needs")
+        below = sets.groupBy("item").agg(*[F.flatten(F.collect_list(c)).alias(f"_{c}") for c in ("has", "lacks")])
+        joined = [F.array_distinct(F.concat(c, f"_{c}")).alias(c) for c in ("has", "lacks")]
+        last = checkpoint(alone.join(below, "item").select("item", "there", *joined))
+        unmet = still
+        if last.isEmpty():
+            break
+        done = done.unionByName(last)
+    if_root = done.filter("there")
+    out = if_root.select(F.col("item").alias("root"), F.explode("has").alias("item"), F.lit(True).alias("known")).unionByName(
+        if_root.select(F.col("item").alias("root"), F.explode("lacks").alias("item"), F.lit(False).alias("known"))
+    )
+    if unmet.isEmpty():
+        return out
+    rest = checkpoint(unmet.select("item").distinct())
+    inner = step.join(rest, "item", "left_semi").join(rest.select(F.col("item").alias("needs")), "needs", "left_semi")
+    within = _pairs(inner).unionByName(rest.select(F.col("item").alias("root"), "item")).distinct()
+    within = checkpoint(within.join(nodes.filter("there").select(F.col("item").alias("root")), "root", "left_semi"))
+    edge = within.join(step, "item").select("root", "needs").distinct()
+    handed = edge.join(done.select(F.col("item").alias("needs"), "has", "lacks"), "needs")
+    beyond = handed.select("root", F.explode("has").alias("item"), F.lit(True).alias("known")).unionByName(
+        handed.select("root", F.explode("lacks").alias("item"), F.lit(False).alias("known"))
+    ).distinct()
+    return out.unionByName(within.join(nodes, "item").select("root", "item", F.col("there").alias("known"))).unionByName(beyond)
 
 
 def dependency_closure(items: DataFrame, links: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -164,9 +209,10 @@ def dependency_closure(items: DataFrame, links: DataFrame, roots: DataFrame | No
     item) pair of the graph is listed, as many as there are: a choice for
     graphs whose items need few others.
     """
-    full = full_closure(links, items) if roots is None else closure(links, roots)
+    if roots is None:
+        return full_closure(links, items)
     known = items.select("item", F.lit(True).alias("known")).distinct()
-    return full.join(known, "item", "left").select("root", "item", F.coalesce("known", F.lit(False)).alias("known"))
+    return closure(links, roots).join(known, "item", "left").select("root", "item", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 def process_tree(procs: DataFrame) -> DataFrame:
