@@ -135,3 +135,30 @@ def test_components_on_a_long_chain_and_a_hub(spark):
     e = spark.createDataFrame(chain + hub, "u bigint, v bigint")
     got = gr.connected_components(e).groupBy("component").count().collect()
     assert {(r.component, r["count"]) for r in got} == {(0, 201), (1000, 400)}
+
+
+def test_whole_components_leave_the_rounds(spark, monkeypatch):
+    """Stars of three, a chain and a few random edges: what is one star already is not written again."""
+    import random
+
+    from tracefield.operators import graph as gr
+
+    written, keep = [], gr.checkpoint
+    monkeypatch.setattr(gr, "checkpoint", lambda df: (lambda t: (written.append((t.columns, t.count())), t)[1])(keep(df)))
+    rng = random.Random(7)
+    edges = [(f"s{i}.{j}", f"s{i}.0") for i in range(100) for j in (1, 2)] + [(f"c{i}", f"c{i + 1}") for i in range(10)]
+    edges += [(f"r{rng.randrange(30)}", f"r{rng.randrange(30)}") for _ in range(20)]
+    root = {x: x for e in edges for x in e}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    got = [(r.node, r.component) for r in gr.connected_components(spark.createDataFrame(edges * 2, "u string, v string")).collect()]
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert len(got) == len(linked) and dict(got) == {x: top(x) for x in linked}
+    rounds = [n for columns, n in written if sorted(columns) == ["u", "v"]]
+    assert rounds[0] > 200 and max(rounds[1:]) < 60

@@ -21,27 +21,39 @@ def _grow(seen: DataFrame, new: DataFrame, round_no: int) -> DataFrame:
 
 
 def star_edges(members: DataFrame, group: str, node: str) -> DataFrame:
-    """Edges (u, v) from every member of a group to the group's least member: n, not n squared."""
+    """Edges (u, v) from every member of a group to the group's least member: n, not n squared.
+
+    A member listed twice gives its edge twice; ``connected_components`` takes them once.
+    """
     low = members.groupBy(group).agg(F.min(node).alias("v"))
-    return (
-        members.select(group, F.col(node).alias("u")).join(low, group).filter("u <> v").select("u", "v").distinct()
-    )
+    return members.select(group, F.col(node).alias("u")).join(low, group).filter("u <> v").select("u", "v")
 
 
-def _state(edges: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftright(h, 24))).first())
+def _tangled(edges: DataFrame) -> DataFrame:
+    """(v) of the distinct edges (u, v), v < u, that are no whole component: some member has another edge."""
+    odd = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    parents = edges.select(F.col("v").alias("u"), F.lit(True).alias("up")).distinct()
+    odd = odd.join(parents, "u", "left").filter("n > 1 or up").select("u")
+    return checkpoint(edges.join(odd, "u", "left_semi").select("v").unionByName(odd.select(F.col("u").alias("v"))).distinct())
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) by alternating large-star and small-star steps.
 
     ``component`` is the least node of the component. Nodes without an edge do
-    not appear.
+    not appear. A component that has become one star is set aside: only the
+    others go through further rounds.
     """
     cur = checkpoint(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    state = _state(cur)
+    stars = None
     while True:
+        tangled = _tangled(cur)
+        if tangled.isEmpty():
+            break
+        told = checkpoint(cur.join(tangled.withColumn("open", F.lit(True)), "v", "left"))
+        whole = told.filter("open is null").select("u", "v")
+        stars = whole if stars is None else stars.unionByName(whole)
+        cur = told.filter("open").select("u", "v")
         # large star: every larger neighbour of u is hung on the least neighbour of u
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -51,13 +63,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         cur = checkpoint(small.filter("u <> v").distinct())
-        new = _state(cur)
-        if new == state:
-            break
-        state = new
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        cur.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    ).distinct()
+    stars = cur if stars is None else stars.unionByName(cur)
+    # in a star every node but the root has one edge
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )
 
 
 def trace_flow(edges: DataFrame, source: str, depth: int = 5, ordered_time: bool = False) -> DataFrame:
