@@ -53,10 +53,11 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     similarity of at least t share one of the first n - ceil(t n) + 1.
     """
     runs = sets.select("id", F.size("sh").alias("n"), F.explode("sh").alias("s"))
-    known = runs.join(runs.groupBy("s").agg(F.count(F.lit(1)).alias("files")), "s")
-    ordered = known.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("files", "s"))).alias("r"))
-    first = F.slice("r", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-    return ordered.select("id", "n", F.explode(first).alias("r")).filter("r.files > 1").select(F.col("r.s").alias("bucket"), "id", "n")
+    shared = runs.groupBy("s").agg(F.count(F.lit(1)).alias("files")).filter("files > 1")
+    # runs of one file come first in its order; only their number matters
+    ordered = runs.join(shared, "s").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("files", "s"))).alias("r"))
+    first = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int") - (F.col("n") - F.size("r"))
+    return ordered.select("id", "n", F.explode(F.slice("r", F.lit(1), F.greatest(first, F.lit(0)))).alias("r")).select(F.col("r.s").alias("bucket"), "id", "n")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
