@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -328,6 +329,37 @@ def test_similarity_against_the_sum():
         assert minhash.similarity(*sets) == pytest.approx(plain_jp(a, b))
 
 
+def test_bound_keeps_every_link():
+    rng, sets = np.random.default_rng(3), []
+    base = rng.choice(1 << 30, 40, replace=False)
+    for most in (1, 1, 1, 5) * 15:
+        h = np.sort(np.unique(np.where(rng.random(40) < rng.random() / 3, rng.choice(1 << 30, 40), base)))
+        sets.append((h.astype(np.uint64), rng.integers(1, most + 1, len(h)).astype(float)))
+    pairs = np.array([(a, b) for a in range(60) for b in range(a + 1, 60)])[rng.permutation(1770)]
+    exact = np.array([minhash.similarity(sets[a], sets[b]) for a, b in pairs])
+    for threshold in (0.5, 0.8):
+        may = minhash.may_link(sets, pairs, threshold)
+        assert 0 < (exact >= threshold).sum() and may[exact >= threshold].all()
+        equal = np.array([(sets[a][1].max() == 1) & (sets[b][1].max() == 1) for a, b in pairs])
+        assert (may[equal] == (exact[equal] >= threshold - 1e-9)).all()
+
+
+def test_near_texts_that_are_no_links_are_not_verified_one_by_one(monkeypatch):
+    rows, base = [], [f"w{i}" for i in range(300)]
+    for k in range(40):  # each 21 words of its own: near by their sketches, J of 0.4 to 0.6
+        text = " ".join(f"x{k}" if i % 15 == k % 15 else w for i, w in enumerate(base[:150])) + " " + " ".join(base[150:]) + f" y{k}" * 11
+        rows.append({"bucket": 7, "i": 0, "j": 0, "part": 0, "node": bytes([k]), "component": bytes([k]), "text": text})
+    rows = pd.DataFrame(rows)
+    pairs = np.array([(a, b) for a in range(40) for b in range(a + 1, 40)])
+    monkeypatch.setattr(minhash, "near_pairs", lambda r: (r, pairs))
+    asked, plain = [], minhash.similarity
+    monkeypatch.setattr(minhash, "similarity", lambda a, b: asked.append(1) or plain(a, b))
+    sets = [minhash.Sets().get(n, t) for n, t in zip(rows["node"], rows["text"])]
+    links = sum(plain(sets[a], sets[b]) >= 0.8 for a, b in pairs)
+    out = minhash._links(0.8, False)(rows)
+    assert len(asked) <= links + len(out) < len(pairs) / 4
+
+
 def test_sketches_estimate_jp():
     rng = np.random.default_rng(5)
     got, want = [], []

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefield.llm.common import mix, slices, utf8, words
+from tracefield.llm.common import mix, ragged, slices, utf8, words
 from tracefield.llm.url_filter import bloom
 from tracefield.operators.graph import connected_components
 from tracefield.session import checkpoint
@@ -126,6 +126,35 @@ def similarity(a: tuple, b: tuple) -> float:
     return float((1.0 / (low[last] / x[both] + high[last] / y[both])).sum())
 
 
+def may_link(sets: list[tuple], pairs: np.ndarray, threshold: float) -> np.ndarray:
+    """Marks the pairs of set numbers whose J_P may reach the threshold, without taking any that does for one that does not.
+
+    With p and q the shares that two sets hold of their weight in what both
+    have, J_P is 1 / (1/p + 1/q - 1) at most, and just that where all weights
+    are equal: a common d adds no more than 1 / (1/a + (1 - q)/b), a and b being
+    its shares, which is concave and homogeneous, so the sum is bounded by its
+    value at (p, q).
+    """
+    size = np.array([len(h) for h, _ in sets], np.int64)
+    start = np.cumsum(size) - size
+    number = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)[1]
+    share = np.concatenate([w / w.sum() for _, w in sets])
+    held, ok = np.zeros(len(number)), np.zeros(len(pairs), bool)
+    order = np.argsort(pairs[:, 0], kind="stable")
+    for run in np.split(order, np.flatnonzero(np.diff(pairs[order, 0])) + 1):
+        a = pairs[run[0], 0]
+        mine = slice(start[a], start[a] + size[a])
+        held[number[mine]] = share[mine]
+        for part in np.array_split(run, 1 + int(size[pairs[run, 1]].sum() >> 20)):
+            b = pairs[part, 1]
+            at, cut = ragged(start[b], size[b]), np.cumsum(size[b]) - size[b]
+            both = held[number[at]]
+            p, q = np.add.reduceat(both, cut), np.add.reduceat(share[at] * (both > 0), cut)
+            ok[part] = (p > 0) & (p * q >= (threshold - 1e-9) * (p + q - p * q))
+        held[number[mine]] = 0
+    return ok
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """(doc_id, node, some, sketch, bands): ``node`` is the md5 of the text, ``some`` whether it has words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -276,6 +305,8 @@ def _links(threshold: float, forest: bool):
 
     With ``forest`` only a spanning forest of the near pairs, nearest first, is
     verified: a hub that joins its copies is found without comparing them all.
+    Else a bound leaves out pairs that cannot be links, unless the group's sets
+    are too large to be held at once.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -290,6 +321,16 @@ def _links(threshold: float, forest: bool):
             return x
 
         node, text, sets, out = rows["node"].tolist(), rows["text"].tolist(), Sets(), []
+        if not forest and len(pairs):
+            used, local = np.unique(pairs, return_inverse=True)
+            held, total = [], 0
+            for k in used.tolist():
+                held.append(sets.get(node[k], text[k]))
+                total += len(held[-1][0])
+                if total > sets.most:
+                    break
+            else:
+                pairs = pairs[may_link(held, local.reshape(pairs.shape), threshold)]
         for a, b in pairs.tolist():
             x, y = top(component[a]), top(component[b])
             if x == y:
