@@ -1,5 +1,8 @@
 import json
+import math
+import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -109,3 +112,25 @@ def test_bad_sector_file(spark, tmp_path):
     assert sorted(r.sector for r in rc.read_bad_sectors(spark, str(tmp_path / "b.txt")).collect()) == [1024, 2048, 4096]
     (tmp_path / "m.txt").write_text("# head\na=1=2\n\nb = x\nnothing\n")
     assert {(r.key, r.value) for r in rc.read_manifest(spark, str(tmp_path / "m.txt")).collect()} == {("a", "1=2"), ("b", "x")}
+
+
+def test_randomness_of_cells_and_of_keys_of_several_cells(spark, monkeypatch):
+    """Blocks are grouped only for keys of several cells; repeats over cells count, short and empty cells too."""
+    rng = random.Random(4)
+    block = rng.randbytes(16)
+    cells = {
+        1: [rng.randbytes(4096)], 2: [block + rng.randbytes(160) + block], 3: [b"abc"], 4: [block + b"x" * 5 + block], 5: [b""],
+        6: [block + b"a" * 16, rng.randbytes(64) + block], 7: [b"ab", b"cd", b""], 8: [b"q" * 16, b""],
+    }
+    grouped, plain = [], by.blocks
+    monkeypatch.setattr(by, "blocks", lambda df, *a: grouped.extend(r.k for r in df.collect()) or plain(df, *a))
+    rows = spark.createDataFrame([(k, bytearray(c)) for k, cs in cells.items() for c in cs], "k int, data binary")
+    got = {r.k: r for r in by.randomness(rows, "k").collect()}
+    assert set(got) == set(cells) - {5} and set(grouped) == {6, 7}
+    for k, r in got.items():
+        whole = b"".join(cells[k])
+        n = [c for c in Counter(whole).values()]
+        pieces = [c[i : i + 16] for c in cells[k] for i in range(0, len(c) - 15, 16)]
+        assert r["size"] == len(whole) and r.repeats == (len(set(pieces)) < len(pieces) if pieces else None)
+        assert r.entropy == pytest.approx(-sum(c / len(whole) * math.log2(c / len(whole)) for c in n), abs=1e-9)
+        assert r.chi_square == pytest.approx(sum(c * c for c in n) * 256 / len(whole) - len(whole))
