@@ -1,6 +1,7 @@
 """Disk arrays, volumes and containers on byte fixtures."""
 
 import random
+import re
 import struct
 
 import pytest
@@ -161,6 +162,22 @@ def test_file_table_of_a_chunked_volume(spark, sizes):
     assert set(read([r for r in rows if r is not lost])) == set(range(12)) - touched
 
 
+def test_volume_bytes_do_not_meet_in_one_task(spark, monkeypatch):
+    """The chunks of a volume are not shuffled by its name, and torn records go to partitions by their bytes."""
+    monkeypatch.setattr(fs, "PART_BYTES", 1 << 12, raising=False)
+    chunks = spark.createDataFrame([("v", 1000 * i, bytearray(b"x" * 1000)) for i in range(40)], "image_id string, base_offset bigint, data binary")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = fs.mft_slices(chunks, spark.createDataFrame([("v", 0)], "image_id string, mft_offset bigint"))
+        plan = out._jdf.queryExecution().toString()
+        assert not re.search(r"hashpartitioning\(image_id#\d+, \d", plan)
+        assert re.search(r"hashpartitioning\(image_id#\d+, record_no#\d+L, 11\), REPARTITION_BY_NUM", plan)
+        assert out.count() == 39
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def atom(kind, body=b"", size=None):
     return struct.pack(">I", len(body) + 8 if size is None else size) + kind + body
 

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracefield.functions.bytesops import byte_at, le_uint, magic
+from tracefield.session import MAX_SMALL_ROWS, checkpoint
 
 RECORD = 1024
+#: bytes of torn records that one task sorts, about
+PART_BYTES = 1 << 25
 
 
 def fs_detect(data: Column) -> Column:
@@ -63,12 +66,15 @@ def mft_slices(chunks: DataFrame, tables: DataFrame) -> DataFrame:
 
     chunks: image_id, base_offset, data; tables: image_id, mft_offset. Which
     records a chunk holds, or holds parts of, follows from offsets alone. Whole
-    ones stay where they are; only parts of a record are brought together. A
-    record of which bytes are missing is left out.
+    ones stay where they are; only parts of a record are brought together, in
+    partitions of about PART_BYTES. A record of which bytes are missing is left out.
     """
+    tables = checkpoint(tables.select("image_id", "mft_offset"))
+    if tables.count() <= MAX_SMALL_ROWS:  # counted: else all chunks of a volume would meet its one row in one task
+        tables = F.broadcast(tables)
     low = (F.col("base_offset") - F.col("mft_offset")).cast("bigint")
     high = low + F.octet_length("data")
-    held = chunks.join(tables.select("image_id", "mft_offset"), "image_id").filter((high > 0) & (F.octet_length("data") > 0))
+    held = chunks.join(tables, "image_id").filter((high > 0) & (F.octet_length("data") > 0))
 
     def part(n):
         begin, end = F.greatest(n * RECORD, low), F.least((n + 1) * RECORD, high)
@@ -77,10 +83,13 @@ def mft_slices(chunks: DataFrame, tables: DataFrame) -> DataFrame:
     numbers = F.sequence(F.floor(F.greatest(low, F.lit(0)) / RECORD).cast("bigint"), F.floor((high - 1) / RECORD).cast("bigint"))
     parts = held.select("image_id", F.inline(F.transform(numbers, part)))
     whole = parts.filter(F.octet_length("record") == RECORD).select("image_id", "record_no", "record")
-    torn = parts.filter(F.octet_length("record") < RECORD).groupBy("image_id", "record_no").agg(
-        F.array_sort(F.collect_set(F.struct("at", F.hex("record").alias("h")))).alias("p"), F.sum(F.octet_length("record")).alias("n")
+    # a chunk holds parts of two records at most, its first and its last
+    most = chunks.agg(F.sum(F.least(F.octet_length("data"), F.lit(2 * RECORD)) + 64).cast("bigint")).first()[0] or 0
+    torn = parts.filter(F.octet_length("record") < RECORD).repartition(most // PART_BYTES + 1, "image_id", "record_no").groupBy("image_id", "record_no").agg(
+        F.array_sort(F.collect_list(F.struct("at", "record"))).alias("p"), F.sum(F.octet_length("record")).alias("n")
     )
-    glued = torn.filter(F.col("n") == RECORD).select("image_id", "record_no", F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("record"))
+    joined = F.aggregate("p", F.lit(b""), lambda done, x: F.concat(done, x["record"]))
+    glued = torn.filter(F.col("n") == RECORD).select("image_id", "record_no", joined.alias("record"))
     return whole.unionByName(glued)
 
 
