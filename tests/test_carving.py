@@ -1,6 +1,8 @@
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracefield.operators import carving as cv
 from tracefield.operators import imaging as im
@@ -186,3 +188,11 @@ def test_skewed_offsets_are_kept(spark):
     c = cv.carve(chunks_of(spark, data, 1000), sigs, span=500)
     assert c.count() == 20000 and c.filter("is_complete").count() == 19999
     assert c.agg(F.sum("size")).first()[0] == 19999 * 4 + 2
+
+
+def test_few_chunks_go_to_python_at_once(spark):
+    """Python's memory in the scan does not follow the number of chunks of a task."""
+    rows_of_batch = F.pandas_udf(lambda data: pd.Series([len(data)] * len(data)), T.LongType())
+    chunks = spark.range(0, 2000, 1, 1).select(F.lit("i").alias("image_id"), F.col("id").alias("chunk_no"), (F.col("id") * 4).alias("base_offset"), F.lit(b"abcd").alias("data"))
+    passed = cv.scan_pass(chunks, rows_of_batch("data"), 2)
+    assert passed.count() == 2000 and passed.agg(F.max("hits")).first()[0] <= 256

@@ -93,11 +93,13 @@ def scan_pass(chunks: DataFrame, packed: Column, reach: int) -> DataFrame:
     packed hits, the size, and ``reach`` bytes from each end."""
     d = F.col("data")
     size = F.octet_length(d)
-    return checkpoint(chunks.select(
+    passed = chunks.select(
         "image_id", "chunk_no", "base_offset", size.alias("size"), packed.alias("hits"),
         F.substring(d, 1, reach).alias("head"),
         F.substring(d, F.greatest(size - reach + 1, F.lit(1)), F.lit(reach)).alias("tail"),
-    ))
+    )
+    with rows_a_batch(chunks.sparkSession, 256):
+        return checkpoint(passed)
 
 
 def strips(passed: DataFrame, reach: int) -> DataFrame:
