@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -450,6 +451,15 @@ def test_toxicity_held_out(spark):
     assert all((zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) == r["held_out"] for r in got)
 
 
+def test_toxicity_counts_in_little_memory():
+    text = "".join(map(chr, np.random.default_rng(5).integers(97, 123, toxicity.SLICE)))
+    tracemalloc.start()
+    toxicity.gram_places(*toxicity.codes([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(3, 0, 1), (4, 1, 0), (4, 1, None), (None, 0, 1), (6, 1, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
     model = toxicity.train(odd, labels)

@@ -28,7 +28,7 @@ PLACES = 1 << 20
 MAX_LABELLED = 12_000
 MAX_FEATURES = 1 << 14
 #: bytes of text taken at once: every character is the start of four n-grams of eight bytes
-SLICE = 1 << 19
+SLICE = 1 << 17
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,16 +89,16 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, penalty
     sample = checkpoint(sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2, PLACES), np.int64)
+        total = np.zeros((2, PLACES), np.int32)
         for big in batches:
             for b in slices(big, "text", SLICE):
                 toxic = b.column("toxic").to_numpy(zero_copy_only=False) > 0
                 doc, place = gram_places(*codes(b.column("text").to_pylist()))
                 for y in (0, 1):
-                    total[y] += np.bincount(place[toxic[doc] == y], minlength=PLACES)
+                    np.add.at(total[y], place[toxic[doc] == y], 1)
         there = np.flatnonzero(total.any(0))
         for part in np.array_split(there, max(1, len(there) >> 14)):
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[0][part]), pa.array(total[1][part])], ["place", "n0", "n1"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(n[part].astype(np.int64)) for n in total)], ["place", "n0", "n1"])
 
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     docs1 = sum(n for k, n in sizes.items() if k > 0)
