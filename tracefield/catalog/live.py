@@ -136,11 +136,14 @@ ORACLE["t8_stream_watchlist"] = f"select tx_id, from_addr, to_addr, value, to_ad
 
 
 def t10(spark, d):
-    """The pages as one image whose chunks arrive in five batches."""
+    """The pages as one image whose chunks arrive in five batches, each of a file per core."""
     folder = lv.work_dir(spark) + "/growing-" + lv.uuid.uuid4().hex
     image = tb.ev_image(spark, d)
-    image.withColumn("part", F.pmod(F.floor(F.col("chunk_no") / 7), F.lit(5))).repartition(5, "part").drop("part").write.parquet(f"{folder}/arrived")
-    arrived = spark.readStream.schema(image.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arrived")
+    cores = spark.sparkContext.defaultParallelism
+    run = lambda n: F.floor(F.col("chunk_no") / n)
+    file = F.pmod(run(7), F.lit(5)) * cores + F.pmod(run(35), F.lit(cores))
+    image.repartitionById(5 * cores, file.cast("int")).write.parquet(f"{folder}/arrived")
+    arrived = spark.readStream.schema(image.schema).option("maxFilesPerTrigger", cores).parquet(f"{folder}/arrived")
     growing = GrowingImages(spark, sigs(spark), folder, span=1 << 16)
     lv.run_available(arrived, batch=growing.step())
     return growing.finish()

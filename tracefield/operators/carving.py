@@ -8,7 +8,7 @@ sides of the edge, so image bytes are never shuffled or sorted.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -27,6 +27,8 @@ from tracefield.session import checkpoint, rows_a_batch, small_table
 PATTERNS_PER_SCAN = 65_536
 #: lists up to here are searched by first bytes; up to the next they are compiled into the scan, longer ones stay on Spark
 FEW, SHORT_LIST = 64, 1024
+#: byte strings shorter than this are searched together
+JOINED = 1 << 18
 HITS = arrays_type(pid=T.IntegerType(), pos=T.LongType())
 
 
@@ -61,26 +63,63 @@ def find_few(patterns: list[bytes], data: bytes) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(pids), np.concatenate(found).astype(np.int64)
 
 
-def scan_udf(patterns: list[bytes]):
+def find_each(patterns: list[bytes]) -> Callable[[Iterable[bytes]], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """``find_all`` for each of many byte strings.
+
+    Short ones are searched together, up to ``JOINED`` bytes, as a search has a
+    cost of its own; hits that run over the end of their string are dropped.
+    """
     find = finder(patterns)
+    length = np.array([len(p) for p in patterns] or [0])
+
+    def together(group: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if len(group) == 1:
+            yield find(group[0])
+            return
+        sizes = np.array([len(g) for g in group])
+        stops = np.cumsum(sizes)
+        pid, pos = find(b"".join(group))
+        row = np.searchsorted(stops, pos, side="right")
+        whole = pos + length[pid] <= stops[row]
+        pid, pos, row = pid[whole], pos[whole], row[whole]
+        order = np.argsort(row, kind="stable")
+        pid, pos, row = pid[order], pos[order], row[order]
+        ends = np.searchsorted(row, np.arange(1, len(group)))
+        yield from zip(np.split(pid, ends), np.split(pos - (stops - sizes)[row], ends), strict=True)
+
+    def search(rows: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        group, load = [], 0
+        for data in rows:
+            if group and load + len(data) > JOINED:
+                yield from together(group)
+                group, load = [], 0
+            group.append(data)
+            load += len(data)
+        if group:
+            yield from together(group)
+
+    return search
+
+
+def scan_udf(patterns: list[bytes]):
+    search = find_each(patterns)
 
     @F.pandas_udf(HITS)
     def scan(data: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([find(d) for d in data], columns=["pid", "pos"])
+        return pd.DataFrame(list(search(data)), columns=["pid", "pos"])
 
     return scan
 
 
 def edge_udf(patterns: list[bytes]):
     """Hits that start in the left part and end in the right one."""
-    find = finder(patterns)
+    search = find_each(patterns)
 
     @F.pandas_udf(HITS)
     def scan(left: pd.Series, right: pd.Series) -> pd.DataFrame:
         size = np.array([len(p) for p in patterns])
         rows = []
-        for a, b in zip(left, right):
-            pid, pos = find(a + b)
+        for a, (pid, pos) in zip(left, search(a + b for a, b in zip(left, right))):
             over = (pos < len(a)) & (pos + size[pid] > len(a))
             rows.append((pid[over], pos[over]))
         return pd.DataFrame(rows, columns=["pid", "pos"])

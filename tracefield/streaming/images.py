@@ -30,6 +30,7 @@ class GrowingImages:
         self.spark, self.folder, self.mode, self.span = spark, folder, mode, span
         self.patterns, self.heads, self.feet = cv.roles(spark, signatures)
         self.reach = max([len(p) for p in self.patterns] + [2]) - 1
+        self.widest = self.heads.agg(F.max(F.greatest("max_size", "header_len"))).first()[0] or 0
 
     def step(self) -> Callable[[DataFrame, int], None]:
         """Batch writer for a stream of (image_id, chunk_no, base_offset, data); a repeated batch overwrites itself."""
@@ -97,10 +98,13 @@ class GrowingImages:
     def _carved(self, hits: DataFrame, fronts: DataFrame, certain: bool) -> DataFrame:
         """Ranges that became certain between ``before`` and ``front``; else all that are still open at ``front``."""
         since = "before" if certain else "front"
-        hits = checkpoint(hits.distinct().join(fronts, "image_id"))
+        # no range reaches here from further back, and none that uses a byte from the front on is certain
+        hits = hits.join(fronts, "image_id").filter(F.col("offset") + self.widest > F.col(since))
+        if certain:
+            hits = hits.filter("offset < front")
+        hits = checkpoint(hits.distinct())
         headers = hits.join(self.heads, "pid").filter(F.col("offset") + F.greatest("max_size", "header_len") > F.col(since)).drop("pid", "front", "before", "image_size")
-        first = headers.groupBy("image_id").agg(F.min("offset").alias("_first"))
-        footers = hits.join(self.feet, "pid").select("image_id", "name", "offset").join(first, "image_id").filter(F.col("offset") >= F.col("_first")).drop("_first")
+        footers = hits.join(self.feet, "pid").select("image_id", "name", "offset")
         paired = cv.pair_footers(checkpoint(headers), footers, self.mode, self.span)
         known = (F.col("footer_offset") + F.col("footer_len")) if self.mode == "first" else F.lit(None).cast("bigint")
         # as soon as all bytes up to here are there, no other footer can come
