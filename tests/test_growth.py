@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracefield.catalog import live
 from tracefield.operators import carving as cv
+from tracefield.sources import records as rc
 
 
 @pytest.mark.parametrize("count", [5, 80])
@@ -32,3 +33,16 @@ def test_growing_image_arrives_in_files_for_every_core(spark, monkeypatch):
     monkeypatch.setattr(live.GrowingImages, "finish", lambda self: None)
     live.t10(spark, "/root/testdata/sf0.1")
     assert len(seen) == 5 and min(seen) > 1, seen
+
+
+def test_history_lines_are_parsed_once(spark, tmp_path):
+    """One from_json a table in the plan, of the wanted fields; empty and broken lines give no rows."""
+    (tmp_path / "scenarios").write_text('{"1": {"container_format": "mp4", "width": 4, "timestamp": "2024-01-01T00:00:00"}, "2": {}}\n{}\nbroken\n\n{"3": {"width": 7}}\n')
+    (tmp_path / "outcomes").write_text('{"1": {"success": true, "tools_used": ["a", "b"]}}\n{"3": {"success": false}}\n')
+    s, o = rc.read_history(spark, str(tmp_path), per_line=True)
+    assert s._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert sorted((r.scenario_id, r.container_format, r.width) for r in s.collect()) == [("1", "mp4", 4), ("2", None, None), ("3", None, 7)]
+    few, some = rc.read_history(spark, str(tmp_path), per_line=True, columns=["container_format", "success"])
+    assert few.columns == ["scenario_id", "container_format"] and some.columns == ["scenario_id", "success"]
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, s.select(*few.columns).collect()))
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, o.select(*some.columns).collect())) == [("1", True), ("3", False)]
