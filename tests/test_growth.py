@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracefield.catalog import live
 from tracefield.operators import carving as cv
+from tracefield.sources import image as im
 from tracefield.sources import records as rc
 
 
@@ -46,3 +47,24 @@ def test_history_lines_are_parsed_once(spark, tmp_path):
     assert few.columns == ["scenario_id", "container_format"] and some.columns == ["scenario_id", "success"]
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, s.select(*few.columns).collect()))
     assert sorted(map(tuple, some.collect())) == sorted(map(tuple, o.select(*some.columns).collect())) == [("1", True), ("3", False)]
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    """What Spark's binaryFile gives, of folders at several depths, without a plan that names the files."""
+    names = ["a.de", "b.EN", "c.txt", "d.DE", "x y%20ü.en", ".hid.de", "_no.de", "_k=v.de", "empty.de"]
+    for folder in ("", "one", "one/two", "three words", "_skip", ".git", "void/void"):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        for i, n in enumerate(names if "void" not in folder else []):
+            (tmp_path / folder / n).write_bytes(b"" if n == "empty.de" else b"x" * (i + 1))
+    got = im.scan_files(spark, str(tmp_path), [".de", ".En"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and "one/two" not in plan
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    plain = plain.filter(F.lower("path").rlike("[.](de|en)$")).select("path", "modificationTime", (F.col("length") / (1 << 20)).alias("size_mb"))
+    # binaryFile leaves out files without bytes
+    want = sorted(map(tuple, plain.collect()))
+    assert sorted(map(tuple, got.filter("size_mb > 0").collect())) == want and len(want) == 20
+    assert got.filter("size_mb = 0").count() == 4
+    assert sorted(map(tuple, im.scan_files(spark, f"file://{tmp_path}/", [".de", ".En"]).filter("size_mb > 0").collect())) == want
+    alone = im.scan_files(spark, str(tmp_path / "a.de"), [".de"]).collect()
+    assert [r.path for r in alone] == [f"file:{tmp_path}/a.de"]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from tracefield.session import checkpoint
+from tracefield.sources.filesets import store_of
+
 CHUNK_SCHEMA = "image_id string, chunk_no bigint, base_offset bigint, length int, data binary"
 MIB = 1 << 20
 OPEN_COST = MIB // 16  # bytes that could be read while a file is opened
@@ -149,9 +153,49 @@ def read_small_images(spark: SparkSession, path: str, glob: str = "*") -> DataFr
 
 
 def scan_files(spark: SparkSession, root: str, extensions: list[str]) -> DataFrame:
-    """Files below ``root`` whose name ends, case ignored, in one of the extensions; contents are not read."""
-    meta = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "length")
+    """Files below ``root`` whose name ends, case ignored, in one of the extensions; contents are not read.
+
+    Tasks list the folders, level by level, so neither the driver nor a plan
+    holds the files; only one folder's own listing has to fit a task. As in
+    Spark's own listings, names that begin with ``_`` or ``.`` are left out.
+    """
+    store, top = store_of(root)
+    kind = store.get_file_info(top).type
+    if kind == fs.FileType.NotFound:
+        raise FileNotFoundError(root)
+    top = top.rstrip("/") or "/"
+    uri = root.rstrip("/")
+    scheme = "file:" if isinstance(store, fs.LocalFileSystem) else uri.removesuffix(top)
+
+    def look(batches):
+        store = store_of(root)[0]
+        for b in batches:
+            for folder in b.column("folder").to_pylist():
+                found = store.get_file_info(fs.FileSelector(folder) if kind == fs.FileType.Directory else [folder])
+                for i in range(0, len(found), 10_000):
+                    part = [f for f in found[i : i + 10_000] if f.type != fs.FileType.NotFound and not hidden(f.base_name)]
+                    times = [f.mtime_ns and f.mtime_ns // 1_000_000 * 1000 for f in part]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f.path for f in part], pa.string()), pa.array(times, pa.int64()).cast(pa.timestamp("us", "UTC")),
+                         pa.array([f.size for f in part], pa.int64()), pa.array([f.type == fs.FileType.Directory for f in part], pa.bool_())],
+                        names=["path", "modificationTime", "length", "is_folder"],
+                    )
+
     hit = F.lit(False)
     for e in extensions:
         hit = hit | F.endswith(F.lower("path"), F.lit(e.lower()))
-    return meta.filter(hit).select("path", "modificationTime", (F.col("length") / MIB).alias("size_mb"))
+    level, found = spark.createDataFrame([(top,)], "folder string"), None
+    while True:
+        listed = level.mapInArrow(look, "path string, modificationTime timestamp, length bigint, is_folder boolean")
+        listed = checkpoint(listed.filter(F.col("is_folder") | hit))
+        files = listed.filter(~F.col("is_folder"))
+        found = files if found is None else found.unionByName(files)
+        folders = listed.filter("is_folder").select(F.col("path").alias("folder"))
+        if not folders.head(1):
+            break
+        level = folders.repartition(spark.sparkContext.defaultParallelism)
+    return found.select(F.concat(F.lit(scheme), "path").alias("path"), "modificationTime", (F.col("length") / MIB).alias("size_mb"))
+
+
+def hidden(name: str) -> bool:
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
