@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracefield.catalog import live
 from tracefield.operators import carving as cv
+from tracefield.operators import container as ct
 from tracefield.sources import image as im
 from tracefield.sources import records as rc
 
@@ -68,3 +69,20 @@ def test_files_are_listed_by_tasks(spark, tmp_path):
     assert sorted(map(tuple, im.scan_files(spark, f"file://{tmp_path}/", [".de", ".En"]).filter("size_mb > 0").collect())) == want
     alone = im.scan_files(spark, str(tmp_path / "a.de"), [".de"]).collect()
     assert [r.path for r in alone] == [f"file:{tmp_path}/a.de"]
+
+
+def test_chains_are_followed_in_stretches(spark):
+    """The same places as by following each chain; the rounds go over few of them."""
+    rng = random.Random(31)
+    rows, want = [], set()
+    for image, n, far in (("a", 3000, 9), ("b", 1, 1), ("c", 700, 400), ("d", 900, 2)):
+        tags = sorted(rng.sample(range(2**60, 2**60 + 10 * n), n))
+        to = [tags[i + j] if (j := rng.randint(1, far)) + i < n else ct.NOWHERE for i in range(n)]
+        rows += [(image, "moov", t, x) for t, x in zip(tags, to, strict=True)]
+        lead, at = dict(zip(tags, to, strict=True)), tags[0]
+        while at != ct.NOWHERE:
+            want.add((image, "moov", at))
+            at = lead[at]
+    places = spark.createDataFrame(rows, "image_id string, atom_type string, tag bigint, nxt bigint")
+    got = list(map(tuple, ct.chain_reach(places, ["image_id", "atom_type"]).collect()))
+    assert len(got) == len(set(got)) and set(got) == want

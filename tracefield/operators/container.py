@@ -278,7 +278,10 @@ def atom_scan(chunks: DataFrame, types: list[str], span: int = 1 << 26) -> DataF
     behind an accepted atom.
 
     Which candidates the search meets is a chain (each leads to the next tag
-    behind its end); the chain is followed by doubling, in log(n) joins.
+    behind its end). The candidates are dealt in stretches; a task finds where
+    the chain would leave its stretch from each of them. Chains soon meet, so
+    few places are left where one can enter a stretch: these are followed by
+    doubling, and the stretches walked from those that the chain enters.
     """
     keys = ["image_id", "atom_type"]
     c, sizes = atom_candidates(chunks, types)
@@ -286,8 +289,21 @@ def atom_scan(chunks: DataFrame, types: list[str], span: int = 1 << 26) -> DataF
     c = c.filter((F.col("size") >= 8) & (F.col("size") <= F.col("image_size") - F.col("offset")) & (F.col("offset") + 4 < F.col("image_size") - 8))
     c = checkpoint(c.select(*keys, "offset", "size", (F.col("offset") + 4).alias("tag"), (F.col("offset") + F.col("size")).alias("_end")))
     nxt = od.next_at_or_after(c, c.select(*keys, F.col("tag").alias("_t")), keys, "_end", "_t", span, "nxt")
-    jump = checkpoint(nxt.select(*keys, "tag", "nxt"))
-    reach = checkpoint(c.groupBy(*keys).agg(F.min("tag").alias("tag")))
+    places = checkpoint(nxt.select(*keys, "tag", F.coalesce("nxt", F.lit(NOWHERE)).alias("nxt")))
+    return c.join(chain_reach(places, keys), [*keys, "tag"], "left_semi").select(*keys, "offset", "size")
+
+
+NOWHERE = -1
+
+
+def chain_reach(places: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, tag) of the places met from the first one of each key on, ``nxt`` leading on from each (further up, or ``NOWHERE``)."""
+    dealt = od.dealt(places, keys, ["tag"], "_part")
+    leaves = checkpoint(dealt.groupBy(*keys, "_part").applyInPandas(_stretch_exits, T.StructType([*dealt.schema.fields, T.StructField("out", T.LongType())])))
+    first = leaves.groupBy(*keys).agg(F.min("tag").alias("tag"))
+    doors = checkpoint(leaves.filter(F.col("out") != NOWHERE).select(*keys, F.col("out").alias("tag")).unionByName(first).distinct())
+    jump = checkpoint(leaves.join(doors, [*keys, "tag"], "left_semi").select(*keys, "tag", F.nullif("out", F.lit(NOWHERE).cast("bigint")).alias("nxt")).distinct())
+    reach = checkpoint(first)
     while True:
         step = reach.join(jump, [*keys, "tag"]).filter("nxt is not null").select(*keys, F.col("nxt").alias("tag"))
         grown = checkpoint(reach.unionByName(step).distinct())
@@ -296,7 +312,37 @@ def atom_scan(chunks: DataFrame, types: list[str], span: int = 1 << 26) -> DataF
         reach = grown
         far = jump.select(*keys, F.col("tag").alias("nxt"), F.col("nxt").alias("_far"))
         jump = checkpoint(jump.join(far, [*keys, "nxt"], "left").select(*keys, "tag", F.col("_far").alias("nxt")))
-    return c.join(reach, [*keys, "tag"], "left_semi").select(*keys, "offset", "size")
+    entered = leaves.drop("out").join(reach.withColumn("_in", F.lit(True)), [*keys, "tag"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+    kept = T.StructType([dealt.schema[k] for k in keys] + [T.StructField("tag", T.LongType())])
+    return entered.groupBy(*keys, "_part").applyInPandas(_stretch_walk(keys), kept)
+
+
+def _stretch(rows: pd.DataFrame) -> tuple[pd.DataFrame, list[int]]:
+    """Rows by tag, and the row each leads to: its own number of rows where the stretch is left."""
+    rows = rows.sort_values("tag", ignore_index=True)
+    tag, nxt = rows["tag"].to_numpy(), rows["nxt"].to_numpy()
+    return rows, np.where(nxt == NOWHERE, len(tag), np.searchsorted(tag, nxt)).tolist()
+
+
+def _stretch_exits(rows: pd.DataFrame) -> pd.DataFrame:
+    rows, to = _stretch(rows)
+    out = rows["nxt"].tolist()
+    for i in range(len(to) - 1, -1, -1):
+        if to[i] < len(to):
+            out[i] = out[to[i]]
+    return rows.assign(out=np.array(out, np.int64))
+
+
+def _stretch_walk(keys: list[str]):
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, to = _stretch(rows)
+        met = rows["_in"].tolist()
+        for i, t in enumerate(to):
+            if met[i] and t < len(to):
+                met[t] = True
+        return rows.loc[np.array(met, bool), [*keys, "tag"]]
+
+    return walk
 
 
 _EXPECTED = T.StructType([
