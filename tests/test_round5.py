@@ -1,4 +1,4 @@
-"""Small cases of this round: empty files as units and sectors, plain stripes that look like parity."""
+"""Small cases of this round: empty files as units and sectors, plain stripes that look like parity, models fitted on distinct rows."""
 
 import random
 
@@ -6,7 +6,9 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from tracefield.catalog import strategy as cs
 from tracefield.operators import imaging as im
+from tracefield.operators import learning as ln
 from tracefield.operators import raid as rd
 
 
@@ -42,3 +44,31 @@ def test_plain_stripes_that_cancel_out_are_no_parity(spark):
     s = spark.createDataFrame(rows, "array_id string, disk int, stripe_no long, data binary")
     got = {r.array_id: r.level for r in rd.raid_level(s.withColumnRenamed("stripe_no", "block_no"), s).collect()}
     assert got == {"plain": "RAID0", "short": "UNKNOWN", "five": "RAID5"}
+
+
+def test_history_is_each_newest_row(spark):
+    """One aggregation gives what the two newest tables and their join give."""
+    d = "/root/testdata/sf0.001"
+    apart = cs.vecs(spark, d).select("scenario_id", "vec").join(cs.outcomes(spark, d).select("scenario_id", "success", "tool"), "scenario_id")
+    got, want = cs.history(spark, d), apart.select("scenario_id", "vec", "success", "tool")
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # orders only
+
+
+def test_long_histories_are_fitted_on_distinct_rows(spark, monkeypatch):
+    """600 outcomes of six kinds: the fit and the prediction go over six rows, with the same tools."""
+    rows = [(i, [float(i % 6), 1.0], i % 6 != 5, f"tool{i % 3}") for i in range(600)]
+    h = spark.createDataFrame(rows, "scenario_id long, vec array<float>, success boolean, tool string")
+    counts, write = [], ln.checkpoint
+
+    def counted(df):
+        out = write(df)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(ln, "checkpoint", counted)
+    model = ln.train_strategy_model(h, trees=40, depth=4, fold_above=500)
+    got = {r.scenario_id: r.predicted for r in ln.predict_strategy(model, h).collect()}
+    assert counts == [6, 6]
+    assert got == {i: f"tool{i % 3}" for i in range(600) if i % 6 != 5}
+    assert ln.train_strategy_model(h.limit(9), fold_above=500) is None
