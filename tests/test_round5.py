@@ -1,15 +1,18 @@
-"""Small cases of this round: empty files as units and sectors, plain stripes that look like parity, models fitted on distinct rows."""
+"""Small cases of this round: empty files as units and sectors, plain stripes that look like parity, models fitted on distinct rows, narrow histories."""
 
 import random
 
 import compare
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tracefield.catalog import strategy as cs
 from tracefield.operators import imaging as im
 from tracefield.operators import learning as ln
 from tracefield.operators import raid as rd
+from tracefield.operators import strategy as st
+from tracefield.sources import records as rc
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +75,17 @@ def test_long_histories_are_fitted_on_distinct_rows(spark, monkeypatch):
     assert counts == [6, 6]
     assert got == {i: f"tool{i % 3}" for i in range(600) if i % 6 != 5}
     assert ln.train_strategy_model(h.limit(9), fold_above=500) is None
+
+
+def test_history_files_are_compressed_and_narrow(spark, tmp_path):
+    """Files are compressed and read back whole; only the wanted columns are carried to the newest row."""
+    runs = spark.createDataFrame([(i % 7, i, f"t{i}", i % 2 == 0, "x" * 50) for i in range(30)], "scenario_id long, at int, tool string, success boolean, note string")
+    newest = st.latest(runs, "scenario_id", ["at"], ["tool", "success"])
+    assert newest.columns == ["scenario_id", "tool", "success"] and "note" not in newest._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+    assert sorted(map(tuple, newest.collect())) == sorted(map(tuple, st.latest(runs, "scenario_id", ["at"]).select(*newest.columns).collect()))
+    rc.write_history(newest.select("scenario_id", F.col("tool").alias("container_format")), newest.select("scenario_id", "success"), str(tmp_path))
+    written = [p.name for p in tmp_path.glob("*/part-*")]
+    assert written and all(name.endswith(".gz") for name in written)
+    s, o = rc.read_history(spark, str(tmp_path), per_line=True, columns=["container_format", "success"])
+    back = s.join(o, "scenario_id").select(F.col("scenario_id").cast("long"), "container_format", "success")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, newest.collect()))
