@@ -12,8 +12,9 @@ On the cluster: equal vectors are one point with a multiplicity. The top of the
 tree is a net over a bounded sample; each point goes to its nearest centre, and
 cells are put together (or, hot ones, split by hash) to blocks of bounded size.
 A task builds the tree of a block once. Pairs of blocks that the covering radii do not
-rule out meet in a task that traverses both trees; it returns, for each of its
+rule out meet in a task that traverses both trees; it returns, for each of the
 points, the number of links and one edge of a spanning forest, never the pairs.
+Runs of blocks meet together, so that a block is sent once to a run, not once to each block of it.
 The number of block pairs is the method's worst case: where all points are
 about equally far apart no bound can prune, and every two blocks have to meet.
 """
@@ -33,6 +34,8 @@ from tracefield.session import checkpoint
 
 #: points of a block, and of the sample that the top of the tree is made of
 BLOCK, SAMPLE, CELLS = 4096, 2048, 256
+#: blocks, and components of their vectors, that meet in one task at most
+SIDE, HELD = 8, 1 << 23
 #: levels below the root: radii 1, 1/2, ... 1/32
 LEVELS = 6
 #: bounds decide only beyond this margin; nearer than that, the points themselves are compared
@@ -54,6 +57,11 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
 
 
+def cells_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the true cells; numpy finds rare ones much faster in one dimension than in two."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
+
+
 def net(x: np.ndarray, radius: float, parent: np.ndarray) -> np.ndarray:
     """Centre of each point: centres of the level above stay, each other point joins the first one near enough or becomes one."""
     center = np.full(len(x), -1)
@@ -177,7 +185,7 @@ def traverse(a: Tree, b: Tree, same: bool, cosine: float) -> tuple[np.ndarray, n
                 for rows in np.array_split(some, -(-len(some) // STRIPE)) if len(some) and len(cols) else ():
                     dot = xa[ca[rows]] @ xb[cb[cols]].T
                     if ones_a and ones_b:
-                        i, j = np.nonzero(dot >= 1.0 - (reach + MARGIN) ** 2 / 2 - SLACK)
+                        i, j = cells_of(dot >= 1.0 - (reach + MARGIN) ** 2 / 2 - SLACK)
                         i, j = rows[i], cols[j]
                         keep = alive[above_a[i], above_b[j]]
                         if same:
@@ -190,7 +198,7 @@ def traverse(a: Tree, b: Tree, same: bool, cosine: float) -> tuple[np.ndarray, n
                     bound = ra[rows, None] + rb[None, cols]
                     # d > r + r' + reach, in terms of the dot product
                     open_ &= dot >= 1.0 - (bound + reach + MARGIN) ** 2 / 2 - SLACK
-                    i, j = np.nonzero(open_)
+                    i, j = cells_of(open_)
                     inner = reach - ra[rows[i]] - rb[cols[j]] - MARGIN
                     full = (inner > 0) & (dot[i, j] >= 1.0 - np.maximum(inner, 0) ** 2 / 2 + SLACK)
                     if full.any():
@@ -200,7 +208,7 @@ def traverse(a: Tree, b: Tree, same: bool, cosine: float) -> tuple[np.ndarray, n
         alive = ahead | ahead.T if same else ahead
         if not alive.any():
             break
-    for i, j in np.argwhere(np.triu(alive) if same else alive).tolist():  # leaves that the bounds leave open
+    for i, j in np.stack(cells_of(np.triu(alive) if same else alive), 1).tolist():  # leaves that the bounds leave open
         p, q = a.order[a.first[i] : a.first[i + 1]], b.order[b.first[j] : b.first[j + 1]]
         for part in np.array_split(p, -(-len(p) // STRIPE)):
             hit = a.x[part] @ b.x[q].T >= cosine
@@ -208,13 +216,23 @@ def traverse(a: Tree, b: Tree, same: bool, cosine: float) -> tuple[np.ndarray, n
                 hit &= part[:, None] < q[None, :]
             links_a[part] += hit @ b.weight[q]
             links_b[q] += hit.T @ a.weight[part]
-            u, v = np.nonzero(hit)
+            u, v = cells_of(hit)
             linked.join(part[u].tolist(), (q[v] + shift).tolist())
     if same:
         links_a = links_a + links_b
     return links_a, links_b, linked
 
 
+def runs_of(blocks: int, dim: int, cores: int) -> int:
+    """Blocks of a run: as many as leave every core several pairs of runs, within the bounds on what a task holds."""
+    return max(1, min(SIDE, HELD // (2 * BLOCK * dim), int(blocks / (8 * cores) ** 0.5)))
+
+
+def meetings(partners: dict[int, list[int]], side: int) -> list[tuple[int, int, int]]:
+    """(block, i, j): the block goes to where runs ``i`` and ``j`` of ``side`` blocks meet, as a partner of it lies there."""
+    return sorted({(b, *sorted((b // side, o // side))) for b, others in partners.items() for o in others})
+
+
 def points(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, node, vec): node is the md5 of the vector, null for vectors that link with nothing."""
     kind = vectors.schema[id_col].dataType.simpleString()
@@ -304,24 +322,29 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
         near |= np.eye(len(c), dtype=bool)
         for i in range(len(c)):
             partners[int(name[i])] = name[near[i]].tolist()
-    met = spark.createDataFrame([(i, j) for i, js in partners.items() for j in js], "block int, other int")
-    pairs = trees.drop("center", "radius", "dim").join(F.broadcast(met), "block").select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    cores = spark.sparkContext.defaultParallelism
+    side = runs_of(len(partners), max(tops, default=1), cores)
+    met = spark.createDataFrame(meetings(partners, side), "block int, i int, j int")
+    # few bytes, much work: a stated number of partitions is not coalesced by size
+    tasks = max(8 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = trees.drop("center", "radius", "dim").join(F.broadcast(met), "block").repartition(tasks, "i", "j")
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["block", "node"], ignore_index=True)
         i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-
-        def of(name):
-            part = rows[rows["block"] == name]
-            return part["node"].to_numpy(), Tree(unit(part["vec"], code), part["weight"].to_numpy(float), np.array(part["path"].tolist(), np.int64))
-
-        name_a, a = of(i)
-        name_b, b = (name_a, a) if i == j else of(j)
-        links_a, links_b, linked = traverse(a, b, i == j, cosine)
-        names = name_a if i == j else np.concatenate([name_a, name_b])
-        links = links_a if i == j else np.concatenate([links_a, links_b])
-        at = np.flatnonzero(links)
-        return pd.DataFrame({"node": names[at], "links": links[at].astype(np.int64), "root": names[[linked.top(x) for x in at.tolist()]]})
+        names, trees_ = {}, {}
+        for block, part in rows.groupby("block"):
+            names[block] = part["node"].to_numpy()
+            trees_[block] = Tree(unit(part["vec"], code), part["weight"].to_numpy(float), np.array(part["path"].tolist(), np.int64))
+        out = []
+        for a in (k for k in names if k // side == i):
+            for b in (k for k in partners[a] if k >= a and k // side == j):
+                links_a, links_b, linked = traverse(trees_[a], trees_[b], a == b, cosine)
+                name = names[a] if a == b else np.concatenate([names[a], names[b]])
+                links = links_a if a == b else np.concatenate([links_a, links_b])
+                at = np.flatnonzero(links)
+                out.append(pd.DataFrame({"node": name[at], "links": links[at].astype(np.int64), "root": name[[linked.top(x) for x in at.tolist()]]}))
+        return pd.concat(out)
 
     found = checkpoint(pairs.groupBy("i", "j").applyInPandas(meet, "node binary, links long, root binary"))
     component = connected_components(found.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
